@@ -1,0 +1,7 @@
+"""Queries by operator name."""
+
+from plenumlens.plans import text_queries
+from plenumlens.plans.registry import REGISTRY
+from plenumlens.plans.text_queries import best_fragments
+
+__all__ = ["REGISTRY", "best_fragments", "text_queries"]

@@ -78,3 +78,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """
     within = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if within else df
+
+
+def apply_conf(spark: SparkSession) -> SparkSession:
+    """Set the runtime settings on a session somebody else built."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores if it has fewer splits than cores.
+
+    A small input in one row group would otherwise be one task. An input with more
+    splits than cores is left alone, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
