@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
+#: The same characters one by one, for trimming.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a name so that ``body`` may use it often but computes it once."""
     return F.transform(F.array(value), body).getItem(0)
@@ -21,6 +28,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
+def strip(text: Column) -> Column:
+    """No whitespace at the ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def blank_to_null(text: Column) -> Column:
     """Empty text counts as missing."""
     return F.nullif(text, F.lit(""))

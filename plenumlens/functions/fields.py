@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenumlens.functions.base import let
+from plenumlens.functions.base import let, strip
 
 # Success bands, best first (lower bound in percent, name).
 SUCCESS_BANDS = [(70.0, "excellent"), (50.0, "good"), (30.0, "medium")]
@@ -32,13 +32,13 @@ GIF_MAGIC = b"GIF"
 def full_name(first: Column, last: Column) -> Column:
     """``first last`` without stray spaces; missing parts are empty."""
     empty = F.lit("")
-    return F.trim(F.concat(F.trim(F.coalesce(first, empty)), F.lit(" "), F.trim(F.coalesce(last, empty))))
+    return strip(F.concat(strip(F.coalesce(first, empty)), F.lit(" "), strip(F.coalesce(last, empty))))
 
 
 def reversed_name(first: Column, last: Column) -> Column:
     """``last first`` as written in name lists."""
     empty = F.lit("")
-    return F.concat(F.trim(F.coalesce(last, empty)), F.lit(" "), F.trim(F.coalesce(first, empty)))
+    return F.concat(strip(F.coalesce(last, empty)), F.lit(" "), strip(F.coalesce(first, empty)))
 
 
 def duration_seconds(start: Column, end: Column) -> Column:

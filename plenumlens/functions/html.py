@@ -8,7 +8,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenumlens.functions.base import collapse_spaces, let
+from plenumlens.functions.base import collapse_spaces, let, strip
 
 # The character references each light profile decodes, in decoding order.
 ENTITIES_B = [
@@ -161,7 +161,7 @@ def html_to_text(html: Column, profile: str) -> Column:
 def is_valid_html(html: Column, markers: list[str] = ERROR_MARKERS, min_length: int = 50) -> Column:
     """Long enough, no error marker, and either a known tag or more than 200 characters."""
     lowered = F.lower(F.coalesce(html, F.lit("")))
-    size = F.length(F.trim(F.coalesce(html, F.lit(""))))
+    size = F.length(strip(F.coalesce(html, F.lit(""))))
 
     def any_of(words: list[str]) -> Column:
         hit = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenumlens.functions.base import let
+from plenumlens.functions.base import let, strip
 
 # Markers that open each part of a text reply; the first family that fits a line wins.
 VERDICT_MARKERS = ["ŚMIESZNE:", "SMIESZ", "FUNNY:"]
@@ -72,7 +72,7 @@ def parse_text_reply(reply: Column) -> Column:
         return F.struct(family.alias("family"), line.alias("line"))
 
     def after_colon(line: Column) -> Column:
-        return F.trim(F.regexp_extract(line, r"(?s):(.*)\z", 1))
+        return strip(F.regexp_extract(line, r"(?s):(.*)\z", 1))
 
     def build(tagged: Column) -> Column:
         def last(family: int, only=None) -> Column:
@@ -97,8 +97,8 @@ def parse_text_reply(reply: Column) -> Column:
             ),
         )
 
-    trimmed = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?U)^\s+|\s+\z", "")
-    lines = F.transform(F.split(trimmed, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+\z", ""))
+    trimmed = strip(F.coalesce(reply, F.lit("")))
+    lines = F.transform(F.split(trimmed, "\n"), strip)
     nothing = F.struct(
         F.lit(False).alias("is_funny"), F.lit(0.0).alias("confidence"),
         F.lit(REASON_MISSING).alias("reason"), F.lit(NO_CATEGORY).alias("category"),

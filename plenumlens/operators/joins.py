@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
+from plenumlens.functions.base import strip
 from plenumlens.session import broadcast_if_small
 
 # The member fields a statement carries; missing text is empty.
@@ -25,7 +26,7 @@ def speaker_lookup(members: DataFrame, order: str) -> DataFrame:
     forms = F.array(
         F.struct(F.lit(0).alias("form"), fields.full_name(first, last).alias("name")),
         F.struct(F.lit(1).alias("form"), fields.reversed_name(first, last).alias("name")),
-        F.struct(F.lit(2).alias("form"), F.trim(F.coalesce(last, F.lit(""))).alias("name")),
+        F.struct(F.lit(2).alias("form"), strip(F.coalesce(last, F.lit(""))).alias("name")),
     )
     data = F.struct(*[
         (F.coalesce(c, F.lit("")) if c in MEMBER_TEXT else F.col(c)).alias(c) for c in MEMBER_DATA
@@ -45,7 +46,7 @@ def join_speaker(statements: DataFrame, members: DataFrame, name: str, order: st
     beyond that AQE splits the hot partition of the outer side.
     """
     lookup = broadcast_if_small(speaker_lookup(members, order))
-    keyed = statements.withColumn("_key", F.nullif(F.trim(F.col(name)), F.lit("")))
+    keyed = statements.withColumn("_key", F.nullif(strip(F.col(name)), F.lit("")))
     joined = keyed.join(lookup, keyed["_key"] == lookup["speaker_key"], "left")
     return joined.withColumn("is_mp", F.col("speaker_key").isNotNull()).drop("_key", "speaker_key")
 

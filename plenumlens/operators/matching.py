@@ -23,16 +23,18 @@ def _token_grams(segments: DataFrame, keys: Sequence[str], text: str, sizes: Seq
         F.regexp_extract_all(text, F.lit(_RUN), 0).alias("words"),
         F.split(text, _RUN, -1).alias("gaps"),
     )
-    per_size = []
-    for n in sizes:
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        per_size.append(F.transform(starts, lambda i, n=n: F.concat(*[
-            piece
-            for k in range(n)
-            for piece in ([F.element_at("gaps", i + k)] if k else []) + [F.element_at("words", i + k)]
-        ])))
+
+    def runs(n: int) -> Column:
+        def joined(i: Column) -> Column:
+            pieces = [F.element_at("words", i)]
+            for k in range(1, n):
+                pieces += [F.element_at("gaps", i + k), F.element_at("words", i + k)]
+            return F.concat(*pieces)
+
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), joined)
+
+    per_size = [runs(n) for n in sizes]
     return cut.select(*keys, F.explode(F.concat(*per_size)).alias("gram"))
 
 

@@ -59,27 +59,27 @@ def rank_all(
 ) -> DataFrame:
     """Number every row of every group without sorting a group in one task.
 
-    ``coarse`` expressions (ascending) are a prefix of the wanted order that cuts a group
-    into blocks; ``fine`` orders the rows inside a block. Blocks are counted first
-    (combined before the shuffle), their running count gives each block its offset, and
-    rows are numbered block by block. ``df`` is read twice: pass a written table if it
-    is dear to compute.
+    ``coarse`` expressions (ascending) are a prefix of the wanted order and cut a group
+    into ever smaller blocks; ``fine`` orders the rows of the smallest blocks. Blocks are
+    counted first (combined before the shuffle); at each level a running count over the
+    blocks of one parent gives their offsets. Choose levels so that no parent has very
+    many children. ``df`` is read twice: pass a written table if it is dear to compute.
     """
     names = [f"_c{i}" for i in range(len(coarse))]
     blocked = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
     counts = blocked.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
+    offsets = counts.select(*group, *names)
+    for level, name in enumerate(names):
+        parent = [*group, *names[:level]]
+        before = Window.partitionBy(*parent).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = counts.groupBy(*parent, name).agg(F.sum("_n").alias("_n"))
+        placed = blocks.select(*parent, name, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{level}"))
+        offsets = offsets.join(placed, [*parent, name], "inner")
+    offset = sum((F.col(f"_o{level}") for level in range(len(names))), F.lit(0))
     inside = Window.partitionBy(*group, *names).orderBy(*fine)
     numbered = blocked.withColumn("_r", F.row_number().over(inside))
-    keys = [*group, *names]
-    same = [numbered[c].eqNullSafe(offsets[c]) for c in keys]
-    joined = numbered.join(offsets, same, "inner")
-    return joined.select(
-        *[numbered[c] for c in df.columns], (F.col("_r") + F.col("_offset")).cast("long").alias(rank)
-    )
+    joined = numbered.join(offsets, [*group, *names], "inner")
+    return joined.select(*df.columns, (F.col("_r") + offset).cast("long").alias(rank))
 
 
 def top_fraction(df: DataFrame, score: str, fraction: float, accuracy: int = 10_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
 from plenumlens.functions import html as hx
+from plenumlens.functions.base import strip
 
 UNKNOWN_SPEAKER = "Nieznany"
 
@@ -47,7 +48,7 @@ def to_processed(listing: DataFrame, api_prefix: str = "") -> DataFrame:
 
 def content_text(content: Column) -> Column:
     """First non-empty of the known text fields, else the text of the page."""
-    return F.trim(fields.first_present(
+    return strip(fields.first_present(
         content["text"], content["text_content"], content["plain"], hx.html_to_text_c(content["html_content"])
     ))
 
@@ -80,7 +81,7 @@ def to_canonical(processed: DataFrame, min_length: int = MIN_SAVED) -> DataFrame
 def with_content_gates(pages: DataFrame, html: str = "html", profile: str = "b") -> DataFrame:
     """Add ``text``, ``is_valid`` and ``has_content`` (long enough as page and as text)."""
     cleaned = pages.withColumn("text", hx.html_to_text(F.col(html), profile))
-    long_enough = (F.length(F.trim(F.col(html))) >= MIN_HTML) & (F.length("text") > MIN_TEXT)
+    long_enough = (F.length(strip(F.col(html))) >= MIN_HTML) & (F.length("text") > MIN_TEXT)
     return cleaned.withColumn("is_valid", hx.is_valid_html(F.col(html))).withColumn(
         "has_content", F.coalesce(long_enough, F.lit(False))
     )

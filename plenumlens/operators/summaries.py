@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
+from plenumlens.functions.base import strip
 from plenumlens.operators.ranking import topk_per_group
 
 NO_CLUB = "Brak klubu"
@@ -175,7 +176,7 @@ def sample_success(
 ) -> DataFrame:
     """First ``k`` statements of each group with success flag and preview."""
     first = topk_per_group(statements, group, order, k, spread_by)
-    ok = F.coalesce(F.length(F.trim(F.col(html))) > 50, F.lit(False))
+    ok = F.coalesce(F.length(strip(F.col(html))) > 50, F.lit(False))
     return first.select(
         *group, "rank", F.col(name).alias("speaker"), ok.alias("success"),
         F.length(html).alias("content_length"),

@@ -101,7 +101,9 @@ def term_lines(statements: DataFrame, term: str, proceeding: str, date: str, fie
     Each record holds one statement with the objects around it, so that the export of a
     term is split like its rows; readers group by ``proceeding.directory_name``.
     """
-    name = F.concat(F.lit("proceeding_"), F.lpad(F.col(proceeding).cast("string"), 3, "0"))
+    digits = F.col(proceeding).cast("string")
+    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    name = F.concat(F.lit("proceeding_"), padded)
     record = F.struct(
         F.col(term).alias("term"),
         F.struct(

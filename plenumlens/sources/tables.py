@@ -56,9 +56,9 @@ def read_members(spark: SparkSession, folder: str, glob: str = "*.json") -> Data
     return inner.unionByName(rows.where(~wrapped & F.col("id").isNotNull()).select(*names))
 
 
-def read_proceeding_info(spark: SparkSession, path: str) -> DataFrame:
+def read_proceeding_info(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Proceeding headers; ``data``, ``proceeding_data`` or no envelope."""
-    rows = spark.read.schema(PROCEEDING_FILE).option("multiLine", "true").json(path)
+    rows = spark.read.schema(PROCEEDING_FILE).option("multiLine", str(not json_lines).lower()).json(path)
     fields = ["number", "title", "dates", "current"]
     return rows.select(*[F.coalesce(f"data.{f}", f"proceeding_data.{f}", f).alias(f) for f in fields])
 

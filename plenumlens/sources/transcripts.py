@@ -38,15 +38,20 @@ def discover(spark: SparkSession, input_dir: str | None, data_dirs: list[str], o
     return found.where(~F.contains(F.lower("path"), F.lit(own_output))).orderBy("path")
 
 
-def read_transcript_files(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
+def read_transcript_files(
+    spark: SparkSession, path: str | list[str], recursive: bool = True, json_lines: bool = False
+) -> DataFrame:
     """Rows of transcript files in the superset schema, with file name and path.
 
+    A file is one JSON value, or with ``json_lines`` one value per line, as this engine
+    writes them: such files are split among tasks, whatever their size.
+
     A file that cannot be parsed is one row with ``_corrupt_record``; the others go on.
     Directory keys such as ``term=10/proceeding_id=1`` come back as columns when the
     folder is read without recursion.
     """
-    reader = spark.read.schema(TRANSCRIPT_FILE).option("multiLine", "true").option("mode", "PERMISSIVE")
-    reader = reader.option("pathGlobFilter", "*.json")
+    reader = spark.read.schema(TRANSCRIPT_FILE).option("multiLine", str(not json_lines).lower())
+    reader = reader.option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     return reader.json(path).withColumns({
@@ -63,8 +68,8 @@ def quarantine(files: DataFrame) -> DataFrame:
 def statements_of(files: DataFrame) -> DataFrame:
     """One row per statement: file, position in it, day keys and the statement's fields.
 
-    Accepts ``statements``, ``data.statements`` and a bare list. A bare list is one row
-    per element; its elements keep the order they have in the file.
+    Accepts ``statements``, ``data.statements`` and bare statements. Bare ones are one row
+    each and have their order from ``num``; ``pos`` is their order in a file read whole.
     """
     good = files.where(F.col("_corrupt_record").isNull())
     listed = F.coalesce("statements", "data.statements")
