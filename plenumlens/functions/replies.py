@@ -82,7 +82,7 @@ def parse_text_reply(reply: Column) -> Column:
         number = last(1, lambda line: F.rlike(line, F.lit(r"\d")))
         digits = F.regexp_extract(number, r"(\d+)", 1).cast("double")
         funny = F.coalesce(_has_any(F.upper(last(0)), AFFIRMATIVE), F.lit(False))
-        stated = F.coalesce(F.least(digits / 100.0, F.lit(1.0)), F.lit(0.0))
+        stated = F.when(digits > 100.0, F.lit(1.0)).otherwise(F.coalesce(digits / 100.0, F.lit(0.0)))
         category = F.coalesce(category_of(after_colon(last(2))), F.lit(NO_CATEGORY))
         reason = F.coalesce(after_colon(last(3)), F.lit(REASON_MISSING))
         return let(

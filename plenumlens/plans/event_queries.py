@@ -45,8 +45,8 @@ def proceedings(spark, sf_dir):
 
 
 @query("flt_future_dates", f"""WITH p AS ({_PROCEEDINGS})
-SELECT user_id, len(list_filter(dates, x -> x::DATE <= DATE '2024-01-05'))::BIGINT AS past,
-  len(list_filter(dates, x -> x::DATE > DATE '2024-01-05')) = len(dates) AS skipped FROM p""")
+SELECT user_id, len(list_filter(dates, lambda x: x::DATE <= DATE '2024-01-05'))::BIGINT AS past,
+  len(list_filter(dates, lambda x: x::DATE > DATE '2024-01-05')) = len(dates) AS skipped FROM p""")
 def flt_future_dates(spark, sf_dir):
     day = F.to_date(F.lit("2024-01-05"))
     return proceedings(spark, sf_dir).select(
@@ -56,7 +56,7 @@ def flt_future_dates(spark, sf_dir):
 
 
 @query("flt_current", f"""WITH p AS ({_PROCEEDINGS})
-SELECT user_id FROM p WHERE current OR len(list_filter(dates, x -> date_diff('day', x::DATE, DATE '2024-02-05') BETWEEN -1 AND 7)) > 0""")
+SELECT user_id FROM p WHERE current OR len(list_filter(dates, lambda x: date_diff('day', x::DATE, DATE '2024-02-05') BETWEEN -1 AND 7)) > 0""")
 def flt_current(spark, sf_dir):
     rows = proceedings(spark, sf_dir)
     day = F.to_date(F.lit("2024-02-05"))
@@ -208,7 +208,7 @@ def str_health(spark, sf_dir):
 
 @query("str_quota", """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, provider, count(*) AS calls,
  count(*) > CASE provider WHEN 'ollama' THEN 1000 WHEN 'openai' THEN 50 WHEN 'claude' THEN 40 ELSE 60 END AS over_quota
-FROM (SELECT ts, ['ollama', 'openai', 'claude', 'gemini'][1 + user_id % 4] AS provider FROM events) GROUP BY ALL""")
+FROM (SELECT ts, ['ollama', 'openai', 'claude', 'gemini'][1 + user_id % 4] AS provider FROM events) GROUP BY date_trunc('minute', ts), provider""")
 def str_quota(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in ("ollama", "openai", "claude", "gemini")])
     provider = F.element_at(names, (F.col("user_id") % 4 + 1).cast("int"))

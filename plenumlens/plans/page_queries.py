@@ -271,15 +271,14 @@ def src_transcripts_envelope(spark, sf_dir):
     statement = F.struct("num", "speaker", "text")
     metadata = F.struct("term", F.col("proceeding_id").cast("int").alias("proceeding_id"), "date")
     nested = F.col("num") % 2 == 1
-    envelope = F.struct(
+    path = scratch_path(spark, "envelopes")
+    canonical(spark, sf_dir).select(
         metadata.alias("metadata"),
         F.when(~nested, F.array(statement)).alias("statements"),
         F.when(nested, F.struct(F.array(statement).alias("statements"))).alias("data"),
-    )
-    path = scratch_path(spark, "envelopes")
-    canonical(spark, sf_dir).select(F.to_json(envelope).alias("value")).write.option("lineSep", "\n").text(f"{path}/day.json")
-    files = transcripts.read_transcript_files(spark, path, json_lines=True)
-    return transcripts.statements_of(files.withColumn("file_name", F.lit("day"))).select(
+    ).write.json(path)
+    rows = transcripts.statements_of(transcripts.read_transcript_files(spark, path, json_lines=True))
+    return rows.select(
         F.col("proceeding_id").cast("bigint").alias("conv_id"), "num", F.col("speaker").alias("name"), "text"
     )
 

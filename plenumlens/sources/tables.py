@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,16 @@ from plenumlens.schemas import MEMBER_FILE, PROCEEDING_FILE, RESULT_FILE
 from plenumlens.sources.transcripts import list_files
 
 
-def parse_lexicon(files: DataFrame, value: str = "value") -> DataFrame:
+def parse_lexicon(files: DataFrame, value: str = "value", carry: Sequence[str] = ()) -> DataFrame:
     """``ord, keyword, weight`` from lexicon files held one per row.
 
     Elements that are no object or have no keyword are skipped; a missing or unreadable
     weight is 1.0.
     """
-    items = files.select(F.posexplode(F.from_json(F.col(value), "array<string>")).alias("ord", "item"))
+    items = files.select(*carry, F.posexplode(F.from_json(F.col(value), "array<string>")).alias("ord", "item"))
     keyword = F.get_json_object("item", "$.keyword")
     weight = F.coalesce(F.get_json_object("item", "$.weight").try_cast("double"), F.lit(1.0))
-    return items.select("ord", keyword.alias("keyword"), weight.alias("weight")).where(
+    return items.select(*carry, "ord", keyword.alias("keyword"), weight.alias("weight")).where(
         F.coalesce("keyword", F.lit("")) != ""
     )
 
@@ -47,9 +49,11 @@ def newest_file(spark: SparkSession, folder: str, glob: str = "*.json") -> str:
     return newest
 
 
-def read_members(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+def read_members(
+    spark: SparkSession, folder: str, glob: str = "*.json", json_lines: bool = False
+) -> DataFrame:
     """Members from the newest file, inside an envelope or bare."""
-    rows = spark.read.schema(MEMBER_FILE).option("multiLine", "true").json(newest_file(spark, folder, glob))
+    rows = spark.read.schema(MEMBER_FILE).option("multiLine", str(not json_lines).lower()).json(newest_file(spark, folder, glob))
     names = [f.name for f in rows.schema["data"].dataType.elementType]
     wrapped = F.col("data").isNotNull()
     inner = rows.where(wrapped).select(F.inline("data"))
@@ -63,9 +67,11 @@ def read_proceeding_info(spark: SparkSession, path: str, json_lines: bool = Fals
     return rows.select(*[F.coalesce(f"data.{f}", f"proceeding_data.{f}", f).alias(f) for f in fields])
 
 
-def read_latest_results(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+def read_latest_results(
+    spark: SparkSession, folder: str, glob: str = "*.json", json_lines: bool = False
+) -> DataFrame:
     """Fragments of the newest result file, with their place in it."""
-    rows = spark.read.schema(RESULT_FILE).option("multiLine", "true").json(newest_file(spark, folder, glob))
+    rows = spark.read.schema(RESULT_FILE).option("multiLine", str(not json_lines).lower()).json(newest_file(spark, folder, glob))
     fragments = F.coalesce("data.fragments", "fragments")
     return rows.select(
         F.coalesce("data.source_file", "source_file").alias("source_file"), F.posexplode(fragments).alias("pos", "f")
