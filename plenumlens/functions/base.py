@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters treated as whitespace: Unicode White_Space and the four ASCII separators.
@@ -36,3 +36,13 @@ def strip(text: Column) -> Column:
 def blank_to_null(text: Column) -> Column:
     """Empty text counts as missing."""
     return F.nullif(text, F.lit(""))
+
+
+def compute_once(df: DataFrame, keys: Sequence[str], name: str, value: Column) -> DataFrame:
+    """``keys`` and ``value`` as a column that later steps may filter on or explode freely.
+
+    The optimizer moves filters (also the one it infers from an explode) below a plain
+    projection by repeating the projected expression. A one-element explode stops that,
+    so a costly expression is evaluated once per row.
+    """
+    return df.select(*keys, F.explode(F.array(value)).alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,28 +75,28 @@ def _quote(literal: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in literal)
 
 
-def _boundary(char: str, before: bool) -> str:
-    """Word boundary next to ``char``: the far side must be the other kind."""
-    word = char.isalnum() or char == "_"
-    if before:
-        return f"(?<!{WORD})" if word else f"(?<={WORD})"
-    return f"(?!{WORD})" if word else f"(?={WORD})"
+def _bounded(form: str, ending: str | None = None) -> str:
+    """``form`` between word boundaries, as literal text first and then the look-arounds.
+
+    A boundary asks that the far side be the other kind of character. Leading with the
+    literal lets the matcher skip ahead to candidates before testing a character class.
+    """
+    quoted = "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in form)
+    before = "<!" if form[0].isalnum() or form[0] == "_" else "<="
+    after = f"(?!{WORD})" if form[-1].isalnum() or form[-1] == "_" else f"(?={WORD})"
+    if ending:
+        after = f"(?:(?:{ending})(?!{WORD})|{after})"
+    return f"{quoted}(?{before}{WORD}{quoted}){after}"
 
 
 def strict_pattern(keyword: str) -> str:
     """The lower-cased keyword between word boundaries."""
-    text = keyword.lower()
-    return _boundary(text[0], True) + _quote(text) + _boundary(text[-1], False)
+    return _bounded(keyword.lower())
 
 
 def lenient_pattern(keyword: str, suffixes: Sequence[str] = SUFFIXES) -> str:
     """The plain keyword, an optional ending, word boundaries; for mark-free text."""
-    text = plain_form(keyword)
-    endings = "|".join(_quote(s) for s in suffixes)
-    bare = _boundary(text[-1], False)
-    if not endings:
-        return _boundary(text[0], True) + _quote(text) + bare
-    return f"{_boundary(text[0], True)}{_quote(text)}(?:(?:{endings})(?!{WORD})|{bare})"
+    return _bounded(plain_form(keyword), "|".join(suffixes))
 
 
 def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], patterns: list[str]) -> Column:
@@ -105,8 +107,9 @@ def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], pattern
     """
     if len(lexicon) > LITERAL_LIMIT:
         raise ValueError(f"{len(lexicon)} keywords: use operators.matching.match_by_join")
+    none = F.array().cast("array<struct<ord:int,keyword:string,count:int,weight:double>>")
     if not lexicon:
-        return F.array().cast("array<struct<ord:int,keyword:string,count:int,weight:double>>")
+        return none
     entries = [
         F.struct(
             F.lit(k.ord).alias("ord"),
@@ -117,7 +120,14 @@ def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], pattern
         )
         for k, plain, pattern in zip(lexicon, literals, patterns)
     ]
-    return F.filter(F.array(*entries), lambda m: m["count"] > 0)
+    counted = F.filter(F.array(*entries), lambda m: m["count"] > 0)
+    return F.when(_contains_any(text, literals), counted).otherwise(none)
+
+
+def _contains_any(text: Column, literals: Sequence[str]) -> Column:
+    """Cheap test that lets a text without any keyword skip the counting."""
+    tests = [F.contains(text, F.lit(literal)) for literal in dict.fromkeys(literals)]
+    return reduce(or_, tests)
 
 
 def strict_matches(text: Column, lexicon: Sequence[Keyword]) -> Column:
@@ -138,16 +148,14 @@ def lenient_matches(text: Column, lexicon: Sequence[Keyword], suffixes: Sequence
 
 
 def any_strict(text: Column, lexicon: Sequence[Keyword]) -> Column:
-    """Whether any keyword has a strict hit: one alternation behind a shared boundary test."""
+    """Whether any keyword has a strict hit; a pattern runs only where its text occurs."""
     if not lexicon:
         return F.lit(False)
-    by_boundary: dict[tuple[str, str], list[str]] = {}
-    for entry in first_weights(lexicon):
-        text_form = entry.keyword.lower()
-        edges = (_boundary(text_form[0], True), _boundary(text_form[-1], False))
-        by_boundary.setdefault(edges, []).append(_quote(text_form))
-    groups = [f"{before}(?:{'|'.join(forms)}){after}" for (before, after), forms in by_boundary.items()]
-    return F.rlike(text, F.lit("|".join(groups)))
+    tests = [
+        F.contains(text, F.lit(k.keyword.lower())) & F.rlike(text, F.lit(strict_pattern(k.keyword)))
+        for k in first_weights(lexicon)
+    ]
+    return reduce(or_, tests)
 
 
 def weighted_score(matches: Column) -> Column:

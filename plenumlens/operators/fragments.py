@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import keywords as kw
 from plenumlens.functions import text as tx
-from plenumlens.functions.base import let
+from plenumlens.functions.base import compute_once, let
 
 FRAGMENT_KEYS = ["source_file", "statement_id"]
 
@@ -24,7 +24,7 @@ def segment_statements(
 ) -> DataFrame:
     """Keys plus ``segments array<struct<lead, body, start, end>>`` of the normalised text."""
     normalized = tx.clean_and_normalize(F.col(text))
-    return df.select(*keys, tx.locate_segments(tx.split_sentences(normalized, limit)).alias("segments"))
+    return compute_once(df, keys, "segments", tx.locate_segments(tx.split_sentences(normalized, limit)))
 
 
 def explode_segments(segmented: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,7 +39,8 @@ def score_segments(
     segments: DataFrame, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES
 ) -> DataFrame:
     """Add lenient ``matches`` and their ``score`` to segment rows."""
-    matched = segments.withColumn("matches", kw.lenient_matches(F.col("segment"), lexicon, suffixes))
+    matches = kw.lenient_matches(F.col("segment"), lexicon, suffixes)
+    matched = compute_once(segments, segments.columns, "matches", matches)
     return matched.withColumn("score", kw.weighted_score(F.col("matches")))
 
 
@@ -134,7 +135,8 @@ def extract_fragments(
     segments match leniently; matches keep the statement's keyword order.
     """
     segmented = segment_statements(df, keys, text, limit)
-    ordered = segmented.withColumn("keyword_order", keyword_order(F.col("segments"), lexicon, suffixes))
+    words = keyword_order(F.col("segments"), lexicon, suffixes)
+    ordered = compute_once(segmented, [*keys, "segments"], "keyword_order", words)
     cut = cut_contexts(ordered, keys, lexicon, context, limit, carry=["keyword_order"], among="keyword_order")
 
     def place(m: Column) -> Column:
@@ -144,13 +146,12 @@ def extract_fragments(
         )
 
     placed = F.filter(F.transform(kw.strict_matches(F.col("text"), lexicon), place), lambda m: m["place"] > 0)
-    matched = cut.withColumn(
-        "matched_keywords",
-        F.transform(
-            F.array_sort(placed),
-            lambda m: F.struct(m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight")),
-        ),
-    ).drop("keyword_order")
+    in_order = F.transform(
+        F.array_sort(placed),
+        lambda m: F.struct(m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight")),
+    )
+    kept = [c for c in cut.columns if c != "keyword_order"]
+    matched = compute_once(cut, kept, "matched_keywords", in_order)
     return matched.withColumn("score", kw.weighted_score(F.col("matched_keywords")))
 
 

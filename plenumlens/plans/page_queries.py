@@ -242,8 +242,15 @@ def prj_canonical(spark, sf_dir):
 
 
 def written_transcripts(spark, sf_dir):
+    """Conversations filed under 20 proceedings of 5 days; ``num`` orders them within a day."""
+    conv = F.col("proceeding_id")
+    filed = canonical(spark, sf_dir).withColumns({
+        "num": conv * 1000 + F.col("num"),
+        "date": F.concat(F.lit("2024-01-0"), F.floor(conv / 20) % 5 + 1),
+        "proceeding_id": conv % 20,
+    })
     path = scratch_path(spark, "transcripts")
-    writers.write_transcripts(canonical(spark, sf_dir), path)
+    writers.write_transcripts(filed, path)
     return path
 
 
@@ -253,16 +260,16 @@ def sink_transcripts(spark, sf_dir):
     schema = "num bigint, speaker struct<name:string,club:string>, text string, term int, proceeding_id bigint, date string"
     back = spark.read.schema(schema).json(written_transcripts(spark, sf_dir))
     return back.select(
-        F.col("proceeding_id").alias("conv_id"), F.col("num").alias("turn"), "speaker.name", "speaker.club", "text"
+        F.floor(F.col("num") / 1000).alias("conv_id"), (F.col("num") % 1000).alias("turn"), "speaker.name",
+        "speaker.club", "text",
     )
 
 
-@query("src_transcripts", f"SELECT turn AS num, name, text, count(*) AS times FROM ({_CANONICAL}) GROUP BY ALL")
+@query("src_transcripts", f"SELECT conv_id * 1000 + turn AS num, name, text FROM ({_CANONICAL})")
 def src_transcripts(spark, sf_dir):
     """The written files read through the reader of any envelope."""
     files = transcripts.read_transcript_files(spark, written_transcripts(spark, sf_dir), json_lines=True)
-    rows = transcripts.statements_of(files)
-    return rows.groupBy("num", F.col("speaker").alias("name"), "text").agg(F.count(F.lit(1)).alias("times"))
+    return transcripts.statements_of(files).select("num", F.col("speaker").alias("name"), "text")
 
 
 @query("src_transcripts_envelope", f"SELECT conv_id, turn AS num, name, text FROM ({_CANONICAL})")
@@ -283,13 +290,13 @@ def src_transcripts_envelope(spark, sf_dir):
     )
 
 
-@query("src_discover", "SELECT count(DISTINCT conv_id) AS days FROM conversations WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10")
+@query("src_discover", f"SELECT count(DISTINCT (conv_id % 20, conv_id // 20 % 5)) AS days FROM ({_CANONICAL})")
 def src_discover(spark, sf_dir):
     """Days found among written files when the input folder itself has none."""
     path = written_transcripts(spark, sf_dir)
     found = transcripts.discover(spark, path, [path])
-    return found.select(F.regexp_extract("path", "proceeding_id=([0-9]+)", 1).alias("p")).agg(
-        F.countDistinct("p").alias("days")
+    return found.select(F.regexp_extract("path", "proceeding_id=[0-9]+/date=[0-9-]+", 0).alias("day")).agg(
+        F.countDistinct("day").alias("days")
     )
 
 
@@ -378,21 +385,25 @@ def sink_term_json(spark, sf_dir):
     )
 
 
-@query("src_text", "SELECT conv_id, count(*) AS lines FROM conversations WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10 GROUP BY conv_id")
+_LINES = f"SELECT conv_id % 20 AS proceeding_id, count(*) AS lines FROM ({_CANONICAL}) GROUP BY conv_id % 20"
+_PROCEEDING = "proceeding_id=([0-9]+)"
+
+
+@query("src_text", _LINES)
 def src_text(spark, sf_dir):
     """Whole files of the transcript export, their records counted."""
     files = tables.read_text(spark, f"{written_transcripts(spark, sf_dir)}/*/*/*/*.json")
     lines = F.size(F.filter(F.split("value", "\n"), lambda x: x != ""))
-    return files.select(F.regexp_extract("path", "proceeding_id=([0-9]+)", 1).cast("bigint").alias("conv_id"), lines.alias("n")).groupBy(
-        "conv_id").agg(F.sum("n").alias("lines"))
+    return files.select(F.regexp_extract("path", _PROCEEDING, 1).cast("bigint").alias("proceeding_id"), lines.alias("n")).groupBy(
+        "proceeding_id").agg(F.sum("n").alias("lines"))
 
 
-@query("src_binary", "SELECT conv_id, count(*) AS lines FROM conversations WHERE length(trim(text, E' \\t\\n\\r\\f\\v')) >= 10 GROUP BY conv_id")
+@query("src_binary", _LINES)
 def src_binary(spark, sf_dir):
     """The same files as bytes: line ends counted, size checked against the content."""
     files = tables.read_binary(spark, f"{written_transcripts(spark, sf_dir)}/*/*/*/*.json")
     text = F.decode("content", "UTF-8")
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     whole = files.where(F.octet_length("content") == F.col("length"))
-    return whole.select(F.regexp_extract("path", "proceeding_id=([0-9]+)", 1).cast("bigint").alias("conv_id"), ends.alias("n")).groupBy(
-        "conv_id").agg(F.sum("n").alias("lines"))
+    return whole.select(F.regexp_extract("path", _PROCEEDING, 1).cast("bigint").alias("proceeding_id"), ends.alias("n")).groupBy(
+        "proceeding_id").agg(F.sum("n").alias("lines"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import keywords as kw
 from plenumlens.functions import text as tx
+from plenumlens.functions.base import compute_once
 from plenumlens.operators import fragments as fr
 from plenumlens.operators import matching, ranking, summaries
 from plenumlens.plans import text_sql as sql
@@ -164,7 +165,7 @@ def ord_segments(spark, sf_dir):
 @query("agg_matched_keywords", f"""WITH {sql.segments()}, {sql.lenient_hits()}, {sql.keyword_places()}
 SELECT doc_id, string_agg(keyword, '|' ORDER BY place) AS keywords FROM places GROUP BY doc_id""")
 def agg_matched_keywords(spark, sf_dir):
-    rows = segmented(spark, sf_dir).select("doc_id", fr.keyword_order(F.col("segments"), LEXICON).alias("k"))
+    rows = compute_once(segmented(spark, sf_dir), KEY, "k", fr.keyword_order(F.col("segments"), LEXICON))
     return rows.where(F.size("k") > 0).select("doc_id", F.array_join("k", "|").alias("keywords"))
 
 
@@ -264,8 +265,11 @@ def str_score(spark, sf_dir):
     from plenumlens.session import scratch_path
     from plenumlens.streaming import jobs
 
-    schema = table(spark, sf_dir, "documents").schema
-    stream = jobs.arriving_files(spark, sf_dir, schema, "parquet", "documents.parquet")
+    landed = table(spark, sf_dir, "documents")
+    stream = jobs.arriving_files(spark, sf_dir, landed.schema, "parquet", "documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if landed.rdd.getNumPartitions() < cores:  # a batch of one file would be one task
+        stream = stream.repartition(cores)
     scored = jobs.score_arriving(stream, LEXICON, KEY).select(
         "doc_id", F.col("segment_idx").alias("seg_idx"), "start_offset", "score"
     )
