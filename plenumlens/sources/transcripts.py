@@ -61,8 +61,11 @@ def read_transcript_files(
 
 
 def quarantine(files: DataFrame) -> DataFrame:
-    """The unreadable files with what could be read of them."""
-    return files.where(F.col("_corrupt_record").isNotNull()).select("source_file", "file_name", "_corrupt_record")
+    """The unreadable files, and how many statements could be read of each."""
+    # the reader refuses a query on the corrupt column alone, so the filter needs another one
+    read = F.size(F.coalesce("statements", "data.statements", F.array()))
+    broken = files.withColumn("read", read).where(F.col("_corrupt_record").isNotNull() & (F.col("read") >= 0))
+    return broken.select("source_file", "file_name", "read", "_corrupt_record")
 
 
 def statements_of(files: DataFrame) -> DataFrame:
