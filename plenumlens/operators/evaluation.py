@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenumlens.functions.base import compute_once
 from plenumlens.functions.text import content_key
 from plenumlens.operators.statements import MIN_EVALUATED
 from plenumlens.schemas import VERDICT
@@ -25,27 +26,32 @@ PROVIDER_ORDER = {
 }
 CALLS_PER_MINUTE = {"ollama": 1000, "openai": 50, "claude": 40, "gemini": 60}
 
+VERDICT_FIELDS = ["is_funny", "confidence", "reason", "api_used"]
+
 Evaluator = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def with_content_key(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``content_key``, null for texts too short to evaluate."""
     long_enough = F.length(text) >= MIN_EVALUATED
-    return df.withColumn("content_key", F.when(long_enough, content_key(F.col(text))))
+    return compute_once(df, df.columns, "content_key", F.when(long_enough, content_key(F.col(text))))
 
 
 def lookup_verdicts(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Attach known verdicts; ``cached`` tells whether there was one.
+    """Attach known verdicts; ``cached`` tells whether there was one."""
+    known = verdicts.where(F.col("api_used") != FAILED).select("content_key", *VERDICT_FIELDS)
+    return _attach(keyed, known.withColumn("_cached", F.lit(True)))
+
 
-    Copies of one text make a hot key; the verdict side has one row per key, so AQE may
-    split the hot partition of the fragments freely.
+def _attach(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One left join to a table with one row per content.
+
+    Copies of one text, and texts too short to have a key, make hot keys on the fragment
+    side only, which is the side AQE may split. There is deliberately one join and not
+    one per verdict table: joins stacked on one key share a stage that is not split.
     """
-    known = verdicts.where(F.col("api_used") != FAILED).select(
-        "content_key", "is_funny", "confidence", "reason", "api_used", F.lit(True).alias("_hit")
-    )
-    return keyed.join(known, "content_key", "left").withColumn(
-        "cached", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
+    joined = keyed.join(verdicts, "content_key", "left")
+    return joined.withColumn("cached", F.coalesce("_cached", F.lit(False))).drop("_cached")
 
 
 def open_requests(keyed: DataFrame, verdicts: DataFrame, order: Sequence[str], text: str = "text") -> DataFrame:
@@ -85,18 +91,10 @@ def evaluate_fragments(
     """
     keyed = with_content_key(fragments)
     fresh = run_evaluator(open_requests(keyed, verdicts, order), evaluator, parallelism)
-    known = lookup_verdicts(keyed, verdicts)
-    new = fresh.select("content_key", *[F.col(c).alias(f"_{c}") for c in VERDICT_FIELDS])
-    joined = known.join(new, "content_key", "left")
-    filled = joined.select(
-        *[c for c in known.columns if c not in VERDICT_FIELDS],
-        *[F.coalesce(c, f"_{c}").alias(c) for c in VERDICT_FIELDS],
-    )
-    kept = verdicts.select("content_key", *VERDICT_FIELDS).unionByName(fresh.where(F.col("api_used") != FAILED))
-    return filled, kept
-
-
-VERDICT_FIELDS = ["is_funny", "confidence", "reason", "api_used"]
+    known = verdicts.where(F.col("api_used") != FAILED).select("content_key", *VERDICT_FIELDS)
+    every = known.withColumn("_cached", F.lit(True)).unionByName(fresh.withColumn("_cached", F.lit(False)))
+    kept = known.unionByName(fresh.where(F.col("api_used") != FAILED))
+    return _attach(keyed, every), kept
 
 
 def rule_evaluator(words: dict[str, float], threshold: float = 2.0, scale: float = 8.0) -> Evaluator:

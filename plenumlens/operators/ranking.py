@@ -85,7 +85,7 @@ def rank_all(
 def top_fraction(df: DataFrame, score: str, fraction: float, accuracy: int = 10_000) -> DataFrame:
     """Rows at or above the score quantile that keeps about ``fraction`` of the rows.
 
-    The cut-off is one aggregated value; ties with it are all kept.
+    The cut-off is one aggregated value, used as a scalar subquery; ties with it are all kept.
     """
-    cut = df.agg(F.percentile_approx(score, 1.0 - fraction, accuracy).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(score) >= F.col("_cut")).drop("_cut")
+    cut = df.agg(F.percentile_approx(score, 1.0 - fraction, accuracy))
+    return df.where(F.col(score) >= cut.scalar())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
 from plenumlens.functions import html as hx
-from plenumlens.functions.base import strip
+from plenumlens.functions.base import compute_once, strip
 
 UNKNOWN_SPEAKER = "Nieznany"
 
@@ -70,7 +70,7 @@ def to_canonical(processed: DataFrame, min_length: int = MIN_SAVED) -> DataFrame
         F.col("speaker.is_mp").alias("is_mp"),
         F.coalesce(F.nullif("speaker.club", F.lit("")), F.col("speaker.group")).alias("club"),
     )
-    rows = processed.withColumn("_text", content_text(F.col("content")))
+    rows = compute_once(processed, processed.columns, "_text", content_text(F.col("content")))
     return rows.where(F.length("_text") >= min_length).select(
         "term", "proceeding_id", "date", "num", speaker.alias("speaker"), F.col("_text").alias("text"),
         F.col("timing.start_datetime").alias("start_time"), F.col("timing.end_datetime").alias("end_time"),
@@ -80,7 +80,7 @@ def to_canonical(processed: DataFrame, min_length: int = MIN_SAVED) -> DataFrame
 
 def with_content_gates(pages: DataFrame, html: str = "html", profile: str = "b") -> DataFrame:
     """Add ``text``, ``is_valid`` and ``has_content`` (long enough as page and as text)."""
-    cleaned = pages.withColumn("text", hx.html_to_text(F.col(html), profile))
+    cleaned = compute_once(pages, pages.columns, "text", hx.html_to_text(F.col(html), profile))
     long_enough = (F.length(strip(F.col(html))) >= MIN_HTML) & (F.length("text") > MIN_TEXT)
     return cleaned.withColumn("is_valid", hx.is_valid_html(F.col(html))).withColumn(
         "has_content", F.coalesce(long_enough, F.lit(False))

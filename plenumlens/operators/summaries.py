@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plenumlens.functions import fields
 from plenumlens.functions.base import strip
 from plenumlens.operators.ranking import topk_per_group
+from plenumlens.session import broadcast_if_small
 
 NO_CLUB = "Brak klubu"
 
@@ -59,7 +60,7 @@ def members_by_group(members: DataFrame, groups: Sequence[str], listed: Sequence
     The member list of a group stays rows: it is never gathered into one value, since a
     group may hold any share of the members.
     """
-    sizes = group_sizes(members, groups)
+    sizes = broadcast_if_small(group_sizes(members, groups))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(g).alias("group_kind"), F.col(g).cast("string").alias("group_value")) for g in groups
     ]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plenumlens.functions import replies
+from plenumlens.functions import fields, replies
 from plenumlens.operators import evaluation, joins, ranking, summaries
 from plenumlens.plans.registry import query, table
 from plenumlens.plans.text_queries import LEXICON, documents
@@ -59,6 +59,23 @@ def join_speaker(spark, sf_dir):
     )
 
 
+@query("fn_full_name", """SELECT n_nationkey::BIGINT AS id, n_name || ' ' || r_name AS full_name, r_name || ' ' || n_name AS reversed_name
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000000 + c_custkey, c_name, ' ' || c_name FROM customer""")
+def fn_full_name(spark, sf_dir):
+    """Members, and customers who have only a first name with stray spaces."""
+    one_name = table(spark, sf_dir, "customer").select(
+        (F.lit(1000000) + F.col("c_custkey")).alias("id"), F.concat(F.lit(" "), "c_name", F.lit("\t")).alias("firstName"),
+        F.lit(None).cast("string").alias("lastName"),
+    )
+    named = members(spark, sf_dir).select("id", "firstName", "lastName").unionByName(one_name)
+    first, last = F.col("firstName"), F.col("lastName")
+    return named.select(
+        F.col("id").cast("bigint").alias("id"), fields.full_name(first, last).alias("full_name"),
+        fields.reversed_name(first, last).alias("reversed_name"),
+    )
+
+
 def customers(spark, sf_dir):
     """Customers as members: segment is the club (one has none), nation the voivodeship."""
     club = F.when(F.col("c_mktsegment") != "FURNITURE", F.col("c_mktsegment"))

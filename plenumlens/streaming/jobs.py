@@ -46,9 +46,19 @@ def ingest(
     return writer.start(path)
 
 
-def new_days(stream: DataFrame, keys: Sequence[str], event_time: str, keep_days: int = STATE_DAYS) -> DataFrame:
-    """First arrival of each (proceeding, date); state older than ``keep_days`` is evicted."""
-    return stream.withWatermark(event_time, f"{keep_days} days").dropDuplicatesWithinWatermark(list(keys))
+def new_days(
+    stream: DataFrame, keys: Sequence[str], event_time: str, keep_days: int = STATE_DAYS, buckets: int = 16
+) -> DataFrame:
+    """First arrival of each (proceeding, date) as ``keys`` and event time; old state is evicted.
+
+    Two rounds, as one day may hold a third of all arrivals: first per (key, salt), which
+    spreads a hot day over ``buckets`` tasks and leaves at most that many rows of it, then
+    per key. Only keys and event time are shuffled.
+    """
+    rows = stream.select(*keys, event_time, F.pmod(F.xxhash64(*stream.columns), F.lit(buckets)).alias("_salt"))
+    timed = rows.withWatermark(event_time, f"{keep_days} days")
+    spread = timed.dropDuplicatesWithinWatermark([*keys, "_salt"])
+    return spread.dropDuplicatesWithinWatermark(list(keys)).drop("_salt")
 
 
 def within_age(stream: DataFrame, date: str, ref: Column, max_age_days: int = 7) -> DataFrame:
