@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html import unescape as unescape_html
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -26,6 +27,7 @@ HTML_TAGS = ["<html", "<body", "<p", "<div"]
 
 _CHARREF = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _LEGACY = {name: char for name, char in html5.items() if not name.endswith(";")}
+_LOW = {str(code): unescape_html(f"&#{code};") for code in range(0xA0)}
 _LEGACY_LENGTHS = sorted({len(name) for name in _LEGACY}, reverse=True)
 
 
@@ -34,8 +36,9 @@ def _code_point(num: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
 
 
-def _numeric_reference(ref: Column) -> Column:
-    hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+def _numeric_reference(ref: Column, low: Column) -> Column:
+    """Decode a code point; ``low`` holds the ones below 0xA0, many of which are remapped."""
+    hexadecimal = F.startswith(F.lower(ref), F.lit("#x"))
     digits = F.regexp_replace(ref, "^#[xX]?0*|;$", "")
     # more digits than any code point has: out of range whatever they are
     num = (
@@ -46,20 +49,11 @@ def _numeric_reference(ref: Column) -> Column:
     )
 
     def decode(n: Column) -> Column:
-        # 0x80-0x9F mean the Windows-1252 character, where one is assigned
-        high = []
-        for code in range(0x80, 0xA0):
-            try:
-                high.append(bytes([code]).decode("cp1252"))
-            except UnicodeDecodeError:
-                high.append(chr(code))
-        windows = F.substring(F.lit("".join(high)), (n - 0x7F).cast("int"), F.lit(1))
-        non_char = (F.pmod(n, F.lit(0x10000)) >= 0xFFFE) | n.between(0xFDD0, 0xFDEF)
-        control = n.between(0x1, 0x8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F)
+        no_character = (F.pmod(n, F.lit(0x10000)) >= 0xFFFE) | n.between(0xFDD0, 0xFDEF)
         return (
-            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
-            .when(n.between(0x80, 0x9F), windows)
-            .when(non_char | control, F.lit(""))
+            F.when(n < 0xA0, F.try_element_at(low, n.cast("string")))
+            .when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(no_character, F.lit(""))
             .otherwise(_code_point(n))
         )
 
@@ -97,12 +91,14 @@ def unescape(text: Column) -> Column:
     def decode_all(t: Column) -> Column:
         refs = F.regexp_extract_all(t, F.lit(_CHARREF), 1)
         gaps = F.split(t, _CHARREF, -1)
-        tables = F.struct(_table(html5).alias("names"), _table(_LEGACY).alias("legacy"))
+        tables = F.struct(
+            _table(html5).alias("names"), _table(_LEGACY).alias("legacy"), _table(_LOW).alias("low")
+        )
         decoded = let(
             tables,
             lambda known: F.transform(
                 refs,
-                lambda r: F.when(F.startswith(r, F.lit("#")), _numeric_reference(r)).otherwise(
+                lambda r: F.when(F.startswith(r, F.lit("#")), _numeric_reference(r, known["low"])).otherwise(
                     _named_reference(r, known["names"], known["legacy"])
                 ),
             ),
@@ -121,13 +117,17 @@ def _drop(text: Column, pattern: str, by: str, only_if: str = "<") -> Column:
     )
 
 
-def clean_html(html: Column) -> Column:
-    """Detector profile: no scripts, styles or tags, all references decoded after that."""
+def strip_tags(html: Column) -> Column:
+    """Scripts, styles and all other tags become a space; references stay."""
     text = F.coalesce(html, F.lit(""))
     text = _drop(text, r"(?is)<script[^>]*>.*?</script>", " ")
     text = _drop(text, r"(?is)<style[^>]*>.*?</style>", " ")
-    text = _drop(text, r"<[^>]+>", " ")
-    return collapse_spaces(unescape(text))
+    return _drop(text, r"<[^>]+>", " ")
+
+
+def clean_html(html: Column) -> Column:
+    """Detector profile: no scripts, styles or tags, all references decoded after that."""
+    return collapse_spaces(unescape(strip_tags(html)))
 
 
 def _decode_fixed(text: Column, entities: list[tuple[str, str]]) -> Column:

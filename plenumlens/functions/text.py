@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plenumlens.functions.base import collapse_spaces, let
-from plenumlens.functions.html import clean_html, unescape
+from plenumlens.functions.html import strip_tags, unescape
 
 SEGMENT_LIMIT = 500
 CONJUNCTION = " i "
@@ -31,12 +31,21 @@ def normalize_text(text: Column, conjunction: str = CONJUNCTION) -> Column:
 
 
 def clean_and_normalize(text: Column, conjunction: str = CONJUNCTION) -> Column:
-    """``normalize_text(clean_html(text))``; cleaned text without ``&`` is only lower-cased."""
+    """``normalize_text(clean_html(text))`` in one fold.
 
-    def finish(t: Column) -> Column:
-        return F.when(F.contains(t, F.lit("&")), normalize_text(t, conjunction)).otherwise(F.lower(t))
+    References are decoded twice, once by cleaning and once by normalising, which also
+    spells out ``&``. A text without ``&`` passes both rounds untouched.
+    """
+
+    def decode(t: Column, normalizing: Column) -> Column:
+        def spell(plain: Column) -> Column:
+            return F.when(normalizing, F.replace(plain, F.lit("&"), F.lit(conjunction))).otherwise(plain)
+
+        decoded = collapse_spaces(let(unescape(t), spell))
+        return F.when(F.contains(t, F.lit("&")), decoded).otherwise(t)
 
-    return let(clean_html(text), finish)
+    rounds = F.array(F.lit(False), F.lit(True))
+    return F.lower(F.aggregate(rounds, collapse_spaces(strip_tags(text)), decode))
 
 
 def _pack(part: Column, separator: str, limit: int) -> Column:
