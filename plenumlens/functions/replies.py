@@ -109,16 +109,18 @@ def parse_text_reply(reply: Column) -> Column:
 def parse_json_reply(reply: Column) -> Column:
     """``struct<ok, is_funny, confidence, reason>`` from the outermost braces of a reply."""
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0)
-    return let(
-        F.from_json(F.nullif(body, F.lit("")), JSON_REPLY),
-        lambda p: F.struct(
-            (p.isNotNull() & F.coalesce(F.coalesce(p["confidence"], F.lit("0")).try_cast("double").isNotNull(),
-                                        F.lit(False))).alias("ok"),
-            F.coalesce(p["is_funny"], F.lit(False)).alias("is_funny"),
-            F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
-            F.coalesce(p["reason"], F.lit("")).alias("reason"),
-        ),
-    )
+    number = lambda p: F.coalesce(p["confidence"], F.lit("0")).try_cast("double")
+
+    def read(p: Column) -> Column:
+        ok = p.isNotNull() & number(p).isNotNull()
+        return F.struct(
+            ok.alias("ok"),
+            F.coalesce(ok & p["is_funny"], F.lit(False)).alias("is_funny"),
+            F.when(ok, number(p)).otherwise(F.lit(0.0)).alias("confidence"),
+            F.when(ok, F.coalesce(p["reason"], F.lit(""))).otherwise(F.lit("")).alias("reason"),
+        )
+
+    return let(F.from_json(F.nullif(body, F.lit("")), JSON_REPLY), read)
 
 
 def build_prompt(

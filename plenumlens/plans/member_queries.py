@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenumlens.functions import fields, replies
-from plenumlens.operators import evaluation, joins, ranking, summaries
+from plenumlens.operators import detector, evaluation, joins, ranking, summaries
 from plenumlens.plans.registry import query, table
-from plenumlens.plans.text_queries import LEXICON, documents
+from plenumlens.plans.text_queries import RULE, RULE_SCORE, documents
 from plenumlens.session import materialize, scratch_path
 from plenumlens.sinks import writers
 from plenumlens.sources import tables
@@ -76,6 +76,34 @@ def fn_full_name(spark, sf_dir):
     )
 
 
+_LAND = """WITH s AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 30 < 25 THEN n_name || ' ' || r_name ELSE 'Guest' END AS name,
+  CASE WHEN conv_id % 30 < 25 THEN n_nationkey END AS id, r_regionkey FROM conversations LEFT JOIN nation ON conv_id % 30 = n_nationkey
+  LEFT JOIN region ON n_regionkey = r_regionkey)
+SELECT conv_id, turn, name, id::BIGINT AS member_id, id IS NOT NULL AS is_mp, 'club ' || r_regionkey AS club, trim(text, E' \t\n\r\f\v') AS text
+FROM s WHERE length(text) > 200"""
+
+
+@query("land_statements", _LAND)
+def land_statements(spark, sf_dir):
+    """The whole landing job: listing, members and content to canonical statements."""
+    turns = table(spark, sf_dir, "conversations")
+    known = members(spark, sf_dir)
+    names = known.select("id", F.concat("firstName", F.lit(" "), "lastName").alias("_full"))
+    none = F.lit(None).cast("string")
+    day = [F.lit(10).alias("term"), F.col("conv_id").alias("proceeding_id"), F.lit("2024-01-01").alias("date")]
+    listing = turns.join(names, F.col("conv_id") % 30 == F.col("id"), "left").select(
+        *day, F.col("turn").alias("num"), F.coalesce("_full", F.lit("Guest")).alias("name"), none.alias("function"),
+        F.lit("").alias("club"), none.alias("firstName"), none.alias("lastName"), none.alias("startDateTime"),
+        none.alias("endDateTime"),
+    )
+    body = F.struct("text", none.alias("text_content"), none.alias("plain"), none.alias("html_content"))
+    content = turns.where(F.length("text") > 200).select(*day, F.col("turn").alias("num"), body.alias("content"))
+    return detector.land_statements(listing, known, content, "id").select(
+        F.col("proceeding_id").alias("conv_id"), F.col("num").alias("turn"), "speaker.name",
+        F.col("speaker.id").alias("member_id"), "speaker.is_mp", "speaker.club", "text",
+    )
+
+
 def customers(spark, sf_dir):
     """Customers as members: segment is the club (one has none), nation the voivodeship."""
     club = F.when(F.col("c_mktsegment") != "FURNITURE", F.col("c_mktsegment"))
@@ -252,16 +280,9 @@ def join_eval_cache(spark, sf_dir):
     return evaluation.lookup_verdicts(keyed, known_verdicts(spark, sf_dir)).select("doc_id", "cached", "is_funny", "confidence")
 
 
-# weights of the rule evaluator
-RULE = {"with": 1.0, "under": 2.0, "für": 1.0, "ción": 2.0}
-_RULE_SCORE = " + ".join(
-    f"((length(t) - length(replace(t, '{w}', ''))) // {len(w)}) * {int(weight)}" for w, weight in RULE.items()
-)
-
-
 @query("eval_batch", f"""WITH k AS ({_KNOWN}), d AS (SELECT doc_id, text, {_KEY} AS content_key FROM documents),
 fresh AS (SELECT content_key, lower(arg_min(text, doc_id)) AS t FROM d WHERE content_key IS NOT NULL AND content_key NOT IN (SELECT content_key FROM k) GROUP BY content_key),
-ruled AS (SELECT content_key, ({_RULE_SCORE})::DOUBLE AS score FROM fresh),
+ruled AS (SELECT content_key, ({RULE_SCORE})::DOUBLE AS score FROM fresh),
 v AS (SELECT content_key, is_funny, confidence, true AS cached FROM k UNION ALL
  SELECT content_key, score >= 2.0, least(score / 8.0, 1.0), false FROM ruled)
 SELECT doc_id, coalesce(v.cached, false) AS cached, v.is_funny, v.confidence FROM d LEFT JOIN v USING (content_key)""")

@@ -9,9 +9,10 @@ from plenumlens.functions import keywords as kw
 from plenumlens.functions import text as tx
 from plenumlens.functions.base import compute_once
 from plenumlens.operators import fragments as fr
-from plenumlens.operators import matching, ranking, summaries
+from plenumlens.operators import detector, evaluation, matching, ranking, summaries
 from plenumlens.plans import text_sql as sql
 from plenumlens.plans.registry import query, table
+from plenumlens.schemas import VERDICT
 from plenumlens.session import materialize, spread_few_files
 
 LEXICON = kw.make_lexicon(sql.QUERY_LEXICON)
@@ -259,6 +260,29 @@ def agg_run_header(spark, sf_dir):
     return summaries.run_header(statements, found, "source", STATEMENTS_PER_SOURCE)
 
 
+# weights of the rule evaluator
+RULE = {"with": 1.0, "under": 2.0, "für": 1.0, "ción": 2.0}
+RULE_SCORE = " + ".join(
+    f"((length(t) - length(replace(t, '{w}', ''))) // {len(w)}) * {int(weight)}" for w, weight in RULE.items()
+)
+
+
+@query("detect_and_evaluate", f"""{_FRAGS}, r AS (SELECT source, f.*, CASE WHEN score >= 2.0 THEN row_number() OVER (PARTITION BY source
+  ORDER BY score >= 2.0 DESC, score DESC, doc_id, seg_idx) END AS rank, ({RULE_SCORE})::DOUBLE AS points FROM frags f JOIN documents USING (doc_id))
+SELECT source, doc_id, seg_idx, score, CASE WHEN rank <= 50 THEN 0 ELSE 1 END::BIGINT AS part,
+  CASE WHEN rank <= 50 AND length(t) >= 20 THEN points >= 2.0 END AS is_funny,
+  CASE WHEN rank <= 50 AND length(t) >= 20 THEN least(points / 8.0, 1.0) END AS confidence FROM r""")
+def detect_and_evaluate(spark, sf_dir):
+    """The whole detection job: all fragments, the best 50 of each source with a verdict."""
+    found = detector.detect(documents(spark, sf_dir, "source"), LEXICON, "source", "doc_id", limit=None)
+    none_yet = spark.createDataFrame([], f"content_key string, {VERDICT}")
+    rule = evaluation.rule_evaluator(RULE)
+    result, _ = detector.evaluate_best(found, none_yet, rule, "source", "doc_id", min_score=2.0, top_n=50)
+    return result.select(
+        "source", "doc_id", F.col("segment_idx").alias("seg_idx"), "score", "part", "is_funny", "confidence"
+    )
+
+
 @query("str_score", f"{_FRAGS} SELECT doc_id, seg_idx, cs AS start_offset, score FROM frags")
 def str_score(spark, sf_dir):
     """The fragments of every document, scored as a stream of arriving files."""

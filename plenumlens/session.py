@@ -23,6 +23,9 @@ SESSION_CONF = {
 #: A side may be broadcast by hint only after a count has shown it has no more rows than this.
 BROADCAST_MAX_ROWS = 200_000
 
+#: Least number of shuffle partitions a cluster starts with, before AQE merges them.
+MANY_PARTITIONS = 4096
+
 _local_scratch: str | None = None
 
 
@@ -33,7 +36,7 @@ def build_session(app: str = "plenumlens", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return apply_conf(builder.getOrCreate())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -85,6 +88,10 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime settings on a session somebody else built."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    if not spark.sparkContext.master.startswith("local"):
+        # start with many small shuffle partitions; AQE merges them up to its advisory size
+        many = max(MANY_PARTITIONS, 4 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(many))
     return spark
 
 

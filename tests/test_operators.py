@@ -193,7 +193,7 @@ def test_json_replies(spark):
     ], replies.parse_json_reply)
     assert got == [
         (True, True, 0.8, "r {x}"), (True, False, 0.25, ""), (True, False, 0.0, ""), (False, False, 0.0, ""),
-        (False, False, 0.0, ""), (False, True, 0.0, ""), (False, False, 0.0, ""),
+        (False, False, 0.0, ""), (False, False, 0.0, ""), (False, False, 0.0, ""),
     ]
 
 
