@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 from operator import or_
 
@@ -110,24 +111,22 @@ def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], pattern
     none = F.array().cast("array<struct<ord:int,keyword:string,count:int,weight:double>>")
     if not lexicon:
         return none
-    entries = [
-        F.struct(
-            F.lit(k.ord).alias("ord"),
-            F.lit(k.keyword).alias("keyword"),
-            F.when(F.contains(text, F.lit(plain)), F.regexp_count(text, F.lit(pattern)))
-            .otherwise(F.lit(0)).alias("count"),
-            F.lit(k.weight).alias("weight"),
-        )
-        for k, plain, pattern in zip(lexicon, literals, patterns)
-    ]
-    counted = F.filter(F.array(*entries), lambda m: m["count"] > 0)
-    return F.when(_contains_any(text, literals), counted).otherwise(none)
+    entries = F.from_json(
+        F.lit(json.dumps([asdict(k) for k in lexicon])), "array<struct<ord:int,keyword:string,weight:double>>"
+    )
+    counts = F.array(*[
+        F.when(text.contains(plain), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        for plain, pattern in zip(literals, patterns)
+    ])
+    counted = F.zip_with(
+        entries, counts, lambda k, n: F.struct(k["ord"], k["keyword"], n.alias("count"), k["weight"])
+    )
+    return F.when(_contains_any(text, literals), F.filter(counted, lambda m: m["count"] > 0)).otherwise(none)
 
 
 def _contains_any(text: Column, literals: Sequence[str]) -> Column:
     """Cheap test that lets a text without any keyword skip the counting."""
-    tests = [F.contains(text, F.lit(literal)) for literal in dict.fromkeys(literals)]
-    return reduce(or_, tests)
+    return reduce(or_, [text.contains(literal) for literal in dict.fromkeys(literals)])
 
 
 def strict_matches(text: Column, lexicon: Sequence[Keyword]) -> Column:
@@ -151,11 +150,9 @@ def any_strict(text: Column, lexicon: Sequence[Keyword]) -> Column:
     """Whether any keyword has a strict hit; a pattern runs only where its text occurs."""
     if not lexicon:
         return F.lit(False)
-    tests = [
-        F.contains(text, F.lit(k.keyword.lower())) & F.rlike(text, F.lit(strict_pattern(k.keyword)))
-        for k in first_weights(lexicon)
-    ]
-    return reduce(or_, tests)
+    return reduce(or_, [
+        text.contains(k.keyword.lower()) & text.rlike(strict_pattern(k.keyword)) for k in first_weights(lexicon)
+    ])
 
 
 def weighted_score(matches: Column) -> Column:

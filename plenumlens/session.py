@@ -20,6 +20,10 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Settings only a new session can take. Recording the Python line of every column call
+#: doubles the time it takes to build the long expressions used here.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 #: A side may be broadcast by hint only after a count has shown it has no more rows than this.
 BROADCAST_MAX_ROWS = 200_000
 
@@ -34,7 +38,7 @@ def build_session(app: str = "plenumlens", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **conf}.items():
+    for key, value in {**SESSION_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return apply_conf(builder.getOrCreate())
 
