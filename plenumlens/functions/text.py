@@ -102,7 +102,7 @@ def split_sentences(normalized: Column, limit: int = SEGMENT_LIMIT) -> Column:
         )
         return F.when(F.length(part) <= limit, whole).otherwise(packed)
 
-    parts = F.filter(F.split(normalized, r"(?<=[.!?])[ ]", -1), lambda p: p != "")
+    parts = F.filter(F.split(normalized, r"[ ](?<=[.!?][ ])", -1), lambda p: p != "")
     return F.flatten(F.transform(parts, segment))
 
 

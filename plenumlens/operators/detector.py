@@ -63,4 +63,5 @@ def evaluate_best(
     by_rank: list[Column] = [F.col("score").desc(), F.col(order), F.col("segment_idx")]
     best = topk_per_group(found.where(F.col("score") >= min_score), [source], by_rank, top_n, [order])
     judged, kept = evaluate_fragments(best, verdicts, evaluator, [source, order, "segment_idx"], parallelism=parallelism)
+    judged = materialize(judged, "judged")  # at most top_n rows per source, read twice below
     return join_rest(found, judged, [source, order, "segment_idx"]), kept

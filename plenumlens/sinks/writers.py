@@ -32,7 +32,8 @@ def write_transcripts(
 
     The range partitioning includes ``num``, so a large day becomes several files whose
     names sort in row order. Days without a long enough text get no folder, and with the
-    dynamic overwrite of the session other days are left as they are.
+    dynamic overwrite other days are left as they are. The range bounds are sampled, which
+    reads ``canonical`` once more: pass a written table if it is dear to compute.
     """
     rows = canonical.where(F.length(text) >= MIN_SAVED)
     ranged = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
