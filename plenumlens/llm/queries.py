@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import mixing, slots
+from plenumlens.llm import jaccard, leaks, mixing, quality, slots
 from plenumlens.llm.tables import read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,25 @@ Run = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = quality.fit_field(docs, read(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score").withColumn(
+        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = leaks.with_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+                       leaks.items_digest(F.col("hits.items")).alias("items_sha256"),
+                       (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -28,6 +47,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_quality": op1_quality,
+    "op4_decontamination": op4_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }
