@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import jaccard, leaks, mixing, quality, slots
-from plenumlens.llm.tables import read
+from plenumlens.llm import gif, jaccard, leaks, mixing, quality, repeats, slots, token_files
+from plenumlens.llm.tables import read, text_bytes
+from plenumlens.session import materialize, scratch_path
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "text", F.octet_length(text_bytes()).cast("long").alias("n_bytes"))
+    media = materialize(gif.with_media(sized).select("doc_id", "n_bytes", "media"), "media")
+    return gif.with_payload(media).select("doc_id", "n_bytes", "payload.*")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.document_facts(token_files.read_tokens(spark, path))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = leaks.with_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
@@ -34,6 +50,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -48,10 +68,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_quality": op1_quality,
+    "op2_gif": op2_gif,
+    "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLES: dict[str, str] = {}
