@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import gif, jaccard, leaks, mixing, quality, repeats, slots, token_files
+from plenumlens.llm import gif, jaccard, leaks, licenses, line_dedup, mixing, quality, repeats, slots, token_files
 from plenumlens.llm.tables import read, text_bytes
 from plenumlens.session import materialize, scratch_path
 
@@ -46,10 +46,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read(spark, sf_dir, "documents"))
 
@@ -71,7 +79,9 @@ QUERIES: dict[str, Run] = {
     "op2_gif": op2_gif,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_licenses": op5_licenses,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
