@@ -37,8 +37,8 @@ DEFAULT_LEXICON = [
     ("karta nieaktywna", 1.0), ("głos z sali", 2.5),
 ]
 
-#: Lexicons above this size are joined (see operators.matching), not unrolled into the plan.
-LITERAL_LIMIT = 300
+#: Larger lexicons are one literal table in the plan instead of an expression per keyword.
+UNROLLED = 300
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -72,10 +72,6 @@ def plain_form(keyword: str) -> str:
     return "".join(c for c in decomposed if not unicodedata.combining(c))
 
 
-def _quote(literal: str) -> str:
-    return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in literal)
-
-
 def _bounded(form: str, ending: str | None = None) -> str:
     """``form`` between word boundaries, as literal text first and then the look-arounds.
 
@@ -103,17 +99,22 @@ def lenient_pattern(keyword: str, suffixes: Sequence[str] = SUFFIXES) -> str:
 def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], patterns: list[str]) -> Column:
     """Counted hits as ``array<struct<ord, keyword, count, weight>>``, in lexicon order.
 
-    Each pattern is a literal, so a task compiles it once; the plain substring test
-    before it spares most texts the regular expression.
+    The plain substring test before a pattern spares most texts the regular expression. In
+    a small lexicon each pattern is an expression of its own, so a task compiles it once; a
+    large one is a literal table, and only patterns whose substring occurs are compiled.
     """
-    if len(lexicon) > LITERAL_LIMIT:
-        raise ValueError(f"{len(lexicon)} keywords: use operators.matching.match_by_join")
     none = F.array().cast("array<struct<ord:int,keyword:string,count:int,weight:double>>")
     if not lexicon:
         return none
     entries = F.from_json(
         F.lit(json.dumps([asdict(k) for k in lexicon])), "array<struct<ord:int,keyword:string,weight:double>>"
     )
+    if len(lexicon) > UNROLLED:
+        known = F.filter(_table(lexicon, literals, patterns), lambda k: F.contains(text, k["literal"]))
+        found = F.transform(known, lambda k: F.struct(
+            k["ord"].alias("ord"), k["keyword"].alias("keyword"),
+            F.size(F.regexp_extract_all(text, k["pattern"], F.lit(0))).alias("count"), k["weight"].alias("weight")))
+        return F.filter(found, lambda m: m["count"] > 0)
     counts = F.array(*[
         F.when(text.contains(plain), F.regexp_count(text, F.lit(pattern))).otherwise(0)
         for plain, pattern in zip(literals, patterns)
@@ -124,6 +125,13 @@ def _hits(text: Column, lexicon: Sequence[Keyword], literals: list[str], pattern
     return F.when(_contains_any(text, literals), F.filter(counted, lambda m: m["count"] > 0)).otherwise(none)
 
 
+def _table(lexicon: Sequence[Keyword], literals: Sequence[str], patterns: Sequence[str]) -> Column:
+    """The lexicon with substrings and patterns as one literal array."""
+    rows = [{**asdict(k), "literal": plain, "pattern": p} for k, plain, p in zip(lexicon, literals, patterns)]
+    kind = "array<struct<ord:int,keyword:string,weight:double,literal:string,pattern:string>>"
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
 def _contains_any(text: Column, literals: Sequence[str]) -> Column:
     """Cheap test that lets a text without any keyword skip the counting."""
     return reduce(or_, [text.contains(literal) for literal in dict.fromkeys(literals)])
@@ -150,9 +158,11 @@ def any_strict(text: Column, lexicon: Sequence[Keyword]) -> Column:
     """Whether any keyword has a strict hit; a pattern runs only where its text occurs."""
     if not lexicon:
         return F.lit(False)
-    return reduce(or_, [
-        text.contains(k.keyword.lower()) & text.rlike(strict_pattern(k.keyword)) for k in first_weights(lexicon)
-    ])
+    entries = first_weights(lexicon)
+    if len(entries) > UNROLLED:
+        rows = _table(entries, [k.keyword.lower() for k in entries], [strict_pattern(k.keyword) for k in entries])
+        return F.exists(rows, lambda k: F.contains(text, k["literal"]) & F.rlike(text, k["pattern"]))
+    return reduce(or_, [text.contains(k.keyword.lower()) & text.rlike(strict_pattern(k.keyword)) for k in entries])
 
 
 def weighted_score(matches: Column) -> Column:

@@ -125,9 +125,9 @@ def parse_json_reply(reply: Column) -> Column:
 
 def build_prompt(
     text: Column, name: Column | None = None, club: Column | None = None, keywords: Column | None = None,
-    template: str = DEFAULT_TEMPLATE, limit: int = 800,
+    template: str = DEFAULT_TEMPLATE, limit: int | None = None,
 ) -> Column:
-    """Fill ``template`` with the text, cut at ``limit``, and the context that is known."""
+    """Fill ``template`` with the text (on demand only its first ``limit`` characters) and the context that is known."""
     known = []
     for label, value in (("Speaker", name), ("Club", club)):
         if value is not None:
@@ -138,4 +138,4 @@ def build_prompt(
     context = F.array_join(F.array_compact(F.array(*known)), "\n") if known else F.lit("")
     before, rest = template.split("{text}")
     between, after = rest.split("{context}") if "{context}" in rest else (rest, "")
-    return F.concat(F.lit(before), F.left(text, F.lit(limit)), F.lit(between), context, F.lit(after))
+    return F.concat(F.lit(before), text if limit is None else F.left(text, F.lit(limit)), F.lit(between), context, F.lit(after))

@@ -17,8 +17,7 @@ from plenumlens.session import materialize
 
 DAY = ["term", "proceeding_id", "date"]
 
-# Statements read per file, least score and number of fragments evaluated per file.
-MAX_STATEMENTS = 100
+# Least score and number of fragments evaluated per file.
 MIN_SCORE = 1.0
 TOP_FRAGMENTS = 100
 
@@ -40,28 +39,34 @@ def land_statements(listing: DataFrame, members: DataFrame, content: DataFrame,
 
 
 def detect(
-    statements: DataFrame, lexicon: Sequence[Keyword], source: str, order: str, limit: int | None = MAX_STATEMENTS,
-    text: str = "text",
+    statements: DataFrame, lexicon: Sequence[Keyword], source: str, order: str, limit: int | None = None,
+    text: str = "text", ident: Sequence[str] = (),
 ) -> DataFrame:
-    """Fragments of the first ``limit`` statements of each source (all of them with ``None``)."""
-    rows = statements.select(source, order, text)
+    """Fragments of all statements, or on demand of the first ``limit`` of each source.
+
+    ``ident`` names the columns that tell statements of one source and number apart (the
+    position in the file); they are kept in the fragments.
+    """
+    rows = statements.select(source, order, *ident, text)
     if limit is not None:
-        rows = topk_per_group(rows, [source], [F.col(order)], limit, [order], rank="_pos").drop("_pos")
-    return extract_fragments(rows, lexicon, [source, order], text)
+        rows = topk_per_group(rows, [source], [F.col(order), *[F.col(c) for c in ident]], limit, [order, *ident], rank="_pos").drop("_pos")
+    return extract_fragments(rows, lexicon, [source, order, *ident], text)
 
 
 def evaluate_best(
-    fragments: DataFrame, verdicts: DataFrame, evaluator: Evaluator, source: str, order: str,
-    min_score: float = MIN_SCORE, top_n: int = TOP_FRAGMENTS, parallelism: int = 8,
+    fragments: DataFrame, verdicts: DataFrame, providers: Evaluator | Sequence[tuple[str, Evaluator]], source: str, order: str,
+    min_score: float = MIN_SCORE, top_n: int = TOP_FRAGMENTS, parallelism: int | None = None, ident: Sequence[str] = (),
+    context: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """All fragments, the best ``top_n`` of each source with verdicts, and the verdicts to keep.
 
-    Score filter and top-k come before the evaluator. Fragments are read three times, so
-    they are written once first.
+    Score filter and top-k come before the providers. Fragments are read three times, so
+    they are written once first. Source, ``order``, ``ident`` and segment name a fragment.
     """
     found = materialize(fragments, "fragments")
-    by_rank: list[Column] = [F.col("score").desc(), F.col(order), F.col("segment_idx")]
-    best = topk_per_group(found.where(F.col("score") >= min_score), [source], by_rank, top_n, [order])
-    judged, kept = evaluate_fragments(best, verdicts, evaluator, [source, order, "segment_idx"], parallelism=parallelism)
+    keys = [source, order, *ident, "segment_idx"]
+    by_rank: list[Column] = [F.col("score").desc(), F.col(order), *[F.col(c) for c in ident], F.col("segment_idx")]
+    best = topk_per_group(found.where(F.col("score") >= min_score), [source], by_rank, top_n, [order, *ident])
+    judged, kept = evaluate_fragments(best, verdicts, providers, keys, parallelism=parallelism, context=context)
     judged = materialize(judged, "judged")  # at most top_n rows per source, read twice below
-    return join_rest(found, judged, [source, order, "segment_idx"]), kept
+    return join_rest(found, judged, keys), kept

@@ -83,13 +83,14 @@ def cut_contexts(
     keys: Sequence[str],
     lexicon: Sequence[kw.Keyword],
     context: int = 1,
-    limit: int = tx.SEGMENT_LIMIT,
+    cut_at: int | None = None,
     carry: Sequence[str] = (),
     among: str | None = None,
 ) -> DataFrame:
-    """One row per segment with a strict hit: its context window, cut at ``limit``.
+    """One row per segment with a strict hit: its context window.
 
-    The window is built from the neighbouring array elements, so no ordering or window
+    ``cut_at`` shortens the window's text from its end, at a word; it may then lose the hit
+    that it was chosen for. The window is built from the neighbouring array elements, so no ordering or window
     shuffle is needed. A statement without any text yields one empty row. ``among``
     names an array column of keywords, one of which must be hit; a strict hit can only
     fall outside the lenient ones next to a combining mark, so only such segments are
@@ -111,10 +112,12 @@ def cut_contexts(
                              F.lit(0).alias("end_offset"), F.lit("").alias("text")))
     rows = F.when(F.size("segments") == 0, empty).otherwise(windows)
     exploded = segmented.select(*keys, *carry, F.explode(rows).alias("f")).select(*keys, *carry, "f.*")
-    short = exploded.withColumn("cut", tx.truncate_at_word(F.col("text"), limit))
+    if cut_at is None:
+        return exploded.select(*keys, *carry, "segment_idx", "start_offset", "end_offset", "text")
+    short = exploded.withColumn("cut", tx.truncate_at_word(F.col("text"), cut_at))
     return short.select(
         *keys, *carry, "segment_idx", "start_offset",
-        F.when(F.length("text") > limit, F.col("start_offset") + F.length("cut"))
+        F.when(F.length("text") > cut_at, F.col("start_offset") + F.length("cut"))
         .otherwise(F.col("end_offset")).alias("end_offset"),
         F.col("cut").alias("text"),
     )
@@ -128,16 +131,18 @@ def extract_fragments(
     context: int = 1,
     limit: int = tx.SEGMENT_LIMIT,
     suffixes: Sequence[str] = kw.SUFFIXES,
+    cut_at: int | None = None,
 ) -> DataFrame:
     """Fragments with ``score`` and ``matched_keywords array<struct<keyword, count, weight>>``.
 
     Fragments are scored strictly on their own text, over the keywords the statement's
-    segments match leniently; matches keep the statement's keyword order.
+    segments match leniently; matches keep the statement's keyword order. ``limit`` is the
+    length of a segment, ``cut_at`` that of a window (by default it stays whole).
     """
     segmented = segment_statements(df, keys, text, limit)
     words = keyword_order(F.col("segments"), lexicon, suffixes)
     ordered = compute_once(segmented, [*keys, "segments"], "keyword_order", words)
-    cut = cut_contexts(ordered, keys, lexicon, context, limit, carry=["keyword_order"], among="keyword_order")
+    cut = cut_contexts(ordered, keys, lexicon, context, cut_at, carry=["keyword_order"], among="keyword_order")
 
     def place(m: Column) -> Column:
         return F.struct(

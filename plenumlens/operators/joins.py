@@ -1,15 +1,16 @@
-"""Joins that enrich statements. A side is hinted for broadcast only after its size is checked."""
+"""Joins that enrich statements. No side is hinted: AQE broadcasts by measured bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
 from plenumlens.functions.base import strip
-from plenumlens.session import broadcast_if_small
 
 # The member fields a statement carries; missing text is empty.
 MEMBER_TEXT = ["club", "districtName", "profession", "voivodeship"]
@@ -42,10 +43,10 @@ def speaker_lookup(members: DataFrame, order: str) -> DataFrame:
 def join_speaker(statements: DataFrame, members: DataFrame, name: str, order: str) -> DataFrame:
     """Add ``mp_data`` and ``is_mp`` by the speaker's trimmed name; every statement stays.
 
-    A frequent speaker makes a hot key: with a checked-small lookup nothing is shuffled,
-    beyond that AQE splits the hot partition of the outer side.
+    A frequent speaker makes a hot key: AQE broadcasts the lookup if its measured bytes are
+    few, and else splits the hot partition of the outer side.
     """
-    lookup = broadcast_if_small(speaker_lookup(members, order))
+    lookup = speaker_lookup(members, order)
     keyed = statements.withColumn("_key", F.nullif(strip(F.col(name)), F.lit("")))
     joined = keyed.join(lookup, keyed["_key"] == lookup["speaker_key"], "left")
     return joined.withColumn("is_mp", F.col("speaker_key").isNotNull()).drop("_key", "speaker_key")
@@ -73,8 +74,13 @@ def join_member_detail(
 
 
 def join_rest(fragments: DataFrame, evaluated: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Evaluated fragments first, then all others, told apart by identity, not by value."""
-    rest = fragments.join(evaluated.select(*keys), list(keys), "left_anti")
+    """Evaluated fragments first, then all others, told apart by identity, not by value.
+
+    Null is a key value like any other; the keys together must name one fragment.
+    """
+    named = evaluated.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rest = fragments.join(named, same, "left_anti")
     return evaluated.withColumn("part", F.lit(0)).unionByName(
         rest.withColumn("part", F.lit(1)), allowMissingColumns=True
     )

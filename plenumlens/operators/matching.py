@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from plenumlens.functions import keywords as kw
 from plenumlens.functions.base import let
 from plenumlens.functions.text import strip_marks
-from plenumlens.session import broadcast_if_small
 
 _RUN = r"(?U)[\p{L}\p{N}_]+"
 
@@ -78,12 +77,12 @@ def match_by_join(
 
     Segments are cut into token runs of 1..``max_words`` words, counted within their
     segment (a partial aggregate, so a word repeated in every segment still shuffles one
-    row per segment), and joined to the lexicon on equality. The lexicon is broadcast
-    only after its size is checked. All keywords must be :func:`joinable`.
+    row per segment), and joined to the lexicon on equality. AQE broadcasts the
+    lexicon if its measured bytes are few. All keywords must be :func:`joinable`.
     """
     source = segments.withColumn(text, strip_marks(F.col(text))) if lenient else segments
     grams = _token_grams(source, keys, text, range(1, max_words + 1))
-    forms = broadcast_if_small(join_forms(lexicon, lenient, suffixes))
+    forms = join_forms(lexicon, lenient, suffixes)
     hits = grams.join(forms, grams["gram"] == forms["form"], "inner")
     return hits.groupBy(*keys, "ord", "keyword", "weight").agg(F.count(F.lit(1)).alias("count"))
 
@@ -93,13 +92,10 @@ def match_keywords(
 ) -> DataFrame:
     """Hits of a lexicon table of any size: joined where that is exact, else unrolled.
 
-    The few keywords that cannot be joined are fetched as plan literals; their number is
-    checked against the limit of the literal path before they are.
+    The few keywords that cannot be joined are fetched as plan literals.
     """
     marked = lexicon.withColumn("_join", joinable(F.trim("keyword")))
-    rest = marked.where(~F.col("_join")).orderBy("ord").limit(kw.LITERAL_LIMIT + 1).collect()
-    if len(rest) > kw.LITERAL_LIMIT:
-        raise ValueError("too many keywords that overlap themselves or end in punctuation")
+    rest = marked.where(~F.col("_join")).orderBy("ord").collect()
     by_join = marked.where("_join").drop("_join")
     longest = by_join.agg(F.max(F.size(F.regexp_extract_all("keyword", F.lit(_RUN), 0)))).first()[0]
     parts = []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,18 +39,20 @@ def topk_per_group(
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row that comes first under ``order`` for every key.
 
-    ``min_by`` is combined before the shuffle: a hot key sends one row per task.
+    A group limit before the shuffle lets a hot key send one row per task.
     """
-    rest = [c for c in df.columns if c not in key]
-    best = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*")
+    return _edge_per_key(df, key, [F.col(c).asc_nulls_first() for c in order])
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row that comes last under ``order`` for every key."""
-    rest = [c for c in df.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*")
+    return _edge_per_key(df, key, [F.col(c).desc_nulls_last() for c in order])
+
+
+def _edge_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key; the group limit leaves one row per key and task before the shuffle."""
+    first = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 def rank_all(
@@ -67,25 +72,44 @@ def rank_all(
     """
     names = [f"_c{i}" for i in range(len(coarse))]
     blocked = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    counts = blocked.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*group, *names)
-    for level, name in enumerate(names):
-        parent = [*group, *names[:level]]
-        before = Window.partitionBy(*parent).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        blocks = counts.groupBy(*parent, name).agg(F.sum("_n").alias("_n"))
-        placed = blocks.select(*parent, name, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{level}"))
-        offsets = offsets.join(placed, [*parent, name], "inner")
-    offset = sum((F.col(f"_o{level}") for level in range(len(names))), F.lit(0))
+    places = blocked.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
+    levels = [*group, *names]
+    places = places.withColumn("_offset", F.lit(0).cast("long"))
+    for level, name in enumerate(names):  # what lies before a block within its parent
+        block = [*group, *names[:level + 1]]
+        sums = places.groupBy(*block).agg(F.sum("_n").alias("_all"))
+        before = Window.partitionBy(*block[:-1]).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(*[F.col(c).alias(f"_p{c}") for c in block], F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+        placed = places.join(offsets, _same(block, "_p"))
+        places = placed.select(*levels, "_n", (F.col("_offset") + F.col("_before")).alias("_offset"))
     inside = Window.partitionBy(*group, *names).orderBy(*fine)
     numbered = blocked.withColumn("_r", F.row_number().over(inside))
-    joined = numbered.join(offsets, [*group, *names], "inner")
-    return joined.select(*df.columns, (F.col("_r") + offset).cast("long").alias(rank))
+    offsets = places.select(*[F.col(c).alias(f"_q{c}") for c in levels], "_offset")
+    joined = numbered.join(offsets, _same(levels, "_q"))
+    return joined.select(*df.columns, (F.col("_r") + F.col("_offset")).cast("long").alias(rank))
+
+
+def _same(names: Sequence[str], prefix: str) -> Column:
+    """Equality of columns with their prefixed twins; null equals null."""
+    return reduce(and_, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names], F.lit(True))
 
 
 def top_fraction(df: DataFrame, score: str, fraction: float, accuracy: int = 10_000) -> DataFrame:
-    """Rows at or above the score quantile that keeps about ``fraction`` of the rows.
+    """Rows at or above the score quantile that keeps ``fraction`` of the rows with a score; its ties are all kept.
 
-    The cut-off is one aggregated value, used as a scalar subquery; ties with it are all kept.
+    A sketch gives a bracket that holds the quantile; only the distinct scores within it, a
+    few ten-thousandths of the rows, are counted and summed up in order to find it exactly.
     """
-    cut = df.agg(F.percentile_approx(score, 1.0 - fraction, accuracy))
-    return df.where(F.col(score) >= cut.scalar())
+    share = 1.0 - fraction
+    margin = 2.0 / accuracy
+    edges = F.percentile_approx(score, [max(0.0, share - margin), min(1.0, share + margin)], accuracy)
+    seen = df.agg(edges.alias("edges"), F.count(score).alias("n")).first()
+    if not seen["n"]:
+        return df.where(F.lit(False))
+    low, high = seen["edges"]
+    below = df.where(F.col(score) < F.lit(low)).count()
+    counts = df.where(F.col(score).between(F.lit(low), F.lit(high))).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(score)) + below
+    wanted = max(1, math.ceil(share * seen["n"] - 1e-9))
+    cut = counts.withColumn("_to", running).where(F.col("_to") >= wanted).agg(F.min(score)).first()[0]
+    return df.where(F.col(score) >= F.lit(cut))

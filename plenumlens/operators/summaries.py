@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from plenumlens.functions import fields
 from plenumlens.functions.base import strip
 from plenumlens.operators.ranking import topk_per_group
-from plenumlens.session import broadcast_if_small
 
 NO_CLUB = "Brak klubu"
 
@@ -60,7 +59,7 @@ def members_by_group(members: DataFrame, groups: Sequence[str], listed: Sequence
     The member list of a group stays rows: it is never gathered into one value, since a
     group may hold any share of the members.
     """
-    sizes = broadcast_if_small(group_sizes(members, groups))
+    sizes = group_sizes(members, groups)  # AQE broadcasts it once its bytes are known
     pairs = F.explode(F.array(*[
         F.struct(F.lit(g).alias("group_kind"), F.col(g).cast("string").alias("group_value")) for g in groups
     ]))
@@ -162,13 +161,16 @@ def state_totals(state: DataFrame, proceeding: str, date: str) -> DataFrame:
     )
 
 
-def run_header(statements: DataFrame, fragments: DataFrame, source: str, limit: int) -> DataFrame:
-    """Per source: statements, statements within the limit, fragments found."""
-    counts = statements.groupBy(source).agg(F.count(F.lit(1)).alias("n_statements")).withColumn(
-        "n_processed", F.least(F.col("n_statements"), F.lit(limit).cast("long"))
-    )
-    found = fragments.groupBy(source).agg(F.count(F.lit(1)).alias("n_fragments"))
-    return counts.join(found, source, "left").withColumn("n_fragments", F.coalesce("n_fragments", F.lit(0)))
+def run_header(statements: DataFrame, fragments: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """Per source: statements, statements processed (``limit`` at most, if there was one), fragments found.
+
+    A null source is a source like any other.
+    """
+    within = F.col("n_statements") if limit is None else F.least(F.col("n_statements"), F.lit(limit).cast("long"))
+    counts = statements.groupBy(source).agg(F.count(F.lit(1)).alias("n_statements")).withColumn("n_processed", within)
+    found = fragments.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("n_fragments"))
+    joined = counts.join(found, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    return joined.withColumn("n_fragments", F.coalesce("n_fragments", F.lit(0)))
 
 
 def sample_success(

@@ -227,15 +227,29 @@ SELECT user_id, count(*) AS new_days, string_agg(strftime(d, '%Y-%m-%d'), ', ' O
 def sink_digest(spark, sf_dir):
     fresh = days(spark, sf_dir).where(F.col("date") > ref())
     title = F.concat(F.lit("Sitting of the house, on the matters listed under number "), "user_id")
-    return refresh.digest_lines(fresh.withColumn("title", title), "user_id", "date", "title")
+    path = scratch_path(spark, "digest")
+    lines = refresh.digest_lines(fresh.withColumn("title", title), "user_id", "date", "title")
+    writers.write_json(lines, path)
+    return spark.read.schema(lines.schema).json(path)
 
 
 # --- streams over the same file ---
 
 
-def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    stream = jobs.arriving_files(spark, sf_dir, schema, "parquet", "events.parquet")
+def event_stream(spark, sf_dir, parts: int = 1):
+    """The events as they arrive: the table's files, or its rows in ``parts`` files, one per batch, days cut in two."""
+    known = table(spark, sf_dir, "events")
+    if parts == 1:
+        stream = jobs.arriving_files(spark, sf_dir, known.schema, "parquet", "events.parquet")
+    else:
+        path = scratch_path(spark, "arriving")
+        cuts = known.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / parts for k in range(1, parts)])).first()[0]
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+            later = F.lit(True) if low is None else at >= low
+            earlier = F.lit(True) if high is None else at < high
+            known.where(later & earlier).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.arriving_files(spark, path, known.schema, "parquet", files_per_batch=1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("date", F.to_date("ts"))
 
 
@@ -251,7 +265,7 @@ def str_ingest(spark, sf_dir):
 @query("str_dedup", f"SELECT user_id, d AS date FROM ({_DAYS})")
 def str_dedup(spark, sf_dir):
     path = scratch_path(spark, "new-days")
-    fresh = jobs.new_days(event_stream(spark, sf_dir), ["user_id", "date"], "ts").select("user_id", "date")
+    fresh = jobs.new_days(event_stream(spark, sf_dir, 3), ["user_id", "date"], "ts").select("user_id", "date")
     jobs.ingest(fresh, path, scratch_path(spark, "new-days-state")).awaitTermination()
     return spark.read.schema(fresh.schema).parquet(path)
 
@@ -268,9 +282,11 @@ def str_late(spark, sf_dir):
  FROM ({_DAYS}) GROUP BY user_id""")
 def str_notify(spark, sf_dir):
     path = scratch_path(spark, "digests")
-    stream = event_stream(spark, sf_dir).withColumn("title", F.lit("sitting"))
-    jobs.notify(stream, "user_id", "date", "title", path, scratch_path(spark, "digest-state")).awaitTermination()
-    return spark.read.parquet(path).select("user_id", "new_days", "dates")
+    stream = event_stream(spark, sf_dir, 3).withColumn("title", F.lit("sitting"))
+    jobs.notify(stream, "user_id", "date", "title", "ts", path, scratch_path(spark, "digest-state")).awaitTermination()
+    told = spark.read.parquet(path).select("user_id", F.explode(F.split("dates", ", ")).alias("date"))
+    # each day is announced once, in whichever batch brought it first
+    return told.groupBy("user_id").agg(F.count(F.lit(1)).alias("new_days"), F.array_join(F.array_sort(F.collect_list("date")), ", ").alias("dates"))
 
 
 # --- files of proceedings ---
@@ -290,12 +306,14 @@ def src_pathkeys(spark, sf_dir):
 
 @query("sink_info_json", f"SELECT user_id AS number, 'Sitting ' || user_id AS title, array_to_string(dates, ',') AS dates, current FROM ({_PROCEEDINGS})")
 def sink_info_json(spark, sf_dir):
-    """Headers written in their envelope."""
+    """Headers written in their envelope and read by the header reader."""
     rows = proceedings(spark, sf_dir).select(
         F.col("user_id").cast("int").alias("number"), F.concat(F.lit("Sitting "), "user_id").alias("title"), "dates", "current"
     )
     wrapped = writers.in_envelope(rows, F.lit(NOW), "1", ["number", "title", "dates", "current"])
-    return wrapped.select("data.number", "data.title", F.array_join("data.dates", ",").alias("dates"), "data.current")
+    path = scratch_path(spark, "headers-envelope")
+    writers.write_json(wrapped, path)
+    return tables.read_proceeding_info(spark, path, json_lines=True).withColumn("dates", F.array_join("dates", ","))
 
 
 @query("src_proceeding_info", f"SELECT user_id AS number, 'Sitting ' || user_id AS title, array_to_string(dates, ',') AS dates, current FROM ({_PROCEEDINGS})")

@@ -151,18 +151,21 @@ _MEMBER_JSON = f'SELECT id, "firstName", club, voivodeship FROM ({_MEMBERS})'
 
 @query("sink_members_json", _MEMBER_JSON)
 def sink_members_json(spark, sf_dir):
-    rows = customers(spark, sf_dir)
-    return writers.in_envelope(rows, F.lit("2024-01-20"), "1", rows.columns).select("data.*")
+    """The member table written in envelopes and read by the member reader."""
+    rows, path = customers(spark, sf_dir), scratch_path(spark, "members-envelope")
+    writers.write_json(writers.in_envelope(rows, F.lit("2024-01-20"), "1", rows.columns, listed=True), path)
+    back = tables.read_members(spark, path, json_lines=True)
+    return back.select(F.col("id").cast("bigint").alias("id"), "firstName", "club", "voivodeship")
 
 
 @query("src_members", _MEMBER_JSON)
 def src_members(spark, sf_dir):
-    """Member files read back from their folder: only the newest export counts."""
+    """Member files read back from their folder: only the newest export counts, with all its parts."""
     path = scratch_path(spark, "members-json")
     rows = customers(spark, sf_dir)
     older = F.concat(F.lit("old "), "firstName").alias("firstName")
-    rows.select("id", older, "club", "voivodeship").write.json(path)
-    rows.repartition(1).write.mode("append").json(path)
+    rows.select("id", older, "club", "voivodeship").repartition(3).write.json(path)
+    rows.repartition(4).write.mode("append").json(path)
     back = tables.read_members(spark, path, json_lines=True)
     return back.select(F.col("id").cast("bigint").alias("id"), "firstName", "club", "voivodeship")
 
@@ -287,17 +290,27 @@ v AS (SELECT content_key, is_funny, confidence, true AS cached FROM k UNION ALL
  SELECT content_key, score >= 2.0, least(score / 8.0, 1.0), false FROM ruled)
 SELECT doc_id, coalesce(v.cached, false) AS cached, v.is_funny, v.confidence FROM d LEFT JOIN v USING (content_key)""")
 def eval_batch(spark, sf_dir):
-    """Whole run: reuse, one evaluation per distinct new text, short texts kept without verdict."""
+    """Whole run: reuse, one evaluation per distinct new text, short texts kept without verdict.
+
+    The first provider breaks down on some texts; the second one judges those.
+    """
     docs = documents(spark, sf_dir)
     verdicts = materialize(known_verdicts(spark, sf_dir), "known-verdicts")
     rule = evaluation.rule_evaluator(RULE)
-    result, _ = evaluation.evaluate_fragments(docs, verdicts, rule, ["doc_id"])
+
+    def fragile(frame):
+        if (frame["text"].str.len() % 50 == 0).any():
+            raise ValueError("a length it cannot take")
+        return rule(frame)
+
+    result, _ = evaluation.evaluate_fragments(docs, verdicts, [("fragile", fragile), ("rule", rule)], ["doc_id"])
     return result.select("doc_id", "cached", "is_funny", "confidence")
 
 
 @query("win_provider_choice", f"""WITH c AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND toxic = 0 THEN quality = 1 WHEN doc_id % 5 = 0 THEN toxic = 1 ELSE false END AS is_funny,
  CASE WHEN doc_id % 3 = 0 AND toxic = 0 THEN 0.75::DOUBLE WHEN doc_id % 5 = 0 THEN 0.25 ELSE 0 END AS confidence,
+ CASE WHEN doc_id % 3 = 0 AND toxic = 0 THEN 'from gemini' WHEN doc_id % 5 = 0 THEN 'from claude' ELSE 'from gemini' END AS reason,
  CASE WHEN doc_id % 3 = 0 AND toxic = 0 THEN 'gemini' WHEN doc_id % 5 = 0 THEN 'claude' ELSE 'none' END AS api_used FROM c""")
 def win_provider_choice(spark, sf_dir):
     """Two candidate answers per document; either may be missing."""
@@ -306,7 +319,7 @@ def win_provider_choice(spark, sf_dir):
     claude = F.when(F.col("doc_id") % 5 == 0, F.col("toxic") == 1)
 
     def answer(verdict, confidence, provider):
-        return F.struct(verdict.alias("is_funny"), F.lit(confidence).alias("confidence"), F.lit("").alias("reason"), F.lit(provider).alias("api_used"))
+        return F.struct(verdict.alias("is_funny"), F.lit(confidence).alias("confidence"), F.lit(f"from {provider}").alias("reason"), F.lit(provider).alias("api_used"))
 
     rows = base.select("doc_id", F.inline(F.array(answer(claude, 0.25, "claude"), answer(gemini, 0.75, "gemini"))))
     return evaluation.choose_provider(rows, ["doc_id"], "ollama")
@@ -364,7 +377,7 @@ def fn_category(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", replies.category_of(F.col("text")).alias("category"))
 
 
-@query("fn_prompt", """SELECT doc_id, 'Judge: ' || left(text, 800) || chr(10) || CASE WHEN lang <> 'en' THEN 'Speaker: ' || source || chr(10) ELSE '' END
+@query("fn_prompt", """SELECT doc_id, 'Judge: ' || text || chr(10) || CASE WHEN lang <> 'en' THEN 'Speaker: ' || source || chr(10) ELSE '' END
  || 'Club: ' || lang || chr(10) || 'End' AS prompt FROM documents""")
 def fn_prompt(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -401,23 +414,30 @@ def set_union_rest(spark, sf_dir):
 
 
 @query("sink_report_txt", f"""WITH e AS ({_EVALUATED}), f AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, doc_id) AS i FROM e WHERE is_funny)
-SELECT 0::BIGINT AS line_no, 'Best fragments' || chr(10) || 'Found: ' || count(*) FILTER (WHERE is_funny) || '/' || count(*) AS line FROM e
-UNION ALL SELECT i, i || '. [' || round_even(confidence * 100, 0)::INT || '%] ' || left(text, 150) || '...' || chr(10) || '   → ' || reason FROM f WHERE i <= 10""")
+SELECT string_agg(line, chr(10) ORDER BY line_no) AS report FROM (SELECT 0::BIGINT AS line_no, 'Best fragments' || chr(10) || 'Found: ' || count(*) FILTER (WHERE is_funny) || '/' || count(*) AS line FROM e
+UNION ALL SELECT i, i || '. [' || round_even(confidence * 100, 0)::INT || '%] ' || left(text, 150) || '...' || chr(10) || '   → ' || reason FROM f WHERE i <= 10)""")
 def sink_report_txt(spark, sf_dir):
-    return writers.report_lines(evaluated(spark, sf_dir), [F.col("confidence").desc(), F.col("doc_id")])
+    """The report written as a text file and read back."""
+    path = scratch_path(spark, "report")
+    writers.write_report(writers.report_lines(evaluated(spark, sf_dir), [F.col("confidence").desc(), F.col("doc_id")]), path)
+    return tables.read_text(spark, path).select(F.regexp_replace("value", r"\n\z", "").alias("report"))
 
 
 @query("sink_results", f"SELECT doc_id, 'run1' AS run_id, trim(replace(api_used, 'o', '_o'), '_') AS source_stem, is_funny, confidence FROM ({_EVALUATED})")
 def sink_results(spark, sf_dir):
-    """Results written in their envelope, one folder per run and source, and read back."""
+    """Results written in their envelope, one folder per run and source, and read by the result reader."""
     path = scratch_path(spark, "results")
     name = F.concat(F.lit("in/"), F.replace("api_used", F.lit("o"), F.lit(" +o")), F.lit(".json"))
     rows = evaluated(spark, sf_dir).withColumn("source_file", name)
-    lines = writers.result_lines(rows, "source_file", ["doc_id", "is_funny", "confidence"], F.lit("2024-01-20"), "1", "run1")
-    writers.write_results(lines, path)
-    schema = "data struct<doc_id:bigint,is_funny:boolean,confidence:double>, run_id string, source_stem string"
-    return spark.read.schema(schema).json(path).select(
-        "data.doc_id", "run_id", "source_stem", "data.is_funny", "data.confidence")
+    verdict = F.struct("is_funny", "confidence").alias("ai_evaluation")
+    fields = [F.col("doc_id").alias("statement_id"), verdict]
+    for run, some in (("run0", rows.withColumn("confidence", F.lit(-1.0))), ("run1", rows)):  # of two runs the newer one is read
+        writers.write_results(writers.result_records(some, "source_file", fields, F.lit("2024-01-20"), "1", run), path)
+    back = tables.read_latest_results(spark, path, json_lines=True)
+    place = F.regexp_extract("path", "run_id=([^/]+)/source_stem=([^/]+)/", 1)
+    stem = F.regexp_extract("path", "run_id=([^/]+)/source_stem=([^/]+)/", 2)
+    return back.select(F.col("statement_id").alias("doc_id"), place.alias("run_id"), stem.alias("source_stem"),
+                       "ai_evaluation.is_funny", "ai_evaluation.confidence")
 
 
 @query("src_latest_results", f"""SELECT statement_id, score FROM (SELECT doc_id AS statement_id, confidence AS score FROM ({_EVALUATED}))""")
@@ -431,7 +451,7 @@ def src_latest_results(spark, sf_dir):
         rows.select(F.struct(F.array(fragment).alias("fragments")).alias("data")).repartition(parts).write.mode(mode).json(path)
 
     export(F.lit(-1.0), 3, "errorifexists")
-    export(F.col("confidence"), 1, "append")
+    export(F.col("confidence"), 4, "append")
     return tables.read_latest_results(spark, path, json_lines=True).select("statement_id", "score")
 
 
@@ -461,4 +481,4 @@ def enrich_with(spark, sf_dir):
 
 @query("top_fraction", """WITH c AS (SELECT quantile_disc(n_chars, 0.67) AS cut FROM documents) SELECT doc_id, n_chars FROM documents, c WHERE n_chars >= cut""")
 def top_fraction(spark, sf_dir):
-    return ranking.top_fraction(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 0.33, accuracy=1_000_000)
+    return ranking.top_fraction(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 0.33)

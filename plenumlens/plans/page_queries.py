@@ -355,8 +355,9 @@ _CSV = f"""SELECT '10' AS term, 'proceeding_' || conv_id AS proceeding_dir, '202
 @query("sink_statements_csv", _CSV)
 def sink_statements_csv(spark, sf_dir):
     folder = F.concat(F.lit("proceeding_"), F.col("proceeding_id"))
-    rows = writers.statements_csv(flat_statements(spark, sf_dir), folder)
-    return rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    path = scratch_path(spark, "statements-out")
+    writers.write_csv(writers.statements_csv(flat_statements(spark, sf_dir), folder), path)
+    return tables.read_csv(spark, path).na.fill("")
 
 
 @query("src_csv", _CSV)

@@ -17,7 +17,6 @@ from plenumlens.session import materialize, spread_few_files
 
 LEXICON = kw.make_lexicon(sql.QUERY_LEXICON)
 KEY = ["doc_id"]
-STATEMENTS_PER_SOURCE = 100
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -242,22 +241,13 @@ def agg_score_audit(spark, sf_dir):
     )
 
 
-_FIRST = f"""(SELECT doc_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-FROM documents) WHERE r <= {STATEMENTS_PER_SOURCE})"""
-
-
-def first_statements(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return ranking.topk_per_group(docs, ["source"], [F.col("doc_id")], STATEMENTS_PER_SOURCE, ["doc_id"], rank="pos")
-
-
-@query("agg_run_header", f"""WITH firsts AS {_FIRST}, {sql.segments(table='firsts')}, {sql.contexts()}
-SELECT d.source, count(DISTINCT d.doc_id) AS n_statements, least(count(DISTINCT d.doc_id), {STATEMENTS_PER_SOURCE}) AS n_processed,
+@query("agg_run_header", f"""WITH {sql.segments()}, {sql.contexts()}
+SELECT d.source, count(DISTINCT d.doc_id) AS n_statements, count(DISTINCT d.doc_id) AS n_processed,
   count(c.doc_id) AS n_fragments FROM documents d LEFT JOIN cut c USING (doc_id) GROUP BY d.source""")
 def agg_run_header(spark, sf_dir):
     statements = table(spark, sf_dir, "documents").select("source")
-    found = fr.extract_fragments(first_statements(spark, sf_dir), LEXICON, ["source", *KEY])
-    return summaries.run_header(statements, found, "source", STATEMENTS_PER_SOURCE)
+    found = detector.detect(documents(spark, sf_dir, "source"), LEXICON, "source", "doc_id")
+    return summaries.run_header(statements, found, "source")
 
 
 # weights of the rule evaluator
@@ -274,7 +264,7 @@ SELECT source, doc_id, seg_idx, score, CASE WHEN rank <= 50 THEN 0 ELSE 1 END::B
   CASE WHEN rank <= 50 AND length(t) >= 20 THEN least(points / 8.0, 1.0) END AS confidence FROM r""")
 def detect_and_evaluate(spark, sf_dir):
     """The whole detection job: all fragments, the best 50 of each source with a verdict."""
-    found = detector.detect(documents(spark, sf_dir, "source"), LEXICON, "source", "doc_id", limit=None)
+    found = detector.detect(documents(spark, sf_dir, "source"), LEXICON, "source", "doc_id")
     none_yet = spark.createDataFrame([], f"content_key string, {VERDICT}")
     rule = evaluation.rule_evaluator(RULE)
     result, _ = detector.evaluate_best(found, none_yet, rule, "source", "doc_id", min_score=2.0, top_n=50)

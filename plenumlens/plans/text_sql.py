@@ -131,11 +131,7 @@ windowed AS (SELECT {key}, seg_idx, {marked('body')} AS m, min(s) OVER w AS cs,
     WINDOW w AS (PARTITION BY {key} ORDER BY seg_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 raw AS (SELECT {key}, seg_idx, cs, ce, trim(substr(n, cs + 1, ce - cs)) AS t
     FROM windowed JOIN norm USING ({key}) WHERE {hit}),
-cut0 AS (SELECT *, CASE WHEN length(t) <= {LIMIT} THEN t
-    WHEN strpos(left(t, {LIMIT}), ' ') > 0 THEN regexp_extract(left(t, {LIMIT}), '^(.*) ', 1)
-    ELSE left(t, {LIMIT}) END AS c FROM raw),
-cut AS (SELECT {key}, seg_idx, cs, CASE WHEN length(t) > {LIMIT} THEN cs + length(c) ELSE ce END AS ce, c AS t
-    FROM cut0)"""
+cut AS (SELECT {key}, seg_idx, cs, ce, t FROM raw)"""
 
 
 def fragments(key: str = "doc_id") -> str:

@@ -16,11 +16,15 @@ STATEMENT = (
 )
 PROCEEDING_INFO = "struct<title:string,dates:array<string>,num:int>"
 
+#: A statement as it is read: every field as text (an object as its JSON), so that one of
+#: another type than usual spoils neither its statement nor its file.
+LANDED_STATEMENT = "struct<num:string,id:string,statement_id:string,name:string,speaker:string,text:string,segment:string>"
+
 #: One schema for every envelope of a transcript file, including a bare list of statements.
 TRANSCRIPT_FILE = (
-    f"metadata struct<term:int,proceeding_id:int,date:string,generated_at:string,proceeding_info:{PROCEEDING_INFO}>, "
-    f"statements array<{STATEMENT}>, data struct<statements:array<{STATEMENT}>>, "
-    f"num bigint, id bigint, statement_id bigint, name string, text string, segment string, speaker {SPEAKER}, "
+    "metadata struct<term:string,proceeding_id:string,date:string>, "
+    f"statements array<{LANDED_STATEMENT}>, data struct<statements:array<{LANDED_STATEMENT}>>, "
+    "num string, id string, statement_id string, name string, text string, segment string, speaker string, "
     "_corrupt_record string"
 )
 

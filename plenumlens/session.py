@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings every job relies on. AQE coalesces small shuffles, splits skewed join
 #: partitions and turns a join into a broadcast once the real size is known.
@@ -24,9 +23,6 @@ SESSION_CONF = {
 #: doubles the time it takes to build the long expressions used here.
 START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-#: A side may be broadcast by hint only after a count has shown it has no more rows than this.
-BROADCAST_MAX_ROWS = 200_000
-
 #: Least number of shuffle partitions a cluster starts with, before AQE merges them.
 MANY_PARTITIONS = 4096
 
@@ -78,16 +74,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only if a bounded count proves the side is small.
-
-    Beyond the bound the side is returned unhinted, so the join shuffles and AQE
-    splits its skewed partitions.
-    """
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
-
-
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime settings on a session somebody else built."""
     for key, value in SESSION_CONF.items():

@@ -43,28 +43,45 @@ def write_transcripts(
     )
 
 
-def in_envelope(df: DataFrame, generated_at: Column, version: str, data: Sequence[str]) -> DataFrame:
-    """``metadata struct<generated_at, scraper_version>, data struct<...>``."""
+def in_envelope(df: DataFrame, generated_at: Column, version: str, data: Sequence[str], listed: bool = False) -> DataFrame:
+    """``metadata struct<generated_at, scraper_version>, data struct<...>``, or with ``listed`` a list of one struct.
+
+    One record per row: a table in one envelope would have to be gathered in one task.
+    """
     metadata = F.struct(generated_at.cast("string").alias("generated_at"), F.lit(version).alias("scraper_version"))
-    return df.select(metadata.alias("metadata"), F.struct(*data).alias("data"))
+    body = F.struct(*data)
+    return df.select(metadata.alias("metadata"), (F.array(body) if listed else body).alias("data"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON records, one per line, in files that end in ``.json``."""
+    df.write.mode("overwrite").json(path)
+
 
+def write_report(lines: DataFrame, path: str, order: str = "line_no", line: str = "line") -> None:
+    """The few lines of a report as one text file, in order."""
+    lines.orderBy(order).coalesce(1).select(line).write.mode("overwrite").text(path)
 
-def result_lines(
-    fragments: DataFrame, source: str, fields: Sequence[str], generated_at: Column, version: str, run_id: str
+
+def result_records(
+    fragments: DataFrame, source: str, fields: Sequence[Column | str], generated_at: Column, version: str, run_id: str
 ) -> DataFrame:
-    """One JSON record per fragment in its envelope; ``source_stem`` and ``run_id`` name the folder."""
+    """One record per fragment in its envelope; ``run_id`` and ``source_stem`` name the folder."""
     stem = F.regexp_replace(F.element_at(F.split(F.col(source), "/"), -1), r"\.[^.]*$", "")
     cleaned = F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    wrapped = F.struct(
-        F.struct(generated_at.cast("string").alias("generated_at"), F.lit(version).alias("scraper_version")).alias("metadata"),
-        F.struct(source, *fields).alias("data"),
-    )
-    return fragments.select(cleaned.alias("source_stem"), F.lit(run_id).alias("run_id"), F.to_json(wrapped).alias("value"))
+    metadata = F.struct(generated_at.cast("string").alias("generated_at"), F.lit(version).alias("scraper_version"))
+    data = F.struct(F.col(source).alias("source_file"), F.array(F.struct(*fields)).alias("fragments"))
+    return fragments.select(cleaned.alias("source_stem"), F.lit(run_id).alias("run_id"), metadata.alias("metadata"), data.alias("data"))
 
 
-def write_results(lines: DataFrame, path: str) -> None:
-    """Result records, one folder per run and source."""
-    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "source_stem").text(path)
+def write_results(records: DataFrame, path: str, spread: int = 8) -> None:
+    """Result records as JSON, one folder per run and source, which ``read_latest_results`` finds.
+
+    Rows are clustered by folder before they are written, a large folder over ``spread`` tasks.
+    """
+    salt = F.pmod(F.xxhash64(F.to_json("data")), F.lit(spread))
+    clustered = records.repartition("run_id", "source_stem", salt)
+    (clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "source_stem").json(path))
 
 
 def members_csv(members: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenumlens.functions.fields import media_type
-from plenumlens.functions.keywords import LITERAL_LIMIT, Keyword
+from plenumlens.functions.keywords import Keyword
 from plenumlens.schemas import MEMBER_FILE, PROCEEDING_FILE, RESULT_FILE
 from plenumlens.sources.transcripts import list_files
 
@@ -33,27 +33,42 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lexicon_literals(lexicon: DataFrame) -> list[Keyword]:
-    """The lexicon as plan literals; refuses one too large for that."""
-    rows = lexicon.orderBy("ord").limit(LITERAL_LIMIT + 1).collect()
-    if len(rows) > LITERAL_LIMIT:
-        raise ValueError("lexicon too large to unroll: use operators.matching.match_keywords")
+    """The lexicon as plan literals.
+
+    It becomes part of the plan, whatever its size; a lexicon that should stay a table is
+    matched by operators.matching.match_keywords.
+    """
+    rows = lexicon.orderBy("ord").collect()
     named = [r for r in rows if r["keyword"].strip()]
     return [Keyword(i, r["keyword"].strip(), r["weight"]) for i, r in enumerate(named)]
 
 
-def newest_file(spark: SparkSession, folder: str, glob: str = "*.json") -> str:
-    """Path of the file changed last; only this one file is then read."""
-    newest = list_files(spark, folder, glob).agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
-    if newest is None:
+def newest_export(spark: SparkSession, folder: str, glob: str = "*.json") -> list[str]:
+    """Paths of all files of the export written last.
+
+    A folder below ``folder`` is one export with everything in it, the part files of one
+    Spark write are one, and any other file is one of its own.
+    """
+    files = list_files(spark, folder, glob, recursive=True)
+    depth = len([p for p in folder.split("://")[-1].split("/") if p])
+    parts = F.filter(F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", ""), "/"), lambda p: p != "")
+    below = F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0)))
+    written = F.regexp_extract("name", r"^part-[0-9]+-([0-9a-f-]{36})", 1)
+    export = F.when(F.size(below) > 1, F.concat(F.lit("folder "), F.element_at(below, 1))).when(
+        written != "", F.concat(F.lit("write "), written)).otherwise(F.concat(F.lit("file "), "name"))
+    known = files.withColumn("export", export)
+    newest = known.groupBy("export").agg(F.max("modificationTime").alias("at")).orderBy(F.desc("at"), F.desc("export")).limit(1)
+    paths = [r["path"] for r in known.join(newest, "export", "left_semi").select("path").orderBy("path").collect()]
+    if not paths:
         raise FileNotFoundError(f"no {glob} in {folder}")
-    return newest
+    return paths
 
 
 def read_members(
     spark: SparkSession, folder: str, glob: str = "*.json", json_lines: bool = False
 ) -> DataFrame:
-    """Members from the newest file, inside an envelope or bare."""
-    rows = spark.read.schema(MEMBER_FILE).option("multiLine", str(not json_lines).lower()).json(newest_file(spark, folder, glob))
+    """Members from the newest export, inside an envelope or bare."""
+    rows = spark.read.schema(MEMBER_FILE).option("multiLine", str(not json_lines).lower()).json(newest_export(spark, folder, glob))
     names = [f.name for f in rows.schema["data"].dataType.elementType]
     wrapped = F.col("data").isNotNull()
     inner = rows.where(wrapped).select(F.inline("data"))
@@ -70,12 +85,13 @@ def read_proceeding_info(spark: SparkSession, path: str, json_lines: bool = Fals
 def read_latest_results(
     spark: SparkSession, folder: str, glob: str = "*.json", json_lines: bool = False
 ) -> DataFrame:
-    """Fragments of the newest result file, with their place in it."""
-    rows = spark.read.schema(RESULT_FILE).option("multiLine", str(not json_lines).lower()).json(newest_file(spark, folder, glob))
+    """Fragments of the newest result export, with their place in their record."""
+    rows = spark.read.schema(RESULT_FILE).option("multiLine", str(not json_lines).lower()).json(newest_export(spark, folder, glob))
     fragments = F.coalesce("data.fragments", "fragments")
     return rows.select(
-        F.coalesce("data.source_file", "source_file").alias("source_file"), F.posexplode(fragments).alias("pos", "f")
-    ).select("source_file", "pos", "f.*")
+        F.col("_metadata.file_path").alias("path"), F.coalesce("data.source_file", "source_file").alias("source_file"),
+        F.posexplode(fragments).alias("pos", "f")
+    ).select("path", "source_file", "pos", "f.*")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +114,10 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def media_inventory(files: DataFrame, logo: Column | bool = False) -> DataFrame:
     """Files and bytes per picture type; only the leading bytes are looked at."""
-    kind = media_type(F.col("content"), bool(logo) if not isinstance(logo, Column) else False)
+    if isinstance(logo, Column):
+        kind = F.when(F.coalesce(logo, F.lit(False)), media_type(F.col("content"), True)).otherwise(media_type(F.col("content"), False))
+    else:
+        kind = media_type(F.col("content"), bool(logo))
     return files.select(kind.alias("media_type"), "length").groupBy("media_type").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenumlens.schemas import TRANSCRIPT_FILE
@@ -68,28 +68,40 @@ def quarantine(files: DataFrame) -> DataFrame:
     return broken.select("source_file", "file_name", "read", "_corrupt_record")
 
 
+def _number(*names: str) -> Column:
+    """The first field that is a whole number."""
+    return F.coalesce(*[F.col(n).try_cast("bigint") for n in names])
+
+
+def _speaker(speaker: str, name: str) -> Column:
+    """The speaker's name, from an object, a plain text or the flat field."""
+    value = F.col(speaker)
+    is_object = F.startswith(F.ltrim(value), F.lit("{"))
+    return F.coalesce(F.when(is_object, F.get_json_object(value, "$.name")).otherwise(value), F.col(name))
+
+
 def statements_of(files: DataFrame) -> DataFrame:
     """One row per statement: file, position in it, day keys and the statement's fields.
 
     Accepts ``statements``, ``data.statements`` and bare statements. Bare ones are one row
     each and have their order from ``num``; ``pos`` is their order in a file read whole.
+    A field of an unexpected type is null, and its statement stays.
     """
-    good = files.where(F.col("_corrupt_record").isNull())
     listed = F.coalesce("statements", "data.statements")
     keys = [
-        "source_file", "file_name", F.col("metadata.term").alias("term"),
-        F.col("metadata.proceeding_id").alias("proceeding_id"), F.col("metadata.date").alias("date"),
+        "source_file", "file_name", _number("metadata.term").cast("int").alias("term"),
+        _number("metadata.proceeding_id").cast("int").alias("proceeding_id"), F.col("metadata.date").alias("date"),
     ]
-    enveloped = good.where(listed.isNotNull()).select(*keys, F.posexplode(listed).alias("pos", "s")).select(
+    enveloped = files.where(listed.isNotNull()).select(*keys, F.posexplode(listed).alias("pos", "s")).select(
         "source_file", "file_name", "term", "proceeding_id", "date", F.col("pos").cast("long").alias("pos"),
-        F.coalesce("s.num", "s.id", "s.statement_id").alias("num"),
-        F.coalesce("s.speaker.name", "s.name").alias("speaker"),
+        _number("s.num", "s.id", "s.statement_id").alias("num"),
+        _speaker("s.speaker", "s.name").alias("speaker"),
         F.coalesce(F.nullif("s.text", F.lit("")), F.nullif("s.segment", F.lit("")), F.lit("")).alias("text"),
     )
-    bare = good.where(listed.isNull() & (F.col("num").isNotNull() | F.col("text").isNotNull() | F.col("segment").isNotNull()))
+    bare = files.where(listed.isNull() & (F.col("num").isNotNull() | F.col("text").isNotNull() | F.col("segment").isNotNull()))
     flat = bare.select(
-        *keys, F.monotonically_increasing_id().alias("pos"), F.coalesce("num", "id", "statement_id").alias("num"),
-        F.coalesce("speaker.name", "name").alias("speaker"),
+        *keys, F.monotonically_increasing_id().alias("pos"), _number("num", "id", "statement_id").alias("num"),
+        _speaker("speaker", "name").alias("speaker"),
         F.coalesce(F.nullif("text", F.lit("")), F.nullif("segment", F.lit("")), F.lit("")).alias("text"),
     )
     return enveloped.unionByName(flat)

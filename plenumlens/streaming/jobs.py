@@ -47,15 +47,16 @@ def ingest(
 
 
 def new_days(
-    stream: DataFrame, keys: Sequence[str], event_time: str, keep_days: int = STATE_DAYS, buckets: int = 16
+    stream: DataFrame, keys: Sequence[str], event_time: str, keep_days: int = STATE_DAYS, buckets: int = 16,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """First arrival of each (proceeding, date) as ``keys`` and event time; old state is evicted.
+    """First arrival of each (proceeding, date) as ``keys``, event time and ``carry``; old state is evicted.
 
     Two rounds, as one day may hold a third of all arrivals: first per (key, salt), which
     spreads a hot day over ``buckets`` tasks and leaves at most that many rows of it, then
-    per key. Only keys and event time are shuffled.
+    per key. Only these columns are shuffled.
     """
-    rows = stream.select(*keys, event_time, F.pmod(F.xxhash64(*stream.columns), F.lit(buckets)).alias("_salt"))
+    rows = stream.select(*keys, event_time, *carry, F.pmod(F.xxhash64(*stream.columns), F.lit(buckets)).alias("_salt"))
     timed = rows.withWatermark(event_time, f"{keep_days} days")
     spread = timed.dropDuplicatesWithinWatermark([*keys, "_salt"])
     return spread.dropDuplicatesWithinWatermark(list(keys)).drop("_salt")
@@ -79,21 +80,22 @@ def quota_stream(
 
 
 def notify(
-    stream: DataFrame, key: str, date: str, title: str, path: str, checkpoint: str,
+    stream: DataFrame, key: str, date: str, title: str, event_time: str, path: str, checkpoint: str,
     poll_minutes: int | None = None, deliver: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """One digest per batch that brings anything new.
+    """One digest per batch that brings a day that no batch before it brought.
 
     Digests are written under the batch's own folder, so that a batch run again after a
     failure replaces its digest instead of repeating it.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        lines = digest_lines(batch, key, date, title)
-        lines.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if deliver is not None:
-            deliver(lines, batch_id)
-
-    return _start(stream, checkpoint, poll_minutes, "append").foreachBatch(each).start()
+        lines = digest_lines(batch, key, date, title).persist()
+        if not lines.isEmpty():
+            lines.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            if deliver is not None:
+                deliver(lines, batch_id)
+        lines.unpersist()
+
+    fresh = new_days(stream, [key, date], event_time, carry=[title])
+    return _start(fresh, checkpoint, poll_minutes, "append").foreachBatch(each).start()

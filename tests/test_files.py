@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plenumlens.functions import keywords as kw
 from plenumlens.operators import fragments as fr
 from plenumlens.operators.evaluation import quota_usage
-from plenumlens.session import broadcast_if_small, scratch_path
+from plenumlens.session import scratch_path
 from plenumlens.sinks import writers
 from plenumlens.sources import tables, transcripts
 from plenumlens.streaming import jobs
@@ -71,7 +71,25 @@ def test_newest_members_and_results(spark, tmp_path):
     put(tmp_path / "r" / "results_1.json", {"data": {"source_file": "s", "fragments": [{"text": "t", "score": 2.0}]}})
     assert [(r.source_file, r.score) for r in tables.read_latest_results(spark, str(tmp_path / "r")).collect()] == [("s", 2.0)]
     with pytest.raises(Exception):
-        tables.newest_file(spark, str(tmp_path / "nothing"))
+        tables.newest_export(spark, str(tmp_path / "nothing"))
+
+
+def test_newest_export_has_all_its_parts(spark, tmp_path):
+    folder = str(tmp_path / "exports")
+    for mark, parts in (("old", 3), ("new", 4)):
+        rows = spark.range(100).select(F.col("id").cast("int").alias("id"), F.lit(mark).alias("lastName"))
+        rows.repartition(parts).write.mode("append").json(folder)
+    got = tables.read_members(spark, folder, json_lines=True)
+    assert got.count() == 100 and {r.lastName for r in got.collect()} == {"new"}
+
+
+def test_mistyped_fields_cost_only_themselves(spark, tmp_path):
+    put(tmp_path / "transkrypty_2024-01-01.json", {"metadata": {"term": "10", "proceeding_id": [1], "date": "2024-01-01"}, "statements": [
+        {"num": 1, "speaker": {"name": "A", "id": "seven"}, "text": "raz"}, {"num": "2", "speaker": "B", "text": "dwa"},
+        {"num": {"x": 1}, "id": 3, "name": "C", "text": 33}, {"num": 4.5, "text": None, "segment": "cztery"}]})
+    rows = transcripts.statements_of(transcripts.read_transcript_files(spark, str(tmp_path))).orderBy("pos").collect()
+    assert [(r.term, r.num, r.speaker, r.text) for r in rows] == [
+        (10, 1, "A", "raz"), (10, 2, "B", "dwa"), (10, 3, "C", "33"), (10, None, None, "cztery")]
 
 
 def test_text_binary_and_csv(spark, tmp_path):
@@ -114,11 +132,6 @@ def test_report(spark):
     assert lines[2] == "2. [13%] text 26...\n   → why"
 
 
-def test_broadcast_is_checked(spark):
-    assert "broadcast" in broadcast_if_small(spark.range(3), 5)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in broadcast_if_small(spark.range(9), 5)._jdf.queryExecution().logical().toString()
-
-
 def run(spark, stream, label):
     path = scratch_path(spark, label)
     jobs.ingest(stream, path, scratch_path(spark, f"{label}-state")).awaitTermination()
@@ -148,18 +161,19 @@ def test_days_are_taken_once(spark, tmp_path):
 def test_one_digest_per_batch(spark, tmp_path):
     src = tmp_path / "in"
     seen = []
-    schema = "number int, date string, title string"
+    schema = "number int, date string, title string, ts timestamp"
     state = scratch_path(spark, "digest-state")
     out = scratch_path(spark, "digests")
 
     def deliver(lines, batch_id):
         seen.append((batch_id, sorted((r.number, r.dates) for r in lines.collect())))
 
-    for day in ("2024-01-01", "2024-01-02"):
-        put(src / f"{day}.json", json.dumps({"number": 1, "date": day, "title": "t"}))
+    for i, day in enumerate(("2024-01-01", "2024-01-02", "2024-01-02", "2024-01-03")):
+        put(src / f"{i}.json", json.dumps({"number": 1, "date": day, "title": "t", "ts": f"{day} 10:00:00"}))
         stream = jobs.arriving_files(spark, str(src), schema)
-        jobs.notify(stream, "number", "date", "title", out, state, deliver=deliver).awaitTermination()
-    assert seen == [(0, [(1, "2024-01-01")]), (1, [(1, "2024-01-02")])]
+        jobs.notify(stream, "number", "date", "title", "ts", out, state, deliver=deliver).awaitTermination()
+    # the second arrival of a day is not announced again
+    assert [lines for _, lines in seen] == [[(1, "2024-01-01")], [(1, "2024-01-02")], [(1, "2024-01-03")]]
 
 
 def test_quota_stream_equals_batch(spark, tmp_path):

@@ -201,7 +201,9 @@ def test_prompt(spark):
     row = spark.range(1).select(replies.build_prompt(
         F.lit("x" * 900), F.lit("Jan"), F.lit(""), F.expr("array(named_struct('keyword','a'), named_struct('keyword','b'))"),
         template="<{text}|{context}>").alias("p")).first()
-    assert row.p == "<" + "x" * 800 + "|Speaker: Jan\nKeywords: a, b>"
+    assert row.p == "<" + "x" * 900 + "|Speaker: Jan\nKeywords: a, b>"
+    short = spark.range(1).select(replies.build_prompt(F.lit("x" * 900), template="<{text}|{context}>", limit=800).alias("p")).first()
+    assert short.p == "<" + "x" * 800 + "|>"
 
 
 def test_summaries(spark):
@@ -237,3 +239,52 @@ def test_processed_and_canonical(spark):
     got = [r.t for r in content.select("n", statements.content_text(F.struct(
         "text", "text_content", "plain", "html_content")).alias("t")).orderBy("n").collect()]
     assert got == ["plain text here", "page & text", "tiny"]
+
+
+def test_ranks_and_rest_keep_nulls(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), ("a", None, 2), ("a", 2.0, 3), (None, 1.0, 4)], "g string, score double, id int")
+    ranked = ranking.rank_all(df, ["g"], [-F.col("score")], [F.col("id")])
+    assert sorted((r.id, r["rank"]) for r in ranked.collect()) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    chosen = df.where("id in (2, 4)").select("g", "id")
+    parts = {(r.id): r.part for r in joins.join_rest(df, chosen, ["g", "id"]).collect()}
+    assert parts == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_repeated_numbers_stay_apart(spark):
+    from plenumlens.functions import keywords as kw
+    from plenumlens.operators import detector, evaluation
+    from plenumlens.schemas import VERDICT
+
+    rows = [("s", 1, 0, "To jest bardzo dobry żart."), ("s", 1, 1, "A to już drugi żart tutaj."), ("s", None, 2, "Trzeci żart bez numeru tu.")]
+    df = spark.createDataFrame(rows, "source string, num long, pos long, text string")
+    found = detector.detect(df, kw.make_lexicon([("żart", 2.0)]), "source", "num", ident=["pos"])
+    none = spark.createDataFrame([], f"content_key string, {VERDICT}")
+    result, _ = detector.evaluate_best(found, none, evaluation.rule_evaluator({"żart": 2.0}), "source", "num", top_n=2, ident=["pos"])
+    assert sorted((r.pos, r.part) for r in result.collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_providers_in_turn(spark):
+    import pandas as pd
+
+    from plenumlens.operators.evaluation import FAILED, judge
+
+    frame = pd.DataFrame({"content_key": list("abcdef"), "text": ["ok", "bad", "ok", "none", "bad none", "ok"]})
+
+    def answers(name, breaks, silent):
+        def run(part):
+            if part["text"].str.contains(breaks).any():
+                raise ValueError(f"{breaks} text")
+            return pd.DataFrame({"content_key": part["content_key"], "is_funny": [None if silent in t else True for t in part["text"]],
+                                 "confidence": 0.5, "reason": "r", "api_used": name})
+        return run
+
+    got = judge(frame, [("one", answers("one", "bad", "none")), ("two", answers("two", "none", "zzz"))], retries=1)
+    by = {r.content_key: (r.api_used, bool(r.is_funny), r.reason) for r in got.itertuples()}
+    assert by == {"a": ("one", True, "r"), "b": ("two", True, "r"), "c": ("one", True, "r"), "f": ("one", True, "r"),
+                  "d": (FAILED, False, "two: none text"), "e": (FAILED, False, "two: none text")}
+
+
+def test_top_fraction_is_exact(spark):
+    df = spark.range(30_000).withColumn("score", (F.col("id") * 7919) % 30_000)
+    assert ranking.top_fraction(df, "score", 0.33, accuracy=100).count() == 9_900 + 1
+    assert ranking.top_fraction(df.where("id < 0"), "score", 0.5).count() == 0

@@ -1,4 +1,4 @@
-"""Text columns against the plain-Python rules in spec.py."""
+"""Text columns against the properties and independent counts in spec.py."""
 
 import html
 import random
@@ -48,50 +48,86 @@ def test_references_and_normalizing(spark):
 def test_segments_and_fragments(spark, limit):
     rows = texts(WORDS, 250, 40, limit)
     lexicon = kw.make_lexicon([*kw.DEFAULT_LEXICON, ("żart", 9.0)])
-    plain = [(k.keyword, k.weight) for k in lexicon]
     df = frame(spark, rows)
-    for r in fr.segment_statements(df, ["i"], limit=limit).collect():
-        text = spec.normalized(spec.cleaned(rows[r.i]))
-        parts = spec.sentences(text, limit)
-        assert [s.body for s in r.segments] == parts
-        # a lone comma has its true place, the rule of the search would put it earlier
-        if "," not in parts:
-            assert [(s.start, s.end) for s in r.segments] == spec.spans(text, parts)
+    cut = {r.i: r.segments for r in fr.segment_statements(df, ["i"], limit=limit).collect()}
     found = {}
-    for r in fr.extract_fragments(df, lexicon, ["i"], limit=limit).collect():
-        row = (r.segment_idx, r.start_offset, r.end_offset, r.text, r.score)
-        found.setdefault(r.i, []).append((*row, [(m["keyword"], m["count"], m["weight"]) for m in r.matched_keywords]))
-    for i, text in enumerate(rows):
-        if "," not in spec.sentences(spec.normalized(spec.cleaned(text)), limit):
-            assert sorted(found.get(i, [])) == spec.fragments(text, plain, kw.SUFFIXES, limit), text
+    for r in fr.extract_fragments(df, lexicon, ["i"], limit=limit).orderBy("i", "segment_idx").collect():
+        found.setdefault(r.i, []).append(r)
+    for i, raw in enumerate(rows):
+        text = spec.normalized(spec.cleaned(raw))
+        spec.check_segments(text, cut[i], limit)
+        spec.check_fragments(text, cut[i], found.get(i, []), [(k.keyword, k.weight) for k in lexicon], kw.SUFFIXES)
+
+
+@pytest.mark.parametrize("text,limit,parts", [
+    ("aa bb. cc! dd? ee", 9, ["aa bb.", "cc!", "dd?", "ee"]),
+    ("aaaa, bbbb, cccc, dddd", 11, ["aaaa, bbbb", "cccc, dddd"]),
+    ("aaaa bbbb cccc dddd", 10, ["aaaa bbbb", "cccc dddd"]),
+    ("aa, bb cc dd ee ff", 8, ["aa", "bb cc dd", "ee ff"]),
+    ("x" * 12, 5, ["x" * 12]),
+    ("a 3.5 b", 20, ["a 3.5 b"]),
+])
+def test_packing(spark, text, limit, parts):
+    row = fr.segment_statements(frame(spark, [text]), ["i"], limit=limit).first()
+    assert [s.body for s in row.segments] == parts
 
 
 def test_long_text_offsets(spark):
     text = " ".join(f"Zdanie numer {i}." for i in range(700))
     row = fr.segment_statements(frame(spark, [text]), ["i"]).first()
-    parts = spec.sentences(spec.normalized(text), 500)
-    assert [(s.start, s.end) for s in row.segments] == spec.spans(spec.normalized(text), parts)
+    assert len(row.segments) == 700
+    spec.check_segments(spec.normalized(text), row.segments, 500)
 
 
 def test_known_values(spark):
     lexicon = kw.make_lexicon(kw.DEFAULT_LEXICON)
     rows = [
-        "Ten żart był naprawdę śmieszny i pełen humoru.",
-        "Chciałabym dodać coś z humorem, ale sprawa jest poważna: wpływ inflacji na rodziny.",
-        "<p>Śmieszny fragment &amp; żartobliwy ton.</p>",
-        "W obliczu rosnącej inflacji i nowego kryzysu energetycznego musimy działać odpowiedzialnie.",
+        "To był żart, a potem drugi żart i trochę humoru.",
+        "<p>Mówca odpowiedział z humorem &amp; usiadł.</p>",
+        "Komisja zajęła się skutkami kryzysu w rolnictwie.",
     ]
     df = frame(spark, rows)
     segments = fr.explode_segments(fr.segment_statements(df, ["i"]), ["i"])
+    weight = {k.keyword: k.weight for k in reversed(lexicon)}
     scores = {r.i: r.score for r in fr.score_segments(segments, lexicon).collect()}
-    assert scores == {0: 4.5, 1: 2.0, 2: 3.0, 3: 2.0}
+    for i, raw in enumerate(rows):
+        text = spec.normalized(spec.cleaned(raw))
+        assert scores[i] == sum(spec.lenient_count(text, k.keyword, kw.SUFFIXES) * k.weight for k in lexicon)
     found = {r.i: r for r in fr.extract_fragments(df, lexicon, ["i"]).collect()}
-    assert {i: r.score for i, r in found.items()} == {0: 3.5, 1: 1.0, 2: 3.0}
-    assert (found[2].start_offset, found[2].end_offset) == (0, 35)
-    assert found[2].text == "śmieszny fragment i żartobliwy ton."
+    assert set(found) == {0, 1} and found[0].score == 2 * weight["żart"] and found[1].score == weight["humorem"]
+    assert found[1].text == "mówca odpowiedział z humorem i usiadł."
     assert not fr.score_audit(fr.extract_fragments(df, lexicon, ["i"])).where("mismatch").count()
 
 
+def test_window_keeps_its_hit(spark):
+    text = "w" * 449 + ". " + "v" * 400 + " humor."
+    lexicon = kw.make_lexicon([("humor", 2.0)])
+    whole = {r.segment_idx: r.score for r in fr.extract_fragments(frame(spark, [text]), lexicon, ["i"]).collect()}
+    assert whole == {1: 2.0}
+    short = fr.extract_fragments(frame(spark, [text]), lexicon, ["i"], cut_at=500).first()
+    assert short.score == 0.0 and short.end_offset - short.start_offset <= 500
+
+
+def test_audit_finds_wrong_scores(spark):
+    lexicon = kw.make_lexicon([("humor", 2.0), ("żart", 1.0)])
+    found = fr.extract_fragments(frame(spark, ["Humor i żart.", "Tylko żart.", "Humor, humor."]), lexicon, ["i"])
+    wrong = found.withColumn("score", F.when(F.col("i") == 1, F.col("score") + 0.5).otherwise(F.col("score")))
+    assert [r.i for r in fr.score_audit(wrong).where("mismatch").collect()] == [1]
+    recounted = found.withColumn("matched_keywords", F.transform("matched_keywords", lambda m: m.withField("count", m["count"] + (F.col("i") == 2).cast("int"))))
+    assert [r.i for r in fr.score_audit(recounted).where("mismatch").collect()] == [2]
+
+
+@pytest.mark.parametrize("size", [kw.UNROLLED, kw.UNROLLED + 1])
+def test_lexicons_of_any_size(spark, size):
+    fill = [(f"słowo{i}", 1.0) for i in range(size - 4)]
+    lexicon = kw.make_lexicon([("humor", 1.0), ("brawo wspaniale", 2.0), *fill, ("żart", 2.0), ("c++", 1.0)])
+    rows = texts([*WORDS, "humor", "c++", "słowo7", "słowo200"], 60, 25, 9)
+    got = fr.extract_fragments(frame(spark, rows), lexicon, ["i"]).orderBy("i", "segment_idx").collect()
+    few = kw.make_lexicon([("humor", 1.0), ("brawo wspaniale", 2.0), ("słowo7", 1.0), ("słowo200", 1.0), ("żart", 2.0), ("c++", 1.0)])
+    same = fr.extract_fragments(frame(spark, rows), few, ["i"]).orderBy("i", "segment_idx").collect()
+    assert got == same
+
+
 def counts(spark, text, lexicon, match):
     entries = kw.make_lexicon(lexicon)
     row = frame(spark, [text]).select(match(F.col("text"), entries).alias("m")).first()
@@ -99,12 +135,12 @@ def counts(spark, text, lexicon, match):
 
 
 def test_lenient_counts(spark):
-    assert counts(spark, "Kryzys i kryzysowy przypadek. pandemia.", [("kryzys", 2.0), ("pandemia", 1.5)],
-                  kw.lenient_matches) == {"kryzys": 1, "pandemia": 1}
-    assert counts(spark, "Mówiono o energetyczny kryzys w regionie.", [("energetyczny kryzys", 3.0)],
-                  kw.lenient_matches) == {"energetyczny kryzys": 1}
-    assert counts(spark, "Inflacja inflacja!", [("inflacja", 2.0)], kw.lenient_matches) == {"inflacja": 2}
-    assert counts(spark, "cokolwiek", [], kw.lenient_matches) == {}
+    assert counts(spark, "Drogi most, mosty i mostek. drogowiec", [("most", 2.0), ("drogi", 1.5)],
+                  kw.lenient_matches) == {k: n for k in ("most", "drogi")
+                                          if (n := spec.lenient_count("Drogi most, mosty i mostek. drogowiec", k, kw.SUFFIXES))}
+    assert counts(spark, "Stanął tu zielony wóz straży.", [("zielony wóz", 3.0)], kw.lenient_matches) == {"zielony wóz": 1}
+    assert counts(spark, "Lampa lampa? Lampa!", [("lampa", 2.0)], kw.lenient_matches) == {"lampa": 3}
+    assert counts(spark, "nic", [], kw.lenient_matches) == {}
 
 
 def test_boundaries_next_to_punctuation(spark):
