@@ -86,7 +86,8 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     One row per window and template; ``first_word`` is the window's first word (from 0).
     """
     spark = docs.sparkSession
-    known = template_table(spark, TEMPLATES if templates is None else templates).collect()  # the templates given, no data
+    chosen = TEMPLATES if templates is None else templates
+    known = template_table(spark, chosen).collect() if chosen else []  # the templates given, no data
     wanted = sorted({s for t in known for s in t["wanted"]})
     heads = sorted({s.split(" ")[0] for s in wanted})
     steps = sorted({t["step"] for t in known})
@@ -108,7 +109,7 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
            .select("key", "k1", "k2", "at.step", (F.col("at.window") * F.col("at.step")).alias("first_word"),
                    F.array_distinct(shingles(F.slice("w", F.col("at.window") * F.col("at.step") + 1, F.col("at.step") * 2))).alias("held")))
     signed = cut.where("size(held) > 0").withColumn("band", F.explode(signature(F.col("held"), bands)))
-    notices = template_table(spark, TEMPLATES if templates is None else templates)
+    notices = template_table(spark, chosen)
     bank = notices.select("template", "license", "wanted", F.col("step").alias("t_step"), F.explode(signature(F.col("wanted"), bands)).alias("t_band"))
     met = (signed.join(F.broadcast(bank), (F.col("band") == F.col("t_band")) & (F.col("step") == F.col("t_step")))  # templates x bands rows
            .groupBy("key", "k1", "k2", "template", "license", "step", "first_word")

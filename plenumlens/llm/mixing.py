@@ -39,7 +39,7 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, orde
     rows per party are ranked.
     """
     all_of = Window.partitionBy(*group)
-    part = F.col(votes) / F.col("__votes")
+    part = F.try_divide(F.col(votes), F.col("__votes"))
     known = (parties.withColumn("__votes", F.sum(votes).over(all_of).cast("double"))
              .withColumn("__parties", F.count(F.lit(1)).over(all_of))
              .withColumn("__margin", F.coalesce(F.ceil(F.col("__parties") * part), F.lit(0)).cast("long") + 2)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenumlens.llm import gif, jaccard, leaks, licenses, line_dedup, mixing, quality, repeats, slots, token_files
+from plenumlens.llm.oracles import ORACLES
 from plenumlens.llm.tables import read, text_bytes
 from plenumlens.session import materialize, scratch_path
 
@@ -74,6 +75,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Run] = {
     "op1_quality": op1_quality,
     "op2_gif": op2_gif,
@@ -86,5 +89,3 @@ QUERIES: dict[str, Run] = {
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
 }
-
-ORACLES: dict[str, str] = {}

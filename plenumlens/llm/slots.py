@@ -78,7 +78,8 @@ def edit_map(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     data leave the map.
     """
     held = sizes.join(slot_map.select("vslot", "version", "shard"), "vslot", "left")
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "bytes", "shard")))
+    size, slot, shard = F.col("bytes").cast("long"), F.col("vslot").cast("int"), F.col("shard").cast("int")
+    rows = F.sort_array(F.collect_list(F.struct((-size).alias("less"), slot.alias("vslot"), size.alias("bytes"), shard.alias("shard"))))
     all_slots = held.agg(F.coalesce(F.max("version"), F.lit(0)).alias("was"), F.sum("bytes").alias("total"), rows.alias("slots"))
     kind = "array<struct<less:bigint,vslot:int,bytes:bigint,shard:int>>"
     start = F.struct(F.array(*[F.lit(0).cast("long")] * shards).alias("loads"),
