@@ -68,20 +68,19 @@ def match_by_join(
     segments: DataFrame,
     lexicon: DataFrame,
     keys: Sequence[str],
-    max_words: int,
+    sizes: Sequence[int],
     text: str = "segment",
     lenient: bool = False,
     suffixes: Sequence[str] = kw.SUFFIXES,
 ) -> DataFrame:
     """``keys, ord, keyword, weight, count`` for each keyword hit in each segment.
 
-    Segments are cut into token runs of 1..``max_words`` words, counted within their
-    segment (a partial aggregate, so a word repeated in every segment still shuffles one
-    row per segment), and joined to the lexicon on equality. AQE broadcasts the
+    Segments are cut into token runs of ``sizes`` words (the lengths that keywords have) and
+    joined to the lexicon on equality; hits are counted within their segment. AQE broadcasts the
     lexicon if its measured bytes are few. All keywords must be :func:`joinable`.
     """
     source = segments.withColumn(text, strip_marks(F.col(text))) if lenient else segments
-    grams = _token_grams(source, keys, text, range(1, max_words + 1))
+    grams = _token_grams(source, keys, text, sizes)
     forms = join_forms(lexicon, lenient, suffixes)
     hits = grams.join(forms, grams["gram"] == forms["form"], "inner")
     return hits.groupBy(*keys, "ord", "keyword", "weight").agg(F.count(F.lit(1)).alias("count"))
@@ -97,10 +96,10 @@ def match_keywords(
     marked = lexicon.withColumn("_join", joinable(F.trim("keyword")))
     rest = marked.where(~F.col("_join")).orderBy("ord").collect()
     by_join = marked.where("_join").drop("_join")
-    longest = by_join.agg(F.max(F.size(F.regexp_extract_all("keyword", F.lit(_RUN), 0)))).first()[0]
+    sizes = by_join.agg(F.collect_set(F.size(F.regexp_extract_all("keyword", F.lit(_RUN), 0)))).first()[0]
     parts = []
-    if longest:
-        parts.append(match_by_join(segments, by_join, keys, longest, text, lenient))
+    if sizes:
+        parts.append(match_by_join(segments, by_join, keys, sorted(sizes), text, lenient))
     if rest:
         literals = [kw.Keyword(r["ord"], r["keyword"].strip(), r["weight"]) for r in rest]
         parts.append(literal_matches(segments, literals, keys, text, lenient).select(

@@ -36,12 +36,15 @@ def topk_per_group(
     return survivors.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
 
 
-def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], number: str | None = None) -> DataFrame:
     """The row that comes first under ``order`` for every key.
 
+    With ``number``, rows whose number is null or 0 are left out first.
+
     A group limit before the shuffle lets a hot key send one row per task.
     """
-    return _edge_per_key(df, key, [F.col(c).asc_nulls_first() for c in order])
+    rows = df if number is None else df.where(F.col(number).isNotNull() & (F.col(number) != 0))
+    return _edge_per_key(rows, key, [F.col(c).asc_nulls_first() for c in order])
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -84,17 +84,21 @@ def club_counts(members: DataFrame, club: str, missing: str = NO_CLUB) -> DataFr
 
 def content_stats(
     statements: DataFrame, keys: Sequence[str], date: str, number: str, has_content: str,
-    speaker: str, is_member: str,
+    speaker: str, is_member: str, failed: str | None = None, future: str | None = None, beyond: str | None = None,
 ) -> DataFrame:
     """Attempts, successes, skipped, enrichments and identified speakers.
 
-    Speakers are counted distinct per day and summed over days.
+    Speakers are counted distinct per day and summed over days. ``failed``, ``future`` and
+    ``beyond`` name flags of statements whose fetch failed, that lie in the future, or beyond a
+    limit; they are counted where they are given.
     """
+    flags = {"errors": failed, "future_skipped": future, "limit_skipped": beyond}
+    flagged = {name: flag for name, flag in flags.items() if flag is not None}
     numbered = F.col(number).isNotNull()
     fetched = numbered & F.coalesce(F.col(has_content), F.lit(False))
     per_speaker = statements.groupBy(*keys, date, speaker).agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(numbered).alias("_tried"), F.count_if(fetched).alias("_got"),
-        F.count_if(is_member).alias("_enriched"),
+        F.count_if(is_member).alias("_enriched"), *[F.count_if(flag).alias(name) for name, flag in flagged.items()],
     )
     return per_speaker.groupBy(*keys).agg(
         F.sum("_all").alias("statements"),
@@ -103,6 +107,7 @@ def content_stats(
         F.sum(F.col("_all") - F.col("_got")).alias("skipped"),
         F.sum("_enriched").alias("enrichments"),
         F.count_if(F.col("_enriched") > 0).alias("speakers_identified"),
+        *[F.sum(name).alias(name) for name in flagged],
     )
 
 

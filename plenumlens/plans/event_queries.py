@@ -136,10 +136,12 @@ def agg_state_totals(spark, sf_dir):
 
 
 @query("win_first_per_key", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id
- ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+ ORDER BY ts, event_id) AS r FROM events WHERE user_id % 7 <> 0) WHERE r = 1""")
 def win_first_per_key(spark, sf_dir):
     rows = events(spark, sf_dir, "user_id", "ts", "event_id", "event_type", "value")
-    return ranking.first_per_key(rows, ["user_id"], ["ts", "event_id"]).drop("ts")
+    # every seventh user's rows are unnumbered: 0 or null
+    number = F.when(F.col("user_id") % 7 != 0, F.col("user_id")).when(F.col("event_id") % 2 == 0, 0)
+    return ranking.first_per_key(rows.withColumn("user_id", number), ["user_id"], ["ts", "event_id"], number="user_id").drop("ts")
 
 
 @query("win_latest", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id

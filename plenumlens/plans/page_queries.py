@@ -8,7 +8,7 @@ from plenumlens.functions import fields
 from plenumlens.functions import html as hx
 from plenumlens.operators import joins, ranking, statements, summaries
 from plenumlens.plans.registry import query, table
-from plenumlens.session import scratch_path, spread_few_files
+from plenumlens.session import materialize, scratch_path, spread_few_files
 from plenumlens.sinks import writers
 from plenumlens.sources import tables, transcripts
 
@@ -79,20 +79,23 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
 
 
 @query("agg_content_stats", f"""WITH p AS (SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, {_HOST} AS speaker,
-  regexp_extract(url, '^([a-z]+):', 1) AS day, page_id, {_HAS} AND {_VALID} AS ok FROM pages),
-s AS (SELECT lang, day, speaker, count(*) AS a, count(*) FILTER (WHERE ok) AS g, count(*) FILTER (WHERE length(speaker) > 20) AS m
+  regexp_extract(url, '^([a-z]+):', 1) AS day, page_id, {_HAS} AND {_VALID} AS ok, NOT {_HAS} AS bad FROM pages),
+s AS (SELECT lang, day, speaker, count(*) AS a, count(*) FILTER (WHERE ok) AS g, count(*) FILTER (WHERE length(speaker) > 20) AS m,
+  count(*) FILTER (WHERE bad) AS b, count(*) FILTER (WHERE page_id % 11 = 0) AS f, count(*) FILTER (WHERE page_id % 13 = 0) AS l
   FROM p GROUP BY ALL)
 SELECT lang, sum(a)::BIGINT AS statements, sum(a)::BIGINT AS attempts, sum(g)::BIGINT AS successes, sum(a - g)::BIGINT AS skipped,
-  sum(m)::BIGINT AS enrichments, count(*) FILTER (WHERE m > 0) AS speakers_identified FROM s GROUP BY lang""")
+  sum(m)::BIGINT AS enrichments, count(*) FILTER (WHERE m > 0) AS speakers_identified,
+  sum(b)::BIGINT AS errors, sum(f)::BIGINT AS future_skipped, sum(l)::BIGINT AS limit_skipped FROM s GROUP BY lang""")
 def agg_content_stats(spark, sf_dir):
     gated = statements.with_content_gates(pages(spark, sf_dir))
     rows = gated.select(
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"),
         F.regexp_extract("url", "^([a-z]+):", 1).alias("day"),
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("speaker"),
-        "page_id", (F.col("has_content") & F.col("is_valid")).alias("ok"),
+        "page_id", (F.col("has_content") & F.col("is_valid")).alias("ok"), (~F.col("has_content")).alias("failed"),
+        (F.col("page_id") % 11 == 0).alias("future"), (F.col("page_id") % 13 == 0).alias("beyond"),
     ).withColumn("is_member", F.length("speaker") > 20)
-    return summaries.content_stats(rows, ["lang"], "day", "page_id", "ok", "speaker", "is_member")
+    return summaries.content_stats(rows, ["lang"], "day", "page_id", "ok", "speaker", "is_member", "failed", "future", "beyond")
 
 
 @query("agg_success_band", """WITH s AS (SELECT o_custkey, count(*) AS attempts, count(*) FILTER (WHERE o_orderstatus = 'F') AS successes
@@ -250,7 +253,7 @@ def written_transcripts(spark, sf_dir):
         "proceeding_id": conv % 20,
     })
     path = scratch_path(spark, "transcripts")
-    writers.write_transcripts(filed, path)
+    writers.write_transcripts(materialize(filed, "filed"), path)  # the writer reads it twice
     return path
 
 

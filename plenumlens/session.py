@@ -27,6 +27,7 @@ START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 MANY_PARTITIONS = 4096
 
 _local_scratch: str | None = None
+_made: list[str] = []
 
 
 def build_session(app: str = "plenumlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,8 +58,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; :func:`clear_scratch` removes it."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this process has written below the shared folder.
+
+    For the owner of a run to call when its results are read or written elsewhere.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

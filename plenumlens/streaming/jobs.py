@@ -38,8 +38,16 @@ def _start(stream: DataFrame, checkpoint: str, poll_minutes: int | None, mode: s
 
 def ingest(
     stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), poll_minutes: int | None = None,
+    spread: int = 4,
 ) -> StreamingQuery:
-    """Append a stream to a parquet table; one pass, or polling every ``poll_minutes``."""
+    """Append a stream to a parquet table; one pass, or polling every ``poll_minutes``.
+
+    Rows are clustered by ``partition_by`` first, a hot folder over ``spread`` tasks, so that a
+    batch writes few files.
+    """
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*stream.columns), F.lit(spread))
+        stream = stream.repartition(*partition_by, salt)
     writer = _start(stream, checkpoint, poll_minutes, "append").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
