@@ -14,6 +14,7 @@ from plenumlens.plans import text_sql as sql
 from plenumlens.plans.registry import query, table
 from plenumlens.schemas import VERDICT
 from plenumlens.session import materialize, spread_few_files
+from plenumlens.sources import tables
 
 LEXICON = kw.make_lexicon(sql.QUERY_LEXICON)
 KEY = ["doc_id"]
@@ -176,6 +177,29 @@ def win_context(spark, sf_dir):
     return cut.select("doc_id", F.col("segment_idx").alias("seg_idx"), "start_offset", "end_offset", "text")
 
 
+_WORD = r"'[\p{L}\p{N}_]+'"
+LARGE = 400
+
+
+@query("detect_large_lexicon", rf"""WITH {sql.segments()},
+lex AS (SELECT w AS keyword, 1.0 + length(w) % 4 * 0.5 AS weight FROM (SELECT unnest(regexp_extract_all(n, '[a-z]{{3,}}')) AS w FROM norm)
+  GROUP BY w ORDER BY count(*) DESC, w LIMIT {LARGE}),
+hit AS (SELECT DISTINCT doc_id, seg_idx FROM (SELECT doc_id, seg_idx, unnest(regexp_extract_all(body, {_WORD})) AS w FROM segs) JOIN lex ON w = keyword),
+win AS (SELECT doc_id, seg_idx, min(s) OVER near AS cs, max(e) OVER near AS ce FROM segs
+  WINDOW near AS (PARTITION BY doc_id ORDER BY seg_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+tok AS (SELECT doc_id, seg_idx, cs, unnest(regexp_extract_all(substr(n, cs + 1, ce - cs), {_WORD})) AS w FROM win JOIN norm USING (doc_id) JOIN hit USING (doc_id, seg_idx))
+SELECT doc_id, seg_idx, cs AS start_offset, sum(weight)::DOUBLE AS score FROM tok JOIN lex ON w = keyword GROUP BY doc_id, seg_idx, cs""")
+def detect_large_lexicon(spark, sf_dir):
+    """Fragments of all documents by a lexicon too large for an expression per keyword: their own frequent words."""
+    docs = documents(spark, sf_dir)
+    words = docs.select(F.explode(F.regexp_extract_all(tx.clean_and_normalize(F.col("text")), F.lit("[a-z]{3,}"), 0)).alias("keyword"))
+    frequent = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "keyword").limit(LARGE)
+    weight = 1.0 + F.length("keyword") % 4 * 0.5
+    lexicon = tables.lexicon_literals(frequent.select("keyword", weight.alias("weight"), F.lit(0).alias("ord")))
+    found = fr.extract_fragments(docs, lexicon, KEY).where("text <> ''")
+    return found.select("doc_id", F.col("segment_idx").alias("seg_idx"), "start_offset", "score")
+
+
 _FRAGS = f"WITH {sql.fragments()}"
 _FRAG_COLUMNS = "doc_id, seg_idx, cs AS start_offset, ce AS end_offset, t AS text, score, matched"
 
