@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import text_bytes
+from plenumlens.llm.tables import small_batches, text_bytes
 
 #: Samples of a row, and rows of a frame: a payload is cut into frames of 64 KiB.
 WIDTH, FRAME_ROWS = 64, 1024
@@ -268,6 +268,8 @@ def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> Data
     Null and empty texts make one row of zeros, equal texts equal media; rows stay as they are
     and a column of that name is replaced.
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def store(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

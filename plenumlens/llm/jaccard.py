@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.graph import components
-from plenumlens.llm.tables import mix64, text_bytes
+from plenumlens.llm.tables import mix64, small_batches, text_bytes
 from plenumlens.session import materialize
 
 SHINGLE = 5
@@ -42,20 +42,27 @@ PERCENT = 80
 #: Frequencies from here on are one class. A shingle this frequent within a task's chunk is hot.
 HOT = 64
 #: Shingles and documents of a chunk.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 CHUNK_DOCS = 60_000
-#: Bits of a hash below those of its range.
-LOW_BITS = 36
+#: The document number of an entry that stands for a hot shingle's count.
+NOBODY = 65_535
+#: Bits of a shingle's hash that are kept. Two sets of a thousand shingles take a wrong one for
+#: common with a chance of one in 10^8; a code has 7 bits more for the frequency.
+TOKEN_BITS = 48
 #: Distinct words whose hashes a task keeps.
-WORDS_KEPT = 400_000
-#: Cost that the first prefix may have; each doubling asks for one more shared shingle.
+WORDS_KEPT = 250_000
+#: Cost that the first prefix may have; each doubling asks for some more shared shingles.
 FREE_COST = 16
-MOST_MATCHES = 12
-#: Rounds with leaders go on while pairs left are more than this many per posting.
+MORE_PER_DOUBLING = 2
+MOST_MATCHES = 24
+#: Rounds with leaders go on while the pairs to look at are more than this many per posting, and
+#: while more than this share of the comparisons joins documents.
 PAIRS_PER_POSTING = 4
-MOST_ROUNDS = 8
+LEAST_JOINED = 0.1
+MOST_ROUNDS = 4
 
-PACKED = "route int, block long, doc int, k1 long, k2 long, n int, codes array<long>, data binary"
+#: Packed rows: ``docs`` (keys and set sizes of a chunk), ``hashes`` of one range, ``shared`` codes of a chunk's documents.
+PACKED = "route int, block long, kind string, data binary"
 
 
 class _WordHashes(dict):
@@ -82,73 +89,82 @@ def shingle_hashes(text: bytes, known: dict[bytes, int], length: int = SHINGLE)
     return np.unique(mix64(out))
 
 
-def _arrow(**columns) -> pa.RecordBatch:
-    kinds = {"route": pa.int32(), "block": pa.int64(), "doc": pa.int32(), "k1": pa.int64(), "k2": pa.int64(), "n": pa.int32(),
-             "codes": pa.list_(pa.int64()), "data": pa.binary()}
-    size = len(next(iter(columns.values())))
-    arrays = [columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], t) if k in columns else pa.nulls(size, t)
-              for k, t in kinds.items()]
-    return pa.RecordBatch.from_arrays(arrays, list(kinds))
+def _rows(rows: list[tuple[int, int, str, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    kinds = (pa.int32(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["route", "block", "kind", "data"])
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """A list column of runs of ``values`` that begin at ``first``."""
-    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values, pa.int64()))
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, byte plane by byte plane; planes that aren't random are deflated."""
+    deflate = zstandard.ZstdCompressor(level=1).compress
+    out = [np.array([len(arrays[0])], np.int64).tobytes()]
+    for array in arrays:
+        planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T
+        for plane in planes:
+            raw = plane.tobytes()
+            small = deflate(raw)
+            body = small if len(small) < len(raw) else raw
+            out += [np.array([len(body)], np.int32).tobytes(), body]
+    return b"".join(out)
 
 
-def _pack(values: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted numbers with 16-bit document numbers (65535: a count without documents), deflated."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    wide = bool(len(gaps)) and int(gaps.max()) >> 32 > 0
-    head = np.array([len(values), wide], np.uint32)
-    body = gaps.astype(np.uint64 if wide else np.uint32)
-    hot = counts[docs == 65535].astype(np.uint32)
-    raw = b"".join([head.tobytes(), body.tobytes(), docs.astype(np.uint16).tobytes(), hot.tobytes()])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _loosen(data: bytes, *kinds: type) -> list[np.ndarray]:
+    inflate = zstandard.ZstdDecompressor().decompress
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.empty((width, n), np.uint8)
+        for plane in planes:
+            size = int(np.frombuffer(data, np.int32, 1, at)[0])
+            body = data[at + 4:at + 4 + size]
+            plane[:] = np.frombuffer(body if size == n else inflate(body), np.uint8)
+            at += 4 + size
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, wide = np.frombuffer(raw, np.uint32, 2)
-    kind = np.uint64 if wide else np.uint32
-    gaps = np.frombuffer(raw, kind, n, 8)
-    at = 8 + gaps.nbytes
-    docs = np.frombuffer(raw, np.uint16, n, at).astype(np.int32)
-    hot = np.frombuffer(raw, np.uint32, -1, at + 2 * int(n))
-    counts = np.ones(n, np.int64)
-    counts[docs == 65535] = hot
-    return np.cumsum(gaps, dtype=np.uint64), docs, counts
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Steps between ascending numbers, of 32 bits where they fit."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return steps if len(steps) and int(steps.max()) >> 32 else steps.astype(np.uint32)
+
+
+def _pack(values: np.ndarray, *others: np.ndarray) -> bytes:
+    """Ascending numbers with columns beside them."""
+    steps = _gaps(values)
+    return bytes([steps.itemsize]) + _squeeze(steps, *others)
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    steps, *others = _loosen(data[1:], np.uint64 if data[0] == 8 else np.uint32, *kinds)
+    return [np.cumsum(steps, dtype=np.uint64), *others]
 
 
 def _chunk(block: int, sets: list[np.ndarray], keys: list[tuple[int, int]], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk: its documents, their hot shingles, and a blob for each range of hashes."""
-    n = np.array([len(s) for s in sets])
-    docs = np.arange(len(sets), dtype=np.int32)
-    codes = [[] for _ in sets]
-    tokens = np.concatenate(sets) >> np.uint64(64 - bits - LOW_BITS)
-    owner = np.repeat(docs, n)
+    n = np.array([len(s) for s in sets], np.int32)
+    tokens = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1))) if len(tokens) else np.empty(0, int)
     count = np.diff(np.append(first, len(tokens)))
-    for f, c in zip(first[count >= HOT], count[count >= HOT], strict=True):
-        code = (HOT << 56) | int(tokens[f])
-        for d in owner[f:f + c]:
-            codes[d].append(code)
     each = np.repeat(count, count)
-    keep = each < HOT
+    hot = each >= HOT
+    pairs = np.array(keys, np.int64).reshape(-1, 2)
+    where = block % (1 << bits)
+    yield _rows([(where, block, "docs", _squeeze(pairs[:, 0], pairs[:, 1], n)),
+                 (where, block, "shared", _pack(tokens[hot], np.full(int(hot.sum()), HOT, np.uint8), owner[hot]))])
+    keep = ~hot
     keep[first] = True  # of a hot shingle, one entry with its count
-    hot = each[keep] >= HOT
-    tokens, owner, each = tokens[keep], np.where(hot, 65535, owner[keep]), each[keep]
-    route = (tokens >> np.uint64(LOW_BITS)).astype(np.int64)
-    low = tokens & np.uint64((1 << LOW_BITS) - 1)
+    tokens, owner, each = tokens[keep], np.where(hot, np.uint16(NOBODY), owner)[keep], np.where(hot, each, 1)[keep].astype(np.uint32)
+    low_bits = TOKEN_BITS - bits
+    route = (tokens >> np.uint64(low_bits)).astype(np.int64)
+    low = tokens & np.uint64((1 << low_bits) - 1)
     edges = np.searchsorted(route, np.arange((1 << bits) + 1))
-    spread = (docs.astype(np.int64) * 31 + block) % (1 << bits)
-    yield _arrow(route=spread, block=np.full(len(docs), block), doc=docs, k1=[k[0] for k in keys], k2=[k[1] for k in keys], n=n, codes=codes)
-    full = np.flatnonzero(np.diff(edges))
-    for part in np.array_split(full, max(1, len(full) // 1024)):
-        blobs = [_pack(low[edges[r]:edges[r + 1]], owner[edges[r]:edges[r + 1]], each[edges[r]:edges[r + 1]]) for r in part]
-        yield _arrow(route=part, block=np.full(len(part), block), data=blobs)
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        yield _rows([(r, block, "hashes", _pack(*(x[edges[r]:edges[r + 1]] for x in (low, owner, each))))])
 
 
 def _packer(bits: int, length: int):
@@ -173,56 +189,95 @@ def _packer(bits: int, length: int):
     return run
 
 
-def _shared(route: int, blocks: list[int], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one range: block, document and code (class and hash) of shingles that several documents hold."""
-    parts = [_unpack(b) for b in blobs]
-    low = np.concatenate([p[0] for p in parts])
-    docs = np.concatenate([p[1] for p in parts])
-    counts = np.concatenate([p[2] for p in parts])
+def _shared(route: int, bits: int, blocks: list[int], blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of one range: chunk, document, hash and frequency of shingles that several documents hold."""
+    parts = [_unpack(b, np.uint16, np.uint32) for b in blobs]
+    low, docs, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
     block = np.repeat(np.array(blocks, np.int64), [len(p[0]) for p in parts])
     order = np.argsort(low, kind="stable")
     low, docs, counts, block = low[order], docs[order], counts[order], block[order]
     first = np.flatnonzero(np.diff(low, prepend=low[:1] + np.uint64(1)))
-    held = np.add.reduceat(counts, first)
+    held = np.add.reduceat(counts.astype(np.int64), first)
     each = np.repeat(held, np.diff(np.append(first, len(low))))
-    keep = (each > 1) & (docs != 65535)
-    token = low[keep].astype(np.int64) | (np.int64(route) << LOW_BITS)
-    return block[keep], docs[keep], np.minimum(each[keep], HOT) << 56 | token
-
-
-def _tell(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    block, docs, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((docs, block))
-    block, docs, codes = block[order], docs[order], codes[order]
-    new = np.ones(len(block), bool)
-    new[1:] = (np.diff(block) != 0) | (np.diff(docs) != 0)
-    first = np.flatnonzero(new)
-    return _arrow(block=block[first], doc=docs[first], codes=_lists(codes, first))
-
-
-def _count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range. Passes documents on, and turns blobs into lists of shared shingles."""
-    at, blocks, blobs, parts, held = -1, [], [], [], 0
-    for batch in batches:
-        plain = batch.filter(pc.is_null(batch.column(7)))
-        if plain.num_rows:
-            yield plain
-        packed = batch.filter(pc.is_valid(batch.column(7)))
-        for route, block, data in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), packed.column(7), strict=True):
-            if route != at and blobs:
-                parts.append(_shared(at, blocks, blobs))
-                held += len(parts[-1][0])
-                blocks, blobs = [], []
-                if held > 500_000:
-                    yield _tell(parts)
-                    parts, held = [], 0
-            at = route
-            blocks.append(block)
-            blobs.append(data.as_py())
-    if blobs:
-        parts.append(_shared(at, blocks, blobs))
-    if parts:
-        yield _tell(parts)
+    keep = (each > 1) & (docs != NOBODY)
+    token = low[keep] | np.uint64(route << (TOKEN_BITS - bits))
+    return block[keep], docs[keep], token, np.minimum(each[keep], HOT).astype(np.uint8)
+
+
+def _tell(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row per chunk: the shared shingles of its documents, with their frequency."""
+    block, docs, tokens, often = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((tokens, block))
+    block, docs, tokens, often = block[order], docs[order], tokens[order], often[order]
+    first = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+    last = np.append(first[1:], len(block))
+    return _rows([(0, int(block[f]), "shared", _pack(tokens[f:t], often[f:t], docs[f:t])) for f, t in zip(first, last, strict=True)])
+
+
+def _counter(bits: int):
+    """Rows come sorted by range. Passes documents on, and turns hashes into the chunks' shared shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks, blobs, parts, held = -1, [], [], [], 0
+        for batch in batches:
+            packed = pc.equal(batch.column(2), "hashes")
+            plain = batch.filter(pc.invert(packed))
+            if plain.num_rows:
+                yield plain
+            batch = batch.filter(packed)
+            for route, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if route != at and blobs:
+                    parts.append(_shared(at, bits, blocks, blobs))
+                    held += len(parts[-1][0])
+                    blocks, blobs = [], []
+                    if held > CHUNK:
+                        yield _tell(parts)
+                        parts, held = [], 0
+                at = route
+                blocks.append(block)
+                blobs.append(data.as_py())
+        if blobs:
+            parts.append(_shared(at, bits, blocks, blobs))
+        if sum(len(p[0]) for p in parts):
+            yield _tell(parts)
+
+    return run
+
+
+SET = "node long, k1 long, k2 long, n int, codes array<long>"
+
+
+def _gather(percent: int):
+    """Rows come sorted by chunk. The documents with their codes in order, where they have enough of them for a partner."""
+    def emit(block: int, docs: bytes, shared: list[bytes]) -> pa.RecordBatch:
+        k1, k2, n = _loosen(docs, np.int64, np.int64, np.int32)
+        parts = [_unpack(x, np.uint8, np.uint16) for x in shared]
+        held = sum(np.bincount(p[2], minlength=len(n)) for p in parts)
+        joins = (held * 100 >= n.astype(np.int64) * percent) & (n > 0)
+        chosen = [joins[p[2]] for p in parts]
+        codes = np.concatenate([p[0][c].astype(np.int64) | p[1][c].astype(np.int64) << 56 for p, c in zip(parts, chosen, strict=True)])
+        owner = np.concatenate([p[2][c] for p, c in zip(parts, chosen, strict=True)])
+        codes = codes[np.lexsort((codes, owner))]
+        edges = np.concatenate(([0], np.cumsum(np.where(joins, held, 0)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(codes, pa.int64()), mask=pa.array(~joins))
+        node = np.int64(block) << 16 | np.arange(len(n))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(k1), pa.array(k2), pa.array(n), lists], ["node", "k1", "k2", "n", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, shared = None, None, []
+        for batch in batches:
+            for block, kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if block != at:
+                    if docs is not None:
+                        yield emit(at, docs, shared)
+                    at, docs, shared = block, None, []
+                if kind == "docs":
+                    docs = data.as_py()
+                else:
+                    shared.append(data.as_py())
+        if docs is not None:
+            yield emit(at, docs, shared)
+
+    return run
 
 
 def text_keys(text: str) -> list[Column]:
@@ -232,25 +287,22 @@ def text_keys(text: str) -> list[Column]:
 
 
 def range_bits(rows: int) -> int:
-    """Bits of the hash ranges, so that a range holds some ten thousand shingles up to about 10^6 documents."""
-    return int(np.clip(np.ceil(np.log2(max(rows, 1))) - 6, 6, 14))
+    """Bits of the hash ranges, so that a range holds some hundred thousand shingles up to 10^8 documents."""
+    return int(np.clip(np.ceil(np.log2(max(rows, 1))) - 10, 6, 18))
 
 
-def shared_shingles(docs: DataFrame, text: str = "text", length: int = SHINGLE) -> DataFrame:
-    """Rows (k1, k2, n, codes), one per distinct text: set size, and the codes of shingles that several texts hold.
+def shared_shingles(docs: DataFrame, text: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows (node, k1, k2, n, codes): texts, each once a task, with set size and the codes of shingles that several hold.
 
     A code is the frequency (up to ``HOT``) and the hash, so that ascending codes go from rare
-    to frequent in the same order for all.
+    to frequent in the same order for all. Texts with too few of them for a partner have null.
     """
+    small_batches(docs.sparkSession)
     bits = range_bits(docs.count())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select(*text_keys(text), text_bytes(text).alias("text")).mapInArrow(_packer(bits, length), PACKED)
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    told = packed.repartition(int(parts), "route").sortWithinPartitions("route").mapInArrow(_count_ranges, PACKED)
-    per_doc = told.groupBy("block", "doc").agg(
-        F.max("k1").alias("k1"), F.max("k2").alias("k2"), F.max("n").alias("n"),
-        F.flatten(F.collect_list(F.coalesce("codes", F.array().cast("array<long>")))).alias("codes"))
-    # copies of a text that several tasks hold
-    return per_doc.groupBy("k1", "k2").agg(F.max("n").alias("n"), F.first("codes").alias("codes"))
+    told = packed.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_counter(bits), PACKED)
+    return told.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_gather(percent), SET)
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -258,17 +310,17 @@ def _needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with sizes na and nb, shared codes sa of a, and the exact overlap ``both``."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.size("codes").alias("sa"), F.col("codes").alias("ca"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
     both = F.size(F.array_intersect("ca", "cb"))
-    return (pairs.join(left, "a").join(right, "b").withColumn("both", both)
-            .where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", both.alias("both"))
 
 
-def _in_reach(na: Column, nb: Column, percent: int) -> Column:
-    return (F.least(na, nb) * 100) >= (F.greatest(na, nb) * percent)
+def _similar(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether an overlap makes sets of these sizes similar enough."""
+    return overlap * (100 + percent) >= percent * (na + nb)
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -283,50 +335,73 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_classes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (node, class) of ``nodes`` (node, n, codes): documents joined by similar pairs, and no others."""
     need = _needed(F.col("n"), percent)
-    ordered = nodes.select("node", "n", F.sort_array("codes").alias("codes"), (F.col("n") - need + 1 - (F.col("n") - F.size("codes"))).alias("take"))
+    common = F.aggregate("codes", F.lit(0).cast("long"), lambda t, c: t + F.shiftright(c, 56)) / F.col("n")
+    ordered = nodes.select("node", "n", F.size("codes").alias("s"), common.alias("common"), "codes", (F.size("codes") - need + 1).alias("take"))
     # frequencies of the first prefix, less one each, are the candidates that it leads to
-    cost = F.aggregate(F.slice("codes", 1, F.greatest("take", F.lit(0))), F.lit(0).cast("long"), lambda s, c: s + F.shiftright(c, 56) - 1)
-    more = F.least(F.greatest(F.ceil(F.log2((cost + 1) / FREE_COST)), F.lit(0)), F.lit(MOST_MATCHES - 1), need - 1).cast("int")
-    grown = ordered.withColumn("k", more + 1)
-    postings = materialize(grown.select(
-        "node", "n", "k", F.explode(F.slice("codes", 1, F.greatest(F.col("take") + F.col("k") - 1, F.lit(0)))).alias("code")), "postings")
+    cost = F.aggregate(F.slice("codes", 1, F.greatest("take", F.lit(0))), F.lit(0).cast("long"), lambda t, c: t + F.shiftright(c, 56) - 1)
+    more = F.least(F.greatest(F.ceil(F.log2((cost + 1) / FREE_COST) * MORE_PER_DOUBLING), F.lit(0)), F.lit(MOST_MATCHES - 1), need - 1).cast("int")
+    grown = materialize(ordered.select("node", "n", "s", "common", (more + 1).alias("k"), F.slice(
+        "codes", 1, F.greatest(F.col("take") + more, F.lit(0))).alias("prefix")), "prefixes")
+    facts = grown.select("node", "n", "s", "k")
+    postings = grown.select("node", "common", F.explode("prefix").alias("code"))
     labels = materialize(nodes.select("node", F.col("node").alias("class")), "classes")
-    size = postings.count()
+    size, units, worth = grown.agg(F.sum(F.size("prefix"))).first()[0] or 0, None, True
     for turn in range(MOST_ROUNDS + 1):
-        held = postings.join(labels, "node")
-        per_class = held.groupBy("code", "class").agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("node", F.lit(turn))).alias("first"))
+        # the most common document leads first; later rounds try others of the largest class
+        lead = F.struct("common", F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).cast("double").alias("common"), F.col("node"))
+        held = postings.withColumn("class", F.col("node")) if turn == 0 else postings.join(labels, "node")
+        per_class = held.groupBy("code", "class").agg(F.count(F.lit(1)).alias("members"), F.max(lead).alias("lead"))
         code = Window.partitionBy("code")
-        rank = F.row_number().over(code.orderBy(F.col("members").desc(), "first", "class"))
-        open_codes = (per_class.withColumn("all", F.sum("members").over(code)).withColumn("rank", rank)
-                      .withColumn("largest", F.first("members").over(code.orderBy(F.col("members").desc(), "first", "class")))
-                      .where("all > largest"))
-        open_codes = materialize(open_codes, "open")
+        order = code.orderBy(F.col("members").desc(), F.col("lead").desc())
+        open_codes = (per_class.withColumn("all", F.sum("members").over(code)).withColumn("rank", F.row_number().over(order))
+                      .withColumn("largest", F.max("members").over(code)).where("all > largest"))
+        open_codes = materialize(open_codes.select("code", "class", "members", "all", "rank", F.col("lead.node").alias("lead")), "open")
         left = open_codes.where("rank > 1").agg(F.sum(F.col("members") * F.col("all"))).first()[0] or 0
         if not left:
             break
-        last = left <= PAIRS_PER_POSTING * size or turn == MOST_ROUNDS
-        held = held.join(open_codes.select("code", "class", "rank"), ["code", "class"])
-        minor = held.where("rank > 1").select("code", F.col("node").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("class").alias("ca"))
+        last = turn and (left <= PAIRS_PER_POSTING * size or not worth or turn == MOST_ROUNDS)
+        held = held.select("node", "code", "class").join(open_codes.select("code", "class", "rank"), ["code", "class"])
         if last:
-            other = held.select("code", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("class").alias("cb"), F.col("rank").alias("rb"))
-            met = minor.join(other, (minor["code"] == other["code"]) & (F.col("ca") != F.col("cb")) & ((F.col("rb") == 1) | (F.col("a") < F.col("b")))
-                             & _in_reach(F.col("na"), F.col("nb"), percent))
-            pairs = (met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ka", "kb")).alias("asked"))
-                     .where("shared >= asked").select("a", "b"))
+            links = _similar_pairs(held.join(facts, "node").join(units, "node", "left"), nodes, percent)
         else:
-            # the leader of a shingle is one document of its largest class
-            lead = (held.where("rank = 1").groupBy("code").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-                    .select("code", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")))
-            met = minor.join(lead, "code").where(_in_reach(F.col("na"), F.col("nb"), percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-            best = met.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best"))
-            pairs = best.select("a", F.col("best.b").alias("b"))
-        labels = _relabel(labels, materialize(_verified(pairs, nodes, percent), "links"))
+            minor = held.where("rank > 1").select("code", F.col("node").alias("a"))
+            leads = open_codes.where("rank = 1").select("code", F.col("lead").alias("b"))
+            best = minor.join(leads, "code").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best"))
+            compared = materialize(_compared(best.select("a", F.col("best.b").alias("b")), nodes), "compared")
+            if units is None:
+                units = compared.select(F.col("a").alias("node"), F.col("b").alias("unit"), F.col("nb").alias("of"),
+                                        (F.col("nb") - F.col("both")).alias("gap"), (F.col("sa") - F.col("both")).alias("extra"))
+            links = compared.where(_similar(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+            worth = links.count() > LEAST_JOINED * compared.count()
+        labels = _relabel(labels, links)
         if last:
             break
     return labels
 
 
+def _similar_pairs(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All similar pairs of documents in different classes that share as many prefix shingles as either asks for.
+
+    Of each shingle, documents outside its largest class meet all others. No pair is compared
+    whose overlap is bounded below what it needs: by what both share with anyone, or, if both
+    were compared with the same leader, by what both have of it and beyond it.
+    """
+    def side(suffix: str, *names: str) -> DataFrame:
+        return held.select("code", *[F.col(c).alias(f"{c}{suffix}") for c in ("node", "n", "s", "k", "class", "unit", "of", "gap", "extra", *names)])
+
+    minor, other = side("_a").join(held.where("rank > 1").select("code", F.col("node").alias("node_a")), ["code", "node_a"], "left_semi"), side("_b", "rank")
+    c = F.col
+    beyond = c("of_a") - F.greatest("gap_a", "gap_b") + F.least("extra_a", "extra_b")
+    bound = F.least("s_a", "s_b", F.when(c("unit_a") == c("unit_b"), beyond))
+    met = minor.join(other, (minor["code"] == other["code"]) & (c("class_a") != c("class_b")) & ((c("rank_b") == 1) | (c("node_a") < c("node_b")))
+                     & _similar(bound, c("n_a"), c("n_b"), percent))
+    pairs = (met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+             .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("k_a", "k_b")).alias("asked"))
+             .where("shared >= asked").select("a", "b"))
+    found = _compared(pairs, nodes).where(_similar(F.col("both"), F.col("na"), F.col("nb"), percent))
+    return materialize(found.select("a", "b"), "links")
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT,
                     extra: list[str] | None = None) -> DataFrame:
     """Each document's set size, and the class it is joined into by links of similarity ``percent`` or more.
@@ -337,15 +412,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     are null), and an empty table gives an empty result.
     """
     extra = [c for c in extra or [] if c not in (key, "n_shingles", "component_id")]
-    sets = materialize(
-        shared_shingles(docs, text, length).withColumn("joins", F.size("codes") >= _needed(F.col("n"), percent)).select(
-            "k1", "k2", "n", F.when(F.col("joins") & (F.col("n") > 0), F.col("codes")).alias("codes")), "sets")
-    nodes = materialize(sets.where("codes is not null").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = near_classes(nodes.select("node", "n", "codes"), percent)
+    sets = materialize(shared_shingles(docs, text, length, percent), "sets")
+    nodes = sets.where("codes is not null").select("node", "n", "codes")
+    labels = near_classes(nodes, percent)
     rows = docs.select(F.struct(docs[key].alias("id"), *[docs[c].alias(f"x{i}") for i, c in enumerate(extra)]).alias("row"), *text_keys(text))
     least = rows.groupBy("k1", "k2").agg(F.min("row.id").alias("least"))
-    named = nodes.select("k1", "k2", "node").join(labels, "node").select("k1", "k2", "class")
-    texts = least.join(sets.select("k1", "k2", "n"), ["k1", "k2"]).join(named, ["k1", "k2"], "left")
+    # copies of a text that several tasks hold are in one class
+    named = sets.select("node", "k1", "k2", "n").join(labels, "node", "left").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("class").alias("class"))
+    texts = least.join(named, ["k1", "k2"])
     roots = texts.where("class is not null").groupBy("class").agg(F.min("least").alias("root"))
     texts = texts.join(roots, "class", "left").select("k1", "k2", "n", F.coalesce("root", "least").alias("component"))
     whole = rows.join(texts, ["k1", "k2"])

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import cut_points, text_bytes
+from plenumlens.llm.tables import cut_points, small_batches, text_bytes
 
 #: Consecutive item words that make a leak.
 SPAN_WORDS = 10
@@ -219,6 +219,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
     words or an empty item table hit nothing, equal items all count, items with a null id hit
     but are not listed, repeated rows stay, and a column of the name ``into`` is replaced.
     """
+    small_batches(docs.sparkSession)
     for k, automaton in enumerate(automata(items, item_key, item_text, limit, block_words)):
         reader = _reader(docs.sparkSession, automaton, k == 0)
         docs = docs.withColumn(into, reader(text_bytes(text)) if k == 0 else reader(text_bytes(text), F.col(into)))
@@ -241,6 +242,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
     """
     columns = docs.columns
     spark = docs.sparkSession
+    small_batches(spark)
     known = [spark.sparkContext.broadcast(a) for a in automata(items, item_key, item_text, limit, block_words)]
 
     @F.pandas_udf("struct<share:double,text:binary>")

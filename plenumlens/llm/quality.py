@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import text_bytes
+from plenumlens.llm.tables import small_batches, text_bytes
 
 #: Labelled documents that the model is fitted on, at most (the ones of smallest id hash).
 TRAIN_DOCS = 6_000
@@ -216,6 +216,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Rows with null key or label are passed over; of several labels of a document the smallest
     counts. Without any labelled document the blank field comes back, which scores 0.5.
     """
+    small_batches(docs.sparkSession)
     known = (labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
              .where(F.col("__k").isNotNull() & F.col("__y").isin(0, 1) & ~held_out(F.col("__k"))))
     sample = known.groupBy("__k").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(max_docs)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.jaccard import text_keys
-from plenumlens.llm.tables import mix64, text_bytes
+from plenumlens.llm.tables import mix64, small_batches, text_bytes
 
 LENGTH = 200
 ANCHOR = 48
@@ -359,6 +359,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (k1, k2, text), dealt by key, and their repeated spans (k1, k2, first, last)."""
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.select(*text_keys(text), text_bytes(text).alias("text")).mapInArrow(_once, TEXT)
     # the filter that joins would add, so that all three readers share one exchange

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 #: The bytes that split words on white space: blank, tab, newline, vertical tab, form feed, return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of whole texts, at most.
+BATCH_ROWS = 1_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts go to Python in batches of few rows, since long ones would fill a task's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(text: str = "text") -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
