@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.jaccard import text_keys
-from plenumlens.llm.tables import mix64, text_bytes
+from plenumlens.llm.tables import mix64, small_batches, text_bytes
+from plenumlens.session import materialize
 
 #: Shorter lines are near only if they are equal.
 MIN_WORDS = 5
+#: Size of the filter that spares lines without a partner a shuffle.
+FILTER_BITS = 1 << 26
 
 PLACE = ["id", "k1", "k2", "no"]
 _BASE = 0x9E3779B97F4A7C15
@@ -76,53 +79,108 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[same + (len(a) == len(b)):] == b[same + 1:]
 
 
-def _liner(min_words: int, what: str):
-    """Lines of documents: ``halves`` (with first places' keys), ``places`` only, or ``texts`` (each once a task)."""
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (digest >> 64) - (1 << 63), (digest & _WRAP) - (1 << 63)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, int, list[bytes], tuple[int, int]]]:
+    """Row, batch, line number, words and digest of every line that has words."""
+    for batch in batches:
+        for i, text in enumerate(batch.column(3).to_pylist()):
+            for no, line in enumerate(text.split(b"\n")):
+                words = words_of(line)
+                if words:
+                    yield i, batch, no, words, _digest(words)
+
+
+PLACES = "h1 long, h2 long, id long, k1 long, k2 long, no int"
+HALVES = "h1 long, half long"
+TEXTS = "h1 long, h2 long, line binary"
+SLICE = 50_000
+
+
+def _columns(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of every line."""
+    h, rows, numbers, of = [], [], [], None
+
+    def out() -> pa.RecordBatch:
+        at = pa.array(rows)
+        return _columns(PLACES, [x for x, _ in h], [x for _, x in h], *(of.column(c).take(at) for c in range(3)), numbers)
+
+    for i, batch, no, _, digest in _lines(batches):
+        if h and (batch is not of or len(h) >= SLICE):
+            yield out()
+            h, rows, numbers = [], [], []
+        of = batch
+        h.append(digest)
+        rows.append(i)
+        numbers.append(no)
+    if h:
+        yield out()
+
+
+def _halved(min_words: int):
+    """Keys of the halves of every line that is long enough, once per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        h, sizes, keys = [], [], []
+        for _, _, _, words, (h1, _) in _lines(batches):
+            if len(words) < min_words or h1 in seen:
+                continue
+            seen.add(h1)
+            found = halves(words)
+            h.append(h1)
+            sizes.append(len(found))
+            keys += found
+            if len(h) >= SLICE:
+                yield _columns(HALVES, np.repeat(np.array(h, np.int64), sizes), np.array(keys, np.uint64).view(np.int64))
+                h, sizes, keys = [], [], []
+        if h:
+            yield _columns(HALVES, np.repeat(np.array(h, np.int64), sizes), np.array(keys, np.uint64).view(np.int64))
+
+    return run
+
+
+def _wanted(shared, min_words: int):
+    """Lines that the filter of wanted digests lets through, once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            ids, k1, k2 = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                for no, line in enumerate(text.split(b"\n")):
-                    words = words_of(line)
-                    if not words:
-                        continue
-                    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    key = ((digest >> 64) - (1 << 63), (digest & _WRAP) - (1 << 63))
-                    if what == "places":
-                        rows.append((*key, ids[i], k1[i], k2[i], no))
-                        continue
-                    new = key not in seen and len(words) >= min_words
-                    if new:
-                        seen.add(key)
-                    if what == "halves":
-                        rows.append((*key, ids[i], k1[i], k2[i], no, [x - (1 << 63) for x in halves(words)] if new else None))
-                    elif new:
-                        rows.append((*key, b" ".join(words)))
-                if len(rows) > 50_000:
-                    yield _batch(rows, what)
+        bits, seen, rows = shared.value, set(), []
+        for _, _, _, words, (h1, h2) in _lines(batches):
+            if len(words) >= min_words and passes(bits, h1) and h1 not in seen:
+                seen.add(h1)
+                rows.append((h1, h2, b" ".join(words)))
+                if len(rows) >= SLICE:
+                    yield _columns(TEXTS, *zip(*rows, strict=True))
                     rows = []
-            if rows:
-                yield _batch(rows, what)
+        if rows:
+            yield _columns(TEXTS, *zip(*rows, strict=True))
 
     return run
 
 
-_KINDS = {
-    "places": [pa.int64()] * 5 + [pa.int32()],
-    "halves": [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64())],
-    "texts": [pa.int64(), pa.int64(), pa.binary()],
-}
-_NAMES = {"places": "h1 long, h2 long, id long, k1 long, k2 long, no int",
-          "halves": "h1 long, h2 long, id long, k1 long, k2 long, no int, halves array<long>",
-          "texts": "h1 long, h2 long, line binary"}
+def make_filter(keys: DataFrame, column: str) -> bytes:
+    """A Bloom filter of ``FILTER_BITS`` bits over uniform 64-bit keys; its size doesn't grow with their number."""
+    low = F.col(column).bitwiseAND(FILTER_BITS - 1)
+    high = F.shiftright(column, 28).bitwiseAND(FILTER_BITS - 1)
+    spots = keys.select(F.explode(F.array(low, high)).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    table = words.toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out.tobytes()
 
 
-def _batch(rows: list[tuple], what: str) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS[what], strict=True)],
-                                      [x.split()[0] for x in _NAMES[what].split(", ")])
+def passes(bits: bytes, key: int) -> bool:
+    """Whether the filter may hold the key."""
+    low, high = key & (FILTER_BITS - 1), key >> 28 & (FILTER_BITS - 1)
+    return bool(bits[low >> 3] >> (low & 7) & 1 and bits[high >> 3] >> (high & 7) & 1)
 
 
 def _vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +194,8 @@ def _vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           batch.column(1).take(at)], ["v", "cut", "place"])
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_words: int, what: str) -> DataFrame:
-    rows = docs.select(docs[key].cast("long").alias("id"), *text_keys(text), text_bytes(text).alias("text"))
-    return rows.mapInArrow(_liner(min_words, what), _NAMES[what])
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(docs[key].cast("long").alias("id"), *text_keys(text), text_bytes(text).alias("text"))
 
 
 def _place() -> Column:
@@ -146,14 +203,16 @@ def _place() -> Column:
 
 
 def line_states(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (h1, h2, place, near) per distinct line: its earliest place, and that of an earlier near line, or null."""
-    found = _lines(docs, key, text, min_words, "halves")
-    distinct = found.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("halves", ignorenulls=True).alias("halves"))
-    halved = distinct.select("h1", "h2", "place", F.explode("halves").alias("half"))
-    shared = halved.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("half"))).where("n > 1")
-    several = shared.groupBy("h1", "h2").agg(F.min("place").alias("place"))
-    texts = _lines(docs, key, text, min_words, "texts").join(several, ["h1", "h2"])
-    lines = texts.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("place").alias("place"))
+    """Rows (h1, h2, place, times, near) per distinct line: its earliest place, how often it stands, and an earlier near line's place, or null."""
+    spark, rows = docs.sparkSession, _rows(docs, key, text)
+    small_batches(spark)
+    distinct = materialize(rows.mapInArrow(_places, PLACES).groupBy("h1", "h2").agg(
+        F.min(_place()).alias("place"), F.count(F.lit(1)).alias("times")), "lines")
+    shared = rows.mapInArrow(_halved(min_words), HALVES).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("half")))
+    several = materialize(shared.where("n > 1").select("h1").distinct(), "several")
+    known = spark.sparkContext.broadcast(make_filter(several, "h1"))
+    texts = rows.mapInArrow(_wanted(known, min_words), TEXTS).join(several, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    lines = materialize(texts.join(distinct, ["h1", "h2"]).select("h1", "h2", "line", "place"), "near-lines")
     varied = lines.select("line", "place").mapInArrow(_vary, "v long, cut int, place struct<id:bigint,k1:bigint,k2:bigint,no:int>")
     of_all = Window.partitionBy("v")
     whole = F.min(F.when(F.col("cut") < 0, F.col("place"))).over(of_all)
@@ -170,7 +229,7 @@ def line_states(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     mine = lines.select("h1", "h2", "place", F.col("line").alias("mine"))
     other = lines.select(F.col("place").alias("first"), F.col("line").alias("other"))
     checked = pairs.join(mine, "place").join(other, "first").where(near("mine", "other")).select("h1", "h2", F.col("first").alias("near"))
-    return distinct.select("h1", "h2", "place").join(checked, ["h1", "h2"], "left")
+    return distinct.join(checked, ["h1", "h2"], "left")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -184,8 +243,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     loses lines to the other), and an empty table gives an empty result. Keys must be integers;
     other columns are left out.
     """
-    states = line_states(docs, key, text, min_words)
-    places = _lines(docs, key, text, min_words, "places")
+    states = line_states(docs, key, text, min_words).where("times > 1 or near is not null")
+    places = _rows(docs, key, text).mapInArrow(_places, PLACES)
     gone = places.join(states, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("place") != _place()))
     lists = gone.groupBy("id", "k1", "k2").agg(F.collect_set("no").alias("gone"))
     rows = docs.select(docs[key].alias("key"), *text_keys(text), text_bytes(text).alias("bytes"))
