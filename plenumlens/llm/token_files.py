@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,57 +25,121 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenumlens.llm.tables import small_batches
+
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Pieces of text whose ids a worker keeps.
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 800_000
 #: Characters that are tokenized at once.
 SLICE = 4 << 20
 
 ROW = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 
+#: A word of Latin letters, perhaps after a line feed and before ASCII signs: the tokenizer cuts it there.
+_WORD = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+#: Words that are tokenized in one text, between line feeds.
+_TOGETHER = 32
+_LED, _BARE, _RAW = 0, 1, 2
+
+
+#: A blank or line feed within white space that goes on: no border of pieces. Without one of the
+#: suspect strings an ASCII text has none, but perhaps at its end.
+_JOINED = re.compile(r"\s[ \n](?!\S)")
+_SUSPECT = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f"]
+
+
 class _Pieces(dict):
-    """Numbers of the pieces seen, and the ids behind each number.
+    """Numbers of the pieces of texts, the parts of each piece, and the ids of each part.
 
     A piece stands with a blank before it, unless it begins with a line feed or is a tuple (the
-    beginning of a text). A word with a full stop or comma takes the ids of both.
+    beginning of a text). Its parts are words with a blank before them or without, and anything
+    else as it is. New parts wait in ``new`` for their ids.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.size = tokenizer, 0
-        self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
-        self.new: list[tuple[int, str]] = []
-        self.closed: list[tuple[int, int, str]] = []
-        self.marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.tokenizer, self.size, self.n_parts = tokenizer, 0, 0
+        self.parts: tuple[dict[str, int], ...] = ({}, {}, {})
+        self.new: tuple[list[str], ...] = ([], [], [])
+        self.numbers: tuple[list[int], ...] = ([], [], [])
+        self.of: list[int] = []  # parts of the pieces that wait
+        self.ends: list[int] = []
+        self.line = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.first = np.zeros(1, np.int64)  # of each part's ids
+        self.ids = np.empty(0, np.int32)
+        self.first_part = np.zeros(1, np.int64)  # of each piece's parts
+        self.part = np.empty(0, np.int64)
+
+    def _part(self, kind: int, text: str) -> int:
+        number = self.parts[kind].get(text)
+        if number is None:
+            number = self.parts[kind][text] = self.n_parts
+            self.n_parts = number + 1
+            self.new[kind].append(text)
+            self.numbers[kind].append(number)
+        return number
 
     def __missing__(self, piece) -> int:
-        if type(piece) is str and piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            stem = self[piece[:-1]]
-            self.closed.append((self.size, stem, piece[-1]))
-        else:
-            self.new.append((self.size, piece[0] if type(piece) is tuple else piece if piece[:1] == "\n" else " " + piece))
         number = self.size
-        self.size += 1
-        if type(piece) is str:
+        self.size = number + 1
+        if type(piece) is tuple:
+            self.of.append(self._part(_RAW, piece[0]))
+        else:
             self[piece] = number
+            if piece.isascii() and piece.isalpha():
+                self.of.append(self._part(_LED, piece))
+            elif (word := _WORD.fullmatch(piece)) is None:
+                self.of.append(self._part(_RAW, piece if piece[:1] == "\n" else " " + piece))
+            else:
+                line, letters, signs = word.groups()
+                if line:
+                    self.of.append(self._part(_RAW, line))
+                self.of.append(self._part(_BARE if line else _LED, letters))
+                if signs:
+                    self.of.append(self._part(_RAW, signs))
+        self.ends.append(len(self.of))
         return number
 
     def learn(self) -> None:
-        """Tokenize the waiting pieces."""
+        """Tokenize the waiting parts: words in lines of one text, whose line feeds mark the borders."""
         known = len(self.first) - 1
-        got: list = [None] * (self.size - known)
-        for (number, _), e in zip(self.new, self.tokenizer.encode_batch([p for _, p in self.new], add_special_tokens=False), strict=True):
-            got[number - known] = e.ids
-        for number, stem, mark in self.closed:
-            ids = got[stem - known] if stem >= known else self.ids[self.first[stem]:self.first[stem + 1]].tolist()
-            got[number - known] = ids + self.marks[mark]
-        self.new, self.closed = [], []
-        self.first = np.concatenate([self.first, np.cumsum(np.array([len(g) for g in got], np.int64)) + self.first[-1]])
-        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int32)])
+        sizes = np.zeros(self.n_parts - known, np.int64)
+        found = []
+        for kind, texts in enumerate(self.new):
+            if not texts:
+                continue
+            numbers = np.array(self.numbers[kind]) - known
+            if kind != _RAW:
+                lead = " " if kind == _LED else ""
+                texts = [lead + f"\n{lead}".join(texts[i:i + _TOGETHER]) for i in range(0, len(texts), _TOGETHER)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            if kind == _RAW:
+                sizes[numbers] = [len(g) for g in got]
+                ids = np.fromiter(chain.from_iterable(got), np.int32)
+            else:
+                marked = np.fromiter(chain.from_iterable(chain.from_iterable(zip(got, repeat([self.line])))), np.int32)
+                sizes[numbers] = np.diff(np.flatnonzero(marked == self.line), prepend=-1) - 1
+                ids = marked[marked != self.line]
+            found.append((numbers, ids))
+        self.new, self.numbers = ([], [], []), ([], [], [])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        fresh = np.empty(int(first[-1]), np.int32)
+        for numbers, ids in found:
+            fresh[_runs(first[numbers], sizes[numbers])] = ids
+        self.first = np.concatenate([self.first, first[1:] + self.first[-1]])
+        self.ids = np.concatenate([self.ids, fresh])
+        self.first_part = np.concatenate([self.first_part, np.array(self.ends, np.int64) + self.first_part[-1]])
+        self.part = np.concatenate([self.part, np.array(self.of, np.int64)])
+        self.of, self.ends = [], []
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1... of runs of the given sizes, one after the other."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 class Encoder:
@@ -92,8 +157,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = _Pieces(self.tokenizer)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"\s[ \n](?!\S)", *special]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text must be tokenized as it is."""
+        if any(s in text for s in self.special):
+            return True
+        if text.isascii() and not any(s in text for s in _SUSPECT):
+            return text[-1:] in (" ", "\n") and text[-2:-1].isspace()
+        return _JOINED.search(text) is not None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one after the other, and each text's number of ids."""
@@ -106,17 +178,20 @@ class Encoder:
         begin = []
         for text in texts:
             begin.append(len(plan))
-            if self.odd.search(text):
+            if self._whole(text):
                 plan.append(number((text,)))
             else:
                 head, *rest = text.replace("\n", " \n").split(" ")
                 plan.append(number((head,)))
                 plan.extend(map(number, rest))
-        self.pieces.learn()
-        first, ids, at = self.pieces.first, self.pieces.ids, np.array(plan, np.int64)
-        n = first[at + 1] - first[at]
-        where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return ids[where], np.add.reduceat(n, begin)
+        known = self.pieces
+        known.learn()
+        at = np.array(plan, np.int64)
+        n = known.first_part[at + 1] - known.first_part[at]
+        part = known.part[_runs(known.first_part[at], n)]
+        size = known.first[part + 1] - known.first[part]
+        per_text = np.add.reduceat(np.add.reduceat(size, np.cumsum(n) - n), begin)
+        return known.ids[_runs(known.first[part], size)], per_text
 
 
 @lru_cache(maxsize=1)
@@ -164,6 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     rows. Other columns are left out. ``dictionary=False`` delta-encodes the ids as well.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     ordered = plain.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
