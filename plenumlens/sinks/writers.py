@@ -26,7 +26,7 @@ REPORT_TEXT = 150
 
 def write_transcripts(
     canonical: DataFrame, path: str, keys: Sequence[str] = ("term", "proceeding_id", "date"),
-    order: str = "num", text: str = "text", file_format: str = "json", rows_per_file: int = 1_000_000,
+    order: str = "num", text: str = "text", file_format: str = "json", rows_per_file: int = 100_000,
 ) -> None:
     """One folder per (term, proceeding, date), rows in ``num`` order, replaced as a whole.
 
