@@ -467,7 +467,9 @@ def src_lexicon(spark, sf_dir):
     )
     entries = tables.parse_lexicon(files, carry=["p_partkey"])
     return ranking.rank_all(
-        entries.select("p_partkey", "keyword", "weight"), [], [F.floor(F.col("p_partkey") / 4096)], [F.col("p_partkey")], rank="ord"
+        entries.select("p_partkey", "keyword", "weight"), [],
+        # the only unpartitioned level has one row per 16 million entries
+        [F.floor(F.col("p_partkey") / (1 << 24)), F.floor(F.col("p_partkey") / 4096)], [F.col("p_partkey")], rank="ord"
     ).select((F.col("ord") - 1).alias("ord"), "keyword", "weight")
 
 
