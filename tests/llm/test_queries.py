@@ -78,5 +78,21 @@ def test_stages(spark, docs):
             assert max(load.values()) - min(load.values()) <= max(r["size"] for r in after)
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(spark, odd, empty, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for rows in (odd, empty):
+        plain = rows.select(columns)
+        got = run(spark, plain, SF_DIR)
+        assert got.columns[:5] == columns
+        ids = {r.doc_id for r in plain.collect()}
+        kept = got.collect()
+        assert {r.doc_id for r in kept} <= ids and (kept or not ids)
+    if stage == "n-gram jaccard join":  # one row of each class: the copies of document 1 and the nameless one are one class
+        kept = Counter(r.doc_id for r in run(spark, odd.select(columns), SF_DIR).collect())
+        assert kept[1] == 1 and 6 not in kept and 8 not in kept and max(n for i, n in kept.items() if i is not None) <= 2
+
+
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 100
