@@ -311,11 +311,11 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) with sizes na and nb, shared codes sa of a, and the exact overlap ``both``."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.size("codes").alias("sa"), F.col("codes").alias("ca"))
+    """The pairs (a, b) with sizes na and nb, the exact overlap ``both``, and the shared codes of a beyond b."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
     both = F.size(F.array_intersect("ca", "cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", both.alias("both"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"), F.array_except("ca", "cb").alias("beyond"))
 
 
 def _similar(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -362,7 +362,10 @@ def near_classes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         last = turn and (left <= PAIRS_PER_POSTING * size or not worth or turn == MOST_ROUNDS)
         held = held.select("node", "code", "class").join(open_codes.select("code", "class", "rank"), ["code", "class"])
         if last:
-            links = _similar_pairs(held.join(facts, "node").join(units, "node", "left"), nodes, percent)
+            near = _met_in_prefix(held.join(facts, "node").join(units.drop("beyond"), "node", "left"), percent)
+            beside = _met_beside_leader(units.join(facts, "node"), labels, percent)
+            found = _compared(near.union(beside).distinct(), nodes).where(_similar(F.col("both"), F.col("na"), F.col("nb"), percent))
+            links = materialize(found.select("a", "b"), "links")
         else:
             minor = held.where("rank > 1").select("code", F.col("node").alias("a"))
             leads = open_codes.where("rank = 1").select("code", F.col("lead").alias("b"))
@@ -370,7 +373,7 @@ def near_classes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
             compared = materialize(_compared(best.select("a", F.col("best.b").alias("b")), nodes), "compared")
             if units is None:
                 units = compared.select(F.col("a").alias("node"), F.col("b").alias("unit"), F.col("nb").alias("of"),
-                                        (F.col("nb") - F.col("both")).alias("gap"), (F.col("sa") - F.col("both")).alias("extra"))
+                                        (F.col("nb") - F.col("both")).alias("gap"), "beyond")
             links = compared.where(_similar(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
             worth = links.count() > LEAST_JOINED * compared.count()
         labels = _relabel(labels, links)
@@ -379,27 +382,48 @@ def near_classes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return labels
 
 
-def _similar_pairs(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All similar pairs of documents in different classes that share as many prefix shingles as either asks for.
+def _met_in_prefix(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different classes that share as many prefix shingles as either asks for.
 
-    Of each shingle, documents outside its largest class meet all others. No pair is compared
-    whose overlap is bounded below what it needs: by what both share with anyone, or, if both
-    were compared with the same leader, by what both have of it and beyond it.
+    Of each shingle, documents outside its largest class meet all others. Pairs are left out
+    whose overlap is bounded below what it needs: by what each shares with anyone, or, if both
+    were compared with one leader, by what both have of it. (What they have in common beyond the
+    leader is looked at by :func:`_met_beside_leader`.)
     """
-    def side(suffix: str, *names: str) -> DataFrame:
-        return held.select("code", *[F.col(c).alias(f"{c}{suffix}") for c in ("node", "n", "s", "k", "class", "unit", "of", "gap", "extra", *names)])
+    def side(suffix: str) -> DataFrame:
+        return held.select("code", *[F.col(c).alias(f"{c}{suffix}") for c in ("node", "n", "s", "k", "class", "rank", "unit", "of", "gap")])
 
-    minor, other = side("_a").join(held.where("rank > 1").select("code", F.col("node").alias("node_a")), ["code", "node_a"], "left_semi"), side("_b", "rank")
-    c = F.col
-    beyond = c("of_a") - F.greatest("gap_a", "gap_b") + F.least("extra_a", "extra_b")
-    bound = F.least("s_a", "s_b", F.when(c("unit_a") == c("unit_b"), beyond))
+    c, minor, other = F.col, side("_a").where("rank_a > 1"), side("_b")
+    bound = F.least("s_a", "s_b", F.when(c("unit_a") == c("unit_b"), c("of_a") - F.greatest("gap_a", "gap_b")))
     met = minor.join(other, (minor["code"] == other["code"]) & (c("class_a") != c("class_b")) & ((c("rank_b") == 1) | (c("node_a") < c("node_b")))
                      & _similar(bound, c("n_a"), c("n_b"), percent))
-    pairs = (met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("k_a", "k_b")).alias("asked"))
-             .where("shared >= asked").select("a", "b"))
-    found = _compared(pairs, nodes).where(_similar(F.col("both"), F.col("na"), F.col("nb"), percent))
-    return materialize(found.select("a", "b"), "links")
+    return (met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("k_a", "k_b")).alias("asked"))
+            .where("shared >= asked").select("a", "b"))
+
+
+def _met_beside_leader(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different classes that were compared with one leader and are similar only through what it lacks.
+
+    The overlap is at most what both have of the leader, and what they share beyond it, which is
+    counted here in full. So pairs meet on shingles beyond the leader, and those are rare.
+    """
+    head = labels.select(F.col("node").alias("unit"), F.col("class").alias("head"))
+    known = members.join(labels, "node").join(head, "unit")
+    spread = known.select("unit", "of", "node", "n", "gap", "class", "head", F.size("beyond").alias("extra"), F.explode("beyond").alias("code"))
+
+    def side(suffix: str) -> DataFrame:
+        return spread.select("unit", "code", *[F.col(c).alias(f"{c}{suffix}") for c in ("of", "node", "n", "gap", "class", "head", "extra")])
+
+    c = F.col
+    of_leader = c("of_a") - F.greatest("gap_a", "gap_b")
+    met = side("_a").where("class_a <> head_a").join(side("_b"), ["unit", "code"]).where(
+        (c("class_a") != c("class_b")) & ((c("class_b") == c("head_b")) | (c("node_a") < c("node_b")))
+        & ~_similar(of_leader, c("n_a"), c("n_b"), percent)
+        & _similar(of_leader + F.least("extra_a", "extra_b"), c("n_a"), c("n_b"), percent))
+    counted = met.groupBy("node_a", "node_b", "n_a", "n_b", of_leader.alias("of_leader")).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(_similar(c("of_leader") + c("shared"), c("n_a"), c("n_b"), percent)).select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT,
