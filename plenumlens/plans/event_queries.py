@@ -214,9 +214,13 @@ FROM (SELECT ts, ['ollama', 'openai', 'claude', 'gemini'][1 + user_id % 4] AS pr
 def str_quota(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in ("ollama", "openai", "claude", "gemini")])
     provider = F.element_at(names, (F.col("user_id") % 4 + 1).cast("int"))
-    calls = events(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts"), provider.alias("provider"))
-    used = evaluation.quota_usage(calls, "ts", "provider")
-    return used.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
+    calls = event_stream(spark, sf_dir, 3).select("ts", provider.alias("provider"))
+    path = scratch_path(spark, "quota")
+    jobs.updates(jobs.quota_stream(calls, "ts", "provider"), path, scratch_path(spark, "quota-state")).awaitTermination()
+    # a minute cut in two by the end of a file is counted on by the next batch
+    last = F.max_by(F.struct("calls", "over_quota"), "batch_id").alias("last")
+    used = spark.read.parquet(path).groupBy("minute", "provider").agg(last)
+    return used.select(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "provider", "last.*")
 
 
 _TITLE = "'Sitting of the house, on the matters listed under number ' || user_id"

@@ -87,6 +87,18 @@ def quota_stream(
     return quota_usage(calls.withWatermark(ts, delay), ts, provider, caps)
 
 
+def updates(stream: DataFrame, path: str, checkpoint: str, poll_minutes: int | None = None) -> StreamingQuery:
+    """Write the rows of an aggregate that each batch changes under the batch's own folder.
+
+    Unlike with appending, a window can be read before the watermark closes it, and state older
+    than the watermark still goes. A reader takes the last row of each window.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(stream, checkpoint, poll_minutes, "update").foreachBatch(each).start()
+
+
 def notify(
     stream: DataFrame, key: str, date: str, title: str, event_time: str, path: str, checkpoint: str,
     poll_minutes: int | None = None, deliver: Callable[[DataFrame, int], None] | None = None,
