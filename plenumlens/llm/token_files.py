@@ -265,9 +265,9 @@ def manifest(tokens: DataFrame) -> DataFrame:
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(4)
-        edges = lists.offsets.to_numpy()
-        ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        edges = lists.offsets.to_numpy().tolist()
+        ids = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())],
                                          ["shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32"])
 
