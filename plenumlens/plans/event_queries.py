@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
-from plenumlens.operators import evaluation, ranking, refresh, statements, summaries
+from plenumlens.operators import ranking, refresh, statements, summaries
 from plenumlens.plans.registry import query, table
 from plenumlens.session import scratch_path
 from plenumlens.sinks import writers
