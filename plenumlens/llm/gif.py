@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import small_batches, text_bytes
+from plenumlens.llm.tables import settled, small_batches, text_bytes
 
 #: Samples of a row, and rows of a frame: a payload is cut into frames of 64 KiB.
 WIDTH, FRAME_ROWS = 64, 1024
@@ -272,7 +272,7 @@ def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> Data
 
     @F.pandas_udf("binary")
     def store(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in settled(texts):
             yield batch.map(lambda t: write_gif(padded(t)))
 
     return docs.withColumn(into, store(text_bytes(text)))
@@ -285,7 +285,7 @@ def with_frames(media: DataFrame, column: str = "media", into: str = "frames") -
     """
     @F.pandas_udf(FRAME)
     def frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in settled(batches):
             out = []
             for data in batch:
                 rows, clock = [], 0
@@ -324,7 +324,7 @@ def with_payload(media: DataFrame, column: str = "media", into: str = "payload")
     @F.pandas_udf(PAYLOAD)
     def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch in batches:
+        for batch in settled(batches):
             yield pd.DataFrame([payload_facts(d) for d in batch], columns=names)
 
     return media.withColumn(into, facts(F.col(column)))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.graph import components
-from plenumlens.llm.tables import mix64, small_batches, text_bytes
+from plenumlens.llm.tables import mix64, settled, small_batches, text_bytes
 from plenumlens.session import materialize
 
 SHINGLE = 5
@@ -42,7 +42,7 @@ PERCENT = 80
 #: Frequencies from here on are one class. A shingle this frequent within a task's chunk is hot.
 HOT = 64
 #: Shingles and documents of a chunk.
-CHUNK = 1_000_000
+CHUNK = 500_000
 CHUNK_DOCS = 60_000
 #: The document number of an entry that stands for a hot shingle's count.
 NOBODY = 65_535
@@ -50,7 +50,7 @@ NOBODY = 65_535
 #: common with a chance of one in 10^8; a code has 7 bits more for the frequency.
 TOKEN_BITS = 48
 #: Distinct words whose hashes a task keeps.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 #: Cost that the first prefix may have; each doubling asks for some more shared shingles.
 FREE_COST = 16
 MORE_PER_DOUBLING = 2
@@ -171,7 +171,7 @@ def _packer(bits: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, part = _WordHashes(), set(), TaskContext.get().partitionId()
         sets, keys, total, chunks = [], [], 0, 0
-        for batch in batches:
+        for batch in settled(batches):
             for k1, k2, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 key = (k1.as_py(), k2.as_py())
                 if key in seen:
@@ -218,7 +218,7 @@ def _counter(bits: int):
     """Rows come sorted by range. Passes documents on, and turns hashes into the chunks' shared shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blocks, blobs, parts, held = -1, [], [], [], 0
-        for batch in batches:
+        for batch in settled(batches):
             packed = pc.equal(batch.column(2), "hashes")
             plain = batch.filter(pc.invert(packed))
             if plain.num_rows:
@@ -229,7 +229,7 @@ def _counter(bits: int):
                     parts.append(_shared(at, bits, blocks, blobs))
                     held += len(parts[-1][0])
                     blocks, blobs = [], []
-                    if held > CHUNK:
+                    if held > 4 * CHUNK:
                         yield _tell(parts)
                         parts, held = [], 0
                 at = route
@@ -264,7 +264,7 @@ def _gather(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, docs, shared = None, None, []
-        for batch in batches:
+        for batch in settled(batches):
             for block, kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if block != at:
                     if docs is not None:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import cut_points, small_batches, text_bytes
+from plenumlens.llm.tables import cut_points, settled, small_batches, text_bytes
 
 #: Consecutive item words that make a leak.
 SPAN_WORDS = 10
@@ -195,7 +195,7 @@ def _reader(spark, automaton: Automaton, first: bool):
         @F.pandas_udf(HITS)
         def read_first(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             known = shared.value
-            for batch in texts:
+            for batch in settled(texts):
                 yield pd.DataFrame([read_hits(t, known) for t in batch], columns=["n_words", "n_hit", "spans", "items"])
 
         return read_first
@@ -203,7 +203,7 @@ def _reader(spark, automaton: Automaton, first: bool):
     @F.pandas_udf(HITS)
     def read_more(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        for texts, before in batches:
+        for texts, before in settled(batches):
             rows = [read_hits(t, known, b) for t, b in zip(texts, before.to_dict("records"), strict=True)]
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items"])
 
@@ -247,7 +247,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
 
     @F.pandas_udf("struct<share:double,text:binary>")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        for batch in settled(texts):
             out = []
             for whole in batch:
                 left, share = whole, None

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.jaccard import text_keys
-from plenumlens.llm.tables import mix64, small_batches, text_bytes
+from plenumlens.llm.tables import mix64, settled, small_batches, text_bytes
 from plenumlens.session import materialize
 
 #: Shorter lines are near only if they are equal.
@@ -86,7 +86,7 @@ def _digest(words: list[bytes]) -> tuple[int, int]:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, int, list[bytes], tuple[int, int]]]:
     """Row, batch, line number, words and digest of every line that has words."""
-    for batch in batches:
+    for batch in settled(batches):
         for i, text in enumerate(batch.column(3).to_pylist()):
             for no, line in enumerate(text.split(b"\n")):
                 words = words_of(line)
@@ -185,7 +185,7 @@ def passes(bits: bytes, key: int) -> bool:
 
 def _vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each variant of a line: hash, deleted place (-1: none), and the line's earliest place."""
-    for batch in batches:
+    for batch in settled(batches):
         got = [variants(line.split()) for line in batch.column(0).to_pylist()]
         sizes = np.array([len(g) for g in got])
         at = pa.array(np.repeat(np.arange(len(got)), sizes))

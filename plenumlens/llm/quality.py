@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenumlens.llm.tables import small_batches, text_bytes
+from plenumlens.llm.tables import settled, small_batches, text_bytes
 
 #: Labelled documents that the model is fitted on, at most (the ones of smallest id hash).
 TRAIN_DOCS = 6_000
@@ -236,7 +236,7 @@ def scorer(field: LineField):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in settled(batches):
             size = texts.map(len).cumsum().to_numpy() // SLICE_BYTES
             yield pd.Series(np.concatenate([field.score(part.tolist()) for _, part in texts.groupby(size)]) if len(texts) else [], dtype=float)
 

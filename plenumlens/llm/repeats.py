@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenumlens.llm.jaccard import text_keys
-from plenumlens.llm.tables import mix64, small_batches, text_bytes
+from plenumlens.llm.tables import mix64, settled, small_batches, text_bytes
 
 LENGTH = 200
 ANCHOR = 48
@@ -107,7 +107,7 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], pa.RecordBatch]]:
     """Of each batch, the rows whose key the task hasn't had."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in settled(batches):
         keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         new = []
         for i, key in enumerate(keys):
@@ -316,7 +316,7 @@ def _matcher(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
-        for batch in batches:
+        for batch in settled(batches):
             for part in (batch.slice(i, SORTED) for i in range(0, batch.num_rows, SORTED)):
                 held.append(part)
                 n += part.num_rows

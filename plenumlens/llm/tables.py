@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def settled(batches: Iterator, every: int = 16) -> Iterator:
+    """The batches; now and then, and after the last, Arrow's unused memory goes back to the system.
+
+    A worker that waits for its next task would otherwise hold what its largest batches took.
+    """
+    for i, batch in enumerate(batches):
+        yield batch
+        if i % every == every - 1:
+            pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(text: str = "text") -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
