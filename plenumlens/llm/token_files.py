@@ -11,6 +11,7 @@ the start of every file.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenumlens.llm.tables import small_batches
+from plenumlens.llm.tables import settled, small_batches
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -171,6 +172,15 @@ class Encoder:
         """All ids, one after the other, and each text's number of ids."""
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
+        collects = gc.isenabled()
+        gc.disable()  # the many lists of strings and ids hold no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces.size > PIECES_KEPT:
             self.pieces = _Pieces(self.tokenizer)
         number = self.pieces.__getitem__
@@ -214,7 +224,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 def _tokenizer(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = _encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in settled(batches):
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 ids, sizes = encoder.encode(texts[a:b])
@@ -263,7 +273,7 @@ def manifest(tokens: DataFrame) -> DataFrame:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in settled(batches):
         lists = batch.column(4)
         edges = lists.offsets.to_numpy().tolist()
         ids = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
