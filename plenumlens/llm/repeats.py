@@ -11,6 +11,9 @@ Every byte goes that lies in a string of ``LENGTH`` bytes which also starts some
    with a mergesort that compares two suffixes by binary search on prefix hashes. Neighbours'
    common lengths are checked byte by byte. Two windows are equal if they agree far enough to
    the right and to the left, that is, if they are in one class of both orders.
+4. Anchors with more than ``GATHERED`` occurrences are in no task's hands as a whole: occurrences
+   with the same bytes around them are counted as one, and the windows of what is left are dealt
+   and counted by two 64-bit hashes of their bytes.
 
 Distinct texts are what is compared; of texts that occur more often every string repeats.
 """
@@ -23,22 +26,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plenumlens.llm.jaccard import text_keys
-from plenumlens.llm.tables import mix64, settled, small_batches, text_bytes
+from plenumlens.llm.tables import BATCH_ROWS, mix64, settled, small_batches, text_bytes
 
 LENGTH = 200
 ANCHOR = 48
 #: Bytes of texts, and occurrences of anchors, that are worked on at once.
 SLICE = 1 << 20
 SORTED = 12_000
+#: Occurrences of an anchor that one task sorts at most.
+GATHERED = 12_000
+#: Surroundings that stand more often are broadcast to their occurrences instead of shuffled with them.
+OFTEN = 2_000
 
 TEXT = "k1 long, k2 long, text binary"
 SPOT = "h long, k1 long, k2 long, pos long, low int, high int"
 AROUND = "h long, k1 long, k2 long, pos long, low int, high int, left int, around binary"
+PACK = "h long, low int, high int, around binary, n long, spots array<struct<k1:long,k2:long,pos:long>>"
 SPAN = "k1 long, k2 long, first long, last long"
 
 
@@ -151,12 +158,48 @@ def _surrounder(length: int):
             for key, text, spots in zip(keys, batch.column(2).to_pylist(), batch.column(3), strict=True):
                 flat = spots.values.flatten()
                 h, pos, low, high = (c.to_numpy(zero_copy_only=False) for c in flat)
-                first = pos - high
-                around = [text[f:p - lo + length] for f, p, lo in zip(first.tolist(), pos.tolist(), low.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h), pa.array(np.full(len(h), key[0])), pa.array(np.full(len(h), key[1])), pa.array(pos), pa.array(low),
-                    pa.array(high), pa.array(high), pa.array(around, pa.binary())],
-                    ["h", "k1", "k2", "pos", "low", "high", "left", "around"])
+                for i in range(0, len(h), BATCH_ROWS):
+                    part = slice(i, i + BATCH_ROWS)
+                    first = pos[part] - high[part]
+                    around = [text[f:p - lo + length] for f, p, lo in zip(first.tolist(), pos[part].tolist(), low[part].tolist(), strict=True)]
+                    n = len(around)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(h[part]), pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), pa.array(pos[part]), pa.array(low[part]),
+                        pa.array(high[part]), pa.array(high[part]), pa.array(around, pa.binary())],
+                        ["h", "k1", "k2", "pos", "low", "high", "left", "around"])
+
+    return run
+
+
+def _alike(rows: pa.Table) -> np.ndarray:
+    """A number for each row of AROUND, the same for equal anchors with equal surroundings, in order of appearance."""
+    h, low, high, around = (rows.column(c).to_pylist() for c in ("h", "low", "high", "around"))
+    known: dict[tuple, int] = {}
+    return np.array([known.setdefault(x, len(known)) for x in zip(h, low, high, around, strict=True)])
+
+
+def _packer(length: int):
+    """Occurrences with equal surroundings as one row, within some thousand at a time."""
+    surround = _surrounder(length)
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        of = _alike(rows)
+        n, one = np.bincount(of), pa.array(np.unique(of, return_index=True)[1])
+        spots = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in ("k1", "k2", "pos")], ["k1", "k2", "pos"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), spots.take(pa.array(np.argsort(of, kind="stable"))))
+        firsts = [rows.column(c).combine_chunks().take(one) for c in ("h", "low", "high", "around")]
+        return pa.RecordBatch.from_arrays([*firsts, pa.array(n), lists], ["h", "low", "high", "around", "n", "spots"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in surround(batches):
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SORTED:
+                yield pack(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield pack(pa.Table.from_batches(held))
 
     return run
 
@@ -297,8 +340,7 @@ def _matcher(length: int):
         h, k1, k2, pos, low, high, left = (rows.column(i).to_numpy() for i in range(7))
         around = rows.column(7).to_pylist()
         # equal surroundings are sorted once
-        known: dict[tuple, int] = {}
-        of = np.array([known.setdefault(x, len(known)) for x in zip(h.tolist(), low.tolist(), high.tolist(), around, strict=True)])
+        of = _alike(rows)
         one = np.unique(of, return_index=True)[1]
         hit = repeated_windows(h[one], [around[i] for i in one], left[one].astype(np.int64), low[one], high[one], np.bincount(of), length)
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -357,19 +399,53 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _two_hashes(first: str, second: str, *values: Column) -> list[Column]:
+    return [F.xxhash64(*values).alias(first), F.xxhash64(F.lit("second"), *values).alias(second)]
+
+
+def _counted_spans(found: DataFrame, length: int) -> DataFrame:
+    """The repeated spans of occurrences (PACK) of any number, by counting; no task gathers those of one anchor."""
+    packs = found.select(*_two_hashes("s1", "s2", F.col("h"), F.col("low"), F.col("high"), F.col("around")), "low", "high", "around", "n", "spots")
+    # counted before the shuffle; the bytes are a key, so that equal hashes of others aren't counted
+    kinds = packs.groupBy("s1", "s2", "low", "high", "around").agg(F.sum("n").alias("n"))
+    placed = kinds.select("s1", "s2", "n", "high", "around", F.explode(F.sequence("low", "high")).alias("d"))
+    window = F.substring("around", F.col("high") - F.col("d") + 1, F.lit(length))
+    windows = placed.select("s1", "s2", "n", "d", *_two_hashes("w1", "w2", window))
+    several = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    # surroundings that stand once have those windows that stand elsewhere too; the others have all
+    hit = windows.where("n = 1").join(several, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    near = F.array_except("d", F.transform("d", lambda x: x + 1)).alias("near")
+    far = F.array_except("d", F.transform("d", lambda x: x - 1)).alias("far")
+    whole = ["s1", "s2", F.array("low").alias("near"), F.array("high").alias("far")]
+    # one in OFTEN occurrences at most
+    often = F.broadcast(kinds.where(F.col("n") > OFTEN).select(*whole))
+    runs = kinds.where(F.col("n").between(2, OFTEN)).select(*whole).union(hit.select("s1", "s2", near, far))
+    spots = packs.select("s1", "s2", "spots")
+    rest = spots.join(often, ["s1", "s2"], "left_anti").join(runs, ["s1", "s2"])
+    spans = F.flatten(F.transform("spots", lambda s: F.transform(F.arrays_zip("near", "far"), lambda r: F.struct(
+        s["k1"].alias("k1"), s["k2"].alias("k2"), (s["pos"] - r["far"]).alias("first"), (s["pos"] - r["near"] + length).alias("last")))))
+    return spots.join(often, ["s1", "s2"]).union(rest).select(F.inline(spans))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (k1, k2, text), dealt by key, and their repeated spans (k1, k2, first, last)."""
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.select(*text_keys(text), text_bytes(text).alias("text")).mapInArrow(_once, TEXT)
-    # the filter that joins would add, so that all three readers share one exchange
+    # the filter that joins would add, so that all readers share one exchange
     texts = known.where("k1 is not null and k2 is not null").repartition(parts, "k1", "k2")
     anchors = texts.mapInArrow(_anchorer(length), SPOT)
-    several = anchors.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("__n > 1")
-    spots = several.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "pos", "low", "high")).alias("spots"))
-    around = texts.join(spots, ["k1", "k2"]).mapInArrow(_surrounder(length), AROUND)
-    spans = around.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_matcher(length), SPAN)
-    return texts, spans
+    counts = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("__n"))
+    # one in GATHERED anchors at most
+    large = F.broadcast(counts.where(F.col("__n") > GATHERED).select("h"))
+    several = counts.where(F.col("__n").between(2, GATHERED)).select("h")
+
+    def beside(found: DataFrame) -> DataFrame:
+        return texts.join(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "pos", "low", "high")).alias("spots")), ["k1", "k2"])
+
+    small = beside(anchors.join(large, "h", "left_anti").join(several, "h")).mapInArrow(_surrounder(length), AROUND)
+    spans = small.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_matcher(length), SPAN)
+    return texts, spans.union(_counted_spans(beside(anchors.join(large, "h")).mapInArrow(_packer(length), PACK), length))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:

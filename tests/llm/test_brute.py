@@ -445,6 +445,40 @@ def test_repeats(spark, length):
     assert got == cut_of([(t or "").encode() for t in texts], length)
 
 
+@pytest.mark.parametrize("length", [20, 200])
+def test_repeats_of_anchors_that_occur_often(spark, monkeypatch, length):
+    most, matcher = 40, repeats._matcher
+
+    def watched(length):
+        run = matcher(length)
+
+        def bounded(batches):
+            seen = Counter()
+            for batch in batches:
+                seen.update(batch.column(0).to_pylist())
+                assert max(seen.values(), default=0) <= most, "one task gathers an anchor"
+                yield batch
+
+        return lambda batches: run(bounded(batches))
+
+    monkeypatch.setattr(repeats, "GATHERED", most, raising=False)
+    monkeypatch.setattr(repeats, "OFTEN", 100, raising=False)
+    monkeypatch.setattr(repeats, "_matcher", watched)
+    rng = random.Random(length)
+
+    def own(n):
+        return "".join(rng.choice("abcdefgh é") for _ in range(n))
+
+    shared, few = own(3 * length), own(2 * length)
+    texts = [own(rng.randrange(2 * length)) + shared + own(rng.randrange(2 * length)) for _ in range(150)]
+    # cut short, within one text twice, with edges that some share, periodic
+    texts += [own(length) + shared[i:2 * length + i] + own(5) for i in range(0, length, 7)] + [own(9) + few + own(9) for _ in range(5)]
+    texts += [shared + own(3) + shared, "same" + shared + "same", "same" + shared + "other", "same" + shared, "a" * 4000, "ab" * 900, None, "", shared, shared]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = [tuple(r)[1:] for r in repeats.without_repeats(df, length=length).orderBy("doc_id").collect()]
+    assert got == cut_of([(t or "").encode() for t in texts], length)
+
+
 def test_repeats_over_the_table(docs):
     rows = docs.orderBy("doc_id").collect()
     got = [tuple(r)[1:] for r in repeats.without_repeats(docs).orderBy("doc_id").collect()]
