@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import fields
 from plenumlens.operators import ranking, refresh, statements, summaries
+from plenumlens.operators.evaluation import CALLS_PER_MINUTE
 from plenumlens.plans.registry import query, table
 from plenumlens.session import scratch_path
 from plenumlens.sinks import writers
@@ -214,13 +215,22 @@ FROM (SELECT ts, ['ollama', 'openai', 'claude', 'gemini'][1 + user_id % 4] AS pr
 def str_quota(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in ("ollama", "openai", "claude", "gemini")])
     provider = F.element_at(names, (F.col("user_id") % 4 + 1).cast("int"))
-    calls = event_stream(spark, sf_dir, 3).select("ts", provider.alias("provider"))
     path = scratch_path(spark, "quota")
-    jobs.updates(jobs.quota_stream(calls, "ts", "provider"), path, scratch_path(spark, "quota-state")).awaitTermination()
-    # a minute cut in two by the end of a file is counted on by the next batch
+    state = scratch_path(spark, "quota-state")
+
+    def usage(stream):
+        return jobs.quota_stream(stream.select("ts", provider.alias("provider")), "ts", "provider")
+
+    run_in_parts(spark, sf_dir, lambda stream: jobs.updates(usage(stream), path, state))
+    # a minute cut in two by the end of a part is counted on by the next batch
     last = F.max_by(F.struct("calls", "over_quota"), "batch_id").alias("last")
-    used = spark.read.parquet(path).groupBy("minute", "provider").agg(last)
-    return used.select(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "provider", "last.*")
+    kind = "minute timestamp, provider string, calls long, over_quota boolean, batch_id long"
+    used = spark.read.schema(kind).parquet(path).groupBy("minute", "provider").agg(last)
+    timed = used.select(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "provider", "last.*")
+    # windows leave out calls without a time, which are of no minute
+    untimed = events(spark, sf_dir, "ts", provider.alias("provider")).where("ts is null").groupBy("provider").agg(F.count(F.lit(1)).alias("calls"))
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in CALLS_PER_MINUTE.items() for x in kv]), F.col("provider"))
+    return timed.union(untimed.select(F.lit(None).cast("string").alias("minute"), "provider", "calls", (F.col("calls") > cap).alias("over_quota")))
 
 
 _TITLE = "'Sitting of the house, on the matters listed under number ' || user_id"
@@ -242,23 +252,31 @@ def sink_digest(spark, sf_dir):
 # --- streams over the same file ---
 
 
-def event_stream(spark, sf_dir, parts: int = 1):
-    """The events as they arrive: the table's files, or its rows in ``parts`` files, one per batch, days cut in two."""
-    known = table(spark, sf_dir, "events")
-    if parts == 1:
-        stream = jobs.arriving_files(spark, sf_dir, known.schema, "parquet", "events.parquet")
-    else:
-        path = scratch_path(spark, "arriving")
-        cuts = known.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / parts for k in range(1, parts)])).first()[0]
-        at = F.unix_micros(F.col("ts").cast("timestamp"))
-        for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-            later = F.lit(True) if low is None else at >= low
-            earlier = F.lit(True) if high is None else at < high
-            known.where(later & earlier).coalesce(1).write.mode("append").parquet(path)
-        stream = jobs.arriving_files(spark, path, known.schema, "parquet", files_per_batch=1)
+def _dated(stream):
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("date", F.to_date("ts"))
 
 
+def event_stream(spark, sf_dir):
+    """The events as they arrive: the table's files."""
+    return _dated(jobs.arriving_files(spark, sf_dir, table(spark, sf_dir, "events").schema, "parquet", "events.parquet"))
+
+
+def run_in_parts(spark, sf_dir, start, parts: int = 3):
+    """Run a stream in ``parts`` passes, each over the events written since the last: days cut in two, null times first.
+
+    ``start`` starts the query over the arriving events, always with the same checkpoint. A part
+    is as many files as tasks write, and one batch.
+    """
+    known = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "arriving")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = known.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        earlier = F.lit(True) if high is None else at < high
+        known.where(at.isNull() | earlier if low is None else (at >= low) & earlier).write.mode("append").parquet(path)
+        start(_dated(jobs.arriving_files(spark, path, known.schema, "parquet"))).awaitTermination()
+
+
 @query("str_ingest", "SELECT event_id, user_id, ts::DATE AS date, event_type FROM events")
 def str_ingest(spark, sf_dir):
     """One pass over the arriving files into a table partitioned by day."""
@@ -271,9 +289,13 @@ def str_ingest(spark, sf_dir):
 @query("str_dedup", f"SELECT user_id, d AS date FROM ({_DAYS})")
 def str_dedup(spark, sf_dir):
     path = scratch_path(spark, "new-days")
-    fresh = jobs.new_days(event_stream(spark, sf_dir, 3), ["user_id", "date"], "ts").select("user_id", "date")
-    jobs.ingest(fresh, path, scratch_path(spark, "new-days-state")).awaitTermination()
-    return spark.read.schema(fresh.schema).parquet(path)
+    state = scratch_path(spark, "new-days-state")
+
+    def fresh(stream):
+        return jobs.new_days(stream, ["user_id", "date"], "ts").select("user_id", "date")
+
+    run_in_parts(spark, sf_dir, lambda stream: jobs.ingest(fresh(stream), path, state))
+    return spark.read.schema(fresh(event_stream(spark, sf_dir)).schema).parquet(path)
 
 
 @query("str_late", f"SELECT event_id FROM events WHERE date_diff('day', ts::DATE, DATE '{REF}') BETWEEN -1 AND 7")
@@ -288,11 +310,16 @@ def str_late(spark, sf_dir):
  FROM ({_DAYS}) GROUP BY user_id""")
 def str_notify(spark, sf_dir):
     path = scratch_path(spark, "digests")
-    stream = event_stream(spark, sf_dir, 3).withColumn("title", F.lit("sitting"))
-    jobs.notify(stream, "user_id", "date", "title", "ts", path, scratch_path(spark, "digest-state")).awaitTermination()
-    told = spark.read.parquet(path).select("user_id", F.explode(F.split("dates", ", ")).alias("date"))
-    # each day is announced once, in whichever batch brought it first
-    return told.groupBy("user_id").agg(F.count(F.lit(1)).alias("new_days"), F.array_join(F.array_sort(F.collect_list("date")), ", ").alias("dates"))
+    state = scratch_path(spark, "digest-state")
+    run_in_parts(spark, sf_dir, lambda stream: jobs.notify(stream.withColumn("title", F.lit("sitting")), "user_id", "date", "title", "ts", path, state))
+    kind = table(spark, sf_dir, "events").schema["user_id"].dataType.simpleString()
+    columns = f"user_id {kind}, new_days long, dates string"
+    # without any event no batch writes a digest
+    spark.createDataFrame([], columns).write.parquet(f"{path}/batch_id=-1")
+    told = spark.read.schema(columns).parquet(path)
+    # each day is announced once, in whichever batch brought it first; a null day is counted without a date
+    days_of = F.array_sort(F.flatten(F.collect_list(F.split(F.nullif("dates", F.lit("")), ", "))))
+    return told.groupBy("user_id").agg(F.sum("new_days").alias("new_days"), F.nullif(F.array_join(days_of, ", "), F.lit("")).alias("dates"))
 
 
 # --- files of proceedings ---

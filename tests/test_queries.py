@@ -44,3 +44,17 @@ def test_query(spark, con, name):
     assert sum(got[1].values()) > 0
     relation = con.sql(REGISTRY[name].sql)
     assert got == rows_of(relation.columns, relation.fetchall())
+
+
+@pytest.mark.parametrize("kind", ["null times", "empty"])
+@pytest.mark.parametrize("name", ["str_dedup", "str_notify", "str_quota"])
+def test_parts_keep_null_times(spark, tmp_path, name, kind):
+    of = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts" if kind == "null times" else "ts"
+    rows = spark.read.parquet(f"{SF_DIR}/events.parquet").selectExpr("* except (ts)", of)
+    rows.where("true" if kind == "null times" else "false").write.parquet(str(tmp_path / "events.parquet"))
+    df = REGISTRY[name].run(spark, str(tmp_path))
+    got = rows_of(df.columns, df.collect())
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        relation = connection.sql(REGISTRY[name].sql)
+        assert got == rows_of(relation.columns, relation.fetchall())
