@@ -121,10 +121,38 @@ SELECT doc_id, size, source_size, target, (passes * size + {within.format(f'begi
   + {within.format('0', f'(begins + more - blocks) * {block}')})::BIGINT AS taken FROM laid JOIN sd USING (place, shard)"""
 
 
+def merkle_sql() -> str:
+    """Levels of all trees as lists, proofs as the other nodes of a leaf's pairs, checksums bit by bit."""
+    part = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = "sha256({} || {} || {} || {} || {})"
+    before, after = [part.format(c) for c in ("doc_id", "source", "lang")], part.format("text")
+    crc = ("xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+           "lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))))")
+    levels = ("SELECT tree, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) AS nodes, "
+              "level + 1 AS level FROM {} WHERE len(nodes) > 1")
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, {leaf.format(*before, part.format('n_chars'), after)} AS leaf, CASE WHEN {crc} % 7 = 0
+  THEN {leaf.format(*before, part.format('(n_chars + 1)'), after)} END AS shown FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY lang, doc_id, leaf) AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree FROM l),
+g AS (SELECT tree, list(leaf ORDER BY idx) AS nodes, 0 AS level FROM o GROUP BY tree UNION ALL {levels.format('g')}),
+s AS (SELECT tree, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM g WHERE len(nodes) = 1),
+t AS (SELECT '' AS tree, list(subroot ORDER BY place) AS nodes, 0 AS level FROM s UNION ALL {levels.format('t')}),
+other AS (SELECT nodes[xor(pos, 1) + 1] AS sib, pos % 2 AS side, doc, step FROM (
+  SELECT g.nodes, idx // (2 ** level)::BIGINT AS pos, o.rid AS doc, level AS step FROM o JOIN g USING (tree) WHERE len(g.nodes) > 1
+  UNION ALL SELECT t.nodes, place // (2 ** t.level)::BIGINT, o.rid, height + t.level FROM o JOIN s USING (tree), t WHERE len(t.nodes) > 1)),
+p AS (SELECT doc, list(struct_pack(sib := coalesce(sib, ''), side := side) ORDER BY step) AS steps FROM other GROUP BY doc),
+f AS (SELECT o.*, coalesce(steps, []) AS steps FROM o LEFT JOIN p ON p.doc = o.rid),
+folded AS (SELECT f.*, list_reduce(list_concat([struct_pack(sib := coalesce(shown, leaf), side := 0)], steps),
+  lambda a, x: struct_pack(sib := sha256(CASE WHEN x.side = 1 THEN x.sib || a.sib ELSE a.sib || x.sib END), side := 0)).sib AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(array_to_string(list_transform(steps, lambda x: x.sib), '')) AS proof_sha256,
+  folded_root, folded_root = nodes[1] AS verified FROM folded JOIN s USING (tree), t WHERE len(t.nodes) = 1"""
+
+
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination(),
     "op5_licenses": license_scan(),
     "op6_jaccard_join": jaccard(),
     "op7_line_dedup": line_dedup_sql(),
     "op8_mixing": mixing_sql(),
+    "op11_merkle": merkle_sql(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import gif, jaccard, leaks, licenses, line_dedup, mixing, quality, repeats, slots, token_files
+from plenumlens.llm import gif, jaccard, leaks, licenses, line_dedup, merkle, mixing, quality, repeats, slots, token_files
 from plenumlens.llm.oracles import ORACLES
 from plenumlens.llm.tables import read, text_bytes
 from plenumlens.session import materialize, scratch_path
@@ -75,6 +75,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = {"n_chars": F.when(tampered, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))}
+    return merkle.verify(merkle.manifest(read(spark, sf_dir, "documents"), shown=shown)).withColumnRenamed("key", "doc_id")
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Run] = {
@@ -88,4 +94,5 @@ QUERIES: dict[str, Run] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
+    "op11_merkle": op11_merkle,
 }
