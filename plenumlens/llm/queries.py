@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import gif, jaccard, leaks, licenses, line_dedup, merkle, mixing, quality, repeats, slots, token_files
+from plenumlens.llm import bpe, gif, jaccard, leaks, licenses, line_dedup, merkle, mixing, quality, repeats, slots, token_files
 from plenumlens.llm.oracles import ORACLES
 from plenumlens.llm.tables import read, text_bytes
 from plenumlens.session import materialize, scratch_path
@@ -17,6 +17,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(read(spark, sf_dir, "documents"), shown=shown)).withColumnRenamed("key", "doc_id")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    codes = bpe.with_ids(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(codes, ranks, public_tokenizers.PATTERN)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Run] = {
@@ -95,4 +102,5 @@ QUERIES: dict[str, Run] = {
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
     "op11_merkle": op11_merkle,
+    "op12_bpe": op12_bpe,
 }
