@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.llm import bpe, gif, jaccard, leaks, licenses, line_dedup, merkle, mixing, quality, repeats, slots, token_files
+from plenumlens.llm import bpe, gif, jaccard, leaks, licenses, line_dedup, merkle, mixing, quality, repeats, slots, token_files, whitening
 from plenumlens.llm.oracles import ORACLES
 from plenumlens.llm.tables import read, text_bytes
 from plenumlens.session import materialize, scratch_path
@@ -88,6 +88,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(codes, ranks, public_tokenizers.PATTERN)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Run] = {
@@ -103,4 +107,5 @@ QUERIES: dict[str, Run] = {
     "op10_repeats": op10_repeats,
     "op11_merkle": op11_merkle,
     "op12_bpe": op12_bpe,
+    "op13_whitening": op13_whitening,
 }
