@@ -34,7 +34,7 @@ def test_sql(spark, name):
     assert Counter(tuple(plain(r[c]) for c in order) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op13_whitening"}))
 def test_one_row_per_document(spark, docs, name):
     assert sorted(r.doc_id for r in QUERIES[name](spark, SF_DIR).collect()) == sorted(r.doc_id for r in docs.collect())
 
