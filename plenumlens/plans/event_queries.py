@@ -8,7 +8,7 @@ from plenumlens.functions import fields
 from plenumlens.operators import ranking, refresh, statements, summaries
 from plenumlens.operators.evaluation import CALLS_PER_MINUTE
 from plenumlens.plans.registry import query, table
-from plenumlens.session import scratch_path
+from plenumlens.session import materialize, scratch_path
 from plenumlens.sinks import writers
 from plenumlens.sources import tables, transcripts
 from plenumlens.streaming import jobs
@@ -327,14 +327,20 @@ def str_notify(spark, sf_dir):
 
 @query("src_pathkeys", f"SELECT user_id, array_to_string(list_sort(list(strftime(d, '%Y-%m-%d'))), ',') AS dates FROM ({_DAYS}) GROUP BY user_id")
 def src_pathkeys(spark, sf_dir):
-    """Dates recovered from transcript file names, misnamed files left out."""
+    """Dates recovered from the names of written transcript files; misnamed files beside them are left out."""
+    path = scratch_path(spark, "landed")
     day = F.date_format("date", "yyyy-MM-dd")
-    names = F.array(
-        F.concat(F.lit("transkrypty_"), day, F.lit(".json")), F.concat(F.lit("transkrypty_"), day, F.lit("_old.json")),
-        F.concat(F.lit("other_"), day, F.lit(".json")),
-    )
-    files = days(spark, sf_dir).select("user_id", F.explode(names).alias("name"))
-    return transcripts.landed_dates(files, ["user_id"]).withColumn("dates", F.array_join("dates", ","))
+    rows = materialize(days(spark, sf_dir).select(F.lit(10).alias("term"), F.col("user_id").alias("proceeding_id"), "date", day.alias("day"), "n"), "landed-days")
+    found = rows.select("term", "proceeding_id", F.col("day").alias("date"), F.col("n").alias("num"), F.concat(F.lit("Sitting of "), "day").alias("text"))
+    writers.write_transcript_documents(found, path, ["num", "text"], F.lit(NOW))
+    # names that are no day: another form of the date, and files about a day
+    other = F.when(F.dayofmonth("date") % 5 == 0, F.concat(F.date_format("date", "yyyy_MM_dd"))).when(F.dayofmonth("date") % 7 == 0, F.concat(day, F.lit("_old")))
+    writers.write_transcript_documents(found.join(rows.select("proceeding_id", F.col("day").alias("date"), other.alias("other")), ["proceeding_id", "date"]).where(
+        "other IS NOT NULL").withColumn("date", F.col("other")), path, ["num", "text"], F.lit(NOW))
+    files = transcripts.list_files(spark, path, recursive=True)
+    kind = dict(rows.dtypes)["proceeding_id"]
+    keyed = files.select(F.regexp_extract("path", "proceeding_id=([^/]+)/", 1).cast(kind).alias("user_id"), "name")
+    return transcripts.landed_dates(keyed, ["user_id"]).withColumn("dates", F.array_join("dates", ","))
 
 
 @query("sink_info_json", f"SELECT user_id AS number, 'Sitting ' || user_id AS title, array_to_string(dates, ',') AS dates, current FROM ({_PROCEEDINGS})")

@@ -423,21 +423,22 @@ def sink_report_txt(spark, sf_dir):
     return tables.read_text(spark, path).select(F.regexp_replace("value", r"\n\z", "").alias("report"))
 
 
-@query("sink_results", f"SELECT doc_id, 'run1' AS run_id, trim(replace(api_used, 'o', '_o'), '_') AS source_stem, is_funny, confidence FROM ({_EVALUATED})")
+@query("sink_results", f"""SELECT doc_id, 'run1' AS run_id, trim(replace(api_used, 'o', '_o'), '_') AS source_stem, is_funny, confidence,
+ 'in/' || replace(api_used, 'o', ' +o') || '.json' AS source_file, '2024-01-20' AS generated_at, row_number() OVER (PARTITION BY api_used ORDER BY doc_id) - 1 AS pos FROM ({_EVALUATED})""")
 def sink_results(spark, sf_dir):
-    """Results written in their envelope, one folder per run and source, and read by the result reader."""
+    """Results of two runs, one enveloped document per run and source; of the newer run every document is walked."""
     path = scratch_path(spark, "results")
     name = F.concat(F.lit("in/"), F.replace("api_used", F.lit("o"), F.lit(" +o")), F.lit(".json"))
-    rows = evaluated(spark, sf_dir).withColumn("source_file", name)
+    rows = materialize(evaluated(spark, sf_dir).withColumn("source_file", name), "result-rows")
     verdict = F.struct("is_funny", "confidence").alias("ai_evaluation")
     fields = [F.col("doc_id").alias("statement_id"), verdict]
-    for run, some in (("run0", rows.withColumn("confidence", F.lit(-1.0))), ("run1", rows)):  # of two runs the newer one is read
-        writers.write_results(writers.result_records(some, "source_file", fields, F.lit("2024-01-20"), "1", run), path)
-    back = tables.read_latest_results(spark, path, json_lines=True)
+    for run, some in (("run0", rows.withColumn("confidence", F.lit(-1.0))), ("run1", rows)):
+        writers.write_result_documents(some, path, "source_file", fields, ["doc_id"], F.lit("2024-01-20"), "1", run)
+    back = tables.read_result_documents(spark, path).where("_corrupt_record IS NULL")
     place = F.regexp_extract("path", "run_id=([^/]+)/source_stem=([^/]+)/", 1)
     stem = F.regexp_extract("path", "run_id=([^/]+)/source_stem=([^/]+)/", 2)
     return back.select(F.col("statement_id").alias("doc_id"), place.alias("run_id"), stem.alias("source_stem"),
-                       "ai_evaluation.is_funny", "ai_evaluation.confidence")
+                       "ai_evaluation.is_funny", "ai_evaluation.confidence", "source_file", "generated_at", "pos")
 
 
 @query("src_latest_results", f"""SELECT statement_id, score FROM (SELECT doc_id AS statement_id, confidence AS score FROM ({_EVALUATED}))""")

@@ -10,7 +10,7 @@ from plenumlens.operators import joins, ranking, statements, summaries
 from plenumlens.plans.registry import query, table
 from plenumlens.session import materialize, scratch_path, spread_few_files
 from plenumlens.sinks import writers
-from plenumlens.sources import tables, transcripts
+from plenumlens.sources import json_items, tables, transcripts
 
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _TAGS_A = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
@@ -257,22 +257,39 @@ def written_transcripts(spark, sf_dir):
     return path
 
 
+def transcript_documents(spark, sf_dir):
+    """The same days as one document each, under the names of transcript files."""
+    conv = F.col("proceeding_id")
+    filed = canonical(spark, sf_dir).withColumns({
+        "num": conv * 1000 + F.col("num"),
+        "date": F.concat(F.lit("2024-01-0"), F.floor(conv / 20) % 5 + 1),
+        "proceeding_id": conv % 20,
+    })
+    path = scratch_path(spark, "transcript-documents")
+    fields = ["num", "speaker", "text", "start_time", "end_time", "duration_seconds"]
+    writers.write_transcript_documents(materialize(filed, "filed"), path, fields, F.lit("2024-02-01T00:00:00"))
+    return path
+
+
 @query("sink_transcripts", _CANONICAL)
 def sink_transcripts(spark, sf_dir):
-    """Written per day and read back."""
-    schema = "num bigint, speaker struct<name:string,club:string>, text string, term int, proceeding_id bigint, date string"
-    back = spark.read.schema(schema).json(written_transcripts(spark, sf_dir))
-    return back.select(
+    """Written as one document per day, each read back whole by Spark's own reader."""
+    schema = "metadata struct<term:int,proceeding_id:bigint,date:string>, statements array<struct<num:bigint,speaker:struct<name:string,club:string>,text:string>>"
+    days = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(
+        transcript_documents(spark, sf_dir))
+    return days.select(F.inline("statements")).select(
         F.floor(F.col("num") / 1000).alias("conv_id"), (F.col("num") % 1000).alias("turn"), "speaker.name",
         "speaker.club", "text",
     )
 
 
-@query("src_transcripts", f"SELECT conv_id * 1000 + turn AS num, name, text FROM ({_CANONICAL})")
+@query("src_transcripts", f"""SELECT conv_id * 1000 + turn AS num, name, club, text, 10::BIGINT AS term, conv_id % 20 AS proceeding_id,
+ '2024-01-0' || (conv_id // 20 % 5 + 1) AS date, 'transkrypty_2024-01-0' || (conv_id // 20 % 5 + 1) || '.json' AS file_name,
+ row_number() OVER (PARTITION BY conv_id % 20, conv_id // 20 % 5 ORDER BY conv_id, turn) - 1 AS pos FROM ({_CANONICAL})""")
 def src_transcripts(spark, sf_dir):
-    """The written files read through the reader of any envelope."""
-    files = transcripts.read_transcript_files(spark, written_transcripts(spark, sf_dir), json_lines=True)
-    return transcripts.statements_of(files).select("num", F.col("speaker").alias("name"), "text")
+    """The documents walked by the reader of any envelope, with the keys and names that the writer gave them."""
+    rows = transcripts.read_statements(spark, transcript_documents(spark, sf_dir)).where("_corrupt_record IS NULL")
+    return rows.select("num", F.col("speaker").alias("name"), "club", "text", "term", "proceeding_id", "date", "file_name", "pos")
 
 
 @query("src_transcripts_envelope", f"SELECT conv_id, turn AS num, name, text FROM ({_CANONICAL})")
@@ -287,7 +304,7 @@ def src_transcripts_envelope(spark, sf_dir):
         F.when(~nested, F.array(statement)).alias("statements"),
         F.when(nested, F.struct(F.array(statement).alias("statements"))).alias("data"),
     ).write.json(path)
-    rows = transcripts.statements_of(transcripts.read_transcript_files(spark, path, json_lines=True))
+    rows = transcripts.read_statements(spark, path, lines=True)
     return rows.select(
         F.col("proceeding_id").cast("bigint").alias("conv_id"), "num", F.col("speaker").alias("name"), "text"
     )
@@ -375,18 +392,15 @@ def src_csv(spark, sf_dir):
 @query("sink_term_json", f"""SELECT 10::BIGINT AS term, 'proceeding_' || CASE WHEN conv_id < 100 THEN lpad(conv_id::VARCHAR, 3, '0') ELSE conv_id::VARCHAR END AS directory_name,
  '2024-01-01' AS date, turn AS num, text FROM ({_CANONICAL})""")
 def sink_term_json(spark, sf_dir):
-    """The nested export written as JSON lines and unnested again."""
-    lines = writers.term_lines(canonical(spark, sf_dir), "term", "proceeding_id", "date", ["num", "text"])
+    """The export as nested documents, and their innermost items read again with the levels around them."""
     path = scratch_path(spark, "term-json")
-    lines.select("value").write.text(path)
-    schema = (
-        "term int, proceeding struct<directory_name:string,"
-        "transcript:struct<date:string,statement:struct<num:bigint,text:string>>>"
-    )
-    return spark.read.schema(schema).json(path).select(
-        "term", "proceeding.directory_name", "proceeding.transcript.date", "proceeding.transcript.statement.num",
-        "proceeding.transcript.statement.text",
-    )
+    writers.write_term_documents(materialize(canonical(spark, sf_dir), "term-rows"), path, F.lit("20240201_000000"), ["num", "text"])
+    keep = ["term", "proceedings.directory_name", "proceedings.transcripts.metadata"]
+    items = json_items.read_items(spark, path, ["proceedings.transcripts.statements"], keep)
+    head = F.from_json("head", "term int, `proceedings.directory_name` string, `proceedings.transcripts.metadata` struct<date:string>")
+    read = items.where("_corrupt_record IS NULL").select(head.alias("h"), F.from_json("item", "num bigint, text string").alias("s"))
+    return read.select("h.term", F.col("h").getField("proceedings.directory_name").alias("directory_name"),
+                       F.col("h").getField("proceedings.transcripts.metadata")["date"].alias("date"), "s.num", "s.text")
 
 
 _LINES = f"SELECT conv_id % 20 AS proceeding_id, count(*) AS lines FROM ({_CANONICAL}) GROUP BY conv_id % 20"

@@ -1,7 +1,7 @@
 """Exports: transcript days, results, member and statement tables, reports and digests.
 
-Nothing is gathered into one value or one task: a day, club or source that holds a third
-of all rows is written by several tasks, as several ordered files of one folder.
+Nothing is gathered into one value: nested documents are streamed from sorted rows, and a day,
+club or source that holds a third of all rows is written by several tasks, as ordered parts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions.text import preview
 from plenumlens.operators.statements import MIN_SAVED
+from plenumlens.sinks.documents import ROWS_PER_PART, level, write_documents
 
 # The columns of the member table export.
 MEMBER_COLUMNS = [
@@ -43,6 +44,31 @@ def write_transcripts(
     )
 
 
+def _in_name(value: Column) -> Column:
+    """A value as part of a file name; null is ``unknown``."""
+    return F.coalesce(F.regexp_replace(value.cast("string"), "[^A-Za-z0-9._-]+", "_"), F.lit("unknown"))
+
+
+def write_transcript_documents(
+    canonical: DataFrame, path: str, fields: Sequence[str], generated_at: Column, info: Sequence[str] = (),
+    order: str = "num", text: str = "text", rows_per_part: int = ROWS_PER_PART,
+) -> None:
+    """One document ``transkrypty_<date>.json`` per term, proceeding and day, its statements in ``num`` order.
+
+    ``canonical`` needs ``term, proceeding_id, date``; ``info`` names fields of the proceeding (equal
+    for all its rows) for the envelope. A day that is written again is replaced as a whole, other
+    days stay, and a day without a long enough text gets no document; see :func:`write_documents`
+    for very large days. A null date is filed under ``unknown``.
+    """
+    rows = canonical.where(F.length(text) >= MIN_SAVED)
+    name = F.concat(F.lit("term="), _in_name(F.col("term")), F.lit("/proceeding_id="), _in_name(F.col("proceeding_id")),
+                    F.lit("/transcripts/transkrypty_"), _in_name(F.col("date")), F.lit(".json"))
+    about = [F.struct(*info).alias("proceeding_info")] if info else []
+    metadata = F.struct("term", "proceeding_id", F.col("date").cast("string").alias("date"), generated_at.cast("string").alias("generated_at"), *about)
+    envelope = level(F.to_json(F.struct(metadata.alias("metadata"))), "statements")
+    write_documents(rows, path, name, [envelope], F.to_json(F.struct(*fields)), [order], rows_per_part)
+
+
 def in_envelope(df: DataFrame, generated_at: Column, version: str, data: Sequence[str], listed: bool = False) -> DataFrame:
     """``metadata struct<generated_at, scraper_version>, data struct<...>``, or with ``listed`` a list of one struct.
 
@@ -63,25 +89,25 @@ def write_report(lines: DataFrame, path: str, order: str = "line_no", line: str
     lines.orderBy(order).coalesce(1).select(line).write.mode("overwrite").text(path)
 
 
-def result_records(
-    fragments: DataFrame, source: str, fields: Sequence[Column | str], generated_at: Column, version: str, run_id: str
-) -> DataFrame:
-    """One record per fragment in its envelope; ``run_id`` and ``source_stem`` name the folder."""
-    stem = F.regexp_replace(F.element_at(F.split(F.col(source), "/"), -1), r"\.[^.]*$", "")
-    cleaned = F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    metadata = F.struct(generated_at.cast("string").alias("generated_at"), F.lit(version).alias("scraper_version"))
-    data = F.struct(F.col(source).alias("source_file"), F.array(F.struct(*fields)).alias("fragments"))
-    return fragments.select(cleaned.alias("source_stem"), F.lit(run_id).alias("run_id"), metadata.alias("metadata"), data.alias("data"))
-
-
-def write_results(records: DataFrame, path: str, spread: int = 8) -> None:
-    """Result records as JSON, one folder per run and source, which ``read_latest_results`` finds.
+def write_result_documents(
+    fragments: DataFrame, path: str, source: str, fields: Sequence[Column | str], order: Sequence[str], generated_at: Column,
+    version: str, run_id: str, header: Sequence[str] = (), rows_per_part: int = ROWS_PER_PART,
+) -> None:
+    """One enveloped document per run and source file: ``{metadata, data: {source_file, ..., fragments: [...]}}``.
 
-    Rows are clustered by folder before they are written, a large folder over ``spread`` tasks.
+    ``header`` names further columns of ``data`` (equal for all rows of a source). The documents
+    stand in ``run_id=<run>/source_stem=<stem>/``, where :func:`read_result_documents` finds the newest run.
+    A null source is filed under ``unknown``.
     """
-    salt = F.pmod(F.xxhash64(F.to_json("data")), F.lit(spread))
-    clustered = records.repartition("run_id", "source_stem", salt)
-    (clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "source_stem").json(path))
+    base = F.element_at(F.split(F.coalesce(F.col(source), F.lit("unknown")), "/"), -1)
+    stem = F.btrim(F.regexp_replace(F.regexp_replace(base, r"\.[^.]*$", ""), "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    # sources of one stem in different folders keep documents of their own
+    name = F.concat(F.lit(f"run_id={run_id}/source_stem="), stem, F.lit("/results_"), stem, F.lit("_"),
+                    F.hex(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary"))), F.lit(".json"))
+    metadata = F.to_json(F.struct(generated_at.cast("string").alias("generated_at"), F.lit(version).alias("scraper_version")))
+    opening, closing = level(F.to_json(F.struct(F.col(source).alias("source_file"), *header)), "fragments")
+    envelope = F.concat(F.lit('{"metadata":'), metadata, F.lit(',"data":'), opening), F.concat(closing, F.lit("}"))
+    write_documents(fragments, path, name, [envelope], F.to_json(F.struct(*fields)), order, rows_per_part)
 
 
 def members_csv(members: DataFrame) -> DataFrame:
@@ -113,23 +139,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def term_lines(statements: DataFrame, term: str, proceeding: str, date: str, fields: Sequence[str]) -> DataFrame:
-    """Term export as JSON records nested proceeding -> transcript -> statement.
+def write_term_documents(
+    statements: DataFrame, path: str, exported_at: Column, fields: Sequence[str], order: str = "num",
+    term: str = "term", proceeding: str = "proceeding_id", date: str = "date", info: Sequence[str] = (),
+    rows_per_part: int = ROWS_PER_PART,
+) -> None:
+    """One export per term: ``{term, export_timestamp, proceedings: [{directory_name, info, transcripts: [{metadata, statements}]}]}``.
 
-    Each record holds one statement with the objects around it, so that the export of a
-    term is split like its rows; readers group by ``proceeding.directory_name``.
+    Proceedings stand in order of their number, transcripts of their date and statements in ``order``; ``info``
+    names fields of the proceeding (equal for all its rows). A term over several tasks becomes parts,
+    each of which opens its proceedings and transcripts anew.
     """
-    digits = F.col(proceeding).cast("string")
+    digits = F.coalesce(F.col(proceeding).cast("string"), F.lit("unknown"))
     padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
-    name = F.concat(F.lit("proceeding_"), padded)
-    record = F.struct(
-        F.col(term).alias("term"),
-        F.struct(
-            name.alias("directory_name"),
-            F.struct(F.col(date).cast("string").alias("date"), F.struct(*fields).alias("statement")).alias("transcript"),
-        ).alias("proceeding"),
-    )
-    return statements.select(term, proceeding, F.to_json(record).alias("value"))
+    about = [F.struct(*info).alias("info")] if info else []
+    levels = [
+        level(F.to_json(F.struct(F.col(term).alias("term"), exported_at.cast("string").alias("export_timestamp"))), "proceedings"),
+        level(F.to_json(F.struct(F.concat(F.lit("proceeding_"), padded).alias("directory_name"), *about)), "transcripts"),
+        level(F.to_json(F.struct(F.struct(F.col(date).cast("string").alias("date")).alias("metadata"))), "statements"),
+    ]
+    name = F.concat(F.lit("term_"), _in_name(F.col(term)), F.lit("_export.json"))
+    write_documents(statements, path, name, levels, F.to_json(F.struct(*fields)), [proceeding, date, order], rows_per_part)
 
 
 def report_lines(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions.fields import media_type
 from plenumlens.functions.keywords import Keyword
-from plenumlens.schemas import MEMBER_FILE, PROCEEDING_FILE, RESULT_FILE
+from plenumlens.schemas import FRAGMENT, MEMBER_FILE, PROCEEDING_FILE, RESULT_FILE
+from plenumlens.sources.json_items import read_items
 from plenumlens.sources.transcripts import list_files
 
 
@@ -94,6 +95,20 @@ def read_latest_results(
     ).select("path", "source_file", "pos", "f.*")
 
 
+def read_result_documents(spark: SparkSession, folder: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """Fragments of the newest result export, whose documents are walked and never held whole.
+
+    The columns of :func:`read_latest_results`, the envelope's ``generated_at`` and the error of
+    a document that breaks off, as a row without a fragment.
+    """
+    keep = ["metadata", "data.source_file", "source_file"]
+    items = read_items(spark, newest_export(spark, folder, glob), ["data.fragments", "fragments"], keep, glob=glob, lines=lines)
+    head = F.from_json("head", "metadata struct<generated_at:string>, `data.source_file` string, source_file string")
+    read = items.select(F.col("source_file").alias("path"), "pos", "_corrupt_record", head.alias("h"), F.from_json("item", FRAGMENT).alias("f"))
+    return read.select("path", F.coalesce(F.col("h").getField("data.source_file"), "h.source_file").alias("source_file"),
+                       F.col("h.metadata.generated_at").alias("generated_at"), "pos", "f.*", "_corrupt_record")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; every column is text."""
     return (

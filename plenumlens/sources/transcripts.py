@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenumlens.schemas import TRANSCRIPT_FILE
+from plenumlens.schemas import LANDED_STATEMENT, TRANSCRIPT_FILE
+from plenumlens.sources.json_items import read_items
 
 # Fixed value: name of a transcript file; the date is its only key.
 FILE_DATE = r"^transkrypty_(.*)\.json$"
@@ -119,3 +120,31 @@ def landed_dates(files: DataFrame, keys: list[str], name: str = "name") -> DataF
     dated = files.withColumn("_date", file_date(F.col(name))).where(F.col("_date").isNotNull())
     days = dated.groupBy(*keys, "_date").agg(F.lit(1).alias("_one"))
     return days.groupBy(*keys).agg(F.array_sort(F.collect_list("_date")).alias("dates"))
+
+
+def read_statements(spark: SparkSession, path: str, glob: str = "*.json", recursive: bool = True, lines: bool = False) -> DataFrame:
+    """Statements of the transcript files below ``path``, in the columns of :func:`statements_of`, ``club`` and the file's error.
+
+    Documents are walked while they are read, so that one of any size needs no more memory than a
+    statement. Whatever can be read of a broken file stays; one more row has its error in
+    ``_corrupt_record`` and no statement. ``pos`` is the statement's place in its file, the same
+    in every run. With ``lines`` a file has one value a line and is read in byte ranges.
+    """
+    items = read_items(spark, path, ["statements", "data.statements"], ["metadata"], bare=True, glob=glob, recursive=recursive, lines=lines)
+    head = F.from_json("head", "metadata struct<term:string,proceeding_id:string,date:string>")
+    parsed = items.withColumn("s", F.from_json("item", LANDED_STATEMENT)).withColumn("metadata", head["metadata"])
+    return parsed.select(
+        "source_file", "file_name", _number("metadata.term").cast("int").alias("term"),
+        _number("metadata.proceeding_id").cast("int").alias("proceeding_id"), F.col("metadata.date").alias("date"),
+        "pos", _number("s.num", "s.id", "s.statement_id").alias("num"), _speaker("s.speaker", "s.name").alias("speaker"),
+        F.when(F.startswith(F.ltrim("s.speaker"), F.lit("{")), F.coalesce(
+            F.nullif(F.get_json_object("s.speaker", "$.club"), F.lit("")), F.get_json_object("s.speaker", "$.group"))).alias("club"),
+        F.when(F.col("item").isNotNull(), F.coalesce(F.nullif("s.text", F.lit("")), F.nullif("s.segment", F.lit("")), F.lit(""))).alias("text"),
+        "_corrupt_record",
+    )
+
+
+def broken_files(statements: DataFrame) -> DataFrame:
+    """The files that broke off, how many statements could be read of each (of a line, for files of lines), and why."""
+    return statements.where(F.col("_corrupt_record").isNotNull()).select(
+        "source_file", "file_name", F.col("pos").alias("read"), "_corrupt_record")
