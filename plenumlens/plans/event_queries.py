@@ -11,7 +11,7 @@ from plenumlens.plans.registry import query, table
 from plenumlens.session import materialize, scratch_path
 from plenumlens.sinks import writers
 from plenumlens.sources import tables, transcripts
-from plenumlens.streaming import jobs
+from plenumlens.streaming import jobs, state
 
 REF = "2024-01-20"
 NOW = "2024-01-20 12:00:00"
@@ -192,9 +192,9 @@ def upd_worklist(spark, sf_dir):
     return refresh.refresh_worklist(listed_, existing, checks, ["user_id"], now())
 
 
-@query("str_state_ttl", f"""SELECT event_id FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS d FROM events)
+@query("flt_state_age", f"""SELECT event_id FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS d FROM events)
 WHERE try_cast(d AS DATE) IS NULL OR d::DATE >= DATE '2024-02-14' - 30""")
-def str_state_ttl(spark, sf_dir):
+def flt_state_age(spark, sf_dir):
     day = F.when(F.col("event_type") == "error", F.lit("unknown")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     state = events(spark, sf_dir, "event_id", day.alias("date"))
     return refresh.prune_state(state, "date", F.to_date(F.lit("2024-02-14"))).select("event_id")
@@ -261,19 +261,29 @@ def event_stream(spark, sf_dir):
     return _dated(jobs.arriving_files(spark, sf_dir, table(spark, sf_dir, "events").schema, "parquet", "events.parquet"))
 
 
-def run_in_parts(spark, sf_dir, start, parts: int = 3):
+def run_in_parts(spark, sf_dir, start, parts: int = 3, clock=None):
     """Run a stream in ``parts`` passes, each over the events written since the last: days cut in two, null times first.
 
     ``start`` starts the query over the arriving events, always with the same checkpoint. A part
     is as many files as tasks write, and one batch.
     """
     known = table(spark, sf_dir, "events")
-    path = scratch_path(spark, "arriving")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = known.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)])).first()[0] or []
+    ranges = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         earlier = F.lit(True) if high is None else at < high
-        known.where(at.isNull() | earlier if low is None else (at >= low) & earlier).write.mode("append").parquet(path)
+        ranges.append(at.isNull() | earlier if low is None else (at >= low) & earlier)
+    run_parts(spark, sf_dir, ranges, start, clock)
+
+
+def run_parts(spark, sf_dir, conditions, start, clock=None):
+    """Let the rows of each condition arrive after the other, and at last a row that only tells the time."""
+    known = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "arriving")
+    arrivals = [known.where(c) for c in conditions] + ([] if clock is None else [state.clock_rows(spark, known, "ts", clock)])
+    for rows in arrivals:
+        rows.write.mode("append").parquet(path)
         start(_dated(jobs.arriving_files(spark, path, known.schema, "parquet"))).awaitTermination()
 
 
@@ -298,12 +308,54 @@ def str_dedup(spark, sf_dir):
     return spark.read.schema(fresh(event_stream(spark, sf_dir)).schema).parquet(path)
 
 
-@query("str_late", f"SELECT event_id FROM events WHERE date_diff('day', ts::DATE, DATE '{REF}') BETWEEN -1 AND 7")
+@query("str_late", f"""WITH p AS (SELECT event_id % 3 AS part, max(ts) AS latest FROM events GROUP BY event_id % 3)
+SELECT event_id, coalesce(ts < (SELECT max(latest) FROM p WHERE part < e.event_id % 3) - INTERVAL 7 DAY, false) AS behind,
+ NOT coalesce(date_diff('day', ts::DATE, DATE '{REF}') BETWEEN -1 AND 7, false) AS aged FROM events e""")
 def str_late(spark, sf_dir):
-    path = scratch_path(spark, "in-time")
-    kept = jobs.within_age(event_stream(spark, sf_dir), "date", ref()).select("event_id")
-    jobs.ingest(kept, path, scratch_path(spark, "in-time-state")).awaitTermination()
-    return spark.read.schema(kept.schema).parquet(path)
+    """Events that come in another order than that of their times: behind the watermark, too old by their day, or both."""
+    path, marks = scratch_path(spark, "late"), scratch_path(spark, "late-state")
+    run_parts(spark, sf_dir, [F.pmod("event_id", F.lit(3)) == k for k in range(3)],
+              lambda stream: state.route_late(stream, "ts", "date", ref(), path, marks))
+    kind = dict(table(spark, sf_dir, "events").dtypes)["event_id"]
+    rows = spark.read.schema(f"event_id {kind}, batch_id long, behind boolean, aged boolean").parquet(f"{path}/rows")
+    return rows.select("event_id", "behind", "aged")
+
+
+@query("str_state_ttl", """SELECT DISTINCT user_id::VARCHAR AS proceeding, d AS day FROM (SELECT user_id,
+ CASE WHEN event_type = 'error' THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d') END AS d FROM events)
+WHERE try_cast(d AS DATE) IS NULL OR d::DATE >= DATE '2024-02-14' - 30""")
+def str_state_ttl(spark, sf_dir):
+    """What the state of taken days holds as the clock gets to a later day: the others are gone by themselves."""
+    path, marks = scratch_path(spark, "taken-days"), scratch_path(spark, "taken-days-state")
+    day = F.when(F.col("event_type") == "error", F.lit("unknown")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+
+    def taken(stream):
+        return state.processed_days(stream.withColumn("day", day), "user_id", "day", "ts")
+
+    with state.state_store(spark):
+        run_in_parts(spark, sf_dir, lambda stream: jobs.ingest(taken(stream), path, marks),
+                     clock=F.to_timestamp(F.lit("2024-02-14 01:00:01")))
+        return materialize(state.held_days(spark, marks), "held-days")
+
+
+@query("str_health_turns", """WITH c AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS t FROM events WHERE ts <= TIMESTAMP '2024-02-01 12:00:00'),
+n AS (SELECT *, lag(t) OVER w AS prior, lead(t) OVER w AS next FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT user_id::VARCHAR AS source, 'healthy' AS status, t AS at_ms, t AS last_ms FROM n WHERE prior IS NULL OR t - prior >= 21600000
+UNION ALL SELECT user_id::VARCHAR, 'stale', t + 21600000, t FROM n
+ WHERE t + 21600000 <= least(coalesce(next, epoch_ms(TIMESTAMP '2024-02-01 12:00:00')), epoch_ms(TIMESTAMP '2024-02-01 12:00:00'))""")
+def str_health_turns(spark, sf_dir):
+    """When each source turns stale and healthy again, told by timers."""
+    path, marks = scratch_path(spark, "health"), scratch_path(spark, "health-state")
+
+    def turns(stream):
+        return state.health_turns(stream, "user_id", "ts", interval_minutes=180)
+
+    with state.state_store(spark):
+        run_in_parts(spark, sf_dir, lambda stream: jobs.ingest(turns(stream), path, marks),
+                     clock=F.to_timestamp(F.lit("2024-02-01 12:10:00.001")))
+    told = spark.read.schema("source string, status string, at timestamp, last_check timestamp").parquet(path)
+    return told.where(F.col("at") <= F.to_timestamp(F.lit("2024-02-01 12:00:00"))).select(
+        "source", "status", F.unix_millis("at").alias("at_ms"), F.unix_millis("last_check").alias("last_ms"))
 
 
 @query("str_notify", f"""SELECT user_id, count(*) AS new_days, string_agg(strftime(d, '%Y-%m-%d'), ', ' ORDER BY d) AS dates

@@ -29,7 +29,8 @@ def arriving_files(
     return reader.load(folder)
 
 
-def _start(stream: DataFrame, checkpoint: str, poll_minutes: int | None, mode: str):
+def start_stream(stream: DataFrame, checkpoint: str, poll_minutes: int | None, mode: str):
+    """A writer that takes what is there, or polls every ``poll_minutes``."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if poll_minutes is None:
         return writer.trigger(availableNow=True)
@@ -48,7 +49,7 @@ def ingest(
     if partition_by:
         salt = F.pmod(F.xxhash64(*stream.columns), F.lit(spread))
         stream = stream.repartition(*partition_by, salt)
-    writer = _start(stream, checkpoint, poll_minutes, "append").format("parquet")
+    writer = start_stream(stream, checkpoint, poll_minutes, "append").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     return writer.start(path)
@@ -96,7 +97,7 @@ def updates(stream: DataFrame, path: str, checkpoint: str, poll_minutes: int | N
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(stream, checkpoint, poll_minutes, "update").foreachBatch(each).start()
+    return start_stream(stream, checkpoint, poll_minutes, "update").foreachBatch(each).start()
 
 
 def notify(
@@ -118,4 +119,4 @@ def notify(
         lines.unpersist()
 
     fresh = new_days(stream, [key, date], event_time, carry=[title])
-    return _start(fresh, checkpoint, poll_minutes, "append").foreachBatch(each).start()
+    return start_stream(fresh, checkpoint, poll_minutes, "append").foreachBatch(each).start()
