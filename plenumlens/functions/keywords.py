@@ -37,7 +37,7 @@ DEFAULT_LEXICON = [
     ("karta nieaktywna", 1.0), ("głos z sali", 2.5),
 ]
 
-#: Larger lexicons are one literal table in the plan instead of an expression per keyword.
+#: Larger lexicons are counted by an automaton instead of an expression per keyword.
 UNROLLED = 300
 
 WORD = r"[\p{L}\p{N}_]"
@@ -134,7 +134,15 @@ def _table(lexicon: Sequence[Keyword], literals: Sequence[str], patterns: Sequen
 
 def _contains_any(text: Column, literals: Sequence[str]) -> Column:
     """Cheap test that lets a text without any keyword skip the counting."""
-    return reduce(or_, [text.contains(literal) for literal in dict.fromkeys(literals)])
+    return _any([text.contains(literal) for literal in dict.fromkeys(literals)])
+
+
+def _any(tests: list[Column]) -> Column:
+    """Whether one of the tests holds, as a shallow tree: a chain of hundreds would exhaust the planner's stack."""
+    if len(tests) <= 2:
+        return reduce(or_, tests)
+    half = len(tests) // 2
+    return _any(tests[:half]) | _any(tests[half:])
 
 
 def strict_matches(text: Column, lexicon: Sequence[Keyword]) -> Column:
@@ -162,7 +170,7 @@ def any_strict(text: Column, lexicon: Sequence[Keyword]) -> Column:
     if len(entries) > UNROLLED:
         rows = _table(entries, [k.keyword.lower() for k in entries], [strict_pattern(k.keyword) for k in entries])
         return F.exists(rows, lambda k: F.contains(text, k["literal"]) & F.rlike(text, k["pattern"]))
-    return reduce(or_, [text.contains(k.keyword.lower()) & text.rlike(strict_pattern(k.keyword)) for k in entries])
+    return _any([text.contains(k.keyword.lower()) & text.rlike(strict_pattern(k.keyword)) for k in entries])
 
 
 def weighted_score(matches: Column) -> Column:

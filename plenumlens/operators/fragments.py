@@ -2,7 +2,8 @@
 
 Input: one row per statement with key columns and a text column. Everything up to the
 fragment rows is a projection and an explode: no shuffle, so the same code runs on a
-stream and its cost grows with the text only.
+stream and its cost grows with the text only. A small lexicon is unrolled into column
+expressions; a larger one is counted by an automaton in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenumlens.functions import automaton
 from plenumlens.functions import keywords as kw
 from plenumlens.functions import text as tx
 from plenumlens.functions.base import compute_once, let
@@ -39,19 +41,23 @@ def score_segments(
     segments: DataFrame, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES
 ) -> DataFrame:
     """Add lenient ``matches`` and their ``score`` to segment rows."""
-    matches = kw.lenient_matches(F.col("segment"), lexicon, suffixes)
+    count = automaton.text_matches if len(lexicon) > kw.UNROLLED else kw.lenient_matches
+    matches = count(F.col("segment"), lexicon, **({"lenient": True} if len(lexicon) > kw.UNROLLED else {}), suffixes=suffixes)
     matched = compute_once(segments, segments.columns, "matches", matches)
     return matched.withColumn("score", kw.weighted_score(F.col("matches")))
 
 
 def keyword_order(
-    segments: Column, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES
+    segments: Column, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES, counted: Column | None = None
 ) -> Column:
-    """Distinct keywords of a statement: best-scored segment first, then lexicon order."""
+    """Distinct keywords of a statement: best-scored segment first, then lexicon order.
+
+    ``counted`` has each segment's lenient matches, where they are known already.
+    """
 
     def scored(segment: Column, i: Column) -> Column:
         return let(
-            kw.lenient_matches(segment["body"], lexicon, suffixes),
+            kw.lenient_matches(segment["body"], lexicon, suffixes) if counted is None else F.element_at(counted, i + 1),
             lambda m: F.struct(
                 (-kw.weighted_score(m)).alias("descending"), i.alias("idx"),
                 F.transform(m, lambda x: x["keyword"]).alias("words"),
@@ -86,6 +92,7 @@ def cut_contexts(
     cut_at: int | None = None,
     carry: Sequence[str] = (),
     among: str | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """One row per segment with a strict hit: its context window.
 
@@ -94,7 +101,8 @@ def cut_contexts(
     shuffle is needed. A statement without any text yields one empty row. ``among``
     names an array column of keywords, one of which must be hit; a strict hit can only
     fall outside the lenient ones next to a combining mark, so only such segments are
-    looked at twice.
+    looked at twice. ``counted`` names a column with each segment's strict matches, where
+    they are known already.
     """
 
     def is_hit(body: Column) -> Column:
@@ -106,7 +114,12 @@ def cut_contexts(
         return hit & (unmarked | listed)
 
     at = F.sequence(F.lit(1), F.size("segments"))
-    hits = F.filter(at, lambda i: let(F.element_at(F.col("segments"), i)["body"], is_hit))
+    if counted is None:
+        hits = F.filter(at, lambda i: let(F.element_at(F.col("segments"), i)["body"], is_hit))
+    else:
+        known = F.lit(True) if among is None else None
+        hits = F.filter(at, lambda i: F.exists(
+            F.element_at(F.col(counted), i), lambda m: known if known is not None else F.array_contains(F.col(among), m["keyword"])))
     windows = F.transform(hits, lambda i: _context(F.col("segments"), i, context))
     empty = F.array(F.struct(F.lit(0).alias("segment_idx"), F.lit(0).alias("start_offset"),
                              F.lit(0).alias("end_offset"), F.lit("").alias("text")))
@@ -140,9 +153,20 @@ def extract_fragments(
     length of a segment, ``cut_at`` that of a window (by default it stays whole).
     """
     segmented = segment_statements(df, keys, text, limit)
-    words = keyword_order(F.col("segments"), lexicon, suffixes)
-    ordered = compute_once(segmented, [*keys, "segments"], "keyword_order", words)
-    cut = cut_contexts(ordered, keys, lexicon, context, cut_at, carry=["keyword_order"], among="keyword_order")
+    large = len(lexicon) > kw.UNROLLED
+    known = []
+    if large:  # an expression per keyword would be too many; one pass over each text counts them all
+        bodies = F.transform("segments", lambda s: s["body"])
+        known = ["_strict"]
+        both = F.struct(automaton.list_matches(bodies, lexicon, True, suffixes).alias("lenient"), automaton.list_matches(bodies, lexicon).alias("strict"))
+        segmented = compute_once(segmented, [*keys, "segments"], "_m", both).select(
+            *keys, "segments", F.col("_m.lenient").alias("_lenient"), F.col("_m.strict").alias("_strict"))
+    words = keyword_order(F.col("segments"), lexicon, suffixes, F.col("_lenient") if large else None)
+    ordered = compute_once(segmented, [*keys, *known, "segments"], "keyword_order", words)
+    cut = cut_contexts(ordered, keys, lexicon, context, cut_at, carry=["keyword_order"], among="keyword_order",
+                       counted="_strict" if large else None)
+    if large:
+        cut = compute_once(cut, cut.columns, "_found", automaton.text_matches(F.col("text"), lexicon))
 
     def place(m: Column) -> Column:
         return F.struct(
@@ -150,12 +174,13 @@ def extract_fragments(
             m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight"),
         )
 
-    placed = F.filter(F.transform(kw.strict_matches(F.col("text"), lexicon), place), lambda m: m["place"] > 0)
+    matches = F.col("_found") if large else kw.strict_matches(F.col("text"), lexicon)
+    placed = F.filter(F.transform(matches, place), lambda m: m["place"] > 0)
     in_order = F.transform(
         F.array_sort(placed),
         lambda m: F.struct(m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight")),
     )
-    kept = [c for c in cut.columns if c != "keyword_order"]
+    kept = [c for c in cut.columns if c not in ("keyword_order", "_found")]
     matched = compute_once(cut, kept, "matched_keywords", in_order)
     return matched.withColumn("score", kw.weighted_score(F.col("matched_keywords")))
 

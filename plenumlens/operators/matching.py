@@ -1,110 +1,55 @@
-"""Lexicon matching by join, for lexicons too large to unroll into the plan."""
+"""Lexicon matching on segment rows: unrolled, or by automata for lexicons too large for that."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenumlens.functions import automaton
 from plenumlens.functions import keywords as kw
-from plenumlens.functions.base import let
-from plenumlens.functions.text import strip_marks
+from plenumlens.session import materialize
 
-_RUN = r"(?U)[\p{L}\p{N}_]+"
+#: Bytes of keywords in one automaton; a larger lexicon is matched in blocks of so many.
+BLOCK_BYTES = 32 << 20
 
 
-def _token_grams(segments: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int]) -> DataFrame:
-    """Every run of ``n`` tokens with the text between them, for each ``n`` in ``sizes``."""
-    # gaps[i] precedes words[i]; both come from one pass of the same pattern
-    cut = segments.select(
-        *keys,
-        F.regexp_extract_all(text, F.lit(_RUN), 0).alias("words"),
-        F.split(text, _RUN, -1).alias("gaps"),
-    )
-
-    def runs(n: int) -> Column:
-        def joined(i: Column) -> Column:
-            pieces = [F.element_at("words", i)]
-            for k in range(1, n):
-                pieces += [F.element_at("gaps", i + k), F.element_at("words", i + k)]
-            return F.concat(*pieces)
-
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1)))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), joined)
-
-    per_size = [runs(n) for n in sizes]
-    return cut.select(*keys, F.explode(F.concat(*per_size)).alias("gram"))
-
-
-def joinable(keyword: Column) -> Column:
-    """Whether counting equal token runs counts the keyword's hits exactly.
-
-    It must begin and end with a word character, and no later word may open another hit
-    (be equal to the first word, or become it with an ending).
-    """
-    words = F.regexp_extract_all(F.lower(keyword), F.lit(_RUN), 0)
-    edges = F.rlike(keyword, F.lit(rf"^{kw.WORD}(.*{kw.WORD})?\z"))
-    return edges & let(
-        words,
-        lambda w: ~F.exists(
-            F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-            lambda later: F.startswith(strip_marks(F.element_at(w, 1)), strip_marks(later)),
-        ),
-    )
-
-
-def join_forms(lexicon: DataFrame, lenient: bool, suffixes: Sequence[str] = kw.SUFFIXES) -> DataFrame:
-    """Lexicon rows (``ord, keyword, weight``) with every written form a hit may take."""
-    if not lenient:
-        return lexicon.withColumn("form", F.lower(F.trim("keyword")))
-    endings = F.array(*[F.lit(s) for s in ["", *suffixes]])
-    return lexicon.withColumn("_ending", F.explode(endings)).select(
-        "ord", "keyword", "weight", F.concat(strip_marks(F.trim(F.col("keyword"))), "_ending").alias("form")
-    )
-
-
-def match_by_join(
-    segments: DataFrame,
-    lexicon: DataFrame,
-    keys: Sequence[str],
-    sizes: Sequence[int],
-    text: str = "segment",
-    lenient: bool = False,
-    suffixes: Sequence[str] = kw.SUFFIXES,
+def match_keywords(
+    segments: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "segment", lenient: bool = False,
+    suffixes: Sequence[str] = kw.SUFFIXES, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``keys, ord, keyword, weight, count`` for each keyword hit in each segment.
+    """``keys, ord, keyword, weight, count`` for each hit of a lexicon table of any size in each segment.
 
-    Segments are cut into token runs of ``sizes`` words (the lengths that keywords have) and
-    joined to the lexicon on equality; hits are counted within their segment. AQE broadcasts the
-    lexicon if its measured bytes are few. All keywords must be :func:`joinable`.
+    The table (``ord, keyword, weight``) is measured, and goes to the tasks in blocks of at most
+    some ``block_bytes``, by a hash of the keyword; each block is one automaton and one pass over
+    the segments, which are written first if there are several. Nothing is shuffled. The rows are
+    those of :func:`literal_matches`: blank keywords are left out, and of strict duplicates the first counts.
     """
-    source = segments.withColumn(text, strip_marks(F.col(text))) if lenient else segments
-    grams = _token_grams(source, keys, text, sizes)
-    forms = join_forms(lexicon, lenient, suffixes)
-    hits = grams.join(forms, grams["gram"] == forms["form"], "inner")
-    return hits.groupBy(*keys, "ord", "keyword", "weight").agg(F.count(F.lit(1)).alias("count"))
+    named = lexicon.select("ord", F.trim("keyword").alias("keyword"), "weight").where(F.col("keyword") != "")
+    size = named.agg(F.sum(F.octet_length("keyword") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    source = segments.select(*keys, text)
+    if blocks > 1:
+        source = materialize(source, "segments")
+    parts = []
+    for block in range(blocks):
+        rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block)
+        entries = [kw.Keyword(r["ord"], r["keyword"].strip(), r["weight"]) for r in sorted(rows.collect(), key=lambda r: r["ord"])]
+        parts.append(automaton_matches(source, [e for e in entries if e.keyword], keys, text, lenient, suffixes))
+    return reduce(DataFrame.unionAll, parts)
 
 
-def match_keywords(
-    segments: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "segment", lenient: bool = False
+def automaton_matches(
+    segments: DataFrame, lexicon: Sequence[kw.Keyword], keys: Sequence[str], text: str = "segment", lenient: bool = False,
+    suffixes: Sequence[str] = kw.SUFFIXES,
 ) -> DataFrame:
-    """Hits of a lexicon table of any size: joined where that is exact, else unrolled.
-
-    The few keywords that cannot be joined are fetched as plan literals.
-    """
-    marked = lexicon.withColumn("_join", joinable(F.trim("keyword")))
-    rest = marked.where(~F.col("_join")).orderBy("ord").collect()
-    by_join = marked.where("_join").drop("_join")
-    sizes = by_join.agg(F.collect_set(F.size(F.regexp_extract_all("keyword", F.lit(_RUN), 0)))).first()[0]
-    parts = []
-    if sizes:
-        parts.append(match_by_join(segments, by_join, keys, sorted(sizes), text, lenient))
-    if rest:
-        literals = [kw.Keyword(r["ord"], r["keyword"].strip(), r["weight"]) for r in rest]
-        parts.append(literal_matches(segments, literals, keys, text, lenient).select(
-            *keys, "ord", "keyword", "weight", "count"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """The rows of :func:`literal_matches`, counted by an automaton in Arrow batches."""
+    matches = automaton.text_matches(F.col(text), lexicon, lenient, suffixes)
+    return segments.select(*keys, F.explode(matches).alias("m")).select(
+        *keys, "m.ord", "m.keyword", "m.weight", F.col("m.count").cast("long").alias("count")
+    )
 
 
 def literal_matches(

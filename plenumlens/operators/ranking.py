@@ -97,22 +97,71 @@ def _same(names: Sequence[str], prefix: str) -> Column:
     return reduce(and_, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names], F.lit(True))
 
 
+#: Parts that a range of scores is cut into at once.
+SPLITS = 1_000
+
+
 def top_fraction(df: DataFrame, score: str, fraction: float, accuracy: int = 10_000) -> DataFrame:
     """Rows at or above the score quantile that keeps ``fraction`` of the rows with a score; its ties are all kept.
 
-    A sketch gives a bracket that holds the quantile; only the distinct scores within it, a
-    few ten-thousandths of the rows, are counted and summed up in order to find it exactly.
+    The score is the least one with enough rows at or below it; :func:`nth_score` finds it.
+    Rows without a score, and NaN, are not ranked and not kept.
     """
-    share = 1.0 - fraction
-    margin = 2.0 / accuracy
-    edges = F.percentile_approx(score, [max(0.0, share - margin), min(1.0, share + margin)], accuracy)
-    seen = df.agg(edges.alias("edges"), F.count(score).alias("n")).first()
-    if not seen["n"]:
+    ranked = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    n = ranked.count()
+    if not n:
         return df.where(F.lit(False))
-    low, high = seen["edges"]
-    below = df.where(F.col(score) < F.lit(low)).count()
-    counts = df.where(F.col(score).between(F.lit(low), F.lit(high))).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(score)) + below
-    wanted = max(1, math.ceil(share * seen["n"] - 1e-9))
-    cut = counts.withColumn("_to", running).where(F.col("_to") >= wanted).agg(F.min(score)).first()[0]
-    return df.where(F.col(score) >= F.lit(cut))
+    wanted = max(1, math.ceil((1.0 - fraction) * n - 1e-9))
+    return ranked.where(F.col(score) >= F.lit(nth_score(ranked, score, wanted, accuracy)))
+
+
+def nth_score(df: DataFrame, score: str, n: int, accuracy: int = 10_000):
+    """The ``n``-th smallest score (1-based, ties counted), exact at any number of rows and distinct scores.
+
+    A sketch gives a first bracket; rounds then count the rows below each of some cuts in it and
+    go on in the part that holds the place, until its scores are one. A round is one aggregate
+    with at most ``SPLITS`` + 1 groups; no scores are sorted or gathered. Cuts are quantiles of
+    the bracket by sketch, and the bracket's ends: a part between two of them has at most a few
+    thousandths of its rows, or its scores are one.
+    """
+    rows = df.select(F.col(score).alias("s")).where("s IS NOT NULL")
+    total = rows.count()
+    if not 1 <= n <= total:
+        raise ValueError(f"no place {n} among {total} scores")
+    low = high = None  # the wanted score s has low < s <= high; None is open
+    below = 0  # scores <= low
+    while True:
+        inside = rows
+        if low is not None:
+            inside = inside.where(F.col("s") > F.lit(low))
+        if high is not None:
+            inside = inside.where(F.col("s") <= F.lit(high))
+        shares = [k / SPLITS for k in range(1, SPLITS)]
+        seen = inside.agg(F.min("s").alias("least"), F.max("s").alias("most"), F.percentile_approx("s", shares, accuracy).alias("cuts")).first()
+        least, most = seen["least"], seen["most"]
+        if least == most:
+            return least
+        cuts = sorted({c for c in [least, *seen["cuts"], most] if c is not None})
+        counts = {r["k"]: r["c"] for r in inside.groupBy(_place(cuts).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
+        for k, cut in enumerate(cuts):
+            here = counts.get(k, 0)
+            if below + here >= n:
+                low, high = (cuts[k - 1] if k else low), cut
+                break
+            below += here
+
+
+def _place(cuts: Sequence) -> Column:
+    """The number of the first cut that is not below ``s``, by binary search through a literal array."""
+    array = F.array(*[F.lit(c) for c in cuts])
+    steps = max(1, len(cuts).bit_length())
+
+    def narrow(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["a"] + range_["b"]) / 2).cast("int")
+        above = F.element_at(array, middle + 1) >= F.col("s")
+        done = range_["a"] >= range_["b"]
+        return F.struct(F.when(done | above, range_["a"]).otherwise(middle + 1).alias("a"),
+                        F.when(done | ~above, range_["b"]).otherwise(middle).alias("b"))
+
+    first = F.struct(F.lit(0).alias("a"), F.lit(len(cuts) - 1).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, narrow)["a"]

@@ -122,7 +122,7 @@ def fn_strict_pattern(spark, sf_dir):
 
 @query("join_keywords", _STRICT)
 def join_keywords(spark, sf_dir):
-    # the form for large lexicons: token runs joined to the lexicon
+    # the form for lexicon tables of any size: an automaton in Arrow batches
     lexicon = spark.createDataFrame([(k.ord, k.keyword, k.weight) for k in LEXICON], "ord int, keyword string, weight double")
     hits = matching.match_keywords(segments(spark, sf_dir), lexicon, ["doc_id", "segment_idx"])
     return hits.select("doc_id", F.col("segment_idx").alias("seg_idx"), "keyword", "count")

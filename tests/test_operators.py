@@ -3,6 +3,7 @@
 import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from plenumlens.functions import replies
@@ -288,3 +289,21 @@ def test_top_fraction_is_exact(spark):
     df = spark.range(30_000).withColumn("score", (F.col("id") * 7919) % 30_000)
     assert ranking.top_fraction(df, "score", 0.33, accuracy=100).count() == 9_900 + 1
     assert ranking.top_fraction(df.where("id < 0"), "score", 0.5).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["distinct", "few", "doubles", "one"])
+def test_selection_is_exact(spark, kind):
+    value = {"distinct": "(id * 7919) % 20011", "few": "id % 3", "doubles": "cast(id % 977 as double) / 7 - 50", "one": "5"}[kind]
+    df = spark.range(20_000).selectExpr(f"{value} AS score").repartition(5).cache()
+    scores = sorted(r.score for r in df.collect())
+    for n in (1, 2, 777, 13_400, 19_999, 20_000):
+        assert ranking.nth_score(df, "score", n, accuracy=50) == scores[n - 1]
+    with pytest.raises(ValueError):
+        ranking.nth_score(df, "score", 20_001)
+    with_gaps = df.selectExpr("cast(score as double) AS score").union(spark.range(50).selectExpr("CASE WHEN id % 2 = 0 THEN double('NaN') END"))
+    assert sorted(r.score for r in ranking.top_fraction(with_gaps, "score", 0.25).collect()) == [s for s in scores if s >= scores[15_000 - 1]]
+
+
+def test_selection_has_no_window_over_all_scores(spark):
+    plan = ranking.top_fraction(spark.range(100_000).withColumnRenamed("id", "score"), "score", 0.33)._jdf.queryExecution().toString()
+    assert "Window" not in plan

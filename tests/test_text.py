@@ -7,7 +7,7 @@ import pytest
 import spec
 from pyspark.sql import functions as F
 
-from plenumlens.functions import base, fields, keywords as kw, text as tx
+from plenumlens.functions import automaton, base, fields, keywords as kw, text as tx
 from plenumlens.functions import html as hx
 from plenumlens.operators import fragments as fr
 from plenumlens.operators import matching
@@ -163,6 +163,33 @@ def test_large_lexicon_join_equals_literals(spark, lenient):
     assert sorted(map(tuple, by_join.collect())) == sorted(map(tuple, literal.select(by_join.columns).collect()))
 
 
+def test_blocks_of_a_lexicon_are_one_lexicon(spark):
+    entries = [(i, f" słowo{i % 50} " if i < 60 else ["", " ", None][i % 3], float(i)) for i in range(63)]
+    table = spark.createDataFrame(entries, "ord int, keyword string, weight double")
+    segments = spark.createDataFrame([(i, f"słowo{i} i słowo{i + 1}, słowo{i}") for i in range(50)] + [(99, None)], "i int, segment string")
+    literal = matching.literal_matches(segments, [kw.Keyword(o, k.strip(), w) for o, k, w in entries[:60]], ["i"])
+    for size in (200, 1 << 20):
+        got = matching.match_keywords(segments, table, ["i"], block_bytes=size)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, literal.collect()))
+    assert matching.match_keywords(segments, table.where("false"), ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+def test_automaton_counts_fifty_thousand_keywords(lenient):
+    rng = random.Random(11)
+    letters = "aeioulmnrstkzó"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(60_000)})[:50_000]
+    keywords = [*words[:-400], *[f"{a} {b}" for a, b in zip(words[:200], words[200:400])], *[f"{a}, {a}" for a in words[:100]], *[f"{a}+" for a in words[:100]]]
+    counter = automaton.Counter([kw.Keyword(i, k) for i, k in enumerate(keywords)], lenient)
+    bits = [*rng.sample(words, 150), *words[:40], *kw.SUFFIXES]
+    for _ in range(15):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", ", ", "", "+", "_", "-", "\u0301"]) for _ in range(60))
+        text = spec.plain(text) if lenient else text
+        count = (lambda k: spec.lenient_count(text, k, kw.SUFFIXES)) if lenient else (lambda k: spec.strict_count(text, k))
+        within = [i for i, k in enumerate(keywords) if (spec.plain(k) if lenient else k) in text]
+        assert counter.matches(text) == [(i, n) for i in within if (n := count(keywords[i]))]
+
+
 def test_strip_marks(spark):
     row = frame(spark, ["Żartów ŁÓDŹ ﬁ ½ é"]).select(
         tx.strip_marks(F.col("text")).alias("fast"), tx.strip_marks_exact(F.col("text")).alias("exact")
