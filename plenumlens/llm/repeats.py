@@ -13,7 +13,8 @@ Every byte goes that lies in a string of ``LENGTH`` bytes which also starts some
    the right and to the left, that is, if they are in one class of both orders.
 4. Anchors with more than ``GATHERED`` occurrences are in no task's hands as a whole: occurrences
    with the same bytes around them are counted as one, and the windows of what is left are dealt
-   and counted by two 64-bit hashes of their bytes.
+   and counted by the SHA-256 of their bytes. A task sends each of its surroundings once, with all
+   the places where its texts have it, and gets one row of spans for each text back.
 
 Distinct texts are what is compared; of texts that occur more often every string repeats.
 """
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,14 @@ SLICE = 1 << 20
 SORTED = 12_000
 #: Occurrences of an anchor that one task sorts at most.
 GATHERED = 12_000
-#: Surroundings that stand more often are broadcast to their occurrences instead of shuffled with them.
-OFTEN = 2_000
+#: Bits of an anchor's hash that give way to its place: fixed, so that a window has the same anchor in any buffer.
+PLACE_BITS = np.uint64(32)
 
 TEXT = "k1 long, k2 long, text binary"
 SPOT = "h long, k1 long, k2 long, pos long, low int, high int"
 AROUND = "h long, k1 long, k2 long, pos long, low int, high int, left int, around binary"
-PACK = "h long, low int, high int, around binary, n long, spots array<struct<k1:long,k2:long,pos:long>>"
+PACK = "h long, low int, high int, around binary, n long, spots array<struct<k1:long,k2:long,pos:long>>, origin long"
+SPANS = "k1 long, k2 long, spans array<struct<first:long,last:long>>"
 SPAN = "k1 long, k2 long, first long, last long"
 
 
@@ -78,7 +81,7 @@ def window_anchors(buffer: np.ndarray, ends: np.ndarray, length: int = LENGTH, a
     up, down = _powers(1 << max(20, int(n).bit_length()))
     summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * up[:n], dtype=np.uint64)))
     hashes = mix64((summed[anchor:] - summed[:-anchor]) * down[:n - anchor + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = PLACE_BITS  # a buffer has less than 4 GB
     ranked = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
     blocks = -(-len(ranked) // reach)
     wide = np.full(blocks * reach, np.iinfo(np.uint64).max, np.uint64)
@@ -182,24 +185,67 @@ def _packer(length: int):
     """Occurrences with equal surroundings as one row, within some thousand at a time."""
     surround = _surrounder(length)
 
-    def pack(rows: pa.Table) -> pa.RecordBatch:
+    def pack(rows: pa.Table, place: int) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         of = _alike(rows)
         n, one = np.bincount(of), pa.array(np.unique(of, return_index=True)[1])
         spots = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in ("k1", "k2", "pos")], ["k1", "k2", "pos"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), spots.take(pa.array(np.argsort(of, kind="stable"))))
         firsts = [rows.column(c).combine_chunks().take(one) for c in ("h", "low", "high", "around")]
-        return pa.RecordBatch.from_arrays([*firsts, pa.array(n), lists], ["h", "low", "high", "around", "n", "spots"])
+        origin = pa.array(np.full(len(one), place))
+        return pa.RecordBatch.from_arrays([*firsts, pa.array(n), lists, origin], ["h", "low", "high", "around", "n", "spots", "origin"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        task, n = TaskContext.get().partitionId() << 32, 0
         for batch in surround(batches):
             held.append(batch)
             if sum(b.num_rows for b in held) >= SORTED:
-                yield pack(pa.Table.from_batches(held))
-                held = []
+                yield pack(pa.Table.from_batches(held), task + n)
+                held, n = [], n + 1
         if held:
-            yield pack(pa.Table.from_batches(held))
+            yield pack(pa.Table.from_batches(held), task + n)
+
+    return run
+
+
+def _unpacker(length: int):
+    """Of the packs of one origin with their runs, one row for each text with its spans."""
+
+    def emit(rows: pa.Table) -> pa.RecordBatch:
+        spots = rows.column("spots").combine_chunks()
+        runs = [rows.column(c).combine_chunks() for c in ("near", "far")]
+        of_spot = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy()))
+        n_runs = np.diff(runs[0].offsets.to_numpy())
+        near, far = (r.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for r in runs)
+        k1, k2, pos = (c.to_numpy(zero_copy_only=False) for c in spots.flatten().flatten())
+        n = n_runs[of_spot]  # each spot has the runs of its surroundings
+        first_run = (np.cumsum(n_runs) - n_runs)[of_spot]
+        at = np.repeat(first_run - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        k1, k2, pos = np.repeat(k1, n), np.repeat(k2, n), np.repeat(pos, n)
+        first, last = pos - far[at], pos - near[at] + length
+        order = np.lexsort((k2, k1))
+        k1, k2, first, last = k1[order], k2[order], first[order], last[order]
+        begin = np.flatnonzero((np.diff(k1, prepend=0) != 0) | (np.diff(k2, prepend=0) != 0) | (np.arange(len(k1)) == 0))
+        merged = [merge_spans(first[a:b], last[a:b]) for a, b in zip(begin, np.append(begin[1:], len(k1)))]
+        sizes = np.array([len(m[0]) for m in merged], np.int64)
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate([m[i] for m in merged])) for i in (0, 1)], ["first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(k1[begin]), pa.array(k2[begin]), pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), spans)], ["k1", "k2", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in settled(batches):
+            origin = batch.column(0).to_numpy()
+            cuts = [0, *np.flatnonzero(np.diff(origin)) + 1, len(origin)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and a < b and held[0].column(0)[0].as_py() != origin[a]:
+                    yield emit(pa.Table.from_batches(held))
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield emit(pa.Table.from_batches(held))
 
     return run
 
@@ -403,32 +449,29 @@ def _two_hashes(first: str, second: str, *values: Column) -> list[Column]:
     return [F.xxhash64(*values).alias(first), F.xxhash64(F.lit("second"), *values).alias(second)]
 
 
-def _counted_spans(found: DataFrame, length: int) -> DataFrame:
-    """The repeated spans of occurrences (PACK) of any number, by counting; no task gathers those of one anchor."""
-    packs = found.select(*_two_hashes("s1", "s2", F.col("h"), F.col("low"), F.col("high"), F.col("around")), "low", "high", "around", "n", "spots")
+def _counted_spans(found: DataFrame, length: int, parts: int) -> DataFrame:
+    """The repeated spans (SPANS) of occurrences (PACK) of any number, by counting; no task gathers those of one anchor."""
+    packs = found.select(*_two_hashes("s1", "s2", F.col("h"), F.col("low"), F.col("high"), F.col("around")),
+                         "low", "high", "around", "n", "spots", "origin")
     # counted before the shuffle; the bytes are a key, so that equal hashes of others aren't counted
     kinds = packs.groupBy("s1", "s2", "low", "high", "around").agg(F.sum("n").alias("n"))
     placed = kinds.select("s1", "s2", "n", "high", "around", F.explode(F.sequence("low", "high")).alias("d"))
     window = F.substring("around", F.col("high") - F.col("d") + 1, F.lit(length))
-    windows = placed.select("s1", "s2", "n", "d", *_two_hashes("w1", "w2", window))
-    several = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    windows = placed.select("s1", "s2", "n", "d", F.unhex(F.sha2(window, 256)).alias("w"))
+    several = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
     # surroundings that stand once have those windows that stand elsewhere too; the others have all
-    hit = windows.where("n = 1").join(several, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    hit = windows.where("n = 1").join(several, "w").groupBy("s1", "s2").agg(F.array_sort(F.collect_list("d")).alias("d"))
     near = F.array_except("d", F.transform("d", lambda x: x + 1)).alias("near")
     far = F.array_except("d", F.transform("d", lambda x: x - 1)).alias("far")
-    whole = ["s1", "s2", F.array("low").alias("near"), F.array("high").alias("far")]
-    # one in OFTEN occurrences at most
-    often = F.broadcast(kinds.where(F.col("n") > OFTEN).select(*whole))
-    runs = kinds.where(F.col("n").between(2, OFTEN)).select(*whole).union(hit.select("s1", "s2", near, far))
-    spots = packs.select("s1", "s2", "spots")
-    rest = spots.join(often, ["s1", "s2"], "left_anti").join(runs, ["s1", "s2"])
-    spans = F.flatten(F.transform("spots", lambda s: F.transform(F.arrays_zip("near", "far"), lambda r: F.struct(
-        s["k1"].alias("k1"), s["k2"].alias("k2"), (s["pos"] - r["far"]).alias("first"), (s["pos"] - r["near"] + length).alias("last")))))
-    return spots.join(often, ["s1", "s2"]).union(rest).select(F.inline(spans))
+    runs = kinds.where("n > 1").select("s1", "s2", F.array("low").alias("near"), F.array("high").alias("far")).union(
+        hit.select("s1", "s2", near, far))
+    # a surrounding has at most one row for each SORTED occurrences here, and one with its runs there
+    met = packs.select("s1", "s2", "spots", "origin").join(runs, ["s1", "s2"]).select("origin", "spots", "near", "far")
+    return met.repartition(parts, "origin").sortWithinPartitions("origin").mapInArrow(_unpacker(length), SPANS)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts (k1, k2, text), dealt by key, and their repeated spans (k1, k2, first, last)."""
+def _span_lists(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (k1, k2, text), dealt by key, and lists of repeated spans (SPANS), any number for each."""
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.select(*text_keys(text), text_bytes(text).alias("text")).mapInArrow(_once, TEXT)
@@ -445,7 +488,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     small = beside(anchors.join(large, "h", "left_anti").join(several, "h")).mapInArrow(_surrounder(length), AROUND)
     spans = small.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_matcher(length), SPAN)
-    return texts, spans.union(_counted_spans(beside(anchors.join(large, "h")).mapInArrow(_packer(length), PACK), length))
+    single = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return texts, single.union(_counted_spans(beside(anchors.join(large, "h")).mapInArrow(_packer(length), PACK), length, parts))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (k1, k2, text), dealt by key, and their repeated spans (k1, k2, first, last)."""
+    texts, lists = _span_lists(docs, text, length)
+    return texts, lists.select("k1", "k2", F.inline("spans"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -456,8 +506,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rows have is removed as a whole (if long enough), rows with null or equal keys are separate
     rows, and an empty table gives an empty result. Other columns are left out.
     """
-    texts, spans = repeated_spans(docs, text, length)
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    texts, found = _span_lists(docs, text, length)
+    lists = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = texts.join(lists, ["k1", "k2"]).mapInArrow(
         _cutter, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     value = text_bytes(text)
