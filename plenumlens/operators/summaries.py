@@ -19,20 +19,47 @@ from plenumlens.operators.ranking import topk_per_group
 NO_CLUB = "Brak klubu"
 
 
-def proceeding_summary(statements: DataFrame, keys: Sequence[str], date: str, speaker: str) -> DataFrame:
-    """Days, statements, distinct named speakers and sorted dates per proceeding."""
-    reduced = statements.groupBy(*keys, date, speaker).agg(F.count(F.lit(1)).alias("_n"))
-    return reduced.groupBy(*keys).agg(
+def day_partials(statements: DataFrame, keys: Sequence[str], date: str, speaker: str) -> DataFrame:
+    """Rows (keys, date, speaker, n): what summaries of any number of days need to know of their statements."""
+    return statements.groupBy(*keys, date, speaker).agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_partials(statements: DataFrame, path: str, keys: Sequence[str], date: str, speaker: str) -> None:
+    """Keep the partial aggregates of the days that occur, each in a folder of its own.
+
+    A day that comes again replaces what was kept of it, other days stay and are not read: the
+    cost is that of the new days. Pass each day whole.
+    """
+    partials = day_partials(statements, keys, date, speaker)
+    (partials.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(date).parquet(path))
+
+
+def read_partials(statements: DataFrame, path: str, keys: Sequence[str], date: str, speaker: str) -> DataFrame:
+    """All partial aggregates kept at ``path``; ``statements`` gives the types of the columns only."""
+    kinds = dict(statements.dtypes)
+    fields_ = [f"`{c}` {kinds[c]}" for c in [*keys, speaker]] + ["n long", f"`{date}` {kinds[date]}"]
+    return statements.sparkSession.read.schema(", ".join(fields_)).parquet(path)
+
+
+def proceeding_summary_of(partials: DataFrame, keys: Sequence[str], date: str, speaker: str) -> DataFrame:
+    """Days, statements, distinct named speakers and sorted dates per proceeding, of partial aggregates."""
+    return partials.groupBy(*keys).agg(
         F.countDistinct(date).alias("total_days"),
-        F.sum("_n").alias("total_statements"),
+        F.sum("n").alias("total_statements"),
         F.countDistinct(F.nullif(F.col(speaker), F.lit(""))).alias("total_speakers"),
         F.array_sort(F.collect_set(date)).alias("dates"),
     )
 
 
-def term_summary(statements: DataFrame, term: str, proceeding: str, date: str) -> DataFrame:
-    """Proceedings, transcripts (days) and statements per term, and per proceeding within it."""
-    days = statements.groupBy(term, proceeding, date).agg(F.count(F.lit(1)).alias("_n"))
+def proceeding_summary(statements: DataFrame, keys: Sequence[str], date: str, speaker: str) -> DataFrame:
+    """Days, statements, distinct named speakers and sorted dates per proceeding."""
+    return proceeding_summary_of(day_partials(statements, keys, date, speaker), keys, date, speaker)
+
+
+def term_summary_of(partials: DataFrame, term: str, proceeding: str, date: str) -> DataFrame:
+    """Proceedings, transcripts (days) and statements per term, and per proceeding within it, of partial aggregates."""
+    days = partials.groupBy(term, proceeding, date).agg(F.sum("n").alias("_n"))
     per = days.groupBy(term, proceeding).agg(F.count(F.lit(1)).alias("_days"), F.sum("_n").alias("_n"))
     return per.rollup(term, proceeding).agg(
         F.count(F.lit(1)).alias("proceedings"), F.sum("_days").alias("transcripts"),
@@ -43,6 +70,12 @@ def term_summary(statements: DataFrame, term: str, proceeding: str, date: str) -
     )
 
 
+def term_summary(statements: DataFrame, term: str, proceeding: str, date: str) -> DataFrame:
+    """Proceedings, transcripts (days) and statements per term, and per proceeding within it."""
+    days = statements.groupBy(term, proceeding, date).agg(F.count(F.lit(1)).alias("n"))
+    return term_summary_of(days, term, proceeding, date)
+
+
 def group_sizes(members: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Members per value of each grouping column; rows without a value are skipped."""
     pairs = F.explode(F.array(*[

@@ -130,6 +130,36 @@ def agg_term_summary(spark, sf_dir):
     return summaries.term_summary(rows, "term", "user_id", "date")
 
 
+def kept_partials(spark, sf_dir, keys, date):
+    """The partial aggregates of all days, kept in three updates; the days of the last came in part before."""
+    speaker = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("event_type")).alias("speaker")
+    rows = events(spark, sf_dir, *[k for k in keys], date.alias("date"), speaker, F.col("ts").alias("at"))
+    path = scratch_path(spark, "partials")
+    again, first = F.dayofmonth("at") % 4 == 1, F.dayofmonth("at") <= 15
+    names = [k if isinstance(k, str) else "term" for k in keys]
+    for some in (rows.where(first & (~again | (F.hour("at") < 12))), rows.where(~first & ~again), rows.where(again)):
+        summaries.store_partials(some, path, names, "date", "speaker")
+    return summaries.read_partials(rows, path, names, "date", "speaker")
+
+
+@query("agg_proceeding_increments", """SELECT user_id, count(DISTINCT ts::DATE) AS total_days, count(*) AS total_statements,
+ count(DISTINCT event_type) FILTER (WHERE event_type <> 'view') AS total_speakers,
+ array_to_string(list_sort(list(DISTINCT strftime(ts, '%Y-%m-%d'))), ',') AS dates FROM events GROUP BY user_id""")
+def agg_proceeding_increments(spark, sf_dir):
+    """The summary of proceedings from what was kept of each day as it came, or came again."""
+    partials = kept_partials(spark, sf_dir, ["user_id"], F.date_format("ts", "yyyy-MM-dd"))
+    return summaries.proceeding_summary_of(partials, ["user_id"], "date", "speaker").withColumn("dates", F.array_join("dates", ","))
+
+
+@query("agg_term_increments", """WITH p AS (SELECT event_type AS term, user_id, count(DISTINCT ts::DATE) AS t, count(*) AS n FROM events GROUP BY ALL)
+SELECT term, user_id, false AS is_term_total, 1::BIGINT AS proceedings, t::BIGINT AS transcripts, n::BIGINT AS total_statements FROM p
+UNION ALL SELECT term, NULL, true, count(*), sum(t)::BIGINT, sum(n)::BIGINT FROM p GROUP BY term""")
+def agg_term_increments(spark, sf_dir):
+    """The summary of terms from the same kind of partial aggregates."""
+    partials = kept_partials(spark, sf_dir, [F.col("event_type").alias("term"), "user_id"], F.to_date("ts"))
+    return summaries.term_summary_of(partials, "term", "user_id", "date")
+
+
 @query("agg_state_totals", f"SELECT count(DISTINCT user_id) AS processed_proceedings, count(*) AS processed_dates FROM ({_DAYS})")
 def agg_state_totals(spark, sf_dir):
     rows = events(spark, sf_dir, "user_id", F.to_date("ts").alias("date"))

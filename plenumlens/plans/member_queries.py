@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plenumlens.functions import fields, replies
 from plenumlens.operators import detector, evaluation, joins, ranking, summaries
+from plenumlens.operators.verdict_store import VerdictStore
 from plenumlens.plans.registry import query, table
 from plenumlens.plans.text_queries import RULE, RULE_SCORE, documents
 from plenumlens.session import materialize, scratch_path
@@ -279,8 +280,17 @@ def known_verdicts(spark, sf_dir):
 @query("join_eval_cache", f"""WITH k AS ({_KNOWN}), d AS (SELECT doc_id, {_KEY} AS content_key FROM documents)
 SELECT doc_id, k.content_key IS NOT NULL AS cached, k.is_funny, k.confidence FROM d LEFT JOIN k USING (content_key)""")
 def join_eval_cache(spark, sf_dir):
+    """Verdicts of two earlier runs, the second also with failed ones and one known by then, looked up in their store."""
     keyed = evaluation.with_content_key(documents(spark, sf_dir)).select("doc_id", "content_key")
-    return evaluation.lookup_verdicts(keyed, known_verdicts(spark, sf_dir)).select("doc_id", "cached", "is_funny", "confidence")
+    found = materialize(known_verdicts(spark, sf_dir), "found-verdicts")
+    store = VerdictStore(spark, scratch_path(spark, "verdict-store"), buckets=16)
+    early = F.pmod(F.xxhash64("content_key"), F.lit(3)) > 0
+    store.append(found.where(early))
+    store.compact()
+    failed = keyed.where("content_key IS NOT NULL").select("content_key", F.lit(True).alias("is_funny"), F.lit(9.0).alias("confidence"),
+                                                           F.lit("no answer").alias("reason"), F.lit(evaluation.FAILED).alias("api_used"))
+    store.append(found.unionByName(failed))
+    return store.lookup(keyed).select("doc_id", "cached", "is_funny", "confidence")
 
 
 @query("eval_batch", f"""WITH k AS ({_KNOWN}), d AS (SELECT doc_id, text, {_KEY} AS content_key FROM documents),

@@ -307,3 +307,22 @@ def test_selection_is_exact(spark, kind):
 def test_selection_has_no_window_over_all_scores(spark):
     plan = ranking.top_fraction(spark.range(100_000).withColumnRenamed("id", "score"), "score", 0.33)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_summaries_of_kept_days_equal_those_of_all_statements(spark, tmp_path):
+    rows = [(p, d, s) for p in (1, 2) for d in ("2024-01-01", "2024-01-02", None) for s in ("A", "B", "", None)] + [(1, "2024-01-02", "C")] * 3
+    df = spark.createDataFrame(rows, "proceeding int, date string, speaker string")
+    landed, path = str(tmp_path / "landed"), str(tmp_path / "partials")
+    df.write.partitionBy("date").parquet(landed)
+    days = spark.read.schema("proceeding int, speaker string, date string").parquet(landed)
+    columns = (["proceeding"], "date", "speaker")
+    for some in (days.where("date = '2024-01-01' OR date IS NULL"), days.where("date = '2024-01-02'").limit(2), days.where("date = '2024-01-02'")):
+        summaries.store_partials(some, path, *columns)
+    partials = summaries.read_partials(days, path, *columns)
+    got = summaries.proceeding_summary_of(partials, *columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, summaries.proceeding_summary(df, *columns).collect()))
+    termed = df.withColumn("term", F.lit(10))
+    got = summaries.term_summary_of(summaries.day_partials(termed, ["term", "proceeding"], "date", "speaker"), "term", "proceeding", "date")
+    assert sorted(map(str, got.collect())) == sorted(map(str, summaries.term_summary(termed, "term", "proceeding", "date").collect()))
+    update = summaries.day_partials(days.where("date = '2024-01-02'"), *columns)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in update and "= 2024-01-02)]" in update  # one day's folder is read
