@@ -388,6 +388,46 @@ def str_health_turns(spark, sf_dir):
         "source", "status", F.unix_millis("at").alias("at_ms"), F.unix_millis("last_check").alias("last_ms"))
 
 
+@query("upd_worklist_kept", f"""WITH p AS (SELECT user_id, count(*) FILTER (WHERE d > DATE '{REF}') AS f, count(*) FILTER (WHERE d <= DATE '{REF}') AS b
+  FROM (SELECT DISTINCT user_id, d FROM ({_DAYS}) WHERE user_id % 2 = 0 OR (user_id % 4 = 1) = (d <= DATE '{REF}')) GROUP BY user_id),
+e AS (SELECT user_id, count(*) AS landed FROM ({_DAYS}) WHERE user_id % 5 > 0 AND d <= DATE '{REF}' GROUP BY user_id),
+c AS (SELECT user_id, max(ts) AS last_check FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '{NOW}' GROUP BY user_id),
+t AS (SELECT user_id, CASE WHEN f > 0 AND b = 0 THEN 'future' WHEN b > 0 AND f = 0 THEN CASE WHEN coalesce(landed, 0) >= b THEN 'complete' ELSE 'incomplete' END
+  ELSE 'ongoing' END AS tier, last_check FROM p LEFT JOIN e USING (user_id) LEFT JOIN c USING (user_id))
+SELECT user_id::VARCHAR AS proceeding, tier, last_check IS NULL OR tier = 'incomplete' OR epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_check) >
+  3600000000 * CASE tier WHEN 'future' THEN 24 WHEN 'complete' THEN 168 ELSE 2 END AS refresh FROM t""")
+def upd_worklist_kept(spark, sf_dir):
+    """The same work-list, kept by a stream of listings, landed days and checks; of each proceeding the last change."""
+    path, changes, marks = (scratch_path(spark, f"worklist-{n}") for n in ("news", "changes", "state"))
+    past = F.col("date") <= ref()
+    kept = days(spark, sf_dir).where((F.col("user_id") % 2 == 0) | ((F.col("user_id") % 4 == 1) == past))
+    listed_ = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM-dd"))).alias("dates"))
+    existing = days(spark, sf_dir).where((F.col("user_id") % 5 > 0) & past)
+    log = events(spark, sf_dir, "user_id", "event_type", F.col("ts").cast("timestamp").alias("checked_at"))
+    checks = log.where((F.col("event_type") == "signup") & (F.col("checked_at") <= now()))
+
+    def news(rows, kind, at, **columns):
+        given = {"kind": F.lit(kind), "proceeding": F.col("user_id"), "at": F.lit(at), **columns}
+        return rows.select(*[(given.get(n, F.lit(None))).cast(t).alias(n) for n, t in (c.split(" ") for c in state.NEWS.split(", "))])
+
+    day = F.date_format("date", "yyyy-MM-dd")
+    half = F.col("user_id") % 3 == 0
+    arrivals = [
+        news(existing.where(half), "landed", "2024-01-02", day=day).union(news(listed_, "listing", "2024-01-02", dates=F.col("dates"))),
+        news(existing.where(~half), "landed", "2024-01-03", day=day),
+        news(checks, "check", "2024-01-04", checked_at=F.col("checked_at")),
+    ]
+    arrivals.append(state.clock_rows(spark, arrivals[0], "at", now()))
+    with state.state_store(spark):
+        for rows in arrivals:
+            rows.write.mode("append").parquet(path)
+            stream = state.worklist_changes(jobs.arriving_files(spark, path, state.NEWS, "parquet"))
+            jobs.updates(stream, changes, marks).awaitTermination()
+    told = spark.read.schema("proceeding string, tier string, refresh boolean, as_of timestamp, batch_id long").parquet(changes)
+    last = told.groupBy("proceeding").agg(F.max_by(F.struct("tier", "refresh"), F.struct("batch_id", "as_of")).alias("last"))
+    return last.select("proceeding", "last.*")
+
+
 @query("str_notify", f"""SELECT user_id, count(*) AS new_days, string_agg(strftime(d, '%Y-%m-%d'), ', ' ORDER BY d) AS dates
  FROM ({_DAYS}) GROUP BY user_id""")
 def str_notify(spark, sf_dir):

@@ -8,6 +8,7 @@ without a key carries no data; it only moves the clock on (see :func:`clock_rows
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from plenumlens.operators.refresh import STATE_DAYS
+from plenumlens.operators.refresh import COMPLETE_HOURS, FUTURE_HOURS, ONGOING_HOURS, STATE_DAYS
 from plenumlens.streaming.jobs import start_stream
 
 #: The state store that these operators need.
@@ -184,6 +185,86 @@ def health_turns(stream: DataFrame, source: str, checked_at: str, interval_minut
     return turns.select("source", "status", F.timestamp_millis("at_ms").alias("at"), F.timestamp_millis("last_ms").alias("last_check"))
 
 
+class Worklist(StatefulProcessor):
+    """The refresh tier of a proceeding and whether it is due, kept up to date by what arrives and by timers.
+
+    Holds the listed dates, the landed days and the last check; a date that is reached and a
+    check that gets too old change the answer without a row.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "dates string, checked long, tier string, refresh boolean")
+        self.landed = handle.getMapState("landed", "day string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return iter(())
+        dates, checked, tier, refresh = self.known.get() if self.known.exists() else (None, None, None, None)
+        for part in rows:
+            listed = part[part["kind"] == "listing"]
+            if len(listed):  # of several listings the latest one counts
+                dates = listed.sort_values(["at_ms", "dates"], kind="stable")["dates"].iloc[-1]
+            for day in part.loc[part["kind"] == "landed", "day"].dropna().drop_duplicates():
+                self.landed.updateValue((day,), (1,))
+            checks = part.loc[part["kind"] == "check", "checked_ms"].dropna()
+            if len(checks):
+                checked = max(int(checks.max()), checked if checked is not None else int(checks.max()))
+        self.known.update((dates, checked, tier, refresh))
+        return self._judge(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._judge(key, timerValues.getCurrentWatermarkInMs())
+
+    def _judge(self, key, now: int) -> Iterator[pd.DataFrame]:
+        dates, checked, tier, refresh = self.known.get()
+        if dates is None:  # not listed yet
+            return
+        begins = sorted(ms for d in json.loads(dates) if (ms := _day_ms(d)) is not None)
+        today = now // DAY_MS * DAY_MS
+        past = sum(ms <= today for ms in begins)
+        future = len(begins) - past
+        if future and not past:
+            found = "future"
+        elif past and not future:
+            found = "complete" if sum(1 for _ in self.landed.keys()) >= past else "incomplete"
+        else:
+            found = "ongoing"
+        hours = _TIER_HOURS.get(found)
+        due = checked is None or hours is None or now - checked > hours * 3_600_000
+        turns = [begins[past]] if future else []
+        if not due:
+            turns.append(checked + hours * 3_600_000 + 1)
+        if turns:
+            self.handle.registerTimer(min(turns))
+        if (found, due) != (tier, refresh):
+            self.known.update((dates, checked, found, due))
+            yield pd.DataFrame({"proceeding": [key[0]], "tier": [found], "refresh": [due], "as_of_ms": [now]})
+
+    def close(self) -> None:
+        pass
+
+
+_TIER_HOURS = {"future": FUTURE_HOURS, "complete": COMPLETE_HOURS, "ongoing": ONGOING_HOURS}
+
+#: What arrives for a work-list: listings with ``dates``, landed days with ``day``, checks with ``checked_at``; ``at`` is the arrival.
+NEWS = "kind string, proceeding string, dates array<string>, day string, checked_at timestamp, at timestamp"
+
+
+def worklist_changes(news: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Rows (proceeding, tier, refresh, as_of) for each change, of a stream of :data:`NEWS`.
+
+    The last row of a proceeding is what :func:`operators.refresh.refresh_worklist` gives for all
+    that has arrived, with the watermark as the present. A proceeding that is not listed has none.
+    """
+    rows = news.select(
+        "kind", "proceeding", F.to_json("dates").alias("dates"), "day", F.unix_millis("checked_at").alias("checked_ms"),
+        "at", F.unix_millis("at").alias("at_ms"))
+    changes = rows.withWatermark("at", delay).groupBy("proceeding").transformWithStateInPandas(
+        Worklist(), "proceeding string, tier string, refresh boolean, as_of_ms long", "Update", "EventTime")
+    return changes.select("proceeding", "tier", "refresh", F.timestamp_millis("as_of_ms").alias("as_of"))
+
+
 def clock_rows(spark: SparkSession, like: DataFrame, event_time: str, moment: Column) -> DataFrame:
     """One row with the columns of ``like``, all null but its time: it moves a watermark on and is no data."""
     columns = [(moment.cast(t) if c == event_time else F.lit(None).cast(t)).alias(c) for c, t in like.dtypes]

@@ -143,3 +143,29 @@ def test_late_rows_are_told_apart_and_none_is_lost(spark, tmp_path):
         per_batch[r.batch_id] += r.rows
     assert per_batch == {0: 2, 1: 3, 2: 3}
     assert [w[:10] for w in watermarks[1:]] == ["2024-01-03", "2024-01-15"]  # Spark's own watermarks
+
+
+def test_the_kept_worklist_is_that_of_a_new_computation(spark, tmp_path):
+    rng = random.Random(8)
+    src, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    start = datetime.datetime(2024, 1, 10)
+    seen = []
+    for k in range(5):
+        at = start + datetime.timedelta(hours=31 * k)
+        rows = [("check", rng.choice("abcd"), None, None, at - datetime.timedelta(hours=rng.randrange(200)), at) for _ in range(2)]
+        rows += [("landed", rng.choice("abcd"), None, f"2024-01-{rng.randrange(8, 16):02}", None, at) for _ in range(4)]
+        rows += [("listing", p, [f"2024-01-{d:02}" for d in sorted(rng.sample(range(8, 18), 3))] + ["soon"] * (p == "d"), None, None, at) for p in "abd" if k in (0, 3)]
+        seen += rows
+        df = spark.createDataFrame(rows, state.NEWS)
+        clock = at + datetime.timedelta(hours=7)
+        df.union(state.clock_rows(spark, df, "at", F.lit(clock))).coalesce(1).write.mode("append").parquet(src)
+        with state.state_store(spark):
+            jobs.updates(state.worklist_changes(jobs.arriving_files(spark, src, state.NEWS, "parquet")), out, marks).awaitTermination()
+        told = spark.read.schema("proceeding string, tier string, refresh boolean, as_of timestamp, batch_id long").parquet(out).collect()
+        got = {r.proceeding: (r.tier, r.refresh) for r in sorted(told, key=lambda r: (r.batch_id, r.as_of))}
+        news = spark.createDataFrame(seen, state.NEWS)
+        listed = news.where("kind = 'listing'").groupBy("proceeding").agg(F.max_by("dates", "at").alias("dates"))
+        landed = news.where("kind = 'landed'").select("proceeding", F.col("day").alias("date"))
+        checks = refresh.latest_checks(news.where("kind = 'check'"), ["proceeding"])
+        want = refresh.refresh_worklist(listed, landed, checks, ["proceeding"], F.lit(clock))
+        assert got == {r.proceeding: (r.tier, r.refresh) for r in want.collect()}
