@@ -33,11 +33,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def blank_to_null(text: Column) -> Column:
-    """Empty text counts as missing."""
-    return F.nullif(text, F.lit(""))
-
-
 def compute_once(df: DataFrame, keys: Sequence[str], name: str, value: Column) -> DataFrame:
     """``keys`` and ``value`` as a column that later steps may filter on or explode freely.
 

@@ -53,11 +53,6 @@ def content_text(content: Column) -> Column:
     ))
 
 
-def raw_text(text: Column, segment: Column) -> Column:
-    """Detector input: ``text``, else ``segment``, else empty."""
-    return fields.first_present(text, segment)
-
-
 def to_canonical(processed: DataFrame, min_length: int = MIN_SAVED) -> DataFrame:
     """Processed rows with content to canonical rows; short texts are left out.
 

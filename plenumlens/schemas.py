@@ -1,21 +1,5 @@
 """Schemas of landed files and results, as DDL strings."""
 
-SPEAKER = (
-    "struct<name:string,id:int,is_mp:boolean,club:string,`group`:string,function:string,"
-    "first_name:string,last_name:string,"
-    "mp_data:struct<id:int,club:string,districtName:string,districtNum:int,profession:string,voivodeship:string>>"
-)
-TIMING = "struct<start_datetime:string,end_datetime:string,duration_seconds:int>"
-CONTENT = (
-    "struct<text:string,text_content:string,plain:string,html_content:string,content_length:int,"
-    "has_content:boolean,source:string,fetched_at:string>"
-)
-STATEMENT = (
-    f"struct<num:bigint,id:bigint,statement_id:bigint,name:string,speaker:{SPEAKER},text:string,segment:string,"
-    f"start_time:string,end_time:string,duration_seconds:int,timing:{TIMING},content:{CONTENT}>"
-)
-PROCEEDING_INFO = "struct<title:string,dates:array<string>,num:int>"
-
 #: A statement as it is read: every field as text (an object as its JSON), so that one of
 #: another type than usual spoils neither its statement nor its file.
 LANDED_STATEMENT = "struct<num:string,id:string,statement_id:string,name:string,speaker:string,text:string,segment:string>"
