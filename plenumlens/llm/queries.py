@@ -71,7 +71,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    placed = slots.assign_shards(docs.withColumn("text_crc32", crc), SHARDS, keep=["doc_id", "text_crc32"])
+    records = slots.spread_records(docs.withColumn("text_crc32", crc), keep=["doc_id", "text_crc32"])
+    sizes, maps = slots.slot_bytes(records), scratch_path(spark, "slot-maps")
+    slots.update_map(sizes, SHARDS - 1, maps)  # as it was before the last shard was added
+    placed = slots.place_records(records, slots.update_map(sizes, SHARDS, maps))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 

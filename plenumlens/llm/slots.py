@@ -10,10 +10,12 @@ length is the fixed number of slots, never the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenumlens.session import materialize
+
 SLOTS = 4096
 #: Records of a slot are numbered in this many parts, so that no sort holds a whole slot.
 PARTS = 16
@@ -134,3 +136,76 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     return placed.select(*[F.col("__row")[c].alias(c) for c in named], "size", F.lit("bytes").alias("law"),
                          F.col("shard").cast("int").alias("shard"),
                          (F.col("__start") + F.col("__place") - 1).cast("long").alias("slot"), "vslot", "version")
+
+
+# --- stored maps, and records that spread whatever their keys ---
+
+MAP = "version int, vslot int, shard int"
+
+
+def stored_map(spark: SparkSession, maps: str, version: int | None = None) -> DataFrame:
+    """One version of the map below ``maps`` (default: the newest), rows (version, vslot, shard); no rows if there is none."""
+    known = spark.read.schema(MAP).parquet(maps)
+    if version is not None:
+        return known.where(F.col("version") == version)
+    newest = known.agg(F.max("version")).first()[0]
+    return known.where(F.col("version") == F.lit(newest))
+
+
+def update_map(sizes: DataFrame, shards: int, maps: str) -> DataFrame:
+    """Store the next version of the map below ``maps`` and read it back.
+
+    The first version is made for the sizes (vslot, bytes) as they are; each later one edits the
+    newest, so that few slots move. A version is a folder of its own, written as a whole; earlier
+    ones stay, and tell where a record was.
+    """
+    spark = sizes.sparkSession
+    spark.createDataFrame([], MAP).write.mode("append").partitionBy("version").parquet(maps)
+    now = stored_map(spark, maps)
+    was = now.agg(F.max("version")).first()[0]
+    slots = materialize(sizes.select("vslot", "bytes"), "slot-sizes")  # at most one row per slot, read by several aggregates
+    found = first_map(slots, shards) if was is None else edit_map(now, slots, shards)
+    made = materialize(found, "slot-map")
+    made.coalesce(1).write.mode("append").partitionBy("version").parquet(maps)
+    return stored_map(spark, maps, (was or 0) + 1)
+
+
+def spread_records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
+    """Written rows (__row, __key, __tie, size, vslot, __part), one per document.
+
+    The slot is the hash of key and text, the same in every run; only rows that repeat, key and
+    text, are spread at random, so that no key, null or not, fills a slot. ``keep`` are the columns in ``__row``.
+    """
+    keep = [key] if keep is None else keep
+    rows = docs.select(
+        F.struct(*[docs[c] for c in keep]).alias("__row"), docs[key].cast("string").alias("__key"),
+        F.xxhash64(docs[text].cast("string")).alias("__tie"), record_size(docs[text]).alias("size"))
+    again = rows.groupBy("__key", "__tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("__key").alias("k"), F.col("__tie").alias("t"))
+    marked = rows.join(again, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__tie") == F.col("t")), "left")
+    salt = F.when(F.col("t").isNotNull(), F.floor(F.rand(9) * (1 << 30)))
+    # concat_ws leaves out nulls: a null key differs from an empty one by the text before it
+    name = F.concat_ws(":", F.when(F.col("__key").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "__key")), F.col("__tie"), salt)
+    named = marked.select("__row", "__key", "__tie", "size", name.alias("name"))
+    return materialize(named.select("__row", "__key", "__tie", "size", slot_of(F.col("name"), slots).alias("vslot"),
+                                    F.pmod(_unsigned(F.col("name"), 6, 13), F.lit(PARTS)).cast("int").alias("__part")), "slot-records")
+
+
+def place_records(records: DataFrame, owners: DataFrame) -> DataFrame:
+    """The columns of ``__row`` of :func:`spread_records` with size, law ('bytes'), shard, slot, vslot and version.
+
+    ``slot`` counts 0, 1, 2... without gaps within a shard. ``owners`` is one version of the map with
+    a row for every slot that holds data.
+    """
+    sizes = records.groupBy("vslot", "__part").agg(F.count(F.lit(1)).alias("rows"))
+    # one row per slot and part, slots * PARTS at most
+    starts = sizes.join(F.broadcast(owners), "vslot").select(
+        "vslot", "__part", "shard", "version", (F.coalesce(F.sum("rows").over(
+            Window.partitionBy("shard").orderBy("vslot", "__part").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0))).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("vslot", "__part").orderBy("__key", "size", "__tie"))
+    placed = records.withColumn("__place", place).join(F.broadcast(starts), ["vslot", "__part"])
+    own = ["size", "vslot", "shard", "slot", "law", "version"]
+    named = [c for c in records.schema["__row"].dataType.names if c not in own]
+    return placed.select(*[F.col("__row")[c].alias(c) for c in named], "size", F.lit("bytes").alias("law"), "shard",
+                         (F.col("__start") + F.col("__place") - 1).cast("long").alias("slot"), "vslot", "version")
