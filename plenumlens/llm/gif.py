@@ -29,6 +29,12 @@ TABLE = 4096
 #: Canvas pixels that a decoder agrees to, so that a forged header cannot exhaust a task.
 MOST_PIXELS = 1 << 26
 
+
+
+class PictureTooLarge(ValueError):
+    """A picture whose canvas or frame has more than MOST_PIXELS pixels; it is not decoded."""
+
+
 FRAME = "array<struct<frame:int,start_cs:long,delay_cs:int,left:int,top:int,width:int,height:int,histogram:array<long>>>"
 
 
@@ -179,12 +185,15 @@ def _rows(height: int) -> np.ndarray:
 
 
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """The frames in order. What isn't a GIF gives none; a file that breaks off gives those before the break."""
+    """The frames in order. What isn't a GIF gives none; a file that breaks off gives those before the break.
+
+    A picture beyond MOST_PIXELS is an error, not one without frames.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     if width * height > MOST_PIXELS:
-        return
+        raise PictureTooLarge(f"a canvas of {width} x {height} pixels")
     at, colours = 13, _packed(b"")
     if flags & 0x80:
         size = 3 << (flags & 7) + 1
@@ -216,8 +225,10 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 size = 3 << (flags & 7) + 1
                 own = _packed(data[at:at + size - size % 3])
                 at += size
-            if at >= len(data) or not 1 <= data[at] <= 8 or w * h > MOST_PIXELS:
+            if at >= len(data) or not 1 <= data[at] <= 8:
                 return
+            if w * h > MOST_PIXELS:
+                raise PictureTooLarge(f"a frame of {w} x {h} pixels")
             low_bits = data[at]
             stream, at = blocks(at + 1)
             got = np.frombuffer(lzw_unpack(stream, low_bits, w * h), np.uint8)
@@ -281,7 +292,7 @@ def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> Data
 def with_frames(media: DataFrame, column: str = "media", into: str = "frames") -> DataFrame:
     """Add the timed frames of a media column, with their place, duration and colour histogram.
 
-    Null and unreadable media have an empty list.
+    Null and unreadable media have an empty list; a picture that is too large to decode has null.
     """
     @F.pandas_udf(FRAME)
     def frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -289,11 +300,14 @@ def with_frames(media: DataFrame, column: str = "media", into: str = "frames") -
             out = []
             for data in batch:
                 rows, clock = [], 0
-                for i, f in enumerate(read_gif(data or b"")):
-                    h, w = f.samples.shape
-                    rows.append({"frame": i, "start_cs": clock, "delay_cs": f.delay, "left": f.left, "top": f.top, "width": w,
-                                 "height": h, "histogram": histogram(f.canvas).tolist()})
-                    clock += f.delay
+                try:
+                    for i, f in enumerate(read_gif(data or b"")):
+                        h, w = f.samples.shape
+                        rows.append({"frame": i, "start_cs": clock, "delay_cs": f.delay, "left": f.left, "top": f.top, "width": w,
+                                     "height": h, "histogram": histogram(f.canvas).tolist()})
+                        clock += f.delay
+                except PictureTooLarge:
+                    rows = None
                 out.append(rows)
             yield pd.Series(out)
 
@@ -320,7 +334,7 @@ def payload_facts(data: bytes | None) -> tuple:
 
 
 def with_payload(media: DataFrame, column: str = "media", into: str = "payload") -> DataFrame:
-    """Add the facts of the samples read back from a media column."""
+    """Add the facts of the samples read back from a media column; a picture that is too large to decode is an error."""
     @F.pandas_udf(PAYLOAD)
     def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
