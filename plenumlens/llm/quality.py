@@ -2,8 +2,9 @@
 
 Every line is good or bad. Its features are binned statistics of the line and of the lines
 before and after it; neighbouring labels are tied by transition weights. The forward-backward
-pass gives each line's probability to be good, and a document's score is their mean, weighted
-by length. Labels exist for documents only, so that every line is trained with its document's.
+pass gives each line's probability to be good: that labels the line, and a document's score is
+the mean, weighted by length. Labels exist for documents only, so that every line is trained
+with its document's.
 
 The model is fitted on a bounded sample of labelled documents, whose binned lines alone come to
 the driver, and is a few hundred numbers large. Scoring reads whole texts, in Arrow batches.
@@ -24,8 +25,10 @@ from plenumlens.llm.tables import settled, small_batches, text_bytes
 
 #: Labelled documents that the model is fitted on, at most (the ones of smallest id hash).
 TRAIN_DOCS = 6_000
-#: Lines of one training document, at most; they are spread evenly over a longer text.
+#: Lines of one training document, at most: a longer text gives runs of adjacent lines, spread evenly over it.
 TRAIN_LINES = 400
+#: Lines of such a run.
+RUN_LINES = 50
 THRESHOLD = 0.3
 #: Upper edges of the bins of a share.
 SHARES = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.75])
@@ -92,17 +95,27 @@ def bin_statistics(raw: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chains:
-    """Lines of many documents, one after the other; documents by falling number of lines."""
+    """Lines of many chains, one after the other; chains by falling number of lines.
+
+    A chain is a document, or a run of its lines. Around a run may stand the lines before and
+    after it: their features count for their neighbours, they have no label themselves.
+    """
 
     bins: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    lead: np.ndarray
+    tail: np.ndarray
 
     @staticmethod
-    def of(bins: np.ndarray, counts: np.ndarray) -> tuple[Chains, np.ndarray]:
-        """The chains, and the order that the documents now have."""
+    def of(bins: np.ndarray, counts: np.ndarray, lead: np.ndarray | None = None,
+           tail: np.ndarray | None = None) -> tuple[Chains, np.ndarray]:
+        """The chains, and the order that they now have; ``lead`` and ``tail`` tell which of them have a line before or after."""
+        lead = np.zeros(len(counts), bool) if lead is None else lead
+        tail = np.zeros(len(counts), bool) if tail is None else tail
+        whole = counts + lead + tail
         order = np.argsort(-counts, kind="stable")
-        return Chains(bins, (np.cumsum(counts) - counts)[order], counts[order]), order
+        return Chains(bins, (np.cumsum(whole) - whole + lead)[order], counts[order], lead[order], tail[order]), order
 
     def active(self, t: int) -> np.ndarray:
         """Positions of line ``t`` of all documents that have one."""
@@ -110,11 +123,19 @@ class Chains:
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Which lines have one before, and one after, in their document."""
-        before, after = np.ones(len(self.bins), bool), np.ones(len(self.bins), bool)
-        before[self.start] = False
-        after[self.start + self.length - 1] = False
+        inside = self.inside()
+        before, after = inside.copy(), inside
+        before[self.start] = self.lead
+        after[self.start + self.length - 1] = self.tail
         return before, after
 
+    def inside(self) -> np.ndarray:
+        """Which lines belong to a chain."""
+        out = np.ones(len(self.bins), bool)
+        out[(self.start - 1)[self.lead]] = False
+        out[(self.start + self.length)[self.tail]] = False
+        return out
+
 
 class LineField:
     """The conditional random field: bin weights for own, previous and next line, and transitions."""
@@ -141,7 +162,7 @@ class LineField:
         good = 1 / (1 + np.exp(-np.clip(self.emissions(chains), -30, 30)))
         phi = np.stack([1 - good, good], 1)
         move = np.exp(self.moves)
-        forth, back = np.empty_like(phi), np.ones_like(phi)
+        forth, back = np.ones_like(phi), np.ones_like(phi)
         steps = int(chains.length[0]) if len(chains.length) else 0
         for t in range(steps):
             at = chains.active(t)
@@ -162,17 +183,20 @@ class LineField:
         """Fit to lines with labels (one per line), by gradient ascent on the conditional likelihood."""
         before, after = chains.edges()
         told = np.zeros((2, 2))
-        inner = np.flatnonzero(before)
+        inside = chains.inside()
+        follows = inside.copy()
+        follows[chains.start] = False
+        inner = np.flatnonzero(follows)
         np.add.at(told, (labels[inner - 1], labels[inner]), 1)
         flat = chains.bins + np.arange(FEATURES) * BINS
         values = np.concatenate([self.weights.ravel(), [self.bias], self.moves.ravel()])
         first, second = np.zeros_like(values), np.zeros_like(values)
         for i in range(1, rounds + 1):
             sure, expected = self.marginals(chains)
-            off = labels - sure
+            off = np.where(inside, labels - sure, 0)
             parts = [np.bincount(flat.ravel(), np.repeat(x, FEATURES), FEATURES * BINS) for x in (
                 off, np.concatenate([np.where(before, off, 0)[1:], [0]]), np.concatenate([[0], np.where(after, off, 0)[:-1]]))]
-            slope = np.concatenate([*parts, [off.sum()], (told - expected).ravel()]) / len(labels) - decay * values
+            slope = np.concatenate([*parts, [off.sum()], (told - expected).ravel()]) / inside.sum() - decay * values
             first = 0.9 * first + 0.1 * slope
             second = 0.99 * second + 0.01 * slope**2
             values = values + rate * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
@@ -180,8 +204,8 @@ class LineField:
             self.weights, self.bias, self.moves = values[:size].reshape(self.weights.shape), values[size], values[size + 1:].reshape(2, 2)
         return self
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Length-weighted mean of the lines' probabilities, per text."""
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Per text, the length-weighted mean of the lines' probabilities, and these themselves."""
         lengths, raw, counts = [], [], []
         for text in texts:
             n, rows = line_statistics(text)
@@ -192,7 +216,8 @@ class LineField:
         chains, _ = Chains.of(bin_statistics(np.array(raw, float).reshape(-1, FEATURES)), counts)
         sure, _ = self.marginals(chains)
         weight, doc = np.array(lengths) + 1.0, np.repeat(np.arange(len(texts)), counts)
-        return np.bincount(doc, weight * sure, len(texts)) / np.bincount(doc, weight, len(texts))
+        scores = np.bincount(doc, weight * sure, len(texts)) / np.bincount(doc, weight, len(texts))
+        return scores, np.split(sure, np.cumsum(counts)[:-1])
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
@@ -200,13 +225,29 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _binned(texts: pd.Series) -> pd.Series:
-    def one(text: bytes) -> list[bytes]:
-        rows = line_statistics(text)[1]
-        keep = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_LINES)).astype(int))
-        return [x.tobytes() for x in bin_statistics(np.array(rows, float)[keep])]
+def training_runs(lines: int, most: int = TRAIN_LINES, run: int = RUN_LINES) -> list[tuple[int, int]]:
+    """Bounds of the runs of adjacent lines that a text of so many lines is trained with.
+
+    That is the whole text up to ``most`` lines; of a longer one ``most // run`` runs that begin
+    at even distances, the first with its first line and the last with its last.
+    """
+    if lines <= most:
+        return [(0, lines)]
+    starts = np.linspace(0, lines - run, max(most // run, 1)).astype(int)
+    return [(int(at), int(at) + run) for at in starts]
+
+
+def _binned(texts: pd.Series) -> pd.DataFrame:
+    def one(text: bytes) -> tuple[bytes, list[int]]:
+        bins = bin_statistics(np.array(line_statistics(text)[1], float))
+        parts, runs = [], []
+        for first, end in training_runs(len(bins)):
+            lead, tail = int(first > 0), int(end < len(bins))
+            parts.append(bins[first - lead : end + tail].tobytes())
+            runs += [end - first, lead, tail]
+        return b"".join(parts), runs
 
-    return texts.map(one)
+    return pd.DataFrame([one(t) for t in texts], columns=["bins", "runs"])
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
@@ -214,21 +255,41 @@ def fit_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Fit the field on labelled documents that aren't held out, ``max_docs`` at most.
 
     Rows with null key or label are passed over; of several labels of a document the smallest
-    counts. Without any labelled document the blank field comes back, which scores 0.5.
+    counts, of several texts that with the least hash. A text beyond ``TRAIN_LINES`` lines is
+    trained in runs of adjacent lines (see :func:`training_runs`). Without any labelled document
+    the blank field comes back, which scores 0.5.
     """
     small_batches(docs.sparkSession)
     known = (labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
              .where(F.col("__k").isNotNull() & F.col("__y").isin(0, 1) & ~held_out(F.col("__k"))))
     sample = known.groupBy("__k").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(max_docs)
     chosen = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(sample), "__k")  # max_docs rows
-    binned = F.pandas_udf(_binned, "array<binary>")
-    one = chosen.withColumn("__r", F.xxhash64("__t")).select("__k", "__y", "__r", binned(text_bytes("__t")).alias("__b"))
-    rows = sorted(one.limit(4 * max_docs).collect(), key=lambda r: (r["__k"], r["__r"]))
+    one = (chosen.groupBy("__k", "__y").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"))
+           .withColumn("__b", F.pandas_udf(_binned, "struct<bins:binary,runs:array<int>>")(text_bytes("__t"))))
+    rows = sorted(one.select("__k", "__y", "__b.*").collect(), key=lambda r: r["__k"])  # a row for each of max_docs keys
     if not rows:
         return LineField.blank()
-    counts = np.array([len(r["__b"]) for r in rows])
-    bins = np.frombuffer(b"".join(b"".join(r["__b"]) for r in rows), np.uint8).reshape(-1, FEATURES)
-    return LineField.blank().fit(Chains.of(bins, counts)[0], np.repeat([r["__y"] for r in rows], counts), rounds)
+    runs = np.array([n for r in rows for n in r["runs"]]).reshape(-1, 3)
+    bins = np.frombuffer(b"".join(r["bins"] for r in rows), np.uint8).reshape(-1, FEATURES)
+    labels = np.repeat([r["__y"] for r in rows], [len(r["bins"]) // FEATURES for r in rows])
+    return LineField.blank().fit(Chains.of(bins, runs[:, 0], runs[:, 1] > 0, runs[:, 2] > 0)[0], labels, rounds)
+
+
+JUDGED = "struct<score:double,lines:array<double>>"
+
+
+def judge(field: LineField):
+    """A column function: the score of a text (as bytes), and the probability of each of its lines to be good."""
+
+    @F.pandas_udf(JUDGED)
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in settled(batches):
+            size = texts.map(len).cumsum().to_numpy() // SLICE_BYTES
+            parts = [field.judge(part.tolist()) for _, part in texts.groupby(size)]
+            scores = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0)
+            yield pd.DataFrame({"score": scores, "lines": [line for _, lines in parts for line in lines]})
+
+    return judged
 
 
 def scorer(field: LineField):
@@ -238,11 +299,22 @@ def scorer(field: LineField):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in settled(batches):
             size = texts.map(len).cumsum().to_numpy() // SLICE_BYTES
-            yield pd.Series(np.concatenate([field.score(part.tolist()) for _, part in texts.groupby(size)]) if len(texts) else [], dtype=float)
+            yield pd.Series(np.concatenate([field.judge(part.tolist())[0] for _, part in texts.groupby(size)]) if len(texts) else [], dtype=float)
 
     return score
 
 
+def with_lines(docs: DataFrame, field: LineField, text: str = "text", into: str = "judged") -> DataFrame:
+    """Add the column ``into``: the score, and ``lines``, each line's number, probability and label (1: good).
+
+    Lines are what line feeds part, numbered from 0; one is good from a probability of 0.5. Null
+    and empty texts are one empty line; rows stay as they are, a column ``into`` is replaced.
+    """
+    labelled = F.transform(F.col(into)["lines"], lambda p, i: F.struct(i.alias("no"), p.alias("good"), (p >= 0.5).cast("int").alias("label")))
+    return docs.withColumn(into, judge(field)(text_bytes(text))).withColumn(
+        into, F.struct(F.col(into)["score"].alias("score"), labelled.alias("lines")))
+
+
 def with_score(docs: DataFrame, field: LineField, text: str = "text", into: str = "score") -> DataFrame:
     """Add the column ``into``, the score from 0 to 1 (higher: better); a column of that name is replaced.
 

@@ -23,9 +23,11 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     field = quality.fit_field(docs, read(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs.select("doc_id", "text"), field)
-    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score").withColumn(
-        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+    judged = quality.with_lines(docs.select("doc_id", "text"), field)
+    good = F.size(F.filter("judged.lines", lambda line: line["label"] == 1))
+    return judged.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "judged.score",
+                         (F.col("judged.score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+                         F.size("judged.lines").alias("n_lines"), good.alias("n_good_lines"))
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
