@@ -3,7 +3,7 @@
 A document's words are cut into windows that overlap by half and are at least twice as long as a
 template, so that every place of a template lies in one. Windows and templates that agree in one
 band of their MinHash signatures are compared exactly: a template is found where a window holds
-enough of its shingles.
+enough of its shingles, among them those with the words that tell its license from others.
 
 A band's value is a shingle of the window. A window without any shingle of a template can
 therefore agree with no template, and its signature isn't computed. Everything is built-in
@@ -27,20 +27,47 @@ MISS = 1e-6
 #: Windows step by a power of two of words, this at least.
 LEAST_STEP = 8
 
-#: Notices by which licenses are told (fixed values).
+#: Notices by which licenses are told (fixed values). A clause that licenses share stands under the one without further ones.
 TEMPLATES = [
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd-3-clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-2-clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Words that tell a license from those of like wording: a template of it that has them is found only with them.
+TELLING = {
+    "agpl-3.0": ["affero", "version 3"],
+    "apache-2.0": ["version 2 0"],
+    "cc-by-4.0": ["attribution 4 0"],
+    "cc-by-nc-4.0": ["by nc 4 0"],
+    "cc-by-sa-4.0": ["sharealike 4 0"],
+    "epl-2.0": ["license 2 0"],
+    "gpl-2.0": ["gnu general public license", "version 2"],
+    "gpl-3.0": ["gnu general public license", "version 3"],
+    "lgpl-2.1": ["lesser", "version 2 1"],
+    "lgpl-3.0": ["lesser", "version 3"],
+    "mpl-2.0": ["v 2 0"],
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,10 +107,21 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return known.select("template", "license", F.array_distinct(shingles(F.col("w"))).alias("wanted"), F.size("w").alias("n"), least.alias("step")).where("size(wanted) > 0")
 
 
-def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def telling_shingles(wanted: list[str], phrases: list[str]) -> list[list[str]]:
+    """Per phrase that the shingles hold, those with it: a text must have one of each list."""
+    found = [[s for s in wanted if f" {phrase} " in f" {s} "] for phrase in phrases]
+    return [some for some in found if some]
+
+
+def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None,
+                    telling: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (key, k1, k2, license, template, first_word, containment): windows that contain a template.
 
-    One row per window and template; ``first_word`` is the window's first word (from 0).
+    One row per window and template; ``first_word`` is the window's first word (from 0). A template
+    of a license with ``telling`` phrases (five words at most each, in lower case) that stand in it
+    is found only where the window holds a template shingle with each. Null and empty texts and an
+    empty table give no rows, repeated rows give theirs once, and templates shorter than a shingle
+    are passed over.
     """
     spark = docs.sparkSession
     chosen = TEMPLATES if templates is None else templates
@@ -115,18 +153,23 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
            .groupBy("key", "k1", "k2", "template", "license", "step", "first_word")
            .agg(F.first("held").alias("held"), F.first("wanted").alias("wanted")))
     contained = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    return (met.withColumn("containment", contained).where(F.col("containment") >= CONTAINED)
+    told = F.lit(True)
+    for t in known:
+        for some in telling_shingles(t["wanted"], (TELLING if telling is None else telling).get(t["license"], [])):
+            told = told & ((F.col("template") != t["template"]) | F.arrays_overlap("held", F.array(*map(F.lit, some))))
+    return (met.withColumn("containment", contained).where((F.col("containment") >= CONTAINED) & told)
             .select(F.col("key").alias(key), "k1", "k2", "license", "template", "first_word", "containment"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None,
+         telling: dict[str, list[str]] | None = None) -> DataFrame:
     """Per document: key, n_licenses, licenses (sorted, comma-joined; empty: none) and the best containment (0: none).
 
     Null and empty texts hold no license, templates shorter than a shingle are passed over,
     rows with null or equal keys stay separate rows, and an empty table gives an empty result.
     Other columns are left out.
     """
-    found = license_matches(docs, key, text, templates).groupBy(F.col(key).alias("f"), F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(
+    found = license_matches(docs, key, text, templates, telling).groupBy(F.col(key).alias("f"), F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(
         F.array_sort(F.collect_set("license")).alias("names"), F.max("containment").alias("best"))
     rows = docs.select(docs[key].alias("key"), *text_keys(text))
     joined = rows.join(found, F.col("key").eqNullSafe(F.col("f")) & (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")

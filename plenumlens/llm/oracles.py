@@ -32,19 +32,24 @@ def license_scan() -> str:
     rows = ", ".join(f"({i}, '{name}', '{text}')" for i, name, text in quoted)
     split = rf"regexp_extract_all({_FOLD}, '[a-z0-9]+')"
     cut = f"array_to_string(ws[i + 1:i + {SHINGLE}], ' ')"
+    phrases = ", ".join(f"('{name}', '{phrase}')" for name, some in licenses.TELLING.items() for phrase in some)
     return f"""
 WITH notices AS (SELECT id, license, {split} AS ws FROM (VALUES {rows}) AS v(id, license, text)),
 t AS (SELECT id, license, ws, greatest({licenses.LEAST_STEP}, 2 ** ceil(log2(len(ws))))::BIGINT AS step FROM notices),
 wanted AS (SELECT DISTINCT id, license, step, {cut} AS sh FROM t, unnest(range(0, len(ws) - {SHINGLE - 1})) AS r(i)),
 sizes AS (SELECT id, count(*) AS m FROM wanted GROUP BY id),
+telling AS (SELECT id, phrase, sh FROM wanted JOIN (VALUES {phrases}) AS v(license, phrase) USING (license)
+  WHERE contains(' ' || sh || ' ', ' ' || phrase || ' ')),
+needed AS (SELECT id, count(DISTINCT phrase) AS k FROM telling GROUP BY id),
 d AS (SELECT doc_id, {split} AS ws FROM documents),
 held AS (SELECT doc_id, i, {cut} AS sh FROM d, unnest(range(0, len(ws) - {SHINGLE - 1})) AS r(i)),
 hits AS (SELECT doc_id, i, id, license, step, sh FROM held JOIN wanted USING (sh)),
 windows AS (SELECT doc_id, id, license, sh, i // step - back AS win FROM hits, (VALUES (0), (1)) AS b(back)
   WHERE i // step >= back AND i + {SHINGLE} <= (i // step - back + 2) * step),
-matched AS (SELECT doc_id, id, license, win, count(DISTINCT sh) / m AS share FROM windows JOIN sizes USING (id) GROUP BY doc_id, id, license, win, m),
-found AS (SELECT doc_id, max(share) AS best, list_sort(list_distinct(list(license))) AS names FROM matched
-  WHERE share >= {licenses.CONTAINED} GROUP BY doc_id)
+matched AS (SELECT doc_id, id, license, win, count(DISTINCT sh) / m AS share, count(DISTINCT phrase) AS told
+  FROM windows JOIN sizes USING (id) LEFT JOIN telling USING (id, sh) GROUP BY doc_id, id, license, win, m),
+found AS (SELECT doc_id, max(share) AS best, list_sort(list_distinct(list(license))) AS names
+  FROM matched LEFT JOIN needed USING (id) WHERE share >= {licenses.CONTAINED} AND told = coalesce(k, 0) GROUP BY doc_id)
 SELECT doc_id, coalesce(len(names), 0) AS n_licenses, coalesce(array_to_string(names, ','), '') AS licenses,
   coalesce(best, 0)::DOUBLE AS best FROM d LEFT JOIN found USING (doc_id)"""
 
