@@ -5,12 +5,14 @@ word, the longest stretch of words ending there that also stands in some item. W
 length reaches the limit (or a short item is complete), the last words are hit.
 
 The items are a stated query set. They are built into automata of bounded size, in blocks:
-every block reads every document, and the hits of the blocks are joined.
+every block reads every document, and the hits of the blocks are joined. The hits of a block
+are written before the next one reads, so that a task holds one automaton at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenumlens.llm.tables import cut_points, settled, small_batches, text_bytes
+from plenumlens.session import materialize
 
 #: Consecutive item words that make a leak.
 SPAN_WORDS = 10
@@ -29,6 +32,7 @@ MAX_COVERAGE = 0.5
 #: Lower-cases A-Z and turns every other ASCII byte that isn't a letter or digit into a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+CUT = "struct<share:double,text:binary>"
 HITS = "struct<n_words:bigint,n_hit:bigint,spans:array<int>,items:array<string>>"
 
 
@@ -178,11 +182,16 @@ def cut_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def n_blocks(items: DataFrame, text: str, block_words: int) -> int:
+    """In how many blocks the items are read."""
+    total = items.select(text_bytes(text).alias("text")).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 + total // (2 * block_words)  # a word and its separator take two bytes at least
+
+
 def automata(items: DataFrame, key: str, text: str, limit: int, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
     """The items' automata, one at a time; only one block of items is on the driver at once."""
     sized = items.select(F.col(key).cast("string").alias("name"), text_bytes(text).alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // (2 * block_words)  # a word and its separator take two bytes at least
+    blocks = n_blocks(items, text, block_words)
     for block in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect() if blocks > 1 else sized.collect()
         yield Automaton(sorted(((r["name"], bytes(r["text"])) for r in rows), key=lambda r: (r[1], r[0] or "")), limit)
@@ -221,6 +230,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
     """
     small_batches(docs.sparkSession)
     for k, automaton in enumerate(automata(items, item_key, item_text, limit, block_words)):
+        docs = materialize(docs, "hits") if k else docs
         reader = _reader(docs.sparkSession, automaton, k == 0)
         docs = docs.withColumn(into, reader(text_bytes(text)) if k == 0 else reader(text_bytes(text), F.col(into)))
     return docs
@@ -241,20 +251,31 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
     null stays null.
     """
     columns = docs.columns
-    spark = docs.sparkSession
+    # through a scratch struct, so that no column of the input can clash
+    row = F.struct(*[docs[c] for c in columns]).alias("row")
+    held = docs.select(row, F.col(text).alias("__text"))
+    if n_blocks(items, item_text, block_words) > 1:
+        cleaned = _clean_in_rounds(held, items, limit, block_words, item_key, item_text)
+    else:
+        cleaned = held.withColumn("cut", _cutter(next(automata(items, item_key, item_text, limit, block_words)), docs.sparkSession)(text_bytes("__text")))
+    kept = cleaned.where(F.col("cut.share") <= max_coverage)
+    fresh = F.when(F.col("__text").isNotNull(), F.col("cut.text").cast("string"))
+    return kept.select(*[(fresh if c == text else F.col("row")[c]).alias(c) for c in columns])
+
+
+def _cutter(automaton: Automaton, spark):
+    """A column function: the share of hit words of a text, and what is left of it, by one automaton."""
     small_batches(spark)
-    known = [spark.sparkContext.broadcast(a) for a in automata(items, item_key, item_text, limit, block_words)]
+    shared = spark.sparkContext.broadcast(automaton)
 
-    @F.pandas_udf("struct<share:double,text:binary>")
+    @F.pandas_udf(CUT)
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in settled(texts):
             out = []
             for whole in batch:
                 left, share = whole, None
                 while True:
-                    hits = None
-                    for shared in known:
-                        hits = read_hits(left, shared.value, hits)
+                    hits = read_hits(left, shared.value)
                     share = hits["n_hit"] / max(hits["n_words"], 1) if share is None else share
                     if not hits["spans"]:
                         break
@@ -262,9 +283,26 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
                 out.append((share, left))
             yield pd.DataFrame(out, columns=["share", "text"])
 
-    # through a scratch struct, so that no column of the input can clash
-    row = F.struct(*[docs[c] for c in columns]).alias("row")
-    cleaned = docs.select(row, F.col(text).alias("__text")).withColumn("cut", cut(text_bytes("__text")))
-    kept = cleaned.where(F.col("cut.share") <= max_coverage)
-    fresh = F.when(F.col("__text").isNotNull(), F.col("cut.text").cast("string"))
-    return kept.select(*[(fresh if c == text else F.col("row")[c]).alias(c) for c in columns])
+    return cut
+
+
+def _clean_in_rounds(held: DataFrame, items: DataFrame, limit: int, block_words: int, item_key: str, item_text: str) -> DataFrame:
+    """The column ``cut`` as by :func:`_cutter`, for items in several blocks.
+
+    A round has all blocks read the texts and cuts them; those without hits are done, the others
+    are read again. Each round shortens every text that goes on, so the rounds come to an end.
+    """
+    @F.pandas_udf("binary")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_spans(t, list(s)) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    done, now = [], held.withColumn("cut", F.struct(F.lit(None).cast("double").alias("share"), text_bytes("__text").alias("text")))
+    while True:
+        left = now.select("row", "__text", F.col("cut.share").alias("share"), F.col("cut.text").alias("left"))
+        read = materialize(with_hits(left, items, "left", item_key, item_text, limit, block_words), "cut-hits")
+        share = F.coalesce("share", F.col("hits.n_hit") / F.greatest("hits.n_words", F.lit(1)))
+        done.append(read.where("size(hits.spans) = 0").select("row", "__text", F.struct(share.alias("share"), F.col("left").alias("text")).alias("cut")))
+        now = read.where("size(hits.spans) > 0").select(
+            "row", "__text", F.struct(share.alias("share"), without("left", "hits.spans").alias("text")).alias("cut"))
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done)
