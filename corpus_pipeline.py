@@ -24,11 +24,12 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies; a repeated row of it counts once."""
+    """The document with the least id of each class of near copies; of its repeated rows the one whose other columns come first."""
     classes = jaccard.jaccard_classes(docs)
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    rest = [F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*rest)
     return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
 
 
