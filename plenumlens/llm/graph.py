@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plenumlens.session import materialize
 
@@ -15,8 +14,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    near = both.withColumn("m", least)
+    # least neighbours are combined before the shuffle, and joined back one row to a node: no task must hold a hot node's edges
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    near = both.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of the edges (u, v): root is the least node of its component.
 
     Large and small stars alternate until nothing moves. Edges with a null end and loops are
-    passed over, repeated edges count once, no edges give no rows. Each round is written to the
+    passed over, repeated edges count once, no edges give no rows. Components that need more
+    than ``rounds`` rounds (the diameter's logarithm, mostly) are an error: call with more rounds. Each round is written to the
     shared folder, so that a lost executor costs one round at most.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
