@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plenumlens.session import materialize
 
@@ -15,8 +14,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    near = both.withColumn("m", least)
+    # one row to a node, combined before the shuffle, so that no task must hold the edges of a hot node
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    near = both.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
