@@ -87,13 +87,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the MD5 of seed and key, and lie in its order in their shard. A shard with quota q and b
     blocks takes all blocks q // b times, and q % b blocks on from a seeded one once more, so no
     document exceeds ``repeats`` times its size. Null or empty texts have size 0 and taken 0, a
-    null source is one source, null keys hash as '', rows with equal keys are separate rows,
-    and an empty table gives an empty result. Other columns are left out; result names win.
+    null source is one source, rows without a key are spread by their text, rows with equal keys
+    are separate rows in the order of size and text hash (ties are equal rows), and an empty
+    table gives an empty result. Other columns are left out; result names win.
     """
     keep = [key] if keep is None else keep
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    words, tie = F.coalesce(docs[text].cast("string"), F.lit("")), F.xxhash64(docs[text].cast("string"))
+    name = F.coalesce(docs[key].cast("string"), F.concat(F.lit("null:"), F.md5(words)))
     sized = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[source].cast("string").alias("source"),
-                        n_words(docs[text]).alias("size"), digest.alias("__md5"))
+                        n_words(docs[text]).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("__md5"), tie.alias("__tie"))
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs")),
                              weights, repeats)
     everything = Window.partitionBy(F.lit(0))
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "__place", "__s", "__blocks", F.floor(F.col("__take") / F.greatest("__blocks", F.lit(1))).alias("__passes"),
         F.pmod("__take", F.greatest("__blocks", F.lit(1))).alias("__more"),
         F.pmod("__at", F.greatest("__blocks", F.lit(1))).alias("__at"))
-    own = Window.partitionBy("place", "__shard").orderBy("__md5", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("place", "__shard").orderBy("__md5", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("__end", F.sum("size").over(own)).join(
         shards, (F.col("place") == F.col("__place")) & (F.col("__shard") == F.col("__s")))
 

@@ -105,7 +105,7 @@ def mixing_sql(block: int = mixing.BLOCK, repeats: int = mixing.REPEATS, shard_d
     digits = "('0x' || {}[1:12])::BIGINT"
     within = "greatest(least(last, {1}) - greatest(last - size, {0}), 0)"
     return f"""
-WITH s AS (SELECT doc_id, source, len({_SPACED.format("coalesce(text, '')")}) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH s AS (SELECT doc_id, source, len({_SPACED.format("coalesce(text, '')")}) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s GROUP BY source),
 w AS (SELECT *, [{weights}][(place - 1) % {len(mixing.WEIGHTS)} + 1] AS w, source_size * {repeats} AS lim FROM src),
 p AS (SELECT *, lim / w AS per FROM w),
