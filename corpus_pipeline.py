@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from plenumlens.llm import jaccard, leaks, mixing, quality, slots
 from plenumlens.llm.tables import read, text_bytes
-from plenumlens.session import materialize
+from plenumlens.session import materialize, scratch_path
 
 SHARDS = 24
 
@@ -44,8 +44,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard, its place there and its virtual slot."""
-    return slots.assign_shards(docs, SHARDS, keep=docs.columns)
+    """Every row with its shard, its place there and its virtual slot, by a map that is stored and read back."""
+    records = slots.spread_records(docs, keep=docs.columns)
+    return slots.place_records(records, slots.update_map(slots.slot_bytes(records), SHARDS, scratch_path(spark, "slot-maps")))
 
 
 STAGES = [
