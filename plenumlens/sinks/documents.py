@@ -2,8 +2,9 @@
 
 Rows carry the text of one item and the texts that open and close the levels around it. A task
 gets its rows in order and streams them: it closes and opens levels as they change, and holds
-one batch of rows. Documents are staged and take their names when the job commits, so a task
-that runs twice leaves nothing behind, and a name never shows half a document. A document whose
+one batch of rows. Documents are staged and take their names when the job has committed, so a task
+that runs twice leaves nothing behind, and a name never shows half a document. What is staged is
+listed in files beside it and named by tasks: the driver holds one path a task. A document whose
 rows come from several tasks becomes numbered parts, whole documents each, with a manifest.
 """
 
@@ -12,13 +13,14 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -33,10 +35,10 @@ COLUMNS = ("file", "opens", "closes", "item")
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """What a task has staged: (name, staged path, items) in order."""
+    """The file where a task has listed what it staged; None for nothing."""
 
     task: int
-    documents: list[tuple[str, str, int]] = field(default_factory=list)
+    listing: str | None = None
 
 
 class _Document:
@@ -71,83 +73,144 @@ class _Document:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, columns: list[str]):
+    """Without ``staging`` the commit names the documents itself; with it :func:`_publish` does, by tasks."""
+
+    def __init__(self, path: str, columns: list[str], staging: str | None = None):
         self.path, self.columns = path.rstrip("/"), columns
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.staging, self.later = staging or _new_staging(), staging is not None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         context = TaskContext.get()
         store, root, _ = store_of(self.path)
-        done = Staged(context.partitionId())
-        folder = f"{root}/{self.staging}"
-        store.create_dir(folder, recursive=True)
+        folder = f"{root}/{self.staging}/{context.partitionId():06d}-{context.taskAttemptId()}"
+        done, number = Staged(context.partitionId()), 0
         now: _Document | None = None
+        listing = None
         try:
             for batch in iterator:
                 cols = [batch.column(self.columns.index(c)).to_pylist() for c in COLUMNS]
                 for name, opens, closes, item in zip(*cols):
                     if now is None or name != now.name:
-                        if now is not None:
+                        if now is None:
+                            store.create_dir(folder, recursive=True)
+                            done.listing = f"{folder}/listing"
+                            listing = store.open_output_stream(done.listing)
+                        else:
                             now.close()
-                            done.documents.append((now.name, now.staged, now.items))
-                        staged = f"{folder}/{done.task:06d}-{context.taskAttemptId()}-{len(done.documents):06d}"
+                            listing.write(_listed(now, done.task, number))
+                            number += 1
+                        staged = f"{folder}/{number:06d}"
                         now = _Document(store.open_output_stream(staged), name, staged)
                     now.add(opens or [], closes or [], item)
             if now is not None:
                 now.close()
-                done.documents.append((now.name, now.staged, now.items))
+                listing.write(_listed(now, done.task, number))
         finally:
             if now is not None and not now.stream.closed:
                 now.stream.close()
+            if listing is not None:
+                listing.close()
         return done
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Give the staged documents their names, a document at a time; what else had its name goes."""
+        """The listings of the tasks that count; their documents get their names, a document at a time."""
         store, root, _ = store_of(self.path)
-        parts: dict[str, list[tuple[str, int]]] = {}
+        committed = f"{root}/{self.staging}/{_COMMITTED}"
+        store.create_dir(committed, recursive=True)
+        listings = []
         for message in sorted((m for m in messages if m is not None), key=lambda m: m.task):
-            for name, staged, items in message.documents:
-                parts.setdefault(name, []).append((staged, items))
-        for folder in sorted({f"{root}/{name}".rpartition("/")[0] for name in parts}):
-            store.create_dir(folder, recursive=True)
-        older = self._older_parts(store, root, parts)
-        for name, staged in parts.items():
-            stem, dot, ending = name.rpartition(".")
-            names = [name] + [f"{stem}.part-{i:05d}{dot}{ending}" for i in range(1, len(staged))]
-            manifest = f"{root}/{_manifest(name)}"
-            if len(staged) > 1:
-                listed = [{"name": n.rpartition("/")[2], "items": items} for n, (_, items) in zip(names, staged)]
-                with store.open_output_stream(f"{staged[0][0]}-manifest") as out:
-                    out.write(json.dumps({"parts": listed}).encode())
-                staged = [*staged, (f"{staged[0][0]}-manifest", 0)]
-                names.append(_manifest(name))
-            for place, (at, _) in zip(reversed(names), reversed(staged)):  # the first part comes last
-                store.move(at, f"{root}/{place}")
-            for stale in older.get(name, ()):
-                if stale != manifest and stale[len(root) + 1:] not in names or stale == manifest and len(staged) == 1:
-                    store.delete_file(stale)
-        self._drop_staging(store, root)
-
-    def _older_parts(self, store: fs.FileSystem, root: str, names) -> dict[str, list[str]]:
-        """Parts and manifests that lie beside the given names already."""
-        found: dict[str, list[str]] = {}
-        for folder in sorted({n.rpartition("/")[0] for n in names}):
-            inside = f"{root}/{folder}".rstrip("/")
-            for info in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
-                part = re.fullmatch(r"(.*)\.part-\d{5}(\.[^.]*)?", info.base_name)
-                listed = re.fullmatch(r"_(.*)\.parts", info.base_name)
-                if part or listed:
-                    base = part[1] + (part[2] or "") if part else listed[1]
-                    found.setdefault(f"{folder}/{base}" if folder else base, []).append(info.path)
-        return found
-
-    def _drop_staging(self, store: fs.FileSystem, root: str) -> None:
-        if store.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/{self.staging}")
+            if message.listing is not None:
+                listings.append(f"{committed}/{message.task:06d}.json")
+                store.move(message.listing, listings[-1])
+        if self.later:
+            return
+        rows = []
+        for listing in listings:
+            with store.open_input_stream(listing) as lines:
+                rows += [json.loads(line) for line in lines.read().splitlines()]
+        rows.sort(key=lambda r: r["name"])
+        _give_names(self.path, ((r["name"], r["staged"], r["items"]) for r in rows))
+        _drop_staging(self.path, self.staging)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root, _ = store_of(self.path)
-        self._drop_staging(store, root)
+        _drop_staging(self.path, self.staging)
+
+
+_COMMITTED = "committed"
+
+
+def _new_staging() -> str:
+    return f"_staging-{uuid.uuid4().hex}"
+
+
+def _listed(document: _Document, task: int, number: int) -> bytes:
+    row = {"name": document.name, "staged": document.staged, "items": document.items, "task": task, "number": number}
+    return json.dumps(row).encode() + b"\n"
+
+
+def _drop_staging(path: str, staging: str) -> None:
+    store, root, _ = store_of(path.rstrip("/"))
+    if store.get_file_info(f"{root}/{staging}").type != fs.FileType.NotFound:
+        store.delete_dir(f"{root}/{staging}")
+
+
+def _publish(spark: SparkSession, path: str, staging: str) -> None:
+    """Give the staged documents their names, in tasks by ranges of names; a task may run twice."""
+    listed = spark.read.schema("name string, staged string, items long, task int, number int").json(f"{path}/{staging}/{_COMMITTED}")
+    parts = 4 * spark.sparkContext.defaultParallelism  # by number: the rows are few bytes, each stands for a file
+    ranged = listed.repartitionByRange(parts, "name").sortWithinPartitions("name", "task", "number")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("name", "staged", "items"))))
+        yield pa.RecordBatch.from_pydict({"documents": [_give_names(path, rows)]})
+
+    ranged.mapInArrow(name, "documents long").agg(F.sum("documents")).collect()
+
+
+def _give_names(path: str, rows: Iterable[tuple[str, str, int]]) -> int:
+    """Name the documents of (name, staged path, items), parts of a name together and in order; what else had the name goes."""
+    store, root, _ = store_of(path.rstrip("/"))
+    done, folder, older = 0, None, {}
+    for name, group in groupby(rows, key=lambda r: r[0]):
+        staged = [(at, items) for _, at, items in group]
+        inside = f"{root}/{name}".rpartition("/")[0]
+        if inside != folder:
+            store.create_dir(inside, recursive=True)
+            folder, older = inside, _older_parts(store, root, name)
+        stem, dot, ending = name.rpartition(".")
+        names = [name] + [f"{stem}.part-{i:05d}{dot}{ending}" for i in range(1, len(staged))]
+        manifest = f"{root}/{_manifest(name)}"
+        if len(staged) > 1:
+            listed = [{"name": n.rpartition("/")[2], "items": items} for n, (_, items) in zip(names, staged)]
+            with store.open_output_stream(f"{staged[0][0]}-manifest") as out:
+                out.write(json.dumps({"parts": listed}).encode())
+            staged = [*staged, (f"{staged[0][0]}-manifest", 0)]
+            names.append(_manifest(name))
+        for place, (at, _) in zip(reversed(names), reversed(staged)):  # the first part comes last
+            try:
+                store.move(at, f"{root}/{place}")
+            except OSError:  # an earlier run of this task has moved it
+                if {i.type for i in store.get_file_info([at])} != {fs.FileType.NotFound} or store.get_file_info(f"{root}/{place}").type != fs.FileType.File:
+                    raise
+        for stale in older.get(name, ()):
+            if stale != manifest and stale[len(root) + 1:] not in names or stale == manifest and len(staged) == 1:
+                store.delete_file(stale)
+        done += 1
+    return done
+
+
+def _older_parts(store: fs.FileSystem, root: str, name: str) -> dict[str, list[str]]:
+    """Parts and manifests that lie in the folder of ``name`` already, by document."""
+    found: dict[str, list[str]] = {}
+    folder = name.rpartition("/")[0]
+    inside = f"{root}/{folder}".rstrip("/")
+    for info in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+        part = re.fullmatch(r"(.*)\.part-\d{5}(\.[^.]*)?", info.base_name)
+        listed = re.fullmatch(r"_(.*)\.parts", info.base_name)
+        if part or listed:
+            base = part[1] + (part[2] or "") if part else listed[1]
+            found.setdefault(f"{folder}/{base}" if folder else base, []).append(info.path)
+    return found
 
 
 def _manifest(name: str) -> str:
@@ -167,7 +230,7 @@ class NestedDocuments(DataSource):
         missing = set(COLUMNS) - set(schema.names)
         if missing:
             raise ValueError(f"rows need the columns {sorted(missing)}")
-        return _Writer(self.options["path"], schema.names)
+        return _Writer(self.options["path"], schema.names, self.options.get("staging"))
 
 
 def level(opening: Column, list_name: str) -> tuple[Column, Column]:
@@ -206,4 +269,9 @@ def write_documents(
     marked = checked.join(large, F.col("file") == F.col("__large"), "left")
     cuts = [F.when(F.col("__large").isNotNull(), F.col(k)) for k in keys]
     ranged = marked.repartitionByRange("file", *cuts).sortWithinPartitions("file", *keys)
-    ranged.select(*COLUMNS).write.format("nested_documents").mode("append").save(path)
+    staging = _new_staging()
+    try:
+        ranged.select(*COLUMNS).write.format("nested_documents").option("staging", staging).mode("append").save(path)
+        _publish(rows.sparkSession, path.rstrip("/"), staging)
+    finally:
+        _drop_staging(path, staging)

@@ -2,28 +2,103 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenumlens.schemas import LANDED_STATEMENT, TRANSCRIPT_FILE
+from plenumlens.session import materialize
 from plenumlens.sources.json_items import read_items
+from plenumlens.storage import store_of
 
 # Fixed value: name of a transcript file; the date is its only key.
 FILE_DATE = r"^transkrypty_(.*)\.json$"
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.json", recursive: bool = False) -> DataFrame:
-    """``path, name, extension, modificationTime, length`` of files; contents are not read."""
+#: Entries below a folder up to which Spark's own reader lists them, in the driver's memory.
+FEW_ENTRIES = 10_000
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*.json", recursive: bool = False, few: int = FEW_ENTRIES) -> DataFrame:
+    """``path, name, extension, modificationTime, length`` of files; contents are not read.
+
+    A tree of more than ``few`` entries is listed by tasks, a folder at a time and a level after
+    the other, where they can reach the store: the driver never holds it.
+    """
+    if recursive and not re.search(r"[{\[\\]", glob) and _many_entries(path, few):
+        return _named(_tree(spark, path, glob))
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
+    return _named(reader.load(path))
+
+
+def _named(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(path).select(
+    return files.select(
         "path", name.alias("name"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("extension"),
         "modificationTime", "length",
     )
 
 
+def _inside(store: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
+    """What a folder holds, without the names that Spark's readers pass over."""
+    for info in store.get_file_info(fs.FileSelector(folder)):
+        name = info.base_name
+        if not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")):
+            yield info
+
+
+def _many_entries(path: str, few: int) -> bool:
+    """Whether a folder that Python reaches has more than ``few`` entries below it; no more are looked at, but for one folder's."""
+    try:
+        store, inner, _ = store_of(path)
+        if store.get_file_info(inner).type != fs.FileType.Directory:
+            return False
+        seen, folders = 0, [inner]
+        while folders and seen <= few:
+            for info in _inside(store, folders.pop()):
+                seen += 1
+                if info.type == fs.FileType.Directory and len(folders) <= few:
+                    folders.append(info.path)
+        return seen > few
+    except (ValueError, OSError, ImportError):  # for Spark's own reader
+        return False
+
+
+def _tree(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """``path, modificationTime, length`` of all files below a folder, each level listed by tasks."""
+    _, root, before = store_of(path.rstrip("/"))
+    shown = "file:" if before == "file://" else path.rstrip("/")[:len(path.rstrip("/")) - len(root)]
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = store_of(path)[0]
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [i for i in _inside(store, folder) if i.type == fs.FileType.Directory or fnmatchcase(i.base_name, glob)]
+                for k in range(0, len(found), 10_000):
+                    part = found[k:k + 10_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([i.path for i in part], pa.string()), pa.array([i.type == fs.FileType.Directory for i in part]),
+                        pa.array([(i.mtime_ns or 0) // 1_000_000 for i in part], pa.int64()), pa.array([i.size or 0 for i in part], pa.int64())],
+                        names=["inner", "is_folder", "at_ms", "length"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    folders, levels = spark.createDataFrame([(root,)], "inner string"), []
+    while not folders.isEmpty():
+        listed = folders.repartition(tasks).mapInArrow(inside, "inner string, is_folder boolean, at_ms long, length long")
+        levels.append(materialize(listed, "listed-files"))
+        folders = levels[-1].where("is_folder").select("inner")
+    files = reduce(DataFrame.unionAll, levels).where("NOT is_folder")
+    return files.select(F.concat(F.lit(shown), "inner").alias("path"), F.timestamp_millis("at_ms").alias("modificationTime"), "length")
+
+
 def discover(spark: SparkSession, input_dir: str | None, data_dirs: list[str], own_output: str = "detector") -> DataFrame:
     """JSON files of the input folder; if it has none, of the data folders without own results."""
     if input_dir:

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import pickle
 import random
 import tracemalloc
 from collections import Counter
@@ -329,3 +330,31 @@ def test_result_and_term_documents(spark, tmp_path):
     assert (term["term"], term["export_timestamp"]) == (10, "20240201_000000")
     assert [(p["directory_name"], [(t["metadata"]["date"], [s["num"] for s in t["statements"]]) for t in p["transcripts"]]) for p in term["proceedings"]] == [
         (f"proceeding_{p}", [("2024-01-01", [1, 2]), ("2024-01-02", [1, 2])]) for p in ("002", "011")]
+
+
+def test_the_driver_holds_no_names_and_tasks_name_documents(spark, monkeypatch, tmp_path):
+    writer = documents._Writer(str(tmp_path), ["file", "opens", "closes", "item"], "_staging-1")
+    sizes = []
+    for k, n in enumerate((1, 300)):
+        task(monkeypatch, k, k)
+        sizes.append(writer.write(iter([batch(*[(f"p{i}/{k}-{i}.json", str(i)) for i in range(n)])])))
+    assert len({len(pickle.dumps(m)) for m in sizes}) == 1  # whatever a task has written
+    writer.commit(sizes)
+    assert all(n.startswith("_staging-1") for n in names_below(tmp_path))
+    documents._publish(spark, str(tmp_path), "_staging-1")
+    documents._publish(spark, str(tmp_path), "_staging-1")  # as after a lost task
+    documents._drop_staging(str(tmp_path), "_staging-1")
+    assert names_below(tmp_path) == sorted([f"p{i}/1-{i}.json" for i in range(300)] + ["p0/0-0.json"])
+
+
+def test_a_large_tree_is_listed_by_tasks(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / f"term={i % 2}" / f"p {i % 5}" / f"{i}.json", [])
+    put(tmp_path / "top.json", [1])
+    put(tmp_path / "other.txt", [1])
+    put(tmp_path / "_hidden" / "a.json", [1])
+    put(tmp_path / "_key=1" / "a.json", [1])
+    few, many = (transcripts.list_files(spark, f"{tmp_path}{slash}", recursive=True, few=n) for slash, n in (("", 1000), ("/", 10)))
+    assert "inner" in many._jdf.queryExecution().toString() and "inner" not in few._jdf.queryExecution().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 42
+    assert many.dtypes == few.dtypes
