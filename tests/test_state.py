@@ -3,6 +3,7 @@
 import datetime
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,52 @@ def test_the_kept_worklist_is_that_of_a_new_computation(spark, tmp_path):
         checks = refresh.latest_checks(news.where("kind = 'check'"), ["proceeding"])
         want = refresh.refresh_worklist(listed, landed, checks, ["proceeding"], F.lit(clock))
         assert got == {r.proceeding: (r.tier, r.refresh) for r in want.collect()}
+
+
+class Kept:
+    """State and timers of one key in memory, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def days_of(n):
+    return [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(n)]
+
+
+@pytest.mark.parametrize("made, rows", [
+    (lambda: state.ProcessedDays(30), lambda n: [{"day": str(d)} for d in days_of(n)]),
+    (lambda: state.SourceHealth(1000), lambda n: [{"at_ms": 700 * k} for k in range(n)]),
+    (state.Worklist, lambda n: [{"kind": "listing", "at_ms": 1, "dates": '["2024-01-01"]'}] + [{"kind": "landed", "day": str(d)} for d in days_of(n)]),
+], ids=["days", "health", "worklist"])
+def test_state_is_called_as_often_for_many_rows_as_for_one(made, rows):
+    calls = []
+    for n in (1, 400):
+        processor, kept = made(), Kept()
+        processor.init(kept)
+        for now in (0, 10 ** 13):
+            clock = SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+            list(processor.handleInputRows(("p",), iter(rows(n)) if not now else iter(()), clock))
+            for at in sorted(kept.timers):
+                list(processor.handleExpiredTimer(("p",), clock, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
+        calls.append(kept.calls)
+    assert calls[1] <= calls[0] + 2 and calls[1] < 20
