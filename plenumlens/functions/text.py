@@ -182,6 +182,15 @@ def strip_marks(text: Column) -> Column:
     )
 
 
+#: With all characters up to the last marked one: str.translate is slow on those that a table lacks.
+_PLAIN_OF = {i: i for i in range(0x3100)} | {ord(c): _PLAIN[i] if i < len(_PLAIN) else None for i, c in enumerate(_MARKED)}
+
+
+def drop_marks(text: str) -> str:
+    """What :func:`strip_marks` makes of a lower-case text, within a Python function."""
+    return text if text.isascii() else text.translate(_PLAIN_OF)
+
+
 @F.pandas_udf(StringType())
 def strip_marks_exact(text: pd.Series) -> pd.Series:
     """Full NFKD variant over Arrow batches."""

@@ -48,16 +48,13 @@ def score_segments(
 
 
 def keyword_order(
-    segments: Column, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES, counted: Column | None = None
+    segments: Column, lexicon: Sequence[kw.Keyword], suffixes: Sequence[str] = kw.SUFFIXES
 ) -> Column:
-    """Distinct keywords of a statement: best-scored segment first, then lexicon order.
-
-    ``counted`` has each segment's lenient matches, where they are known already.
-    """
+    """Distinct keywords of a statement: best-scored segment first, then lexicon order."""
 
     def scored(segment: Column, i: Column) -> Column:
         return let(
-            kw.lenient_matches(segment["body"], lexicon, suffixes) if counted is None else F.element_at(counted, i + 1),
+            kw.lenient_matches(segment["body"], lexicon, suffixes),
             lambda m: F.struct(
                 (-kw.weighted_score(m)).alias("descending"), i.alias("idx"),
                 F.transform(m, lambda x: x["keyword"]).alias("words"),
@@ -92,7 +89,8 @@ def cut_contexts(
     cut_at: int | None = None,
     carry: Sequence[str] = (),
     among: str | None = None,
-    counted: str | None = None,
+    hit: str | None = None,
+    near: str | None = None,
 ) -> DataFrame:
     """One row per segment with a strict hit: its context window.
 
@@ -101,32 +99,36 @@ def cut_contexts(
     shuffle is needed. A statement without any text yields one empty row. ``among``
     names an array column of keywords, one of which must be hit; a strict hit can only
     fall outside the lenient ones next to a combining mark, so only such segments are
-    looked at twice. ``counted`` names a column with each segment's strict matches, where
-    they are known already.
+    looked at twice. ``hit`` names a column that tells which segments are chosen, where that is
+    known already; ``near`` one with the matches of each segment's window, of which a row gets its own.
     """
 
     def is_hit(body: Column) -> Column:
-        hit = kw.any_strict(body, lexicon)
+        strictly = kw.any_strict(body, lexicon)
         if among is None:
-            return hit
+            return strictly
         unmarked = (F.octet_length(body) == F.char_length(body)) | ~F.rlike(body, F.lit(r"\p{M}"))
         listed = F.exists(kw.strict_matches(body, lexicon), lambda m: F.array_contains(F.col(among), m["keyword"]))
-        return hit & (unmarked | listed)
+        return strictly & (unmarked | listed)
 
     at = F.sequence(F.lit(1), F.size("segments"))
-    if counted is None:
+    if hit is None:
         hits = F.filter(at, lambda i: let(F.element_at(F.col("segments"), i)["body"], is_hit))
     else:
-        known = F.lit(True) if among is None else None
-        hits = F.filter(at, lambda i: F.exists(
-            F.element_at(F.col(counted), i), lambda m: known if known is not None else F.array_contains(F.col(among), m["keyword"])))
-    windows = F.transform(hits, lambda i: _context(F.col("segments"), i, context))
+        hits = F.filter(at, lambda i: F.element_at(F.col(hit), i))
+
+    def window(i: Column) -> Column:
+        context_of = _context(F.col("segments"), i, context)
+        return context_of if near is None else context_of.withField(near, F.element_at(F.col(near), i))
+
+    windows = F.transform(hits, window)
+    none = [] if near is None else [F.array().cast(automaton.MATCHES).alias(near)]
     empty = F.array(F.struct(F.lit(0).alias("segment_idx"), F.lit(0).alias("start_offset"),
-                             F.lit(0).alias("end_offset"), F.lit("").alias("text")))
+                             F.lit(0).alias("end_offset"), F.lit("").alias("text"), *none))
     rows = F.when(F.size("segments") == 0, empty).otherwise(windows)
     exploded = segmented.select(*keys, *carry, F.explode(rows).alias("f")).select(*keys, *carry, "f.*")
     if cut_at is None:
-        return exploded.select(*keys, *carry, "segment_idx", "start_offset", "end_offset", "text")
+        return exploded.select(*keys, *carry, "segment_idx", "start_offset", "end_offset", "text", *([near] if near else []))
     short = exploded.withColumn("cut", tx.truncate_at_word(F.col("text"), cut_at))
     return short.select(
         *keys, *carry, "segment_idx", "start_offset",
@@ -153,20 +155,22 @@ def extract_fragments(
     length of a segment, ``cut_at`` that of a window (by default it stays whole).
     """
     segmented = segment_statements(df, keys, text, limit)
-    large = len(lexicon) > kw.UNROLLED
-    known = []
-    if large:  # an expression per keyword would be too many; one pass over each text counts them all
-        bodies = F.transform("segments", lambda s: s["body"])
-        known = ["_strict"]
-        both = F.struct(automaton.list_matches(bodies, lexicon, True, suffixes).alias("lenient"), automaton.list_matches(bodies, lexicon).alias("strict"))
-        segmented = compute_once(segmented, [*keys, "segments"], "_m", both).select(
-            *keys, "segments", F.col("_m.lenient").alias("_lenient"), F.col("_m.strict").alias("_strict"))
-    words = keyword_order(F.col("segments"), lexicon, suffixes, F.col("_lenient") if large else None)
-    ordered = compute_once(segmented, [*keys, *known, "segments"], "keyword_order", words)
-    cut = cut_contexts(ordered, keys, lexicon, context, cut_at, carry=["keyword_order"], among="keyword_order",
-                       counted="_strict" if large else None)
-    if large:
-        cut = compute_once(cut, cut.columns, "_found", automaton.text_matches(F.col("text"), lexicon))
+    if len(lexicon) > kw.UNROLLED:  # an expression per keyword would be too many; one pass over each text counts them all
+        cut, matches = _counted_windows(segmented, lexicon, keys, context, suffixes, cut_at)
+    else:
+        words = keyword_order(F.col("segments"), lexicon, suffixes)
+        ordered = compute_once(segmented, [*keys, "segments"], "keyword_order", words)
+        cut = cut_contexts(ordered, keys, lexicon, context, cut_at, carry=["keyword_order"], among="keyword_order")
+        matches = _in_order(kw.strict_matches(F.col("text"), lexicon))
+    named = F.transform(matches, lambda m: F.struct(
+        m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight")))
+    kept = [c for c in cut.columns if c not in ("keyword_order", "_near", "_anew")]
+    matched = compute_once(cut, kept, "matched_keywords", named)
+    return matched.withColumn("score", kw.weighted_score(F.col("matched_keywords")))
+
+
+def _in_order(matches: Column) -> Column:
+    """The matches of ``keyword_order``, in its order."""
 
     def place(m: Column) -> Column:
         return F.struct(
@@ -174,15 +178,28 @@ def extract_fragments(
             m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight"),
         )
 
-    matches = F.col("_found") if large else kw.strict_matches(F.col("text"), lexicon)
-    placed = F.filter(F.transform(matches, place), lambda m: m["place"] > 0)
-    in_order = F.transform(
-        F.array_sort(placed),
-        lambda m: F.struct(m["keyword"].alias("keyword"), m["count"].alias("count"), m["weight"].alias("weight")),
-    )
-    kept = [c for c in cut.columns if c not in ("keyword_order", "_found")]
-    matched = compute_once(cut, kept, "matched_keywords", in_order)
-    return matched.withColumn("score", kw.weighted_score(F.col("matched_keywords")))
+    return F.array_sort(F.filter(F.transform(matches, place), lambda m: m["place"] > 0))
+
+
+def _counted_windows(
+    segmented: DataFrame, lexicon: Sequence[kw.Keyword], keys: Sequence[str], context: int, suffixes: Sequence[str],
+    cut_at: int | None,
+) -> tuple[DataFrame, Column]:
+    """The windows and their matches by a large lexicon.
+
+    A window's matches are the sums over its segments. Only those of entries that may reach over
+    a segment's end, and all in a shortened window, are counted in its text.
+    """
+    counted = automaton.window_matches(F.col("segments.body"), lexicon, context, suffixes)
+    known = compute_once(segmented, [*keys, "segments"], "_m", counted).select(
+        *keys, "segments", F.col("_m.keywords").alias("keyword_order"), F.col("_m.hit").alias("_hit"), F.col("_m.near").alias("_near"))
+    anew = automaton.across_segments(lexicon) if cut_at is None else lexicon
+    if not anew:
+        return cut_contexts(known, keys, lexicon, context, hit="_hit", near="_near"), F.col("_near")
+    near = "_near" if cut_at is None else None
+    cut = cut_contexts(known, keys, lexicon, context, cut_at, carry=["keyword_order"], hit="_hit", near=near)
+    cut = compute_once(cut, cut.columns, "_anew", automaton.text_matches(F.col("text"), anew))
+    return cut, _in_order(F.concat("_near", "_anew") if near else F.col("_anew"))
 
 
 def score_audit(fragments: DataFrame, tolerance: float = 1e-6) -> DataFrame:

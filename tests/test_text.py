@@ -128,6 +128,39 @@ def test_lexicons_of_any_size(spark, size):
     assert got == same
 
 
+FILL = [(f"słowo{i}", 1.0) for i in range(kw.UNROLLED)]
+
+
+@pytest.mark.parametrize("shape", [{}, {"context": 0}, {"context": 2}, {"cut_at": 40}])
+def test_windows_of_a_large_lexicon_are_those_of_patterns(spark, shape):
+    some = [("humor", 1.0), ("Humor", 4.0), ("brawo wspaniale", 2.0), ("humor, żart", 0.5), ("żart", 2.0), ("zart", 0.25), ("c++", 1.0), ("humor", 9.0), ("d.", 3.0)]
+    rows = [*texts([*WORDS, "humor", "żart", "z\u0301art", "c++", "d", "humorem"], 60, 25, 3), "", "humor", ". . humor. żart"]
+    large = fr.extract_fragments(frame(spark, rows), kw.make_lexicon(some + FILL), ["i"], limit=30, **shape)
+    few = fr.extract_fragments(frame(spark, rows), kw.make_lexicon(some), ["i"], limit=30, **shape)
+    got = large.orderBy("i", "segment_idx").collect()
+    assert got == few.orderBy("i", "segment_idx").collect() and any(len(r.matched_keywords) > 2 for r in got)
+
+
+def test_windows_of_words_are_not_counted_again(spark):
+    def passes(lexicon):
+        found = fr.extract_fragments(frame(spark, ["humor"]), kw.make_lexicon(lexicon), ["i"])
+        return found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+    assert passes([("humor", 1.0), *FILL]) == 1 and passes([("brawo wspaniale", 1.0), *FILL]) == 2
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+def test_table_and_automaton_agree(lenient):
+    lexicon = [kw.Keyword(i, k) for i, k in enumerate(["a", "A", "ab", "ał", "a b", "b.", "_", "2", "abow", "ab", "²"])]
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("aabbłuow_2² .\u0301é") for _ in range(rng.randrange(40))) for _ in range(400)]
+    table, walk = automaton.Counter(lexicon, lenient), automaton.Counter(lexicon, lenient, table_words=0)
+    assert table.table and not walk.table
+    assert [table.matches(t) for t in rows] == [walk.matches(t) for t in rows] and any(len(table.matches(t)) > 3 for t in rows)
+    together = zip(*(x.tolist() for x in table.counts(rows)))
+    assert [*together] == [(i, e, n) for i, t in enumerate(rows) for e, n in table.matches(t)]
+
+
 def counts(spark, text, lexicon, match):
     entries = kw.make_lexicon(lexicon)
     row = frame(spark, [text]).select(match(F.col("text"), entries).alias("m")).first()
